@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from .line_dedup import OP1_SQL, op1_line_dedup
+from .mixing import op10_mixing
 from .token_shards import op3_token_ids
 
 
 def queries() -> dict:
-    return {"op3_token_ids": op3_token_ids}
+    return {"op1_line_dedup": op1_line_dedup, "op3_token_ids": op3_token_ids, "op10_mixing": op10_mixing}
 
 
 def oracle_sql() -> dict:
-    return {}
+    return {"op1_line_dedup": OP1_SQL}
