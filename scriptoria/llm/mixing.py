@@ -163,7 +163,7 @@ def mixed(docs: DataFrame, seed: int = 0, block: int = BLOCK_WORDS) -> tuple[Dat
     )
     start, end = F.greatest("off", F.col("idx") * block), F.least(F.col("off") + F.col("size"), (F.col("idx") + 1) * block)
     pieces = parts.select("src", "doc_id", "fp", "off", "size", "idx", (start - F.col("off")).alias("first"), (end - start).alias("own"))
-    return rows, pieces.join(taken, ["src", "idx"])
+    return rows, pieces.join(taken.hint("merge"), ["src", "idx"])  # the planner takes what mapInPandas makes to be as small as its input
 
 
 def mix_report(docs: DataFrame, seed: int = 0) -> DataFrame:
