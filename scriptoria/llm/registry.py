@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from .line_dedup import OP1_SQL, op1_line_dedup
 from .mixing import op10_mixing
+from .quality import op7_quality_rules
 from .token_shards import op3_token_ids
 
 
 def queries() -> dict:
-    return {"op1_line_dedup": op1_line_dedup, "op3_token_ids": op3_token_ids, "op10_mixing": op10_mixing}
+    return {"op1_line_dedup": op1_line_dedup, "op3_token_ids": op3_token_ids, "op7_quality_rules": op7_quality_rules, "op10_mixing": op10_mixing}
 
 
 def oracle_sql() -> dict:
