@@ -2,15 +2,24 @@
 
 from __future__ import annotations
 
+from .decontamination import OP8_SQL, op8_decontamination
 from .line_dedup import OP1_SQL, op1_line_dedup
 from .mixing import op10_mixing
 from .quality import op7_quality_rules
+from .secrets import op5_secret_scan
 from .token_shards import op3_token_ids
 
 
 def queries() -> dict:
-    return {"op1_line_dedup": op1_line_dedup, "op3_token_ids": op3_token_ids, "op7_quality_rules": op7_quality_rules, "op10_mixing": op10_mixing}
+    return {
+        "op1_line_dedup": op1_line_dedup,
+        "op3_token_ids": op3_token_ids,
+        "op5_secret_scan": op5_secret_scan,
+        "op7_quality_rules": op7_quality_rules,
+        "op8_decontamination": op8_decontamination,
+        "op10_mixing": op10_mixing,
+    }
 
 
 def oracle_sql() -> dict:
-    return {"op1_line_dedup": OP1_SQL}
+    return {"op1_line_dedup": OP1_SQL, "op8_decontamination": OP8_SQL}
