@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+from .chat import OP4_SQL, op4_chat_format
 from .decontamination import OP8_SQL, op8_decontamination
+from .html_extract import op2_html_text
 from .line_dedup import OP1_SQL, op1_line_dedup
 from .mixing import op10_mixing
 from .quality import op7_quality_rules
@@ -13,7 +15,9 @@ from .token_shards import op3_token_ids
 def queries() -> dict:
     return {
         "op1_line_dedup": op1_line_dedup,
+        "op2_html_text": op2_html_text,
         "op3_token_ids": op3_token_ids,
+        "op4_chat_format": op4_chat_format,
         "op5_secret_scan": op5_secret_scan,
         "op7_quality_rules": op7_quality_rules,
         "op8_decontamination": op8_decontamination,
@@ -22,4 +26,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict:
-    return {"op1_line_dedup": OP1_SQL, "op8_decontamination": OP8_SQL}
+    return {"op1_line_dedup": OP1_SQL, "op4_chat_format": OP4_SQL, "op8_decontamination": OP8_SQL}
