@@ -7,6 +7,7 @@ from .decontamination import OP8_SQL, op8_decontamination
 from .html_extract import op2_html_text
 from .line_dedup import OP1_SQL, op1_line_dedup
 from .mixing import op10_mixing
+from .ngram_join import op6_ngram_join
 from .quality import op7_quality_rules
 from .secrets import op5_secret_scan
 from .token_shards import op3_token_ids
@@ -19,6 +20,7 @@ def queries() -> dict:
         "op3_token_ids": op3_token_ids,
         "op4_chat_format": op4_chat_format,
         "op5_secret_scan": op5_secret_scan,
+        "op6_ngram_join": op6_ngram_join,
         "op7_quality_rules": op7_quality_rules,
         "op8_decontamination": op8_decontamination,
         "op10_mixing": op10_mixing,
