@@ -17,9 +17,10 @@ from .common import stored
 
 SHINGLE = 5
 SIMILAR = 0.8
-#: Members of a bucket that are compared all with all; in larger ones each is compared with the leaders and this many neighbours in sorted order.
+#: Members of a bucket that are compared all with all; in larger ones each is compared with LEADERS leaders and the NEIGHBOURS members before it in sorted order.
 ALL_PAIRS = 16
-LEADERS = 4
+LEADERS = 2
+NEIGHBOURS = 4
 #: Rows of a cell of buckets beyond which its buckets are split into salted parts with common leaders.
 HOT_ROWS = 20_000
 CELLS = 1 << 16
@@ -99,7 +100,7 @@ def bucket_pairs(rows: DataFrame, all_pairs: int = ALL_PAIRS, hot_rows: int = HO
     """Pairs (a, b), a < b, to verify from rows (bucket, sub, id): bucket is what members share, sub sorts them within it.
 
     The members of a bucket of up to all_pairs are compared all with all. In a larger one each is compared with LEADERS leaders
-    and with the all_pairs // 2 before it in the order of sub. Rows are counted in CELLS cells of buckets; the buckets of a cell of
+    and with the NEIGHBOURS before it in the order of sub. Rows are counted in CELLS cells of buckets; the buckets of a cell of
     over hot_rows are dealt out in salted parts, in each of which the bucket's leaders take part, so no bucket meets in one task.
     """
     rows = rows.withColumn("cell", F.pmod("bucket", F.lit(CELLS)))
@@ -144,7 +145,7 @@ def _pairing(all_pairs: int):
                     heads += near[:LEADERS]
                 for x in heads:
                     pair(x, one)
-                for x in near[-(all_pairs // 2) :] if over else near:
+                for x in near[-NEIGHBOURS:] if over else near:
                     pair(x, one)
                 near.append(one)
                 del near[:-all_pairs]
