@@ -8,6 +8,7 @@ from .html_extract import op2_html_text
 from .line_dedup import OP1_SQL, op1_line_dedup
 from .mixing import op10_mixing
 from .ngram_join import op6_ngram_join
+from .passages import op9_passage_dedup
 from .quality import op7_quality_rules
 from .secrets import op5_secret_scan
 from .token_shards import op3_token_ids
@@ -23,6 +24,7 @@ def queries() -> dict:
         "op6_ngram_join": op6_ngram_join,
         "op7_quality_rules": op7_quality_rules,
         "op8_decontamination": op8_decontamination,
+        "op9_passage_dedup": op9_passage_dedup,
         "op10_mixing": op10_mixing,
     }
 
