@@ -56,17 +56,18 @@ def repeat_words(w: Column, window: int = WINDOW) -> Column:
 
 
 def measured(docs: DataFrame) -> DataFrame:
-    """doc_id and, of its whole text: n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words and the rules' measures.
+    """doc_id, fp (a hash of the text) and, of its whole text: n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words and the rules' measures.
 
     Null and empty texts have no words and no lines.
     """
     text = F.coalesce("text", F.lit(""))
-    rows = pick(docs, "doc_id", "text").select("doc_id", text.alias("text"), words(text).alias("w"))
+    rows = pick(docs, "doc_id", "text").select("doc_id", F.xxhash64("text").alias("fp"), text.alias("text"), words(text).alias("w"))
     lines = bound(F.filter(F.split("text", "\n", -1), lambda x: x.rlike(r"[^\x20\x09-\x0D]")), lambda v: F.struct(F.size(v).alias("n"), (F.size(v) - F.size(F.array_distinct(v))).alias("dup")))
     odd = F.regexp_replace("text", r"[\p{L}\p{M}\x20\x09-\x0D&&[^A-Z]]+", "")  # what is left: A-Z, digits and signs
     count = lambda keep: (F.length("odd") - F.length(F.regexp_replace("odd", keep, ""))).cast("long")
     rows = rows.select(
         "doc_id",
+        "fp",
         F.size("w").cast("long").alias("n_words"),
         F.length(F.array_join("w", "")).cast("long").alias("word_chars"),
         odd.alias("odd"),
@@ -78,6 +79,7 @@ def measured(docs: DataFrame) -> DataFrame:
     rows = rows.select("*", count(r"[#*$%&|<>]").alias("n_symbols"), count(r"[A-Z]").alias("n_capitals"), count(r"[.!?]").alias("n_stops"))
     return rows.select(
         "doc_id",
+        "fp",
         "n_words",
         "word_chars",
         "n_symbols",
@@ -134,7 +136,7 @@ def estimated(counts: dict[str, int], rounds: int = ROUNDS) -> dict[str, float]:
 
 
 def judged(docs: DataFrame, keep: float = KEEP, rules: dict = RULES) -> DataFrame:
-    """One row for each document: doc_id, its counts, base_failed, votes, p_good and kept.
+    """One row for each document: doc_id, fp, its counts, base_failed, votes, p_good and kept.
 
     Votes are counted over the documents that pass the base rule. base_failed: fewer than ten words, or over a fifth of them in repeated windows. Rows that repeat are judged each; an empty table gives an empty one.
     """
@@ -144,10 +146,10 @@ def judged(docs: DataFrame, keep: float = KEEP, rules: dict = RULES) -> DataFram
     post = docs.sparkSession.createDataFrame(sorted(estimated(counts).items()), "votes string, p_good double")
     return (
         rows.join(F.broadcast(post), "votes", "left")
-        .select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "votes", "p_good")
+        .select("doc_id", "fp", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "votes", "p_good")
         .withColumn("kept", ~F.col("base_failed") & F.coalesce(F.col("p_good") >= keep, F.lit(False)))
     )
 
 
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return judged(table(spark, sf_dir, "documents"))
+    return judged(table(spark, sf_dir, "documents")).drop("fp")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
+
 from .chat import OP4_SQL, op4_chat_format
 from .decontamination import OP8_SQL, op8_decontamination
 from .html_extract import op2_html_text
@@ -26,8 +28,10 @@ def queries() -> dict:
         "op8_decontamination": op8_decontamination,
         "op9_passage_dedup": op9_passage_dedup,
         "op10_mixing": op10_mixing,
+        "pipeline": corpus_pipeline.run,
     }
 
 
 def oracle_sql() -> dict:
-    return {"op1_line_dedup": OP1_SQL, "op4_chat_format": OP4_SQL, "op8_decontamination": OP8_SQL}
+    out = {"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {}
+    return out | {"op1_line_dedup": OP1_SQL, "op4_chat_format": OP4_SQL, "op8_decontamination": OP8_SQL}
