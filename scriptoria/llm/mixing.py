@@ -136,7 +136,7 @@ def drawn_slots(spark: SparkSession, sizes: dict[str, int], want: dict[str, floa
                 idx.append(at)
             n = len(src)
             place = np.random.default_rng([seed & 0xFFFFFFFF, shard]).permutation(n)
-            yield pd.DataFrame({"shard": np.full(n, shard), "place": place, "src": src, "idx": np.concatenate(idx) if idx else np.zeros(0, np.int64)})
+            yield pd.DataFrame({"shard": np.full(n, shard), "place": place, "src": pd.Series(src, dtype=object), "idx": np.concatenate(idx) if idx else np.zeros(0, np.int64)})
 
     tasks = max(1, min(shards, -(-shards // 8), 10_000))
     return spark.range(0, shards, 1, tasks).mapInPandas(run, "shard long, place long, src string, idx long")
