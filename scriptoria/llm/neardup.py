@@ -10,7 +10,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import stored
@@ -19,11 +19,10 @@ SHINGLE = 5
 SIMILAR = 0.8
 #: Members of a bucket that are compared all with all; in larger ones each is compared with LEADERS leaders and the NEIGHBOURS members before it in sorted order.
 ALL_PAIRS = 16
-LEADERS = 2
-NEIGHBOURS = 4
-#: Rows of a cell of buckets beyond which its buckets are split into salted parts with common leaders.
+LEADERS = 4
+NEIGHBOURS = 8
+#: Members of a bucket beyond which it is split into salted parts with common leaders.
 HOT_ROWS = 20_000
-CELLS = 1 << 16
 #: Pairs of one text that one part of the verification holds.
 PART_PAIRS = 256
 
@@ -96,58 +95,58 @@ def _spread(x: np.ndarray, mul: np.uint64) -> np.ndarray:
     return x
 
 
-def bucket_pairs(rows: DataFrame, all_pairs: int = ALL_PAIRS, hot_rows: int = HOT_ROWS) -> DataFrame:
+def bucket_pairs(rows: DataFrame, sigs: DataFrame, floor: float, all_pairs: int = ALL_PAIRS, hot_rows: int = HOT_ROWS) -> DataFrame:
     """Pairs (a, b), a < b, to verify from rows (bucket, sub, id): bucket is what members share, sub sorts them within it.
 
-    The members of a bucket of up to all_pairs are compared all with all. In a larger one each is compared with LEADERS leaders
-    and with the NEIGHBOURS before it in the order of sub. Rows are counted in CELLS cells of buckets; the buckets of a cell of
-    over hot_rows are dealt out in salted parts, in each of which the bucket's leaders take part, so no bucket meets in one task.
+    Most buckets have one member: they are counted first, and only members of others meet their signatures (sigs: id, sig). The members of a
+    bucket of up to all_pairs are compared all with all. In a larger one each is compared with LEADERS leaders and with the NEIGHBOURS before it
+    in the order of sub. Pairs whose signatures agree in fewer than floor of their values are put aside. A bucket of over hot_rows is dealt
+    out in salted parts, in each of which its leaders take part, so no bucket meets in one task.
     """
-    rows = rows.withColumn("cell", F.pmod("bucket", F.lit(CELLS)))
-    hot = rows.groupBy("cell").count().where(F.col("count") > hot_rows).select("cell", F.ceil(F.col("count") / hot_rows).cast("int").alias("parts"))
-    rows = rows.join(F.broadcast(hot), "cell", "left")  # at most one row for each of CELLS cells
-    many = rows.where("parts is not null")
-    orders = [F.min(F.struct(F.xxhash64("id", F.lit(r)).alias("h"), "id", "sub")).alias(f"l{r}") for r in range(LEADERS)]
-    leaders = many.groupBy("bucket", "parts").agg(*orders).select("bucket", "parts", F.explode(F.array_distinct(F.array(*[F.struct(f"l{r}.id", f"l{r}.sub") for r in range(LEADERS)]))).alias("x"))
-    leaders = leaders.select("bucket", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(0).alias("rank"), "x.sub", "x.id")
-    part = F.when(F.col("parts").isNull(), 0).otherwise(F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
-    dealt = rows.select("bucket", part.alias("part"), F.lit(1).alias("rank"), "sub", "id").unionByName(leaders)
-    dealt = dealt.repartition("bucket", "part").sortWithinPartitions("bucket", "part", "rank", "sub", "id")
-    return dealt.select("bucket", "part", "rank", "id").mapInArrow(_pairing(all_pairs), "a binary, b binary").distinct()
-
-
-def _pairing(all_pairs: int):
+    sizes = rows.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1").withColumn("parts", F.ceil(F.col("n") / hot_rows).cast("int")).drop("n")
+    rows = stored(rows.join(sizes, "bucket").join(sigs.select("id", "sig"), "id"), "bucket_members")
+    orders = [F.min(F.struct(F.xxhash64("id", F.lit(r)).alias("h"), "id", "sub", "sig")).alias(f"l{r}") for r in range(LEADERS)]
+    leaders = rows.where("parts > 1").groupBy("bucket", "parts").agg(*orders)
+    leaders = leaders.select("bucket", "parts", F.explode(F.array_distinct(F.array(*[F.struct(f"l{r}.id", f"l{r}.sub", f"l{r}.sig") for r in range(LEADERS)]))).alias("x"))
+    leaders = leaders.select("bucket", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(0).alias("rank"), "x.sub", "x.id", "x.sig")
+    members = rows.select("bucket", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int").alias("part"), F.lit(1).alias("rank"), "sub", "id", "sig")
+    dealt = members.unionByName(leaders).repartition("bucket", "part").sortWithinPartitions("bucket", "part", "rank", "sub", "id")
+    return dealt.select("bucket", "part", "rank", "id", "sig").mapInArrow(_pairing(all_pairs, floor), "a binary, b binary").distinct()
+
+
+def _pairing(all_pairs: int, floor: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         group: tuple | None = None
-        heads: list[bytes] = []  # the leaders that came first, or the first members
-        near: list[bytes] = []  # the members before this one, up to all_pairs
+        heads: list[tuple] = []  # the leaders that came first, or the first members
+        near: list[tuple] = []  # the members before this one, up to all_pairs
         over = False
         a: list[bytes] = []
         b: list[bytes] = []
 
-        def pair(x, y):
-            if x != y:
-                a.append(min(x, y))
-                b.append(max(x, y))
+        def pairs(known: list[tuple], new: tuple) -> None:
+            known = [x for x in known if x[0] != new[0]]
+            if known:
+                same = (np.stack([x[1] for x in known]) == new[1]).mean(1)
+                for (x, _), s in zip(known, same.tolist(), strict=True):
+                    if s >= floor:
+                        a.append(min(x, new[0]))
+                        b.append(max(x, new[0]))
 
         for batch in batches:
-            cols = [batch.column(k).to_pylist() for k in range(4)]
-            for bucket, part, rank, one in zip(*cols, strict=True):
+            cols = [batch.column(k).to_pylist() for k in range(5)]
+            for bucket, part, rank, one, sig in zip(*cols, strict=True):
                 if group != (bucket, part):
                     group, heads, near, over = (bucket, part), [], [], False
+                new = (one, np.frombuffer(sig, np.uint16))
                 if rank == 0:
-                    for x in heads:
-                        pair(x, one)
-                    heads.append(one)
+                    pairs(heads, new)
+                    heads.append(new)
                     continue
                 if len(near) == all_pairs and not over:
                     over = True
                     heads += near[:LEADERS]
-                for x in heads:
-                    pair(x, one)
-                for x in near[-NEIGHBOURS:] if over else near:
-                    pair(x, one)
-                near.append(one)
+                pairs([*heads, *(near[-NEIGHBOURS:] if over else near)], new)
+                near.append(new)
                 del near[:-all_pairs]
             if len(a) > 50_000:
                 yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], names=["a", "b"])
@@ -210,9 +209,3 @@ def prefix_depth(trees: int, depth: int, target: float, similar: float = SIMILAR
         if 1 - (1 - similar**p) ** trees >= target:
             return p
     return 1
-
-
-def estimate(a: Column, b: Column, n: int) -> Column:
-    """The share of equal values in two signatures of n 16-bit values."""
-    same = F.aggregate(F.sequence(F.lit(0), F.lit(n - 1)), F.lit(0), lambda s, i: s + F.when(F.substring(a, i * 2 + 1, F.lit(2)) == F.substring(b, i * 2 + 1, F.lit(2)), 1).otherwise(0))
-    return same / n
