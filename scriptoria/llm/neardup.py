@@ -30,11 +30,13 @@ _MUL = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x2
 
 
 class _Hashes(dict):
-    """64-bit hashes of words; the first million words seen are kept."""
+    """64-bit hashes of words; the first KEPT words seen are kept until the partition ends."""
+
+    KEPT = 250_000
 
     def __missing__(self, word: bytes) -> int:
         h = xxhash.xxh3_64_intdigest(word)
-        if len(self) < 1_000_000:
+        if len(self) < self.KEPT:
             self[word] = h
         return h
 
@@ -42,6 +44,11 @@ class _Hashes(dict):
 _hashes = _Hashes()
 
 
+def forget() -> None:
+    """Gives the kept hashes' memory back: called where a partition ends."""
+    _hashes.clear()
+
+
 def word_hashes(text: str) -> np.ndarray:
     words = text.encode("utf-8", "surrogatepass").lower().split()
     return np.fromiter(map(_hashes.__getitem__, words), np.uint64, len(words))
@@ -180,6 +187,7 @@ def verified(pairs: DataFrame, items: DataFrame, similar: Callable[[str, str], b
                         a.append(one)
                         b.append(other)
                 yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], names=["a", "b"])
+        forget()
 
     return dealt.mapInArrow(run, "a binary, b binary")
 
