@@ -395,11 +395,11 @@ _RANGES = "SELECT user_id AS key, event_id AS pos, CAST(event_id * 37 % 900 AS I
     f"WITH r AS ({S.duck(_RANGES)}), f AS (SELECT * FROM r WHERE \"end\" <= 1000), b AS (SELECT DISTINCT key, pt FROM (SELECT key, start AS pt FROM f UNION ALL SELECT key, \"end\" FROM f UNION ALL SELECT DISTINCT key, unnest([0, 1000]) FROM r)), "
     "e AS (SELECT key, pt AS a, lead(pt) OVER (PARTITION BY key ORDER BY pt) AS z FROM b), h AS (SELECT e.key, a, z, max(pos) AS winner, list_sort(list(pos) FILTER (pos IS NOT NULL)) AS ids FROM e LEFT JOIN f ON f.key = e.key AND f.start <= e.a AND f.\"end\" >= e.z WHERE z IS NOT NULL GROUP BY e.key, a, z), "
     "n AS (SELECT *, CASE WHEN lag(winner) OVER (PARTITION BY key ORDER BY a) IS NOT DISTINCT FROM winner AND lag(ids) OVER (PARTITION BY key ORDER BY a) IS NOT DISTINCT FROM ids AND row_number() OVER (PARTITION BY key ORDER BY a) > 1 THEN 0 ELSE 1 END AS new FROM h), "
-    "g AS (SELECT *, sum(new) OVER (PARTITION BY key ORDER BY a) AS run FROM n) SELECT key, min(a) AS start, max(z) AS \"end\", any_value(winner) AS winner, count(*) AS pieces_or_one FROM g GROUP BY key, run"
+    "g AS (SELECT *, sum(new) OVER (PARTITION BY key ORDER BY a) AS run FROM n) SELECT key, min(a) AS start, max(z) AS \"end\", coalesce(any_value(winner), -1) AS winner FROM g GROUP BY key, run"
 )
 def highlight_segments(spark, d):
     r = S.spark_table(spark, d, _RANGES)
-    return highlights.segments(r, r.select("key").distinct().withColumn("length", F.lit(1000))).select("key", "start", "end", "winner", F.lit(1).cast("long").alias("pieces_or_one"))
+    return highlights.segments(r, r.select("key").distinct().withColumn("length", F.lit(1000))).select("key", "start", "end", F.coalesce("winner", F.lit(-1)).alias("winner"))
 
 
 @query(f"{WITH}, e AS (SELECT pdf_id, page, ord AS idx FROM blocks WHERE ord % 3 = 0) SELECT pdf_id, page, idx, row_number() OVER (PARTITION BY pdf_id ORDER BY page, idx) AS number FROM e")
@@ -465,14 +465,81 @@ def retry_backoff(spark, d):
 
 @query(
     "WITH g AS (SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) < INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS new FROM events), s AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS run FROM g) "
-    "SELECT user_id, min(ts) AS first_ts, count(*) AS n, arg_max(event_id, (ts, event_id)) AS last_event FROM s GROUP BY user_id, run"
+    "SELECT user_id, epoch_us(min(ts)) AS first_us, count(*) AS n, arg_max(event_id, (ts, event_id)) AS last_event FROM s GROUP BY user_id, run"
 )
 def notes_debounce(spark, d):
     rows = read(spark, d, "events").withColumn("ts", F.col("ts").cast("timestamp"))
     out = capture.debounced(rows, "user_id", "ts", "event_id", "30 minutes")
-    return out.select("user_id", F.col("first_ts").cast("timestamp_ntz").alias("first_ts"), "n", "last_event")
+    return out.select("user_id", F.unix_micros("first_ts").alias("first_us"), "n", "last_event")
 
 
 @query("SELECT user_id, event_type, min(event_id) AS event_id FROM events GROUP BY user_id, event_type")
 def stream_capture_dedup(spark, d):
     return capture.dedup_stream_to_table(spark, f"{d}/events.parquet", ["user_id", "event_type"], "event_id")
+
+
+@query("SELECT * FROM (VALUES ('31234567', 'A rich title', 'Berg, Ada; Nest Group; Cho, M', '2021', '2021-3-9', '10.1000/nest.1', '12'), ('42', 'Second', '', '1998', '1998', '', '')) v(pmid, title, authors, year, date, doi, volume)")
+def pubmed_projection(spark, d):
+    from ..sources import records
+    from . import fixtures
+
+    rows = records.pubmed(spark.createDataFrame([("a", fixtures.PUBMED), ("b", fixtures.PUBMED.replace("<!DOCTYPE", "<!ENTITY x 'y'><!DOCTYPE"))], "response_id string, xml string"))
+    return rows.select("pmid", "title", "authors", "year", F.array_join(F.transform("dateParts", lambda x: x.cast("string")), "-").alias("date"), "doi", "volume")
+
+
+@query("SELECT * FROM (VALUES ('10.1000/abc', 'Of birds', 'Berg, Ada; Nest Group; Plato', '2020', '2020', 'paper-conference', 'Nest Conf')) v(doi, title, authors, year, date, \"cslType\", \"eventTitle\")")
+def crossref_projection(spark, d):
+    from ..sources import records
+    from . import fixtures
+
+    rows = records.crossref(spark.createDataFrame([("10.1000/abc", fixtures.CROSSREF), ("10.1000/other", fixtures.CROSSREF), ("10.1000/abc", "{bad")], "doi string, json string"))
+    return rows.select("doi", "title", "authors", "year", F.array_join(F.transform("dateParts", lambda x: x.cast("string")), "-").alias("date"), "cslType", "eventTitle")
+
+
+@query("SELECT * FROM (VALUES ('2101.00001', 'Deep nests', 'Ada Berg; Min Cho', '2021', '10.1000/deep')) v(\"arxivId\", title, authors, year, doi)")
+def arxiv_projection(spark, d):
+    from ..sources import records
+    from . import fixtures
+
+    rows = records.arxiv(spark.createDataFrame([("arxiv:2101.00001", fixtures.ARXIV), ("2101.00002", fixtures.ARXIV)], "arxiv_id string, xml string"))
+    return rows.select("arxivId", "title", "authors", "year", "doi")
+
+
+@query("SELECT * FROM (VALUES ('First title', 'Berg, Ada; Cho, Min', '2020', '10-19', '10.1000/RIS', 'birds, nests', '123', NULL), ('Second', '', '', '', '', '', '77', 'paper-conference')) v(title, authors, year, pages, doi, tags, pmid, \"cslType\")")
+def ris_import(spark, d):
+    from ..sources import library as lib
+    from . import fixtures
+
+    return lib.parse_ris(spark.createDataFrame([("f", fixtures.RIS)], "file string, text string")).select("title", "authors", "year", "pages", "doi", "tags", "pmid", "cslType")
+
+
+@query("SELECT * FROM (VALUES (1, 'Nests & birds', 'Berg, Ada; Cho, Min', '2019', '10.1000/x', 'https://example.org/a'), (2, 'From data', 'Ada Berg; Min Cho', '2018', '', 'https://j.example/2')) v(page_id, title, authors, year, doi, url)")
+def html_metadata_records(spark, d):
+    from ..sources import html_meta
+    from . import fixtures
+
+    rows = spark.createDataFrame([(1, "https://j.example/1", fixtures.HTML), (2, "https://j.example/2", fixtures.HTML_LD)], "page_id int, url string, html string")
+    return html_meta.extract(rows).select("page_id", "title", "authors", "year", "doi", "url")
+
+
+@query("WITH w AS (SELECT user_id AS library, event_id AS seq, CAST(row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS BIGINT) AS revision FROM events) SELECT library, seq, revision, true AS accepted FROM w UNION ALL SELECT library, seq + 1000000, revision, false FROM w")
+def optimistic_writes(spark, d):
+    from pyspark.sql import Window
+
+    w = read(spark, d, "events").select(F.col("user_id").alias("library"), F.col("event_id").alias("seq"), (F.row_number().over(Window.partitionBy("user_id").orderBy("event_id")) - 1).cast("long").alias("revision"))
+    late = w.withColumn("seq", F.col("seq") + 1000000)
+    return capture.applied(w.unionByName(late))
+
+
+@query("WITH e AS (SELECT user_id AS k, event_id AS ms, event_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS n FROM events) SELECT k, event_id, CAST(max(ms - n * 350) OVER (PARTITION BY k ORDER BY n) + n * 350 AS BIGINT) AS at_ms FROM e")
+def request_pacing(spark, d):
+    rows = read(spark, d, "events").select(F.col("user_id").alias("k"), F.col("event_id").alias("ms"), "event_id")
+    return capture.paced(rows, "k", "ms", 350).select("k", "event_id", F.col("at_ms").cast("long").alias("at_ms"))
+
+
+@query("SELECT doc_id, count(*) AS n, sum(length(line))::BIGINT AS chars FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents) GROUP BY doc_id")
+def docx_round_trip(spark, d):
+    from ..sources import archives
+
+    files = archives.write_docx(read(spark, d, "documents").select("doc_id", "text"))
+    return archives.read_docx(files).where("problem is null").groupBy("doc_id").agg(F.count("*").alias("n"), F.sum(F.length("text")).alias("chars"))
