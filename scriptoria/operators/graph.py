@@ -9,15 +9,21 @@ from ..storage import stored
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """(id, root) of every node of edges (a, b); root is the smallest node of the component. Each round takes the smallest root among neighbours and then its root's; the number of changes is all that the driver sees."""
-    both = stored(edges.select("a", "b").union(edges.select("b", "a")).distinct())
-    roots = stored(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("id"), F.least("a", "m").alias("root")))
-    while True:
-        told = both.join(roots, both.a == roots.id).select(F.col("b").alias("id"), "root")
-        near = roots.unionByName(told).groupBy("id").agg(F.min("root").alias("near"))
-        up = roots.select(F.col("id").alias("up"), F.col("root").alias("top"))
-        new = near.join(up, F.col("near") == F.col("up")).select("id", F.least("near", "top").alias("new"))
-        new = stored(new.join(roots, "id").select("id", F.col("new").alias("root"), (F.col("new") != F.col("root")).alias("moved")))
-        moved, roots = new.where("moved").count(), new.select("id", "root")
-        if not moved:
-            return roots
+    """(id, root) of every node of edges (a, b): root is the smallest node of its component.
+
+    Each round points every node at the smallest of its neighbours, or at itself, and then at what that one points at, and contracts the edges: those whose ends
+    now meet go, so a large group costs its edges once. Only the number of edges left reaches the driver.
+    """
+    both = lambda df: df.select("a", "b").union(df.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    edges = stored(edges.select("a", "b").where("a <> b").distinct())
+    nodes = both(edges).select(F.col("a").alias("id")).distinct()
+    roots = stored(nodes.select("id", F.col("id").alias("root")))
+    while edges.limit(1).count():
+        low = both(edges).groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("v"), F.least("a", "m").alias("to"))
+        up = low.select(F.col("v").alias("w"), F.col("to").alias("top"))
+        step = stored(low.join(up, F.col("to") == F.col("w")).select("v", F.col("top").alias("to")))
+        at = lambda c: step.select(F.col("v").alias(f"v_{c}"), F.col("to").alias(f"to_{c}"))  # noqa: B023, E731
+        edges = edges.join(at("a"), F.col("a") == F.col("v_a")).join(at("b"), F.col("b") == F.col("v_b"))
+        edges = stored(edges.select(F.least("to_a", "to_b").alias("a"), F.greatest("to_a", "to_b").alias("b")).where("a <> b").distinct())
+        roots = stored(roots.join(step, F.col("root") == F.col("v"), "left").select("id", F.coalesce("to", "root").alias("root")))
+    return roots
