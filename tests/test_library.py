@@ -1,3 +1,5 @@
+import time
+
 from scriptoria.operators import highlights as H
 from scriptoria.operators import library as L
 from scriptoria.operators import reading, retrieval, storage
@@ -136,7 +138,10 @@ def test_streams(spark, tmp_path):
     stream = spark.readStream.schema("event int, k string, ord int").parquet(str(tmp_path / "one"))
     q = capture.merging(stream.selectExpr("k", "cast(ord as string) as v"), "k", ["v"], 60_000).writeStream.format("memory").queryName("merged").outputMode("update").option("checkpointLocation", str(tmp_path / "cp")).start()
     try:
-        q.processAllAvailable()
+        for _ in range(60):  # with timers a query goes on making batches, so "all available" never comes
+            if q.exception() or spark.table("merged").count() >= 2:
+                break
+            time.sleep(0.5)
     finally:
         q.stop()
     assert {(r.k, r.known) for r in spark.table("merged").collect()} == {("a", False), ("b", False)}
