@@ -256,6 +256,16 @@ def bibliography_list(spark, d):
     return citations.bibliography(citations.numbered(citations.resolve_markers(citations.parse_markers(manuscripts(spark, d)), aliases)), aliases, papers(spark, d))
 
 
+@query()
+def citation_author_date(spark, d):
+    from ..operators import styles_text
+
+    p, docs = papers(spark, d), manuscripts(spark, d)
+    aliases = citations.entity_records(p)
+    new, _ = styles_text.author_date(citations.resolve_markers(citations.parse_markers(docs), aliases), aliases, p)
+    return citations.spliced(docs, new)
+
+
 @query()
 def entity_resolution(spark, d):
     both = citations.with_temporary(papers(spark, d), incoming(spark, d))
@@ -378,13 +388,18 @@ def canonical_sections(spark, d):
     return rows.select("heading", reading.canonical_section("heading").alias("section"))
 
 
-_HL = "WITH h AS (SELECT item_id AS hid, text AS quote, item_id % 3 AS p0 FROM benchmark), p AS (SELECT doc_id AS pdf_id, text FROM documents), c AS (SELECT hid, pdf_id, strpos(text, quote) AS first, length(quote) AS n, CASE WHEN strpos(text, quote) > 0 THEN strpos(text[strpos(text, quote) + 1:], quote) ELSE 0 END AS second FROM h, p WHERE contains(text, quote))"
+_HL = (
+    ", h AS (SELECT pdf_id, text[4:13] AS quote, CASE WHEN pdf_id % 2 = 0 THEN ord ELSE ord + 1 END AS anchor FROM blocks WHERE ord = 1 AND length(text) >= 20), "
+    "c AS (SELECT h.pdf_id, anchor, quote, b.ord, b.ord = anchor AND b.text[4:13] = quote AS same, strpos(b.text, quote) AS first, CASE WHEN strpos(b.text, quote) > 0 AND contains(b.text[strpos(b.text, quote) + 1:], quote) THEN 1 ELSE 0 END AS more FROM h JOIN blocks b USING (pdf_id)), "
+    "g AS (SELECT pdf_id, any_value(anchor) AS anchor, bool_or(same) AS kept, sum(CASE WHEN first > 0 THEN 1 + more ELSE 0 END) AS n, arg_min(ord, ord) FILTER (first > 0) AS o, arg_min(first, ord) FILTER (first > 0) AS f FROM c GROUP BY pdf_id)"
+)
 
 
-@query(f"{_HL} SELECT hid, pdf_id AS paragraph, first - 1 AS start, first - 1 + n AS \"end\" FROM c WHERE second = 0 AND hid IN (SELECT hid FROM c GROUP BY hid HAVING count(*) = 1)")
+@query(f"{WITH}{_HL} SELECT pdf_id AS hid, CASE WHEN kept THEN anchor ELSE o END AS paragraph, CASE WHEN kept THEN 3 ELSE f - 1 END AS start, CASE WHEN kept THEN 13 ELSE f + 9 END AS \"end\" FROM g WHERE kept OR n = 1")
 def highlight_relocate(spark, d):
-    h = read(spark, d, "benchmark").select(F.col("item_id").alias("hid"), F.lit(1).alias("pdf_id"), F.lit(1).alias("page"), F.lit(-1).cast("long").alias("paragraph"), F.lit(0).alias("start"), F.lit(1).alias("end"), F.col("text").alias("quote"))
-    p = read(spark, d, "documents").select(F.lit(1).alias("pdf_id"), F.lit(1).alias("page"), F.col("doc_id").alias("paragraph"), "text")
+    p = blocks(spark, d).select("pdf_id", F.lit(1).alias("page"), F.col("ord").alias("paragraph"), "text")
+    own = p.where("paragraph = 1 and length(text) >= 20")
+    h = own.select(F.col("pdf_id").alias("hid"), "pdf_id", "page", F.when(F.col("pdf_id") % 2 == 0, F.col("paragraph")).otherwise(F.col("paragraph") + 1).alias("paragraph"), F.lit(3).alias("start"), F.lit(13).alias("end"), F.substring("text", 4, 10).alias("quote"))
     return highlights.relocated(h, p).where("paragraph is not null").select("hid", "paragraph", F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end"))
 
 
