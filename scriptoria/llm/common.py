@@ -49,11 +49,12 @@ def stored(df: DataFrame, name: str) -> DataFrame:
 
 
 def dropped(spark: SparkSession, df: DataFrame) -> None:
-    """Deletes the files of a table that stored() wrote."""
+    """Deletes the files of a table that stored() wrote and nothing will read again."""
     jvm = spark.sparkContext._jvm
     for f in df.inputFiles()[:1]:
         path = jvm.org.apache.hadoop.fs.Path(f).getParent()
-        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        if "/scriptoria/" in path.toString():
+            path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
