@@ -62,6 +62,8 @@ class Encoder(dict):
         self.tokenizer, self.limit = Tokenizer.from_file(path), limit
         self.bpe = self.tokenizer.model.tokenize
         self.letters = _byte_letters()
+        self.space = self.letters[32]
+        self.raw = [struct.pack("<I", i) for i in range(self.tokenizer.get_vocab_size())]
         self.specials = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.newline, self.marks = self.whole("\n"), {c: self.whole(c) for c in ".,"}
         kind = self.tokenizer.pre_tokenizer
@@ -70,20 +72,30 @@ class Encoder(dict):
     def whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
-    def __missing__(self, piece: str) -> bytes:
-        marked = piece[0] in "\r\n"
-        own = piece[1:] if marked else piece
-        if own[-1:] in self.marks and own[:-1].isalpha():
-            got = self[piece[:-1]] + self.marks[own[-1]]
+    def word(self, own: str) -> bytes:
+        """Ids of letters after an optional space: one run for the pre-tokenizer, so the model alone is asked."""
+        if own.isascii():
+            own = own.replace(" ", self.space)
         else:
-            own = own if marked else " " + own
-            if own.isalpha() or own[1:].isalpha() and not marked:
-                ids = [t.id for t in self.bpe(own.encode().decode("latin-1").translate(self.letters))]
-                got = struct.pack(f"<{len(ids)}I", *ids)
+            own = own.encode().decode("latin-1").translate(self.letters)
+        raw = self.raw
+        return b"".join([raw[t.id] for t in self.bpe(own)])
+
+    def __missing__(self, piece: str) -> bytes:
+        if piece.isalpha():
+            got = self.word(" " + piece)
+        elif piece[-1] in self.marks and len(piece) > 1 and piece[:-1].isalpha():
+            got = self[piece[:-1]] + self.marks[piece[-1]]
+        elif piece[0] in "\r\n":
+            own = piece[1:]
+            if own[-1:] in self.marks and own[:-1].isalpha():
+                got = self[piece[:-1]] + self.marks[own[-1]]
             else:
-                got = self.whole(own)
-            if piece[0] == "\n":
-                got = self.newline + got
+                got = self.word(own) if own.isalpha() else self.whole(own)
+                if piece[0] == "\n":
+                    got = self.newline + got
+        else:
+            got = self.whole(" " + piece)
         if len(self) < self.limit:
             self[piece] = got
         return got
