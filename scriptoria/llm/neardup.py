@@ -17,12 +17,12 @@ from .common import stored
 
 SHINGLE = 5
 SIMILAR = 0.8
-#: Members of a bucket that are compared all with all; in larger ones each is compared with LEADERS leaders and the NEIGHBOURS members before it in sorted order.
+#: Members of a bucket that are compared all with all; in larger ones each is compared by signature with all of its part, and paired with LEADERS leaders and the NEAREST members.
 ALL_PAIRS = 16
 LEADERS = 4
-NEIGHBOURS = 8
+NEAREST = 4
 #: Members of a bucket beyond which it is split into salted parts with common leaders.
-HOT_ROWS = 20_000
+HOT_ROWS = 1000
 #: Pairs of one text that one part of the verification holds.
 PART_PAIRS = 256
 
@@ -106,9 +106,9 @@ def bucket_pairs(rows: DataFrame, sigs: DataFrame, floor: float, all_pairs: int
     """Pairs (a, b), a < b, to verify from rows (bucket, sub, id): bucket is what members share, sub sorts them within it.
 
     Most buckets have one member: they are counted first, and only members of others meet their signatures (sigs: id, sig). The members of a
-    bucket of up to all_pairs are compared all with all. In a larger one each is compared with LEADERS leaders and with the NEIGHBOURS before it
-    in the order of sub. Pairs whose signatures agree in fewer than floor of their values are put aside. A bucket of over hot_rows is dealt
-    out in salted parts, in each of which its leaders take part, so no bucket meets in one task.
+    bucket of up to all_pairs are paired all with all. In a larger one each member's signature is compared with all others of its part, and it
+    is paired with the NEAREST of them and with LEADERS leaders. Pairs whose signatures agree in fewer than floor of their values are put aside. A bucket
+    of over hot_rows is dealt out in salted parts, in each of which its leaders take part: no bucket meets in one task, and a part's work is bounded.
     """
     sizes = rows.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1").withColumn("parts", F.ceil(F.col("n") / hot_rows).cast("int")).drop("n")
     rows = stored(rows.join(sizes, "bucket").join(sigs.select("id", "sig"), "id"), "bucket_members")
@@ -122,44 +122,53 @@ def bucket_pairs(rows: DataFrame, sigs: DataFrame, floor: float, all_pairs: int
 
 
 def _pairing(all_pairs: int, floor: float):
+    def pairs_of(ids: list[bytes], sigs: np.ndarray, led: int) -> Iterator[tuple[int, int]]:
+        """Places to pair: led leaders come first; without any, the first members are the leaders."""
+        for i in range(1, len(ids)) if len(ids) <= all_pairs else range(len(ids)):
+            near = (sigs[:i] if len(ids) <= all_pairs else sigs) == sigs[i]
+            share = near.mean(1)
+            if len(ids) > all_pairs:
+                share[i] = -1
+                best = np.argpartition(-share, NEAREST)[:NEAREST].tolist()
+                chosen = {*best, *range(min(i, led or LEADERS))}
+            else:
+                chosen = range(i)
+            yield from ((i, j) for j in chosen if share[j] >= floor)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         group: tuple | None = None
-        heads: list[tuple] = []  # the leaders that came first, or the first members
-        near: list[tuple] = []  # the members before this one, up to all_pairs
-        over = False
-        a: list[bytes] = []
-        b: list[bytes] = []
-
-        def pairs(known: list[tuple], new: tuple) -> None:
-            known = [x for x in known if x[0] != new[0]]
-            if known:
-                same = (np.stack([x[1] for x in known]) == new[1]).mean(1)
-                for (x, _), s in zip(known, same.tolist(), strict=True):
-                    if s >= floor:
-                        a.append(min(x, new[0]))
-                        b.append(max(x, new[0]))
-
-        for batch in batches:
-            cols = [batch.column(k).to_pylist() for k in range(5)]
+        ids: list[bytes] = []
+        sigs: list[bytes] = []
+        led = 0
+        found: set[tuple[bytes, bytes]] = set()
+
+        def close() -> None:
+            if len(ids) > 1:
+                values = np.frombuffer(b"".join(sigs), np.uint16).reshape(len(ids), -1)
+                for i, j in pairs_of(ids, values, led):
+                    if ids[i] != ids[j]:
+                        found.add((min(ids[i], ids[j]), max(ids[i], ids[j])))
+
+        def batch() -> pa.RecordBatch:
+            a, b = zip(*found, strict=True) if found else ((), ())
+            found.clear()
+            return pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], names=["a", "b"])
+
+        for rows in batches:
+            cols = [rows.column(k).to_pylist() for k in range(5)]
             for bucket, part, rank, one, sig in zip(*cols, strict=True):
                 if group != (bucket, part):
-                    group, heads, near, over = (bucket, part), [], [], False
-                new = (one, np.frombuffer(sig, np.uint16))
-                if rank == 0:
-                    pairs(heads, new)
-                    heads.append(new)
-                    continue
-                if len(near) == all_pairs and not over:
-                    over = True
-                    heads += near[:LEADERS]
-                pairs([*heads, *(near[-NEIGHBOURS:] if over else near)], new)
-                near.append(new)
-                del near[:-all_pairs]
-            if len(a) > 50_000:
-                yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], names=["a", "b"])
-                a.clear()
-                b.clear()
-        yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], names=["a", "b"])
+                    close()
+                    group, led = (bucket, part), 0
+                    ids.clear()
+                    sigs.clear()
+                led += rank == 0
+                ids.append(one)
+                sigs.append(sig)
+            if len(found) > 50_000:
+                yield batch()
+        close()
+        yield batch()
 
     return run
 
