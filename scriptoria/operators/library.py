@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions.identifiers import CSL_TYPES, arxiv_identifier, doi_capture, doi_client
 from ..functions.text import like, or_else, stripped, text
+from ..storage import stored
 from .graph import components
 
 STATUSES = ("To read", "Reading", "Finished")
@@ -43,8 +44,6 @@ def ranked(papers: DataFrame, by: str = "Recent") -> DataFrame:
     """papers with rank, from 1: Recent is library order, Title ascending and Year descending, both as texts in Unicode collation."""
     order = {"Recent": [F.col("lib_pos")], "Title": [F.collate("title", "UNICODE").asc(), F.col("lib_pos")], "Year": [F.collate("year", "UNICODE").desc(), F.col("lib_pos")]}[by]
     rows = papers.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_part", F.spark_partition_id())
-    from ..storage import stored
-
     rows = stored(rows)  # ranges keep their numbers; only the partitions' sizes are summed up in one place
     base = rows.groupBy("_part").count().withColumn("_base", F.coalesce(F.sum("count").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("count")
     inner = F.row_number().over(Window.partitionBy("_part").orderBy(*order))
@@ -136,14 +135,17 @@ def _accepted(rows: pd.DataFrame) -> pd.DataFrame:
 
 
 def deduplicated(existing: DataFrame, incoming: DataFrame) -> DataFrame:
-    """The papers that an import adds. Papers that share no id, key or pmid, even over others, don't touch; components bound the groups that are walked in order."""
+    """The papers that an import adds. Papers that share no id, key or pmid, even over others, don't touch: one that shares none is taken, and components of the rest bound the groups that are walked in order."""
     new = not_in_library(existing, incoming).withColumn("_key", import_key())
     me = F.concat(F.lit("#"), F.col("lib_pos").cast("string"))
     keys = F.filter(F.array(F.concat(F.lit("i:"), "id"), F.concat(F.lit("k:"), "_key"), F.when(text("pmid") != "", F.concat(F.lit("p:"), "pmid"))), lambda x: x.isNotNull())
-    parts = components(new.select(me.alias("a"), F.explode(keys).alias("b")))
-    placed = new.select(me.alias("node"), "id", "_key", text("pmid").alias("pmid"), "lib_pos").withColumnRenamed("_key", "key").join(parts.withColumnRenamed("id", "part"), F.col("node") == F.col("part"))
+    keyed = new.select("lib_pos", F.explode(keys).alias("k"))
+    edges = stored(keyed.join(keyed.groupBy("k").agg(F.count("*").alias("n")).where("n > 1").select("k"), "k"))
+    parts = components(edges.select(me.alias("a"), F.col("k").alias("b"))).withColumnRenamed("id", "part")
+    placed = new.select(me.alias("node"), "id", F.col("_key").alias("key"), text("pmid").alias("pmid"), "lib_pos").join(parts, F.col("node") == F.col("part"))
     kept = placed.select("root", "id", "key", "pmid", "lib_pos").groupBy("root").applyInPandas(lambda p: _accepted(p), "lib_pos long")
-    return new.drop("_key").join(kept, "lib_pos", "left_semi")
+    new = new.drop("_key")
+    return new.join(edges, "lib_pos", "left_anti").unionByName(new.join(kept, "lib_pos", "left_semi"))
 
 
 def captured(papers: DataFrame, captures: DataFrame, fill: tuple = ("pmid", "arxivId", "cslType", "volume", "issue", "pages")) -> DataFrame:
