@@ -19,7 +19,7 @@ SHINGLE = 5
 SIMILAR = 0.8
 #: Members of a bucket that are compared all with all; in larger ones each is compared by signature with all of its part, and paired with LEADERS leaders and the NEAREST members.
 ALL_PAIRS = 16
-LEADERS = 4
+LEADERS = 2
 NEAREST = 4
 #: Members of a bucket beyond which it is split into salted parts with common leaders.
 HOT_ROWS = 1000
