@@ -6,6 +6,7 @@ Words are runs of other than ``[\\x20\\x09-\\x0D]`` with A-Z lower-cased. A shin
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -13,16 +14,15 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import dropped, stored
 
 SHINGLE = 5
 SIMILAR = 0.8
-#: Members of a bucket that are compared all with all; in larger ones each is compared by signature with all of its part, and paired with LEADERS leaders and the NEAREST members.
+#: Members of a bucket whose pairs leave it as rows; those of a larger one, a crowd, are verified where they meet.
 ALL_PAIRS = 16
-LEADERS = 2
-NEAREST = 4
-#: Members of a bucket beyond which it is split into salted parts with common leaders.
+#: Members, and shingles, of a crowd that one part holds; every two parts meet in a tile.
 HOT_ROWS = 1000
+HOT_SHINGLES = 1_000_000
 #: Pairs of one text that one part of the verification holds.
 PART_PAIRS = 256
 
@@ -102,73 +102,137 @@ def _spread(x: np.ndarray, mul: np.uint64) -> np.ndarray:
     return x
 
 
-def bucket_pairs(rows: DataFrame, sigs: DataFrame, floor: float, all_pairs: int = ALL_PAIRS, hot_rows: int = HOT_ROWS) -> DataFrame:
-    """Pairs (a, b), a < b, to verify from rows (bucket, sub, id): bucket is what members share, sub sorts them within it.
+def _tiles(rows: DataFrame) -> DataFrame:
+    """rows (bucket, parts, id, ...) dealt to tiles (bucket, i, j), i <= j, of each two parts of a bucket: a row goes to as many tiles as its bucket has parts."""
+    part = F.pmod(F.xxhash64("id"), F.col("parts")).cast("int")
+    rows = rows.withColumn("part", part).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    rows = rows.withColumn("i", F.least("part", "other")).withColumn("j", F.greatest("part", "other")).drop("other", "parts")
+    return rows.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j", "part", "id")
 
-    Most buckets have one member: they are counted first, and only members of others meet their signatures (sigs: id, sig). The members of a
-    bucket of up to all_pairs are paired all with all. In a larger one each member's signature is compared with all others of its part, and it
-    is paired with the NEAREST of them and with LEADERS leaders. Pairs whose signatures agree in fewer than floor of their values are put aside. A bucket
-    of over hot_rows is dealt out in salted parts, in each of which its leaders take part: no bucket meets in one task, and a part's work is bounded.
+
+def bucket_pairs(rows: DataFrame, sigs: DataFrame, floor: float, hot_rows: int | None = None, layout: tuple[int, int, int] | None = None) -> DataFrame:
+    """All pairs (a, b), a < b, to verify from rows (bucket, id), where bucket is what members share; sigs: id, sig.
+
+    Pairs whose signatures agree in fewer than floor of their values are put aside. With a layout (see near_links), rows have a tree too, and a
+    pair comes from the first tree that it shares alone. A bucket of over hot_rows is dealt out in parts, and every two parts meet in a tile.
+    """
+    sizes = rows.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1").withColumn("parts", F.ceil(F.col("n") / (hot_rows or HOT_ROWS)).cast("int")).drop("n")
+    tree = F.col("tree") if layout else F.lit(0)
+    dealt = _tiles(rows.withColumn("tree", tree).select("bucket", "tree", "id").join(sizes, "bucket").join(sigs.select("id", "sig"), "id"))
+    pairs = dealt.select("bucket", "i", "j", "part", "tree", "id", "sig").mapInArrow(_tile_run(_pairs_of(floor, layout)), "a binary, b binary, n long").select("a", "b")
+    return pairs if layout else pairs.distinct()
+
+
+def near_links(rows: DataFrame, sigs: DataFrame, texts_of: Callable[[DataFrame], DataFrame], floor: float, layout: tuple[int, int, int], least: float = SIMILAR) -> tuple[DataFrame, DataFrame]:
+    """(links, degrees) of the items whose texts have an exact Jaccard similarity of at least least, among those that share a bucket.
+
+    rows: bucket, tree, id. sigs: id, sig, size (shingles). layout: trees, values of a tree, values of its prefix; members of a bucket share the prefix of its tree.
+    texts_of gives id, text of a frame of ids. links (a, b) join whatever verified pairs join; degrees (id, n_links) counts all verified pairs of an item.
+
+    Every pair that shares a bucket, and whose signatures agree in floor of their values or more, is verified, once: in the first tree that it shares. Pairs of
+    buckets of up to ALL_PAIRS members leave as rows. A crowd's pairs grow with its square, so they are verified in tiles of two of its parts,
+    and a tile returns its members' numbers of links and a spanning forest of these: not more rows than members.
     """
-    sizes = rows.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1").withColumn("parts", F.ceil(F.col("n") / hot_rows).cast("int")).drop("n")
-    rows = stored(rows.join(sizes, "bucket").join(sigs.select("id", "sig"), "id"), "bucket_members")
-    orders = [F.min(F.struct(F.xxhash64("id", F.lit(r)).alias("h"), "id", "sub", "sig")).alias(f"l{r}") for r in range(LEADERS)]
-    leaders = rows.where("parts > 1").groupBy("bucket", "parts").agg(*orders)
-    leaders = leaders.select("bucket", "parts", F.explode(F.array_distinct(F.array(*[F.struct(f"l{r}.id", f"l{r}.sub", f"l{r}.sig") for r in range(LEADERS)]))).alias("x"))
-    leaders = leaders.select("bucket", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(0).alias("rank"), "x.sub", "x.id", "x.sig")
-    members = rows.select("bucket", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int").alias("part"), F.lit(1).alias("rank"), "sub", "id", "sig")
-    dealt = members.unionByName(leaders).repartition("bucket", "part").sortWithinPartitions("bucket", "part", "rank", "sub", "id")
-    return dealt.select("bucket", "part", "rank", "id", "sig").mapInArrow(_pairing(all_pairs, floor), "a binary, b binary").distinct()
-
-
-def _pairing(all_pairs: int, floor: float):
-    def pairs_of(ids: list[bytes], sigs: np.ndarray, led: int) -> Iterator[tuple[int, int]]:
-        """Places to pair: led leaders come first; without any, the first members are the leaders."""
-        for i in range(1, len(ids)) if len(ids) <= all_pairs else range(len(ids)):
-            near = (sigs[:i] if len(ids) <= all_pairs else sigs) == sigs[i]
-            share = near.mean(1)
-            if len(ids) > all_pairs:
-                share[i] = -1
-                best = np.argpartition(-share, NEAREST)[:NEAREST].tolist()
-                chosen = {*best, *range(min(i, led or LEADERS))}
-            else:
-                chosen = range(i)
-            yield from ((i, j) for j in chosen if share[j] >= floor)
+    sizes = rows.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
+    rows = stored(rows.select("bucket", "tree", "id").join(sizes, "bucket"), "bucket_members")
+    pairs = stored(bucket_pairs(rows.where(F.col("n") <= ALL_PAIRS), sigs, floor, layout=layout), "bucket_pairs")
+    crowd = rows.where(F.col("n") > ALL_PAIRS).join(sigs.select("id", "sig", "size"), "id")
+    ids = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).union(crowd.select("id")).distinct()
+    texts = stored(texts_of(ids), "bucket_texts")
+    sets = stored(texts.join(crowd.select("id").distinct(), "id", "left_semi").select("id", "text").mapInArrow(_sets, "id binary, shingles binary"), "bucket_sets")
+    parts = crowd.groupBy("bucket").agg(F.ceil(F.greatest(F.count("*") / HOT_ROWS, F.sum("size") / HOT_SHINGLES)).cast("int").alias("parts"))
+    dealt = _tiles(crowd.select("bucket", "tree", "id", "sig").join(parts, "bucket").join(sets, "id"))
+    in_crowds = stored(dealt.select("bucket", "i", "j", "part", "tree", "id", "sig", "shingles").mapInArrow(_tile_run(_links_of(floor, layout, least)), "a binary, b binary, n long"), "crowd_links")
+    alone = stored(verified(pairs, texts, least=least), "pair_links")
+    links = stored(alone.union(in_crowds.where("b is not null").select("a", "b")), "bucket_links")
+    ends = alone.select(F.col("a").alias("id"), F.lit(1).alias("n")).union(alone.select("b", F.lit(1))).union(in_crowds.where("b is null").select("a", "n"))
+    degrees = stored(ends.groupBy("id").agg(F.sum("n").alias("n_links")), "bucket_degrees")
+    for df in (rows, pairs, texts, sets, alone, in_crowds):
+        dropped(rows.sparkSession, df)
+    return links, degrees
+
+
+def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        for i in range(0, b.num_rows, 1000):
+            some = b.slice(i, 1000)
+            yield pa.RecordBatch.from_arrays([some.column(0), pa.array([shingles(t).tobytes() for t in some.column(1).to_pylist()], pa.binary())], names=["id", "shingles"])
+    forget()
+
+
+def _near(values: np.ndarray, first: int, floor: float, layout: tuple[int, int, int] | None, tree: int) -> Iterator[tuple[int, np.ndarray]]:
+    """(i, js): the members js that i is verified with. Of first > 0 members of one part each meets all of the other, else each meets all after it."""
+    for i in range(first or len(values)):
+        lo = first or i + 1
+        same = values[lo:] == values[i]
+        js = np.flatnonzero(np.count_nonzero(same, axis=1) / values.shape[1] >= floor)
+        if layout and tree and len(js):
+            trees, width, prefix = layout
+            js = js[~same[js].reshape(len(js), trees, width)[:, :tree, :prefix].all(2).any(1)]
+        if len(js):
+            yield i, js + lo
+
+
+def _pairs_of(floor: float, layout: tuple[int, int, int] | None):
+    def run(ids: list[bytes], values: np.ndarray, first: int, tree: int, _: list) -> Iterator[tuple]:
+        for i, js in _near(values, first, floor, layout, tree):
+            yield from ((min(ids[i], ids[j]), max(ids[i], ids[j]), None) for j in js.tolist() if ids[i] != ids[j])
+
+    return run
+
+
+def _links_of(floor: float, layout: tuple[int, int, int], least: float):
+    def run(ids: list[bytes], values: np.ndarray, first: int, tree: int, sets: list[tuple]) -> Iterator[tuple]:
+        own = [np.frombuffer(x[0], np.uint64) for x in sets]
+        sizes = np.array([len(x) for x in own])
+        starts = np.cumsum(sizes) - sizes
+        words, at = np.unique(np.concatenate(own), return_inverse=True)
+        held = np.zeros(len(words), np.int32)
+        degree, label = np.zeros(len(ids), np.int64), np.arange(len(ids))
+        for i, js in _near(values, first, floor, layout, tree):
+            mine = at[starts[i] : starts[i] + sizes[i]]
+            held[mine] = 1
+            both = np.add.reduceat(held[np.concatenate([at[starts[j] : starts[j] + sizes[j]] for j in js])], np.cumsum(sizes[js]) - sizes[js])
+            held[mine] = 0
+            linked = js[both / (sizes[i] + sizes[js] - both) >= least]
+            degree[i] += len(linked)
+            degree[linked] += 1
+            for j in linked[label[linked] != label[i]].tolist():
+                if label[j] != label[i]:
+                    label[label == label[j]] = label[i]
+                    yield min(ids[i], ids[j]), max(ids[i], ids[j]), None
+        yield from ((ids[k], None, int(degree[k])) for k in np.flatnonzero(degree).tolist())
+
+    return run
+
+
+def _tile_run(tile: Callable):
+    """Calls tile(ids, signatures, members of the first of two parts or 0, tree, what else each member has) for each tile of rows that _tiles dealt."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        group: tuple | None = None
-        ids: list[bytes] = []
-        sigs: list[bytes] = []
-        led = 0
-        found: set[tuple[bytes, bytes]] = set()
-
-        def close() -> None:
-            if len(ids) > 1:
-                values = np.frombuffer(b"".join(sigs), np.uint16).reshape(len(ids), -1)
-                for i, j in pairs_of(ids, values, led):
-                    if ids[i] != ids[j]:
-                        found.add((min(ids[i], ids[j]), max(ids[i], ids[j])))
-
-        def batch() -> pa.RecordBatch:
-            a, b = zip(*found, strict=True) if found else ((), ())
-            found.clear()
-            return pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], names=["a", "b"])
-
-        for rows in batches:
-            cols = [rows.column(k).to_pylist() for k in range(5)]
-            for bucket, part, rank, one, sig in zip(*cols, strict=True):
-                if group != (bucket, part):
-                    close()
-                    group, led = (bucket, part), 0
-                    ids.clear()
-                    sigs.clear()
-                led += rank == 0
-                ids.append(one)
-                sigs.append(sig)
-            if len(found) > 50_000:
-                yield batch()
-        close()
-        yield batch()
+        def batch(rows: list[tuple]) -> pa.RecordBatch:
+            cols = zip(*rows, strict=True) if rows else ((), (), ())
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, (pa.binary(), pa.binary(), pa.int64()), strict=True)], names=["a", "b", "n"])
+
+        def members() -> Iterator[tuple]:
+            for rows in batches:
+                for at in range(0, rows.num_rows, 1000):
+                    some = rows.slice(at, 1000)
+                    yield from zip(*(c.to_pylist() for c in some.columns), strict=True)
+
+        out: list[tuple] = []
+        for (_, i, j), group in groupby(members(), lambda r: r[:3]):
+            own = list(group)
+            first = sum(r[3] == i for r in own) if i < j else 0
+            if len(own) < 2 or i < j and first in (0, len(own)):
+                continue
+            values = np.frombuffer(b"".join(r[6] for r in own), np.uint16).reshape(len(own), -1)
+            for row in tile([r[5] for r in own], values, first, own[0][4], [r[7:] for r in own]):
+                out.append(row)
+                if len(out) >= 50_000:
+                    yield batch(out)
+                    out = []
+        yield batch(out)
 
     return run
 

@@ -3,9 +3,9 @@
 Texts of equal shingle sets are one node from the start, however many copies there are. A node has TREES labels of DEPTH
 MinHash values; a tree is the trie of its labels in sorted order. Nodes that share a prefix of
 a label are candidates: the prefix is shortened from DEPTH until a pair at the threshold shares one in some
-tree with probability TARGET; the rest of the label sorts the members of a node that has many. Every candidate pair is then verified by its exact Jaccard
+tree with probability TARGET. Every candidate pair, in nodes of any size, is then verified by its exact Jaccard
 similarity, after pairs whose signatures agree in fewer than FLOOR of all places (six standard deviations below the threshold)
-are put aside. Members of large trie nodes that found no link are joined again among themselves until that finds nothing new.
+are put aside.
 """
 
 from __future__ import annotations
@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import neardup as N
-from .common import dropped, pick, stored, table
+from .common import pick, stored, table
 
 TREES, DEPTH, TARGET = 24, 6, 0.9999
 FLOOR = 0.6
@@ -34,56 +34,42 @@ def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             made = iter(N.signatures(full, VALUES)) if full else iter(())
             nodes = [xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets]
             sigs = [next(made).tobytes() if len(s) else None for s in sets]
-            yield pa.RecordBatch.from_arrays([some.column(0), some.column(1), pa.array(nodes, pa.binary()), pa.array(sigs, pa.binary())], names=["doc_id", "fp", "id", "sig"])
+            sizes = [len(s) for s in sets]
+            yield pa.RecordBatch.from_arrays([some.column(0), some.column(1), pa.array(nodes, pa.binary()), pa.array(sigs, pa.binary()), pa.array(sizes, pa.int64())], names=["doc_id", "fp", "id", "sig", "size"])
     N.forget()
 
 
 def forest_rows(nodes: DataFrame, prefix: int) -> DataFrame:
-    """A row (bucket, sub, id) for each tree of each node: bucket hashes the prefix of its label, sub is the rest."""
+    """A row (bucket, tree, id) for each tree of each node: bucket hashes the prefix of its label."""
     trees = nodes.select("id", "sig", F.explode(F.sequence(F.lit(0), F.lit(TREES - 1))).alias("tree"))
-    at = F.col("tree") * (2 * DEPTH) + 1
-    return trees.select(F.xxhash64("tree", F.substring("sig", at, F.lit(2 * prefix))).alias("bucket"), F.substring("sig", at + 2 * prefix, F.lit(2 * (DEPTH - prefix))).alias("sub"), "id")
+    return trees.select(F.xxhash64("tree", F.substring("sig", F.col("tree") * (2 * DEPTH) + 1, F.lit(2 * prefix))).alias("bucket"), "tree", "id")
 
 
 def joined(docs: DataFrame, target: float = TARGET) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(members, nodes, links): doc_id, fp and node of every row; the nodes; the verified links (a, b) between nodes."""
+    """(members, links, degrees): doc_id, fp and node of every row; verified links (a, b) that join what all verified links join; and the number of all of these of each node."""
     rows = pick(docs, "doc_id", "text")
     kind = rows.schema["doc_id"].dataType.simpleString()
-    members = stored(rows.select("doc_id", F.xxhash64("text").alias("fp"), "text").mapInArrow(_sketch, f"doc_id {kind}, fp long, id binary, sig binary"), "join_members")
-    nodes = stored(members.where("id is not null").groupBy("id").agg(F.min("sig").alias("sig"), F.min(F.struct("doc_id", "fp")).alias("first")), "join_nodes")
+    members = stored(rows.select("doc_id", F.xxhash64("text").alias("fp"), "text").mapInArrow(_sketch, f"doc_id {kind}, fp long, id binary, sig binary, size long"), "join_members")
+    nodes = stored(members.where("id is not null").groupBy("id").agg(F.min("sig").alias("sig"), F.min("size").alias("size"), F.min(F.struct("doc_id", "fp")).alias("first")), "join_nodes")
     prefix = N.prefix_depth(TREES, DEPTH, target)
     texts = rows.withColumn("fp", F.xxhash64("text"))
-    links, asked = None, nodes
-    while True:
-        pairs = stored(N.bucket_pairs(forest_rows(asked, prefix), nodes, FLOOR), "join_pairs")
-        needed = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct().join(nodes, "id").select("id", F.col("first.doc_id").alias("d"), F.col("first.fp").alias("f"))
-        items = texts.join(needed, F.col("d").eqNullSafe(F.col("doc_id")) & (F.col("f") == F.col("fp"))).select("id", "text").dropDuplicates(["id"])
-        items = stored(items, "join_texts")
-        found = stored(N.verified(pairs, items), "join_links")
-        n = found.count()
-        dropped(docs.sparkSession, pairs)
-        dropped(docs.sparkSession, items)
-        links = found if links is None else stored(links.union(found), "join_links")
-        # Members of large trie nodes that no link has reached yet are asked again, among themselves.
-        linked = links.select(F.col("a").alias("id")).union(links.select("b")).distinct()
-        crowd = forest_rows(asked, prefix).groupBy("bucket").agg(F.count("*").alias("n")).where(F.col("n") > N.ALL_PAIRS)
-        left = forest_rows(asked.join(linked, "id", "left_anti"), prefix).join(crowd, "bucket", "left_semi").select("id").distinct()
-        asked = stored(nodes.join(left, "id", "left_semi"), "join_asked")
-        if not n or not asked.count():
-            return members, nodes, links
+
+    def texts_of(ids: DataFrame) -> DataFrame:
+        needed = ids.join(nodes, "id").select("id", F.col("first.doc_id").alias("d"), F.col("first.fp").alias("f"))
+        return texts.join(needed, F.col("d").eqNullSafe(F.col("doc_id")) & (F.col("f") == F.col("fp"))).select("id", "text").dropDuplicates(["id"])
+
+    return members, *N.near_links(forest_rows(nodes, prefix), nodes, texts_of, FLOOR, (TREES, DEPTH, prefix))
 
 
 def classes(docs: DataFrame) -> DataFrame:
     """One row for each row of docs: doc_id, class_id (the smallest doc_id that copies and links lead to) and n_links (verified links of its text to different texts).
 
-    Links are those between different shingle sets; copies share theirs. Inside a trie node of over ALL_PAIRS members only links to leaders and
-    to the members of the nearest signatures are looked for, so n_links is then a lower bound; the class isn't affected as long as links lead on. Texts without words are never linked and are each their own class; so is a row
+    Links are those between different shingle sets; copies share theirs. Texts without words are never linked and are each their own class; so is a row
     of null doc_id among such.
     """
-    members, _, links = joined(docs)
+    members, links, degrees = joined(docs)
     roots = N.components(links)
-    both = links.select("a").union(links.select("b")).groupBy(F.col("a").alias("id")).agg(F.count("*").alias("n_links"))
-    rows = members.join(roots, "id", "left").join(both, "id", "left").select("doc_id", "id", F.coalesce("root", "id").alias("root"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    rows = members.join(roots, "id", "left").join(degrees, "id", "left").select("doc_id", "id", F.coalesce("root", "id").alias("root"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
     rows = stored(rows, "join_rows")
     first = rows.where("root is not null").groupBy("root").agg(F.min("doc_id").alias("first"))
     alone = rows.where("root is null").select("doc_id", F.col("doc_id").alias("class_id"), "n_links")

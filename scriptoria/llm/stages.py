@@ -40,7 +40,7 @@ def good_quality(docs: DataFrame) -> DataFrame:
 
 def one_of_each(docs: DataFrame) -> DataFrame:
     """Of each class of near-duplicates the row of the smallest doc_id (of equal ones, that of the smallest hash); rows of equal doc_id and text are one. Texts without words all stay."""
-    members, _, links = ngram_join.joined(docs)
+    members, links, _ = ngram_join.joined(docs)
     rooted = members.where("id is not null").join(N.components(links), "id", "left").select(F.coalesce("root", "id").alias("root"), F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_DOC)).alias("_doc"), F.col("fp").alias("_fp"))
     first = rooted.groupBy("root").agg(F.min(F.struct("_doc", "_fp")).alias("x")).select("x._doc", "x._fp")
     stay = first.unionByName(_keys(members.where("id is null")))

@@ -78,6 +78,11 @@ def test_crowded_nodes_keep_classes(spark, monkeypatch):
     assert {k[:2] for k in want} == {k[:2] for k in have}
 
 
+def test_crowded_nodes_keep_all_links(spark):
+    rows = [(i, edited(prose(1, 300), 3, i)) for i in range(60)]
+    assert got(spark.createDataFrame(rows, "doc_id long, text string")) == brute(rows)
+
+
 def test_bucket_pairs_of_small_buckets_are_all_pairs(spark):
     ids = [bytes([i]) * 16 for i in range(12)]
     df = spark.createDataFrame([(i % 3, bytearray([i]), bytearray(x)) for i, x in enumerate(ids)], "bucket long, sub binary, id binary")
