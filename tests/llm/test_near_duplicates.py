@@ -83,6 +83,16 @@ def test_crowded_nodes_keep_all_links(spark):
     assert got(spark.createDataFrame(rows, "doc_id long, text string")) == brute(rows)
 
 
+def test_parts_of_a_split_node_all_meet(spark, monkeypatch):
+    monkeypatch.setattr(N, "HOT_ROWS", 9)
+    rows = [(i, edited(prose(1, 300), 3, i)) for i in range(60)]
+    assert got(spark.createDataFrame(rows, "doc_id long, text string")) == brute(rows)
+    ids = [i.to_bytes(2, "big") for i in range(40)]
+    df = spark.createDataFrame([(1, bytearray(x)) for x in ids], "bucket long, id binary")
+    sigs = spark.createDataFrame([(bytearray(x), bytearray(4)) for x in ids], "id binary, sig binary")
+    assert sorted((bytes(r.a), bytes(r.b)) for r in N.bucket_pairs(df, sigs, 0.0).collect()) == [(a, b) for a in ids for b in ids if a < b]
+
+
 def test_bucket_pairs_of_small_buckets_are_all_pairs(spark):
     ids = [bytes([i]) * 16 for i in range(12)]
     df = spark.createDataFrame([(i % 3, bytearray([i]), bytearray(x)) for i, x in enumerate(ids)], "bucket long, sub binary, id binary")
