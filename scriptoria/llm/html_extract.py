@@ -28,7 +28,12 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 #: Elements whose content is no text of the page.
 RAW = frozenset("script style noscript template iframe object svg math canvas audio video title head select textarea button".split())
 RAW_TEXT = frozenset("script style title textarea iframe noscript".split())
-CLOSED_BY = {"p": frozenset("p div ul ol dl table section article aside nav header footer form h1 h2 h3 h4 h5 h6 pre blockquote hr figure main address fieldset details menu".split()), "li": frozenset(["li"]), "dt": frozenset(["dt", "dd"]), "dd": frozenset(["dt", "dd"]), "tr": frozenset(["tr"]), "td": frozenset(["td", "th", "tr"]), "th": frozenset(["td", "th", "tr"]), "option": frozenset(["option", "optgroup"])}
+BLOCKS = frozenset("p div ul ol dl table section article aside nav header footer form h1 h2 h3 h4 h5 h6 pre blockquote hr figure main address fieldset details menu".split())
+#: What may stand in a head; all else closes one that is left open.
+HEAD = frozenset("base link meta title style script noscript template".split())
+#: Marks buttons and selects without an end tag; blocks cannot stand in them and close them.
+OPEN = "!"
+CLOSED_BY = {"p": BLOCKS, "li": frozenset(["li"]), "dt": frozenset(["dt", "dd"]), "dd": frozenset(["dt", "dd"]), "tr": frozenset(["tr"]), "td": frozenset(["td", "th", "tr"]), "th": frozenset(["td", "th", "tr"]), "option": BLOCKS | {"option", "optgroup", "button", "select"}, "optgroup": BLOCKS | {"optgroup", "button", "select"}, OPEN + "button": BLOCKS | {"button", "select"}, OPEN + "select": BLOCKS | {"button", "select"}}
 BOILER_TAGS = frozenset("nav footer aside form menu dialog".split())
 CONTENT_TAGS = frozenset("article main".split())
 BOILER_ROLES = frozenset("navigation banner contentinfo complementary search alert alertdialog dialog menu menubar form".split())
@@ -41,6 +46,7 @@ WEIGHTS = {"bias": -0.2, "content": 3.0, "boiler": -8.0, "heading": 0.6, "paragr
 SMOOTH = 1.5
 
 _TAG = re.compile(r"""<!--(?:.*?-->|.*\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>"']|"[^"]*(?:"|\Z)|'[^']*(?:'|\Z))*+)(?:>|\Z)|<[!?][^>]*(?:>|\Z)""", re.S)
+_ENDED = {tag: re.compile(rf"<(/?){tag}(?=[\s/>])", re.I) for tag in ("button", "select")}
 _NAMES = re.compile(r"""(?<![\w-])(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
 _WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|[0-9]+")
 _ENDS = re.compile(r"[.!?:][\"')\]]*\Z")
@@ -92,6 +98,13 @@ def blocks_of(page: str) -> list[tuple[str, Element, int, int]]:
                 out.append((" ".join(words), home, len(words), min(links, len(words))))
             text, links = [], 0
 
+    def leave_head():
+        nonlocal top
+        flush()
+        if stack[-1] is top:
+            stack.pop()
+        top = stack[-1]
+
     for m in _TAG.finditer(page):
         if skip_to:
             if not (m[1] and m[2] and m[2].lower() == skip_to):
@@ -100,6 +113,8 @@ def blocks_of(page: str) -> list[tuple[str, Element, int, int]]:
             continue
         if m.start() > at:
             piece = page[at : m.start()]
+            if top.tag == "head" and not piece.isspace():
+                leave_head()
             if not text:
                 home = top
             text.append(piece)
@@ -109,6 +124,8 @@ def blocks_of(page: str) -> list[tuple[str, Element, int, int]]:
         if not m[2]:
             continue
         tag = m[2].lower()
+        if top.tag == "head" and not m[1] and tag not in HEAD:
+            leave_head()
         if tag == "br":
             text.append(" ") if text else None
             continue
@@ -151,11 +168,18 @@ def blocks_of(page: str) -> list[tuple[str, Element, int, int]]:
             stack.pop()
         while len(stack) > 1 and tag in CLOSED_BY.get(stack[-1].tag, ()):
             stack.pop()
-        top = Element(tag, stack[-1], -1 if tag in RAW else _lean(tag, m[3], stack[-1]))
+        if tag in ("button", "select"):
+            end = _ENDED[tag].search(page, at)
+            left_open = OPEN if not end or not end[1] else ""
+        else:
+            left_open = ""
+        top = Element(left_open + tag, stack[-1], -1 if tag in RAW else _lean(tag, m[3], stack[-1]))
         stack.append(top)
         if len(stack) > 2000:  # nesting that deep adds nothing: its innermost elements count as one
             stack.pop()
     if not skip_to and at < len(page):
+        if top.tag == "head" and not page[at:].isspace():
+            leave_head()
         if not text:
             home = top
         text.append(page[at:])

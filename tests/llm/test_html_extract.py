@@ -51,3 +51,14 @@ def test_cut_is_minimum():
         cost = lambda side: sum(abs(x) for x, s in zip(scores, side) if (x > 0) != s) + sum(c for a, b, c in edges if side[a] != side[b])  # noqa: B023, E731
         best = min(cost(side) for side in itertools.product([False, True], repeat=n))
         assert abs(cost(H.cut(scores, edges)) - best) < 1e-6
+
+
+def test_elements_left_open():
+    body = "<p>" + "A long sentence of the article that says a thing or two. " * 5 + "</p>"
+    want = H.main_text(f"<html><head><title>T</title></head><body>{body}</body></html>")
+    assert want
+    for page in (f"<html><head><title>T</title><meta charset=utf-8>\n<body>{body}", f"<head><title>T</title>\n{body}", f"<html><head>\n<script>x</script></head><body>{body}"):
+        assert H.main_text(page) == want
+    for left in ("<button>Go", "<select><option>a<option>b", "<select><optgroup label=x><option>a"):
+        assert want in H.main_text(f"<html><head></head><body><div>{left}{body}</div></body></html>")
+    assert "Label" not in H.main_text(f"<body><button><div>Label</div></button>{body}</body>")
