@@ -105,17 +105,19 @@ def repeated_runs(units: DataFrame) -> DataFrame:
 
 def similar_lines(units: DataFrame, texts: DataFrame) -> DataFrame:
     """id, doc, fp, start, end of the long lines; id is the root of the line's component, or its own."""
-    lines = units.where("line").select("id", "sig", "doc", "fp", "start", "end")
-    nodes = stored(lines.groupBy("id").agg(F.min("sig").alias("sig"), F.min(F.struct("doc", "fp", "start", "end")).alias("at")), "passage_nodes")
-    bands = nodes.select("id", "sig", F.explode(F.sequence(F.lit(0), F.lit(BANDS - 1))).alias("band"))
-    bands = bands.select(F.xxhash64("band", F.substring("sig", F.col("band") * (2 * ROWS) + 1, F.lit(2 * ROWS))).alias("bucket"), F.lit(None).cast("binary").alias("sub"), "id")
-    pairs = stored(N.bucket_pairs(bands, nodes, FLOOR), "passage_pairs")
-    needed = stored(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct().join(nodes, "id").select("id", F.col("at.doc").alias("doc"), F.col("at.fp").alias("fp"), F.col("at.start").alias("start"), F.col("at.end").alias("end")), "passage_needed")
-    per = needed.groupBy("doc", "fp").agg(F.collect_list(F.struct("id", "start", "end")).alias("x"))
-    per = F.broadcast(per) if needed.count() <= BROADCAST_KEYS else per.hint("merge")
-    items = texts.join(per, ["doc", "fp"]).select("text", F.explode("x").alias("x"))
-    items = items.select("x.id", F.substring("text", F.col("x.start") + 1, F.col("x.end") - F.col("x.start")).alias("text")).dropDuplicates(["id"])
-    links = stored(N.verified(pairs, stored(items, "passage_texts")), "passage_links")
+    lines = units.where("line").select("id", "sig", "doc", "fp", "start", "end", "words")
+    nodes = stored(lines.groupBy("id").agg(F.min("sig").alias("sig"), F.max("words").alias("size"), F.min(F.struct("doc", "fp", "start", "end")).alias("at")), "passage_nodes")
+    bands = nodes.select("id", "sig", F.explode(F.sequence(F.lit(0), F.lit(BANDS - 1))).alias("tree"))
+    bands = bands.select(F.xxhash64("tree", F.substring("sig", F.col("tree") * (2 * ROWS) + 1, F.lit(2 * ROWS))).alias("bucket"), "tree", "id")
+
+    def texts_of(ids: DataFrame) -> DataFrame:
+        needed = stored(ids.join(nodes, "id").select("id", F.col("at.doc").alias("doc"), F.col("at.fp").alias("fp"), F.col("at.start").alias("start"), F.col("at.end").alias("end")), "passage_needed")
+        per = needed.groupBy("doc", "fp").agg(F.collect_list(F.struct("id", "start", "end")).alias("x"))
+        per = F.broadcast(per) if needed.count() <= BROADCAST_KEYS else per.hint("merge")
+        items = texts.join(per, ["doc", "fp"]).select("text", F.explode("x").alias("x"))
+        return items.select("x.id", F.substring("text", F.col("x.start") + 1, F.col("x.end") - F.col("x.start")).alias("text")).dropDuplicates(["id"])
+
+    links, _ = N.near_links(bands, nodes, texts_of, FLOOR, (BANDS, ROWS, ROWS))
     return lines.join(N.components(links), "id", "left").select(F.coalesce("root", "id").alias("id"), "doc", "fp", "start", "end")
 
 

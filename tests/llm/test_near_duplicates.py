@@ -193,3 +193,17 @@ def test_passages_odd_rows(odd_docs, odd_texts, no_docs):
     got = {r.doc_id: r for r in rows}
     assert got[8].class_id == got[9].class_id == got[10].class_id == 8 and got[8].n_removed == 0 and got[10].n_removed
     assert P.classes(no_docs).count() == 0
+
+
+def test_similar_lines_in_a_crowd(spark):
+    base, rows = prose(1, 100), []
+    for k in range(120):
+        line = edited(base, 2, k)
+        rows += [(2 * k, f"{line}\n{prose(500 + k, 20)}"), (2 * k + 1, f"{edited(line, 2, 1000 + k)}\n{prose(800 + k, 20)}")]
+    lines = {d: t.split("\n")[0] for d, t in rows}
+    units = P.keyed(spark.createDataFrame(rows, "doc_id long, text string"))
+    made = units.select("doc", "fp", "text").mapInArrow(P._units, "line boolean, doc long, fp long, idx int, start int, `end` int, words int, at int, h long, id binary, sig binary")
+    roots = {r.doc: bytes(r.id) for r in P.similar_lines(made, units.select("doc", "fp", "text")).collect()}
+    sets = {d: grams(t) for d, t in lines.items()}
+    pairs = [(a, b) for a in sets for b in sets if a < b and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
+    assert len(pairs) >= 60 and sum(roots[a] == roots[b] for a, b in pairs) >= 0.98 * len(pairs)
