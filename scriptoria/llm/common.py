@@ -12,6 +12,9 @@ from pyspark.sql import functions as F
 WS = " \t\n\x0b\x0c\r"
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = UPPER.lower()
+#: See hot_join.
+HOT_KEYS = 1000
+HOT_LEAST = 1000
 
 
 def pick(df: DataFrame, *names: str) -> DataFrame:
@@ -26,9 +29,11 @@ def pick(df: DataFrame, *names: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share (spark.checkpoint.dir); where that is unset, as in tests, a temporary one."""
+    """The folder that all executors share (spark.checkpoint.dir); where that is unset, a temporary one for a local master, as in tests, and an error on a cluster."""
     conf = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not conf:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         conf = getattr(spark.sparkContext, "_scriptoria_dir", None)
         if not conf:
             conf = "file://" + tempfile.mkdtemp(prefix="scriptoria-")
@@ -57,6 +62,21 @@ def dropped(spark: SparkSession, df: DataFrame) -> None:
             path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def hot_join(left: DataFrame, right: DataFrame, key: str, how: str = "inner") -> DataFrame:
+    """left joined to right, which has one row for each key, with n, the rows of left (or more) that have it. n goes.
+
+    Keys with over a HOT_KEYS-th of all rows are joined by broadcast, so that their rows stay where they are: there are fewer than HOT_KEYS of them. All others are joined by shuffle.
+    Both sides are read twice, so they should be stored.
+    """
+    total, most = right.agg(F.sum("n"), F.max("n")).first()
+    limit = max((total or 0) // HOT_KEYS, HOT_LEAST)
+    if (most or 0) <= limit:
+        return left.join(right.drop("n"), key, how)
+    hot = right.where(F.col("n") > limit).drop("n")
+    rest = left.join(F.broadcast(hot.select(key)), key, "left_anti").join(right.where(F.col("n") <= limit).drop("n"), key, how)
+    return left.join(F.broadcast(hot), key).select(rest.columns).unionByName(rest)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -6,6 +6,7 @@ Words are runs of other than ``[\\x20\\x09-\\x0D]`` with A-Z lower-cased. A shin
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import reduce
 from itertools import groupby
 
 import numpy as np
@@ -14,7 +15,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import dropped, stored
+from .common import dropped, hot_join, stored
 
 SHINGLE = 5
 SIMILAR = 0.8
@@ -23,6 +24,12 @@ ALL_PAIRS = 16
 #: Members, and shingles, of a crowd that one part holds; every two parts meet in a tile.
 HOT_ROWS = 1000
 HOT_SHINGLES = 1_000_000
+#: Edges of a graph that one task takes when no more are left.
+LAST_EDGES = 20_000
+#: Width of the bins in which links are counted by their similarity.
+BIN = 0.01
+TILE = ("bucket", "i", "j", "part", "tree", "id", "sig")
+LINKS = "a binary, b binary, n long, bin int"
 #: Pairs of one text that one part of the verification holds.
 PART_PAIRS = 256
 
@@ -110,46 +117,77 @@ def _tiles(rows: DataFrame) -> DataFrame:
     return rows.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j", "part", "id")
 
 
-def bucket_pairs(rows: DataFrame, sigs: DataFrame, floor: float, hot_rows: int | None = None, layout: tuple[int, int, int] | None = None) -> DataFrame:
-    """All pairs (a, b), a < b, to verify from rows (bucket, id), where bucket is what members share; sigs: id, sig.
-
-    Pairs whose signatures agree in fewer than floor of their values are put aside. With a layout (see near_links), rows have a tree too, and a
-    pair comes from the first tree that it shares alone. A bucket of over hot_rows is dealt out in parts, and every two parts meet in a tile.
-    """
-    sizes = rows.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1").withColumn("parts", F.ceil(F.col("n") / (hot_rows or HOT_ROWS)).cast("int")).drop("n")
-    tree = F.col("tree") if layout else F.lit(0)
-    dealt = _tiles(rows.withColumn("tree", tree).select("bucket", "tree", "id").join(sizes, "bucket").join(sigs.select("id", "sig"), "id"))
-    pairs = dealt.select("bucket", "i", "j", "part", "tree", "id", "sig").mapInArrow(_tile_run(_pairs_of(floor, layout)), "a binary, b binary, n long").select("a", "b")
-    return pairs if layout else pairs.distinct()
+def dealt_buckets(rows: DataFrame, sigs: DataFrame) -> DataFrame:
+    """rows (bucket, tree, id) of buckets of several members with sig, n (members) and parts (of up to HOT_ROWS members and about HOT_SHINGLES shingles each)."""
+    rows = stored(rows.select("bucket", "tree", "id").join(sigs.select("id", "sig", "size"), "id"), "bucket_rows")
+    parts = F.ceil(F.greatest(F.col("n") / HOT_ROWS, F.col("total") / HOT_SHINGLES)).cast("int")
+    sizes = stored(rows.groupBy("bucket").agg(F.count("*").alias("n"), F.sum("size").alias("total")).where("n > 1"), "bucket_sizes")
+    return hot_join(rows.drop("size"), sizes.select("bucket", "n", F.col("n").alias("held"), parts.alias("parts")), "bucket")
 
 
-def near_links(rows: DataFrame, sigs: DataFrame, texts_of: Callable[[DataFrame], DataFrame], floor: float, layout: tuple[int, int, int], least: float = SIMILAR) -> tuple[DataFrame, DataFrame]:
-    """(links, degrees) of the items whose texts have an exact Jaccard similarity of at least least, among those that share a bucket.
+def near_links(rows: DataFrame, sigs: DataFrame, texts_of: Callable[[DataFrame], DataFrame], floor: float, layout: tuple[int, int, int], done: int = 0, least: float = SIMILAR) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(links, ends, found) of the items whose texts have an exact Jaccard similarity of at least least, among those that share a bucket.
 
     rows: bucket, tree, id. sigs: id, sig, size (shingles). layout: trees, values of a tree, values of its prefix; members of a bucket share the prefix of its tree.
-    texts_of gives id, text of a frame of ids. links (a, b) join whatever verified pairs join; degrees (id, n_links) counts all verified pairs of an item.
+    texts_of gives id, text of a frame of ids. links (a, b) join whatever verified pairs join; ends (id, n) add up to the number of all verified pairs of
+    an item; found (bin, n) counts all of them by the bin of their similarity.
 
-    Every pair that shares a bucket, and whose signatures agree in floor of their values or more, is verified, once: in the first tree that it shares. Pairs of
-    buckets of up to ALL_PAIRS members leave as rows. A crowd's pairs grow with its square, so they are verified in tiles of two of its parts,
-    and a tile returns its members' numbers of links and a spanning forest of these: not more rows than members.
+    Every pair that shares a bucket, and whose signatures agree in floor of their values or more, is verified, once: in the first tree that it shares. If done > 0, pairs that
+    share a prefix of done values in any tree have been verified before and are left out. Pairs of buckets of up to ALL_PAIRS members leave
+    as rows. A crowd's pairs grow with its square, so they are verified in tiles of two of its parts, and a tile returns its members' numbers of links and a spanning forest of these: not more rows than members.
     """
-    sizes = rows.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
-    rows = stored(rows.select("bucket", "tree", "id").join(sizes, "bucket"), "bucket_members")
-    pairs = stored(bucket_pairs(rows.where(F.col("n") <= ALL_PAIRS), sigs, floor, layout=layout), "bucket_pairs")
-    crowd = rows.where(F.col("n") > ALL_PAIRS).join(sigs.select("id", "sig", "size"), "id")
+    spark = rows.sparkSession
+    rows = stored(dealt_buckets(rows, sigs), "bucket_members")
+    few = _tiles(rows.where(F.col("held") <= ALL_PAIRS).drop("held").withColumn("parts", F.lit(1)))
+    pairs = stored(few.select(*TILE).mapInArrow(_tile_run(_pairs_of(floor, layout, done)), LINKS).select("a", "b"), "bucket_pairs")
+    crowd = rows.where(F.col("held") > ALL_PAIRS)
     ids = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).union(crowd.select("id")).distinct()
     texts = stored(texts_of(ids), "bucket_texts")
     sets = stored(texts.join(crowd.select("id").distinct(), "id", "left_semi").select("id", "text").mapInArrow(_sets, "id binary, shingles binary"), "bucket_sets")
-    parts = crowd.groupBy("bucket").agg(F.ceil(F.greatest(F.count("*") / HOT_ROWS, F.sum("size") / HOT_SHINGLES)).cast("int").alias("parts"))
-    dealt = _tiles(crowd.select("bucket", "tree", "id", "sig").join(parts, "bucket").join(sets, "id"))
-    in_crowds = stored(dealt.select("bucket", "i", "j", "part", "tree", "id", "sig", "shingles").mapInArrow(_tile_run(_links_of(floor, layout, least)), "a binary, b binary, n long"), "crowd_links")
+    dealt = _tiles(crowd.drop("held").join(sets, "id"))
+    in_crowds = stored(dealt.select(*TILE, "shingles").mapInArrow(_tile_run(_links_of(floor, layout, done, least)), LINKS), "crowd_links")
     alone = stored(verified(pairs, texts, least=least), "pair_links")
-    links = stored(alone.union(in_crowds.where("b is not null").select("a", "b")), "bucket_links")
-    ends = alone.select(F.col("a").alias("id"), F.lit(1).alias("n")).union(alone.select("b", F.lit(1))).union(in_crowds.where("b is null").select("a", "n"))
-    degrees = stored(ends.groupBy("id").agg(F.sum("n").alias("n_links")), "bucket_degrees")
+    links = stored(alone.select("a", "b").union(in_crowds.where("b is not null").select("a", "b")), "bucket_links")
+    one = F.lit(1).cast("long")
+    ends = alone.select(F.col("a").alias("id"), one.alias("n")).union(alone.select("b", one)).union(in_crowds.where("a is not null and b is null").select("a", "n"))
+    ends = stored(ends.groupBy("id").agg(F.sum("n").alias("n")), "bucket_ends")
+    found = stored(alone.select("bin", one.alias("n")).union(in_crowds.where("a is null").select("bin", "n")).groupBy("bin").agg(F.sum("n").alias("n")), "bucket_found")
     for df in (rows, pairs, texts, sets, alone, in_crowds):
-        dropped(rows.sparkSession, df)
-    return links, degrees
+        dropped(spark, df)
+    return links, ends, found
+
+
+def recall(found: dict[int, int], trees: int, prefix: int, least: float = SIMILAR) -> float:
+    """The share of links that a forest of that many trees finds when prefixes of that length are matched, going by links found so far (bin: n, each taken at its bin's lower end).
+
+    Each found link stands for one over its chance of being found. Without any the chance of a pair at the threshold is taken.
+    """
+    chance = lambda k: 1 - (1 - (least + k * BIN) ** prefix) ** trees
+    return sum(found.values()) / sum(n / chance(k) for k, n in found.items()) if found else chance(0)
+
+
+def forest_links(nodes: DataFrame, rows_at: Callable[[int], DataFrame], texts_of: Callable[[DataFrame], DataFrame], floor: float, trees: int, depth: int, target: float) -> tuple[DataFrame, DataFrame, list[tuple[int, float]]]:
+    """(links, degrees, rounds) of an LSH forest: the tries are matched at prefixes of depth values, and the prefix is shortened until the recall reaches target.
+
+    rows_at(prefix) gives bucket, tree, id. A round verifies the pairs that meet at its prefix and did not meet before; the recall of the next one is estimated
+    from the similarities of all links found so far, so collections whose links lie close to the threshold are searched at shorter prefixes than others. The histogram of at most 1 / BIN rows reaches the driver.
+    rounds has each prefix with the recall estimated after it.
+    """
+    all_links, all_ends, seen, rounds = [], [], {}, []
+    prefix, done = depth, 0
+    while True:
+        links, ends, found = near_links(rows_at(prefix), nodes, texts_of, floor, (trees, depth, prefix), done)
+        all_links.append(links)
+        all_ends.append(ends)
+        for r in found.collect():
+            seen[r.bin] = seen.get(r.bin, 0) + r.n
+        rounds.append((prefix, recall(seen, trees, prefix)))
+        if rounds[-1][1] >= target or prefix == 1:
+            break
+        done = prefix
+        prefix = next((p for p in range(prefix - 1, 1, -1) if recall(seen, trees, p) >= target), 1)
+    links, ends = reduce(DataFrame.union, all_links), reduce(DataFrame.union, all_ends)
+    return links, stored(ends.groupBy("id").agg(F.sum("n").alias("n_links")), "forest_degrees"), rounds
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -160,59 +198,70 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     forget()
 
 
-def _near(values: np.ndarray, first: int, floor: float, layout: tuple[int, int, int] | None, tree: int) -> Iterator[tuple[int, np.ndarray]]:
+def _near(values: np.ndarray, first: int, floor: float, layout: tuple[int, int, int], done: int, tree: int) -> Iterator[tuple[int, np.ndarray]]:
     """(i, js): the members js that i is verified with. Of first > 0 members of one part each meets all of the other, else each meets all after it."""
+    trees, width, prefix = layout
     for i in range(first or len(values)):
         lo = first or i + 1
         same = values[lo:] == values[i]
-        js = np.flatnonzero(np.count_nonzero(same, axis=1) / values.shape[1] >= floor)
-        if layout and tree and len(js):
-            trees, width, prefix = layout
-            js = js[~same[js].reshape(len(js), trees, width)[:, :tree, :prefix].all(2).any(1)]
+        js = np.flatnonzero(np.count_nonzero(same, axis=1) >= floor * values.shape[1])
+        if len(js) and (tree or done):
+            shared = same[js].reshape(len(js), trees, width)
+            met = shared[:, :tree, :prefix].all(2).any(1)
+            if done:
+                met |= shared[:, :, :done].all(2).any(1)
+            js = js[~met]
         if len(js):
             yield i, js + lo
 
 
-def _pairs_of(floor: float, layout: tuple[int, int, int] | None):
+def _pairs_of(floor: float, layout: tuple[int, int, int], done: int):
     def run(ids: list[bytes], values: np.ndarray, first: int, tree: int, _: list) -> Iterator[tuple]:
-        for i, js in _near(values, first, floor, layout, tree):
-            yield from ((min(ids[i], ids[j]), max(ids[i], ids[j]), None) for j in js.tolist() if ids[i] != ids[j])
+        for i, js in _near(values, first, floor, layout, done, tree):
+            yield from ((min(ids[i], ids[j]), max(ids[i], ids[j]), None, None) for j in js.tolist() if ids[i] != ids[j])
 
     return run
 
 
-def _links_of(floor: float, layout: tuple[int, int, int], least: float):
+def _links_of(floor: float, layout: tuple[int, int, int], done: int, least: float):
     def run(ids: list[bytes], values: np.ndarray, first: int, tree: int, sets: list[tuple]) -> Iterator[tuple]:
         own = [np.frombuffer(x[0], np.uint64) for x in sets]
         sizes = np.array([len(x) for x in own])
         starts = np.cumsum(sizes) - sizes
         words, at = np.unique(np.concatenate(own), return_inverse=True)
         held = np.zeros(len(words), np.int32)
-        degree, label = np.zeros(len(ids), np.int64), np.arange(len(ids))
-        for i, js in _near(values, first, floor, layout, tree):
+        degree, label, bins = np.zeros(len(ids), np.int64), np.arange(len(ids)), np.zeros(int(1 / BIN) + 1, np.int64)
+        for i, js in _near(values, first, floor, layout, done, tree):
             mine = at[starts[i] : starts[i] + sizes[i]]
             held[mine] = 1
             both = np.add.reduceat(held[np.concatenate([at[starts[j] : starts[j] + sizes[j]] for j in js])], np.cumsum(sizes[js]) - sizes[js])
             held[mine] = 0
-            linked = js[both / (sizes[i] + sizes[js] - both) >= least]
+            alike = both / (sizes[i] + sizes[js] - both)
+            linked = js[alike >= least]
+            np.add.at(bins, _bin(alike[alike >= least], least), 1)
             degree[i] += len(linked)
             degree[linked] += 1
             for j in linked[label[linked] != label[i]].tolist():
                 if label[j] != label[i]:
                     label[label == label[j]] = label[i]
-                    yield min(ids[i], ids[j]), max(ids[i], ids[j]), None
-        yield from ((ids[k], None, int(degree[k])) for k in np.flatnonzero(degree).tolist())
+                    yield min(ids[i], ids[j]), max(ids[i], ids[j]), None, None
+        yield from ((ids[k], None, int(degree[k]), None) for k in np.flatnonzero(degree).tolist())
+        yield from ((None, None, int(bins[k]), k) for k in np.flatnonzero(bins).tolist())
 
     return run
 
 
+def _bin(alike, least: float):
+    return np.floor((alike - least) / BIN + 1e-9).astype(np.int64)
+
+
 def _tile_run(tile: Callable):
     """Calls tile(ids, signatures, members of the first of two parts or 0, tree, what else each member has) for each tile of rows that _tiles dealt."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def batch(rows: list[tuple]) -> pa.RecordBatch:
-            cols = zip(*rows, strict=True) if rows else ((), (), ())
-            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, (pa.binary(), pa.binary(), pa.int64()), strict=True)], names=["a", "b", "n"])
+            cols = zip(*rows, strict=True) if rows else ((), (), (), ())
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, (pa.binary(), pa.binary(), pa.int64(), pa.int32()), strict=True)], names=["a", "b", "n", "bin"])
 
         def members() -> Iterator[tuple]:
             for rows in batches:
@@ -237,8 +286,8 @@ def _tile_run(tile: Callable):
     return run
 
 
-def verified(pairs: DataFrame, items: DataFrame, similar: Callable[[str, str], bool] | None = None, least: float = SIMILAR) -> DataFrame:
-    """The pairs (a, b) whose items' texts have an exact Jaccard similarity of shingles of at least least. items: id, text.
+def verified(pairs: DataFrame, items: DataFrame, least: float = SIMILAR) -> DataFrame:
+    """The pairs (a, b) whose items' texts have an exact Jaccard similarity of shingles of at least least, with its bin. items: id, text.
 
     Each text b travels to the part that holds its a; a text with many pairs is held by several parts, of PART_PAIRS pairs each.
     """
@@ -252,43 +301,53 @@ def verified(pairs: DataFrame, items: DataFrame, similar: Callable[[str, str], b
         for batch in batches:
             for i in range(0, batch.num_rows, 1000):
                 some = batch.slice(i, 1000)
-                a, b = [], []
+                a, b, bins = [], [], []
                 for one, other, text in zip(*(some.column(k).to_pylist() for k in (0, 2, 3)), strict=True):
                     if other is None:
                         own = shingles(text)
-                    elif jaccard(own, shingles(text)) >= least:
+                    elif (alike := jaccard(own, shingles(text))) >= least:
                         a.append(one)
                         b.append(other)
-                yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], names=["a", "b"])
+                        bins.append(int(_bin(alike, least)))
+                yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary()), pa.array(bins, pa.int32())], names=["a", "b", "bin"])
         forget()
 
-    return dealt.mapInArrow(run, "a binary, b binary")
+    return dealt.mapInArrow(run, "a binary, b binary, bin int")
 
 
 def components(edges: DataFrame) -> DataFrame:
     """(id, root) of every node of edges (a, b): root is the smallest node of its component.
 
     Each round points every node at the smallest of its neighbours, or at itself, and then at what that one points at, and contracts the edges: those whose ends
-    now meet go, so a large group costs its edges once. Only the number of edges left reaches the driver.
+    now meet go, so a large group costs its edges once. When no more than LAST_EDGES are left, one task joins their ends. Only the number of edges left reaches the driver.
     """
     both = lambda df: df.select("a", "b").union(df.select(F.col("b").alias("a"), F.col("a").alias("b")))
     edges = stored(edges.select("a", "b").where("a <> b").distinct(), "cc_edges")
     nodes = both(edges).select(F.col("a").alias("id")).distinct()
     roots = stored(nodes.select("id", F.col("id").alias("root")), "cc_roots")
-    while edges.limit(1).count():
-        low = both(edges).groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("v"), F.least("a", "m").alias("to"))
-        up = low.select(F.col("v").alias("w"), F.col("to").alias("top"))
-        step = stored(low.join(up, F.col("to") == F.col("w")).select("v", F.col("top").alias("to")), "cc_step")
-        at = lambda c: step.select(F.col("v").alias(f"v_{c}"), F.col("to").alias(f"to_{c}"))  # noqa: B023, E731
-        edges = edges.join(at("a"), F.col("a") == F.col("v_a")).join(at("b"), F.col("b") == F.col("v_b"))
+    while edges.limit(LAST_EDGES + 1).count() > LAST_EDGES:
+        low = stored(both(edges).groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n")).select(F.col("a").alias("v"), F.least("a", "m").alias("to"), "n"), "cc_low")
+        up = low.select(F.col("v").alias("to"), F.col("to").alias("top")).join(low.groupBy("to").agg(F.count("*").alias("n")), "to")
+        step = stored(hot_join(low.withColumnRenamed("n", "degree"), stored(up, "cc_up"), "to").select("v", F.col("top").alias("to"), F.col("degree").alias("n")), "cc_step")
+        edges = hot_join(edges, step.select(F.col("v").alias("a"), F.col("to").alias("to_a"), "n"), "a")
+        edges = hot_join(stored(edges, "cc_half"), step.select(F.col("v").alias("b"), F.col("to").alias("to_b"), "n"), "b")
         edges = stored(edges.select(F.least("to_a", "to_b").alias("a"), F.greatest("to_a", "to_b").alias("b")).where("a <> b").distinct(), "cc_edges")
-        roots = stored(roots.join(step, F.col("root") == F.col("v"), "left").select("id", F.coalesce("to", "root").alias("root")), "cc_roots")
-    return roots
+        moved = roots.groupBy("root").agg(F.count("*").alias("n")).join(step.select(F.col("v").alias("root"), "to"), "root")
+        roots = stored(hot_join(roots, stored(roots.select("root").distinct().join(moved, "root", "left").select("root", "to", F.coalesce("n", F.lit(1)).alias("n")), "cc_moved"), "root").select("id", F.coalesce("to", "root").alias("root")), "cc_roots")
+    last = edges.coalesce(1).mapInArrow(_joined_ends, "root binary, last binary")
+    return roots.join(F.broadcast(last), "root", "left").select("id", F.coalesce("last", "root").alias("root"))  # two rows for each of LAST_EDGES at most
+
+
+def _joined_ends(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    up: dict[bytes, bytes] = {}
 
+    def root(x: bytes) -> bytes:
+        while (y := up.setdefault(x, x)) != x:
+            up[x] = x = up[y]
+        return x
 
-def prefix_depth(trees: int, depth: int, target: float, similar: float = SIMILAR) -> int:
-    """The longest prefix, shortened from depth on, at which a pair of that similarity shares a node of some tree with the target probability."""
-    for p in range(depth, 0, -1):
-        if 1 - (1 - similar**p) ** trees >= target:
-            return p
-    return 1
+    for batch in batches:
+        for a, b in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            low, high = sorted((root(a), root(b)))
+            up[high] = low
+    yield pa.RecordBatch.from_arrays([pa.array(list(up), pa.binary()), pa.array([root(x) for x in up], pa.binary())], names=["root", "last"])

@@ -38,14 +38,29 @@ def good_quality(docs: DataFrame) -> DataFrame:
     return back(rows.join(_keys(quality.judged(docs).where("kept")), ["_doc", "_fp"], "left_semi"))
 
 
+def _once(rows: DataFrame, several: DataFrame) -> DataFrame:
+    """Of rows of equal _doc and _fp, where several lists those keys, the one whose columns have the smallest hash; rows that are equal in all columns are one anyway."""
+    several = stored(several, "stage_several")
+    if not several.limit(1).count():
+        return rows
+    hashed = rows.join(several, ["_doc", "_fp"], "left_semi").withColumn("_all", F.xxhash64(F.to_json(F.struct(*[c for c in rows.columns if c.startswith("_c")]))))
+    least = hashed.groupBy("_doc", "_fp").agg(F.min("_all").alias("_all"))
+    again = hashed.join(least, ["_doc", "_fp", "_all"], "left_semi").dropDuplicates(["_doc", "_fp"]).drop("_all")
+    return rows.join(several, ["_doc", "_fp"], "left_anti").unionByName(again)
+
+
 def one_of_each(docs: DataFrame) -> DataFrame:
-    """Of each class of near-duplicates the row of the smallest doc_id (of equal ones, that of the smallest hash); rows of equal doc_id and text are one. Texts without words all stay."""
-    members, links, _ = ngram_join.joined(docs)
-    rooted = members.where("id is not null").join(N.components(links), "id", "left").select(F.coalesce("root", "id").alias("root"), F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_DOC)).alias("_doc"), F.col("fp").alias("_fp"))
-    first = rooted.groupBy("root").agg(F.min(F.struct("_doc", "_fp")).alias("x")).select("x._doc", "x._fp")
+    """Of each class of near-duplicates the row of the smallest doc_id (of equal ones, that of the smallest hash). Texts without words all stay.
+
+    Rows of equal doc_id and text are one: of those that differ in other columns, the one whose columns have the smallest hash stays. A null doc_id is smaller than all others; an empty table gives an empty one.
+    """
+    members, nodes, links, _ = ngram_join.joined(docs)
+    known = nodes.select("id", F.coalesce(F.col("first.doc_id").cast("long"), F.lit(NO_DOC)).alias("_doc"), F.col("first.fp").alias("_fp"))
+    first = known.join(N.components(links), "id", "left").groupBy(F.coalesce("root", "id")).agg(F.min(F.struct("_doc", "_fp")).alias("x")).select("x._doc", "x._fp")
     stay = first.unionByName(_keys(members.where("id is null")))
     rows, back = _keyed(docs)
-    return back(rows.join(stay.distinct(), ["_doc", "_fp"], "left_semi").dropDuplicates(["_doc", "_fp"]))
+    several = members.groupBy(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_DOC)).alias("_doc"), F.col("fp").alias("_fp")).count().where("count > 1").drop("count")
+    return back(_once(rows.join(stay.distinct(), ["_doc", "_fp"], "left_semi"), several))
 
 
 def decontaminated(docs: DataFrame, items: DataFrame) -> DataFrame:

@@ -3,7 +3,9 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
+from scriptoria.llm import common as C
 from scriptoria.llm import neardup as N
 from scriptoria.llm import ngram_join as G
 from scriptoria.llm import passages as P
@@ -74,8 +76,37 @@ def test_crowded_nodes_keep_classes(spark, monkeypatch):
     monkeypatch.setattr(N, "HOT_ROWS", 20)
     monkeypatch.setattr(N, "ALL_PAIRS", 4)
     rows = [(i, edited(prose(1, 300), 2, i)) for i in range(120)] + [(1000 + i, prose(2 + i, 100)) for i in range(30)]
-    want, have = brute(rows), got(spark.createDataFrame(rows, "doc_id long, text string"))
-    assert {k[:2] for k in want} == {k[:2] for k in have}
+    assert got(spark.createDataFrame(rows, "doc_id long, text string")) == brute(rows)
+
+
+def test_links_of_400_and_2000_near_copies(spark):
+    rows = [(i, edited(prose(1, 400), 3, i)) for i in range(400)] + [(1000 + i, edited(prose(2, 60), 1, i)) for i in range(2000)] + [(9000 + i, edited(prose(3, 300), 7, i)) for i in range(100)]
+    assert got(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)) == brute(rows)
+
+
+def test_prefixes_are_shortened_until_the_recall_is_reached(spark):
+    def rounds(n_edits, target):
+        rows = [(i, edited(prose(i // 2, 300), n_edits * (i % 2), i)) for i in range(300)]
+        df = spark.createDataFrame(rows, "doc_id long, text string")
+        _, nodes, _, _ = G.joined(df)
+        texts = df.select("text", "doc_id")
+        texts_of = lambda ids: ids.join(nodes, "id").select("id", F.col("first.doc_id").alias("doc_id")).join(texts, "doc_id").select("id", "text")
+        return N.forest_links(nodes, lambda p: G.forest_rows(nodes, p), texts_of, G.FLOOR, G.TREES, G.DEPTH, target)[2]
+
+    close, far = rounds(1, 0.999), rounds(6, 0.99999)
+    assert [p for p, _ in close] == [6] and close[-1][1] >= 0.999
+    assert [p for p, _ in far][0] == 6 and len(far) > 1 and far[-1][1] >= 0.99999 and sorted(r for _, r in far) == [r for _, r in far]
+    assert N.recall({}, 24, 5) == 1 - (1 - 0.8**5) ** 24 and N.recall({19: 5, 0: 5}, 24, 5) > N.recall({}, 24, 5)
+
+
+def test_joins_of_hot_keys(spark, monkeypatch):
+    monkeypatch.setattr(C, "HOT_LEAST", 5)
+    monkeypatch.setattr(C, "HOT_KEYS", 4)
+    left = spark.createDataFrame([("hot", i) for i in range(40)] + [("k" + str(i), i) for i in range(30)] + [("none", 1)], "k string, v int")
+    right = left.where("k <> 'none'").groupBy("k").count().selectExpr("k", "count as n", "upper(k) as u")
+    for how in ("inner", "left"):
+        want = Counter(tuple(r) for r in left.join(right.drop("n"), "k", how).collect())
+        assert Counter(tuple(r) for r in C.hot_join(left, right, "k", how).collect()) == want
 
 
 def test_crowded_nodes_keep_all_links(spark):
@@ -87,34 +118,15 @@ def test_parts_of_a_split_node_all_meet(spark, monkeypatch):
     monkeypatch.setattr(N, "HOT_ROWS", 9)
     rows = [(i, edited(prose(1, 300), 3, i)) for i in range(60)]
     assert got(spark.createDataFrame(rows, "doc_id long, text string")) == brute(rows)
-    ids = [i.to_bytes(2, "big") for i in range(40)]
-    df = spark.createDataFrame([(1, bytearray(x)) for x in ids], "bucket long, id binary")
-    sigs = spark.createDataFrame([(bytearray(x), bytearray(4)) for x in ids], "id binary, sig binary")
-    assert sorted((bytes(r.a), bytes(r.b)) for r in N.bucket_pairs(df, sigs, 0.0).collect()) == [(a, b) for a in ids for b in ids if a < b]
-
-
-def test_bucket_pairs_of_small_buckets_are_all_pairs(spark):
-    ids = [bytes([i]) * 16 for i in range(12)]
-    df = spark.createDataFrame([(i % 3, bytearray([i]), bytearray(x)) for i, x in enumerate(ids)], "bucket long, sub binary, id binary")
-    sigs = spark.createDataFrame([(bytearray(x), bytearray(4)) for x in ids], "id binary, sig binary")
-    pairs = {(bytes(r.a), bytes(r.b)) for r in N.bucket_pairs(df, sigs, 0.0).collect()}
-    assert pairs == {(a, b) for i, a in enumerate(ids) for j, b in enumerate(ids) if i < j and i % 3 == j % 3}
-    split = {(bytes(r.a), bytes(r.b)) for r in N.bucket_pairs(df, sigs, 0.0, hot_rows=2).collect()}
-    up = {x: x for x in ids}
-
-    def root(x):
-        while up[x] != x:
-            x = up[x]
-        return x
-
-    for a, b in split:
-        up[root(a)] = root(b)
-    assert split <= pairs and len({root(x) for x in ids}) == 3
 
 
-def test_components(spark):
+@pytest.mark.parametrize("last", [0, 20_000])
+def test_components(spark, monkeypatch, last):
+    monkeypatch.setattr(N, "LAST_EDGES", last)
+    monkeypatch.setattr(C, "HOT_LEAST", 5)
+    monkeypatch.setattr(C, "HOT_KEYS", 10)
     r = random.Random(5)
-    edges = [(i, i + 1) for i in range(100, 140)] + [(0, i) for i in range(1, 50)] + [(r.randrange(200, 300), r.randrange(200, 300)) for _ in range(60)]
+    edges = [(i, i + 1) for i in range(100, 112)] + [(0, i) for i in range(1, 30)] + [(r.randrange(200, 260), r.randrange(200, 260)) for _ in range(30)]
     key = lambda i: bytearray(i.to_bytes(4, "big"))
     df = spark.createDataFrame([(key(a), key(b)) for a, b in edges if a != b], "a binary, b binary")
     up = {}
@@ -138,7 +150,6 @@ def test_sketches():
     assert abs((s[0] == s[1]).mean() - N.jaccard(a, b)) < 0.08
     assert len(N.shingles("")) == 0 and len(N.shingles("one two")) == 1
     assert N.jaccard(np.zeros(0, np.uint64), a) == 0
-    assert N.prefix_depth(G.TREES, G.DEPTH, 0.9999) == 5
 
 
 def passages(df):
