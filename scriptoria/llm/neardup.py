@@ -56,30 +56,32 @@ def forget() -> None:
     _hashes.clear()
 
 
-def word_hashes(text: str) -> np.ndarray:
-    words = text.encode("utf-8", "surrogatepass").lower().split()
+def hashed(words: list[bytes]) -> np.ndarray:
     return np.fromiter(map(_hashes.__getitem__, words), np.uint64, len(words))
 
 
-def _mixed(x: np.ndarray) -> np.ndarray:
+def mixed(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
     x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
     return x ^ (x >> np.uint64(31))
 
 
-def shingles(text: str) -> np.ndarray:
-    """The sorted distinct shingles of a text."""
-    w = word_hashes(text)
+def in_order(w: np.ndarray) -> np.ndarray:
+    """The shingles of word hashes, one for each place."""
     if not len(w):
         return w
     if len(w) < SHINGLE:
-        s = np.add.reduce(w * _MUL[: len(w)], keepdims=True) + np.uint64(len(w))
-    else:
-        n = len(w) - SHINGLE + 1
-        s = w[:n] * _MUL[0]
-        for k in range(1, SHINGLE):
-            s = s + w[k : n + k] * _MUL[k]
-    return np.unique(_mixed(s))
+        return mixed(np.add.reduce(w * _MUL[: len(w)], keepdims=True) + np.uint64(len(w)))
+    n = len(w) - SHINGLE + 1
+    s = w[:n] * _MUL[0]
+    for k in range(1, SHINGLE):
+        s = s + w[k : n + k] * _MUL[k]
+    return mixed(s)
+
+
+def shingles(text: str) -> np.ndarray:
+    """The sorted distinct shingles of a text."""
+    return np.unique(in_order(hashed(text.encode("utf-8", "surrogatepass").lower().split())))
 
 
 def jaccard(a: np.ndarray, b: np.ndarray) -> float:
@@ -96,12 +98,12 @@ def signatures(sets: list[np.ndarray], n: int, seed: int = 1) -> np.ndarray:
     mul = np.random.default_rng(seed).integers(1, 1 << 63, n, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
     out = np.empty((len(sets), n), np.uint16)
     for j in range(n):
-        low = np.minimum.reduceat(_spread(flat, mul[j]), starts)
-        out[:, j] = (_mixed(low) >> np.uint64(48)).astype(np.uint16)
+        low = np.minimum.reduceat(spread(flat, mul[j]), starts)
+        out[:, j] = (mixed(low) >> np.uint64(48)).astype(np.uint16)
     return out
 
 
-def _spread(x: np.ndarray, mul: np.uint64) -> np.ndarray:
+def spread(x: np.ndarray, mul: np.uint64) -> np.ndarray:
     """A keyed order of 64-bit values that a plain product alone would leave too regular."""
     x = x * mul
     x ^= x >> np.uint64(32)

@@ -1,15 +1,19 @@
-"""Substring dedup: paragraphs that repeat across documents.
+"""Substring dedup: paragraphs that repeat across documents, by MinHash banding.
 
-Paragraphs are of two kinds. Lines of at least MIN_WORDS words go through MinHash banding: BANDS bands of ROWS values, so that a pair of
-Jaccard similarity 0.8 collides with probability 0.9968; colliding paragraphs are joined,
-verified by the exact Jaccard similarity of their five-word shingles, and clustered by connected components.
+Paragraphs are of three kinds. Words are as elsewhere, but each letter of a script without spaces is a word by itself.
 
-A passage may also repeat inside lines that differ. For these, texts are cut into sentences (at line breaks, after a lower-case letter with ``.``, ``!`` or ``?``,
-and before words with one capital, so that a passage set into a foreign line is cut off on both sides). Sentences that several documents hold are found by
-their hashes; runs of them of at least RUN_WORDS words in a row are repeated passages, cut where the set of documents that hold
-the sentences changes. Equal pieces are one cluster.
+* lines of at least MIN_WORDS words;
+* blocks of shorter lines that follow each other without a blank or long one between, of at least MIN_WORDS words together;
+* windows of WINDOW_WORDS words anywhere in a text, line breaks or not, for passages that repeat inside lines which differ. Their places follow from the content: of each REACH starts in
+  a row the window with the smallest hash of its first shingle is taken. A passage of PASSAGE_WORDS words has REACH starts, so whatever stands
+  around it, all documents that hold it take one window at least from within it.
 
-In each cluster the smallest document keeps its paragraph and the others lose theirs. Documents that share clusters, directly or over others, are one class.
+Lines and blocks have BANDS bands of ROWS MinHash values (a pair of Jaccard similarity 0.8 collides with probability 0.9968), windows WINDOW_BANDS bands (0.76 for a pair at the threshold, 1 for equal
+ones, and a passage has a window for every REACH / 2 words or so). Colliding paragraphs are joined, verified by the exact Jaccard similarity of their
+five-word shingles, and clustered by connected components.
+
+In each cluster the smallest document keeps its paragraph and the others lose theirs; a window grows first over the words at both its sides that the kept one has too (up to REACH, as far as
+a passage can reach beyond its outermost windows). Documents that share clusters, directly or over others, are one class.
 """
 
 from __future__ import annotations
@@ -24,156 +28,278 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import neardup as N
-from .common import pick, stored, table
+from .common import hot_join, stored, table
 from .line_dedup import NO_DOC, keyed
 
 MIN_WORDS = 40
-#: Words of a run of repeated sentences: a passage of over 50 words, less what its first and last words may share with the text around it.
-RUN_WORDS = 25
-#: Shorter sentences say nothing by themselves: they neither make nor break a run.
-SENTENCE_WORDS = 4
+PASSAGE_WORDS = 51
+WINDOW_WORDS = 34
+WINDOW = WINDOW_WORDS - N.SHINGLE + 1
+REACH = PASSAGE_WORDS - WINDOW_WORDS + 1
 BANDS, ROWS = 8, 3
 VALUES = BANDS * ROWS
-#: Share of equal signature values below which a pair is put aside: five standard deviations under 0.8.
+WINDOW_BANDS = 2
+#: Share of equal signature values below which a pair of lines or blocks is put aside: a pair at the threshold is with probability 1e-6. All pairs of windows are verified.
 FLOOR = 0.375
-#: Documents whose texts are fetched by a broadcast list of keys (24 bytes each) up to this many, by a shuffled join beyond.
-BROADCAST_KEYS = 200_000
-
-_CUT = re.compile(r"\n|(?<=[a-zß-öø-ÿα-ωа-я][.!?])[ \t]+|[ \t]+(?=[A-ZÀ-ÖØ-ÞΑ-ΩА-Я][^A-ZÀ-ÖØ-ÞΑ-ΩА-Я])")
-
-
-def sentences(text: str) -> list[tuple[int, int, int, int, int]]:
-    """(start, end, words, words before it, hash) of the sentences of at least SENTENCE_WORDS words, white space and the case of A-Z put aside."""
-    out, at, before = [], 0, 0
-    for end, after in [*((m.start(), m.end()) for m in _CUT.finditer(text)), (len(text), len(text))]:
-        words = text[at:end].encode("utf-8", "surrogatepass").lower().split()
-        if len(words) >= SENTENCE_WORDS:
-            out.append((at, end, len(words), before, xxhash.xxh3_64_intdigest(b" ".join(words)) - (1 << 63)))
-        before += len(words)
-        at = after
-    return out
-
-
-def long_lines(text: str) -> list[tuple[int, int, int]]:
-    """(start, end, words) of the lines of at least MIN_WORDS words."""
-    out, at = [], 0
-    for line in text.split("\n"):
-        if len(line) >= 2 * MIN_WORDS - 1 and (n := len(line.encode("utf-8", "surrogatepass").split())) >= MIN_WORDS:
-            out.append((at, at + len(line), n))
-        at += len(line) + 1
+#: Words that are taken together in one go of the window kernel.
+GO_WORDS = 1 << 21
+
+#: Letters of scripts that set no spaces between words: Thai, Lao, Burmese, Khmer, Kana, Han.
+_DENSE = "฀-໿က-႟ក-៿぀-ヿ㐀-䶿一-鿿豈-﫿\U00020000-\U0002fa1f"
+_DENSE_ONE = re.compile(f"[{_DENSE}]")
+_TOKEN = re.compile(rf"[{_DENSE}]|[^{_DENSE}\x20\x09-\x0D]+")
+
+
+def tokens(text: str) -> list[bytes]:
+    if _DENSE_ONE.search(text):
+        text = _DENSE_ONE.sub(r" \g<0> ", text)
+    return text.encode("utf-8", "surrogatepass").lower().split()
+
+
+def long_paragraphs(counts: list[int]) -> list[tuple[int, int]]:
+    """(first word, end) of the long lines, and of the blocks of short ones, of a text whose lines have that many words."""
+    out: list[tuple[int, int]] = []
+    at = begin = lines = 0
+    for n in [*counts, 0]:
+        if 0 < n < MIN_WORDS:
+            lines += 1
+        else:
+            if lines > 1 and at - begin >= MIN_WORDS:
+                out.append((begin, at))
+            if n >= MIN_WORDS:
+                out.append((at, at + n))
+            begin, lines = at + n, 0
+        at += n
     return out
 
 
-_UNITS = pa.schema([("line", pa.bool_()), ("doc", pa.int64()), ("fp", pa.int64()), ("idx", pa.int32()), ("start", pa.int32()), ("end", pa.int32()), ("words", pa.int32()), ("at", pa.int32()), ("h", pa.int64()), ("id", pa.binary()), ("sig", pa.binary())])
+def _least(x: np.ndarray, n: int) -> np.ndarray:
+    """The smallest of each n values in a row."""
+    k = 1
+    while 2 * k <= n:
+        x = np.minimum(x[:-k], x[k:])
+        k *= 2
+    return np.minimum(x[: len(x) - (n - k)], x[n - k :]) if n > k else x
+
+
+def windows(shingles: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(which text, first word, ids, bands) of the windows of texts, given their shingles in order: ids as two and bands as WINDOW_BANDS 64-bit values."""
+    sizes = np.array([len(s) for s in shingles])
+    which = np.flatnonzero(sizes >= WINDOW + REACH - 1)
+    if not len(which):
+        none = np.zeros(0, np.int64)
+        return none, none, np.zeros((0, 2), np.uint64), np.zeros((0, WINDOW_BANDS), np.uint64)
+    flat = np.concatenate([shingles[k] for k in which])
+    sizes = sizes[which]
+    begins = np.cumsum(sizes) - sizes
+    order = (N.spread(flat, np.uint64(0xD6E8FEB86659FD93)) & np.uint64(0xFFFFFFFF00000000)) | np.arange(len(flat), dtype=np.uint64)
+    best = (_least(order, REACH) & np.uint64(0xFFFFFFFF)).astype(np.int64)
+    ends = np.zeros(len(flat) + 1, np.int32)  # rows of REACH starts, each with its whole window inside one text
+    np.add.at(ends, begins, 1)
+    np.add.at(ends, begins + sizes - (WINDOW + REACH - 2), -1)
+    at = np.unique(best[np.cumsum(ends)[: len(best)] > 0])
+    sums = []
+    for k in (1, 2):
+        total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(N.mixed(flat * np.uint64(2 * k + 1) + np.uint64(k)), dtype=np.uint64)])
+        sums.append(total[at + WINDOW] - total[at])
+    mul = np.random.default_rng(5).integers(1, 1 << 63, WINDOW_BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+    bands = np.zeros((len(at), WINDOW_BANDS), np.uint64)
+    for j, m in enumerate(mul):
+        bands[:, j // ROWS] = N.mixed(bands[:, j // ROWS] + _least(N.spread(flat, m), WINDOW)[at] + np.uint64(j))
+    text = np.searchsorted(begins, at, "right") - 1
+    return which[text], at - begins[text], np.stack(sums, 1), bands
+
+
+_UNITS = pa.schema([("line", pa.bool_()), ("doc", pa.int64()), ("fp", pa.int64()), ("first", pa.int32()), ("last", pa.int32()), ("id", pa.binary()), ("b0", pa.int64()), ("b1", pa.int64()), ("sig", pa.binary()), ("size", pa.int64())])
+UNITS = "line boolean, doc long, fp long, first int, last int, id binary, b0 long, b1 long, sig binary, size long"
 
 
 def _units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    docs: list[int] = []
+    fps: list[int] = []
+    inside: list[np.ndarray] = []
+    held = 0
     for b in batches:
         for i in range(0, b.num_rows, 500):
             some = b.slice(i, 500)
-            rows: list[tuple] = []
             sets: list[np.ndarray] = []
             places: list[tuple] = []
             for doc, fp, text in zip(*(some.column(k).to_pylist() for k in range(3)), strict=True):
-                rows += [(False, doc, fp, k, *s, None, None) for k, s in enumerate(sentences(text))]
-                for k, (start, end, n) in enumerate(long_lines(text)):
-                    sets.append(N.shingles(text[start:end]))
-                    places.append((True, doc, fp, k, start, end, n, None, None))
+                counts, words = [], []
+                for line in text.split("\n"):
+                    own = tokens(line)
+                    counts.append(len(own))
+                    words += own
+                shingles = N.in_order(N.hashed(words))
+                for first, last in long_paragraphs(counts):
+                    sets.append(np.unique(shingles[first : last - N.SHINGLE + 1]))
+                    places.append((True, doc, fp, first, last))
+                if len(shingles) >= WINDOW + REACH - 1:
+                    docs.append(doc)
+                    fps.append(fp)
+                    inside.append(shingles)
+                    held += len(shingles)
+                if held >= GO_WORDS:
+                    yield _window_rows(docs, fps, inside)
+                    docs, fps, inside, held = [], [], [], 0
             if sets:
-                rows += [(*p, xxhash.xxh3_128_digest(s.tobytes()), g.tobytes()) for p, s, g in zip(places, sets, N.signatures(sets, VALUES), strict=True)]
-            if rows:
+                rows = [(*p, xxhash.xxh3_128_digest(s.tobytes()), None, None, g.tobytes(), len(s)) for p, s, g in zip(places, sets, N.signatures(sets, VALUES), strict=True)]
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), _UNITS, strict=True)], schema=_UNITS)
+    if docs:
+        yield _window_rows(docs, fps, inside)
     N.forget()
 
 
-def repeated_runs(units: DataFrame) -> DataFrame:
-    """id, doc, fp, start, end of the pieces of runs of sentences that several documents hold."""
-    rows = units.where("not line").select("doc", "fp", "idx", "start", "end", "words", "at", "h")
-    known = rows.groupBy("h").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi"), F.count("*").alias("n")).where("lo < hi")
-    rows = rows.join(known, "h").repartition("doc", "fp").dropDuplicates(["doc", "fp", "idx"])
-    order = Window.partitionBy("doc", "fp").orderBy("idx")
-    rows = rows.withColumn("run", F.col("idx") - F.row_number().over(order))
-    in_run = Window.partitionBy("doc", "fp", "run")
-    rows = rows.withColumn("total", F.max(F.col("at") + F.col("words")).over(in_run) - F.min("at").over(in_run)).where(F.col("total") >= RUN_WORDS)
-    before = in_run.orderBy("idx")
-    other = lambda c: F.coalesce(F.col(c) != F.lag(c).over(before), F.lit(True))
-    rows = rows.withColumn("new", (other("lo") | other("hi") | other("n")).cast("int"))
-    rows = rows.withColumn("piece", F.sum("new").over(before))
-    made = rows.groupBy("doc", "fp", "run", "piece").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.sort_array(F.collect_list(F.struct("idx", "h"))).alias("s"))
-    return made.select(F.unhex(F.md5(F.array_join(F.transform("s", lambda x: x["h"].cast("string")), ","))).alias("id"), "doc", "fp", "start", "end")
+def _window_rows(docs: list[int], fps: list[int], shingles: list[np.ndarray]) -> pa.RecordBatch:
+    text, first, ids, bands = windows(shingles)
+    n = len(text)
+    binary = pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer(np.arange(0, 16 * n + 1, 16, dtype=np.int32)), pa.py_buffer(np.ascontiguousarray(ids).tobytes())])
+    cols = [pa.array(np.zeros(n, bool)), pa.array(np.array(docs, np.int64)[text]), pa.array(np.array(fps, np.int64)[text]), pa.array(first.astype(np.int32)), pa.array((first + WINDOW_WORDS).astype(np.int32)), binary]
+    cols += [pa.array(np.ascontiguousarray(bands[:, k]).view(np.int64)) for k in range(WINDOW_BANDS)]
+    return pa.RecordBatch.from_arrays([*cols, pa.nulls(n, pa.binary()), pa.array(np.full(n, WINDOW, np.int64))], schema=_UNITS)
 
 
-def similar_lines(units: DataFrame, texts: DataFrame) -> DataFrame:
-    """id, doc, fp, start, end of the long lines; id is the root of the line's component, or its own."""
-    lines = units.where("line").select("id", "sig", "doc", "fp", "start", "end", "words")
-    nodes = stored(lines.groupBy("id").agg(F.min("sig").alias("sig"), F.max("words").alias("size"), F.min(F.struct("doc", "fp", "start", "end")).alias("at")), "passage_nodes")
-    bands = nodes.select("id", "sig", F.explode(F.sequence(F.lit(0), F.lit(BANDS - 1))).alias("tree"))
-    bands = bands.select(F.xxhash64("tree", F.substring("sig", F.col("tree") * (2 * ROWS) + 1, F.lit(2 * ROWS))).alias("bucket"), "tree", "id")
+def _unit_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        for text, asked in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            words = tokens(text)
+            texts = [b" ".join(words[x["first"] : x["last"]]).decode("utf-8", "surrogatepass") for x in asked]
+            yield pa.RecordBatch.from_arrays([pa.array([x["id"] for x in asked], pa.binary()), pa.array(texts, pa.string())], names=["id", "text"])
+
+
+def clustered(units: DataFrame, texts: DataFrame, bands: DataFrame, layout: tuple[int, int, int], floor: float) -> DataFrame:
+    """doc, fp, first, last and root of units (doc, fp, first, last, id, sig, size): the root of the component of verified links that id is in, or id itself. bands: bucket, tree, id."""
+    nodes = stored(units.groupBy("id").agg(F.min("sig").alias("sig"), F.min("size").alias("size"), F.min(F.struct("doc", "fp", "first", "last")).alias("at"), F.count("*").alias("n")), "passage_nodes")
 
     def texts_of(ids: DataFrame) -> DataFrame:
-        needed = stored(ids.join(nodes, "id").select("id", F.col("at.doc").alias("doc"), F.col("at.fp").alias("fp"), F.col("at.start").alias("start"), F.col("at.end").alias("end")), "passage_needed")
-        per = needed.groupBy("doc", "fp").agg(F.collect_list(F.struct("id", "start", "end")).alias("x"))
-        per = F.broadcast(per) if needed.count() <= BROADCAST_KEYS else per.hint("merge")
-        items = texts.join(per, ["doc", "fp"]).select("text", F.explode("x").alias("x"))
-        return items.select("x.id", F.substring("text", F.col("x.start") + 1, F.col("x.end") - F.col("x.start")).alias("text")).dropDuplicates(["id"])
+        needed = ids.join(nodes, "id").select("id", "at.*")
+        per = stored(needed.groupBy("doc", "fp").agg(F.collect_list(F.struct("id", "first", "last")).alias("asked")), "passage_needed")
+        return texts.join(per, ["doc", "fp"]).select("text", "asked").mapInArrow(_unit_texts, "id binary, text string").dropDuplicates(["id"])
 
-    links, _ = N.near_links(bands, nodes, texts_of, FLOOR, (BANDS, ROWS, ROWS))
-    return lines.join(N.components(links), "id", "left").select(F.coalesce("root", "id").alias("id"), "doc", "fp", "start", "end")
+    links, _, _ = N.near_links(bands, nodes, texts_of, floor, layout)
+    roots = stored(nodes.select("id", "n").join(N.components(links), "id", "left").select("id", F.coalesce("root", "id").alias("root"), "n"), "passage_roots")
+    return hot_join(units.select("id", "doc", "fp", "first", "last"), roots, "id").select("doc", "fp", "first", "last", "root")
 
 
-def found(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(rows, repeats): the rows of docs under their keys, and id, keep (the document that keeps it), doc, fp, start, end of each repeated paragraph.
+def similar_lines(units: DataFrame, texts: DataFrame) -> DataFrame:
+    """The lines and blocks, clustered."""
+    lines = units.where("line")
+    trees = lines.select("id", "sig").dropDuplicates(["id"]).select("id", "sig", F.explode(F.sequence(F.lit(0), F.lit(BANDS - 1))).alias("tree"))
+    bands = trees.select(F.xxhash64("tree", F.substring("sig", F.col("tree") * (2 * ROWS) + 1, F.lit(2 * ROWS))).alias("bucket"), "tree", "id")
+    return clustered(lines, texts, bands, (BANDS, ROWS, ROWS), FLOOR)
 
-    Null and empty texts have no paragraphs. Rows of one doc_id are one document; a null doc_id is one of its own, smaller than all others.
-    """
-    texts = keyed(docs)
-    units = stored(texts.select("doc", "fp", "text").mapInArrow(_units, "line boolean, doc long, fp long, idx int, start int, `end` int, words int, at int, h long, id binary, sig binary"), "passage_units")
-    spans = stored(repeated_runs(units).unionByName(similar_lines(units, texts.select("doc", "fp", "text"))), "passage_spans")
-    held = spans.groupBy("id").agg(F.min("doc").alias("keep"), F.max("doc").alias("last")).where("keep < last").drop("last")
-    return texts, stored(spans.join(held, "id"), "passage_repeats")
 
+def similar_windows(units: DataFrame, texts: DataFrame) -> DataFrame:
+    """The windows that share a band with one of another document, clustered."""
+    of = F.inline(F.array(F.struct(F.lit(0).alias("tree"), F.col("b0").alias("bucket")), F.struct(F.lit(1).alias("tree"), F.col("b1").alias("bucket"))))
+    seen = units.where("not line").select("doc", of).groupBy("bucket").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi")).where("lo < hi")
+    seen = stored(seen.select("bucket"), "passage_bands")
+    sig = F.unhex(F.concat(*[F.lpad(F.hex(c), 16, "0") for c in ("b0", "b1")])).alias("sig")
+    met = units.where("not line").select("doc", "fp", "first", "last", "id", "size", sig, of).join(seen, "bucket", "left_semi")
+    met = stored(met, "passage_met")
+    found = stored(met.groupBy("doc", "fp", "first", "last", "id", "size", "sig").agg(F.lit(1).alias("one")).drop("one"), "passage_windows")
+    return clustered(found, texts, met.select("bucket", "tree", "id").distinct(), (WINDOW_BANDS, 4, 4), 0.0)
 
-def without_repeats(docs: DataFrame) -> DataFrame:
-    """doc_id and text without the repeated paragraphs that a smaller document keeps."""
-    texts, repeats = found(docs)
-    gone = repeats.where("doc > keep").groupBy("doc", "fp").agg(F.sort_array(F.collect_set(F.struct("start", "end"))).alias("gone"))
 
-    @F.pandas_udf("string")
-    def cut(text, gone):
-        return text.combine(gone, _without)
+def found(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(rows, repeats): the rows of docs under their keys, and keep (the document that keeps it), doc, fp, start, end (code points) of each repeated paragraph.
 
-    rows = texts.join(gone, ["doc", "fp"], "left")
-    return rows.select("doc_id", F.when(F.col("gone").isNull(), F.col("text")).otherwise(cut("text", "gone")).alias("text"))
+    Null and empty texts have no paragraphs. Rows of one doc_id are one document; a null doc_id is one of its own, smaller than all others.
+    """
+    rows = keyed(docs)
+    texts = rows.select("doc", "fp", "text")
+    units = stored(texts.mapInArrow(_units, UNITS), "passage_units")
+    spans = similar_lines(units, texts).withColumn("line", F.lit(True)).unionByName(similar_windows(units, texts).withColumn("line", F.lit(False)))
+    spans = stored(spans.withColumn("root", F.when(F.col("line"), F.concat(F.lit(b"l"), "root")).otherwise(F.concat(F.lit(b"w"), "root"))), "passage_spans")
+    held = spans.groupBy("root").agg(F.min(F.struct("doc", "fp", "first")).alias("kept"), F.max("doc").alias("hi"), F.count("*").alias("n")).where("kept.doc < hi").drop("hi")
+    spans = hot_join(spans, stored(held, "passage_held"), "root")
+    per = stored(spans.groupBy("doc", "fp").agg(F.collect_list(F.struct("root", "line", "kept", "first", "last")).alias("asked")), "passage_asked")
+    placed = stored(texts.join(per, ["doc", "fp"]).select("doc", "fp", "text", "asked").mapInArrow(_placed, PLACED), "passage_placed")
+    kept = placed.where("not line and own").groupBy("root").agg(F.min("before").alias("kept_before"), F.min("after").alias("kept_after"))
+    others = placed.where("not line and not own").groupBy("root").agg(F.count("*").alias("n"))
+    kept = stored(kept.join(others, "root"), "passage_contexts")
+    grown = hot_join(placed.where("not line and not own"), kept, "root").select("keep", "doc", "fp", "start", "end", "before", "after", "kept_before", "kept_after").mapInArrow(_grown, "keep long, doc long, fp long, start int, `end` int")
+    return rows, stored(placed.where("line or own").select("keep", "doc", "fp", "start", "end").unionByName(grown).distinct(), "passage_repeats")
+
+
+_PLACED = pa.schema([("root", pa.binary()), ("line", pa.bool_()), ("own", pa.bool_()), ("keep", pa.int64()), ("doc", pa.int64()), ("fp", pa.int64()), ("start", pa.int32()), ("end", pa.int32()), ("before", pa.string()), ("after", pa.string())])
+PLACED = "root binary, line boolean, own boolean, keep long, doc long, fp long, start int, `end` int, before string, after string"
+
+
+def _placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Units with their places in code points, and windows with the REACH words at both sides; own: this is the unit that is kept."""
+    for b in batches:
+        for doc, fp, text, asked in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            at = [m.span() for m in _TOKEN.finditer(text)]
+            rows = []
+            for x in asked:
+                first, last = x["first"], x["last"]
+                start, end = at[first][0], at[last - 1][1]
+                kept = x["kept"]
+                sides = (None, None) if x["line"] else (text[at[max(0, first - REACH)][0] : start], text[end : at[min(len(at), last + REACH) - 1][1]])
+                rows.append((x["root"], x["line"], (kept["doc"], kept["fp"], kept["first"]) == (doc, fp, first), kept["doc"], doc, fp, start, end, *sides))
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), _PLACED, strict=True)], schema=_PLACED)
+
+
+def _grown(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Windows with the words at both sides that the kept window has there too."""
+    low = lambda t: t.encode("utf-8", "surrogatepass").lower()
+    for b in batches:
+        rows = []
+        for keep, doc, fp, start, end, before, after, kept_before, kept_after in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            own, other = list(_TOKEN.finditer(before)), _TOKEN.findall(kept_before)
+            k = 0
+            while k < min(len(own), len(other)) and low(own[-1 - k][0]) == low(other[-1 - k]):
+                k += 1
+            if k:
+                start -= len(before) - own[-k].start()
+            own, other = list(_TOKEN.finditer(after)), _TOKEN.findall(kept_after)
+            k = 0
+            while k < min(len(own), len(other)) and low(own[k][0]) == low(other[k]):
+                k += 1
+            if k:
+                end += own[k - 1].end()
+            rows.append((keep, doc, fp, start, end))
+        cols = zip(*rows, strict=True) if rows else [()] * 5
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, [pa.int64()] * 3 + [pa.int32()] * 2, strict=True)], names=["keep", "doc", "fp", "start", "end"])
+
+
+def places(repeats: DataFrame) -> DataFrame:
+    """doc, fp, repeated and gone: the places of repeated paragraphs of each text, and of those that a smaller document keeps, overlapping ones as one."""
+    both = repeats.select("doc", "fp", "start", "end", F.explode(F.when(F.col("doc") > F.col("keep"), F.array(F.lit(False), F.lit(True))).otherwise(F.array(F.lit(False)))).alias("goes")).distinct()
+    order = Window.partitionBy("doc", "fp", "goes").orderBy("start", "end")
+    before = F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    both = both.withColumn("new", F.coalesce(F.col("start") >= before, F.lit(True)).cast("int"))
+    both = both.withColumn("part", F.sum("new").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    parts = both.groupBy("doc", "fp", "goes", "part").agg(F.min("start").alias("start"), F.max("end").alias("end"))
+    at = lambda goes: F.sort_array(F.collect_list(F.when(F.col("goes") == goes, F.struct("start", "end"))))
+    return parts.groupBy("doc", "fp").agg(at(False).alias("repeated"), at(True).alias("gone"))
 
 
-def _without(text: str, spans) -> str:
-    out, at = [], 0
-    for s in [] if spans is None else spans:
-        if s["end"] > at:
-            out.append(text[at : max(at, s["start"])])
-            at = s["end"]
-    return "".join([*out, text[at:]])
+def without_repeats(docs: DataFrame) -> DataFrame:
+    """doc_id and text without the repeated paragraphs that a smaller document keeps. Nulls and empty texts stay as they are."""
+    rows, repeats = found(docs)
+    gone = stored(places(repeats).where("size(gone) > 0").select("doc", "fp", "gone"), "passage_gone")
+    from_ = lambda k: F.when(k == 0, 1).otherwise(F.get("gone", k - 1)["end"] + 1)
+    pieces = F.transform("gone", lambda x, k: F.substring("text", from_(k), x["start"] + 1 - from_(k)))
+    left = F.concat(F.array_join(pieces, ""), F.substring("text", F.element_at("gone", -1)["end"] + 1, F.length("text")))
+    return rows.join(gone, ["doc", "fp"], "left").select("doc_id", F.when(F.col("gone").isNull(), F.col("text")).otherwise(left).alias("text"))
 
 
 def classes(docs: DataFrame) -> DataFrame:
-    """One row for each row of docs: doc_id, class_id (the smallest doc_id of its class), n_repeated (its paragraphs that other documents hold), n_removed (those of them that a smaller document keeps) and removed (their places, start:end in code points)."""
-    texts, repeats = found(docs)
-    node = lambda c: F.encode(F.concat(F.lit("d"), F.col(c).cast("string")), "utf-8")
-    edges = repeats.select(node("doc").alias("a"), F.col("id").alias("b")).distinct()
-    roots = N.components(edges)
-    docs_of = stored(edges.select("a").distinct().join(roots, F.col("a") == F.col("id")).select(F.substring(F.decode("a", "utf-8"), 2, 30).cast("long").alias("doc"), "root"), "passage_docs")
-    first = docs_of.groupBy("root").agg(F.min("doc").alias("first"))
-    of = docs_of.join(first, "root").select("doc", "first")
-    per = repeats.groupBy("doc", "fp").agg(
-        F.size(F.collect_set(F.struct("start", "end"))).cast("long").alias("n_repeated"),
-        F.sort_array(F.collect_set(F.when(F.col("doc") > F.col("keep"), F.struct("start", "end")))).alias("gone"),
-    )
-    rows = texts.select("doc_id", "doc", "fp").join(per, ["doc", "fp"], "left").join(of, "doc", "left")
-    root = F.coalesce("first", "doc")
+    """One row for each row of docs: doc_id, class_id (the smallest doc_id of its class), n_repeated (its places that other documents hold, overlapping ones as one), n_removed (those that a smaller document keeps) and removed (the latter, start:end in code points)."""
+    rows, repeats = found(docs)
+    # an order-keeping binary form of a document's number
+    node = lambda c: F.unhex(F.lpad(F.hex(F.col(c).bitwiseXOR(F.lit(NO_DOC))), 16, "0"))
+    edges = repeats.where("doc <> keep").select(node("doc").alias("a"), node("keep").alias("b")).distinct()
+    number = lambda c: F.conv(F.hex(c), 16, -10).cast("long").bitwiseXOR(F.lit(NO_DOC))
+    of = N.components(edges).select(number("id").alias("doc"), number("root").alias("root"))
+    rows = rows.select("doc_id", "doc", "fp").join(places(repeats), ["doc", "fp"], "left").join(of, "doc", "left")
+    root = F.coalesce("root", "doc")
     return rows.select(
         "doc_id",
         F.when(root != NO_DOC, root).alias("class_id"),
-        F.coalesce("n_repeated", F.lit(0)).alias("n_repeated"),
+        F.coalesce(F.size("repeated"), F.lit(0)).cast("long").alias("n_repeated"),
         F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias("n_removed"),
         F.coalesce(F.array_join(F.transform("gone", lambda x: F.concat_ws(":", x["start"].cast("string"), x["end"].cast("string"))), ","), F.lit("")).alias("removed"),
     )

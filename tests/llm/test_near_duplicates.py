@@ -1,4 +1,5 @@
 import random
+import re
 from collections import Counter
 
 import numpy as np
@@ -212,9 +213,85 @@ def test_similar_lines_in_a_crowd(spark):
         line = edited(base, 2, k)
         rows += [(2 * k, f"{line}\n{prose(500 + k, 20)}"), (2 * k + 1, f"{edited(line, 2, 1000 + k)}\n{prose(800 + k, 20)}")]
     lines = {d: t.split("\n")[0] for d, t in rows}
-    units = P.keyed(spark.createDataFrame(rows, "doc_id long, text string"))
-    made = units.select("doc", "fp", "text").mapInArrow(P._units, "line boolean, doc long, fp long, idx int, start int, `end` int, words int, at int, h long, id binary, sig binary")
-    roots = {r.doc: bytes(r.id) for r in P.similar_lines(made, units.select("doc", "fp", "text")).collect()}
+    texts = P.keyed(spark.createDataFrame(rows, "doc_id long, text string")).select("doc", "fp", "text")
+    roots = {r.doc: bytes(r.root) for r in P.similar_lines(texts.mapInArrow(P._units, P.UNITS), texts).collect()}
     sets = {d: grams(t) for d, t in lines.items()}
     pairs = [(a, b) for a in sets for b in sets if a < b and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
     assert len(pairs) >= 60 and sum(roots[a] == roots[b] for a, b in pairs) >= 0.98 * len(pairs)
+
+
+def common_runs(a, b, least):
+    """(i, j, n): the maximal runs of at least least equal words of a from i and b from j on."""
+    out, last = [], {}
+    for i in range(len(a)):
+        now = {}
+        for j in range(len(b)):
+            if a[i] == b[j]:
+                now[j] = last.get(j - 1, 0) + 1
+                if now[j] >= least and (i + 1 == len(a) or j + 1 == len(b) or a[i + 1] != b[j + 1]):
+                    out.append((i + 1 - now[j], j + 1 - now[j], now[j]))
+        last = now
+    return out
+
+
+def words_in(text, removed):
+    """Which words of a text lie in the places."""
+    spans = [tuple(map(int, x.split(":"))) for x in removed.split(",") if x]
+    return [any(s <= m.start() and m.end() <= e for s, e in spans) for m in P._TOKEN.finditer(text)]
+
+
+def test_every_common_run_of_51_words_is_found(spark):
+    """Against all pairs: passages beside shared sentences, at ends, in pieces, wrapped anew, and in texts without capitals, stops or spaces."""
+    r = random.Random(11)
+    plain = lambda k, n: re.sub("[.]", "", prose(k, n)).lower()
+    han = lambda k, n: "".join(chr(0x4E00 + random.Random(1000 * k + i).randrange(3000)) for i in range(n))
+    rows = [(i, prose(100 + i, r.randint(60, 200))) for i in range(40)]
+    for k in range(12):
+        passage, near, tail = plain(300 + k, r.randint(51, 60)), prose(400 + k, 30), plain(500 + k, 52)
+        one, two, three = r.sample(range(40), 3)
+        put = lambda i, t: rows.__setitem__(i, (i, f"{rows[i][1]} {t} {prose(600 + 40 * k + i, 12)}"))  # noqa: B023, E731
+        put(one, f"{near} {passage} {tail}")
+        put(two, f"{near} {passage} {prose(900 + k, 9)} {tail}")
+        put(three, passage.replace(" ", "\n" if k % 2 else " \t"))
+    rows += [(50 + i, han(i, 40) + han(99, 55) + han(i + 10, 40)) for i in range(2)] + [(60, plain(1, 51)), (61, "x " * 3 + plain(1, 51)), (62, "same word " * 300), (63, "same word " * 200)]
+    got = passages(spark.createDataFrame(rows, "doc_id long, text string"))
+    texts = dict(rows)
+    words = {d: P.tokens(t) for d, t in rows}
+    linked = set()
+    for a in words:
+        for b in words:
+            if a < b and (runs := common_runs(words[a], words[b], 51)):
+                linked |= {a, b}
+                assert got[a].class_id == got[b].class_id and got[a].n_repeated and got[b].n_removed, (a, b)
+                if b < 50:
+                    gone = words_in(texts[b], got[b].removed)
+                    assert all(all(gone[j + 18 : j + n - 18]) for _, j, n in runs)
+    assert {60, 61, 62, 63, 50, 51} < linked and len(linked) > 25
+    near = {(a, b) for a in words for b in words if a < b and common_runs(words[a], words[b], 25)}
+    alone = set(words) - {x for p in near for x in p}
+    assert len(alone) > 2 and all(got[d].class_id == d and got[d].n_repeated == 0 for d in alone)
+
+
+def test_whole_passages_go(spark):
+    passage = prose(77, 60)
+    rows = [(i, f"{prose(700 + i, 80)} {passage} {prose(800 + i, 80)}") for i in range(5)]
+    got = passages(spark.createDataFrame(rows, "doc_id long, text string"))
+    for i, text in rows:
+        spans = [tuple(map(int, x.split(":"))) for x in got[i].removed.split(",") if x]
+        assert [text[s:e] for s, e in spans] == ([passage] if i else []) and got[i].n_repeated == 1
+
+
+def test_near_copies_of_wrapped_paragraphs(spark):
+    wrapped = lambda t, n: "\n".join(" ".join(t.split()[i : i + n]) for i in range(0, len(t.split()), n))
+    rows = []
+    for k in range(10):
+        base = prose(40 + k, 160)
+        rows += [(2 * k, f"{prose(60 + k, 8)}\n\n{wrapped(base, 12)}\n\n{prose(80 + k, 9)}"), (2 * k + 1, f"{wrapped(edited(base, 3, k), 9)}\n\n{prose(90 + k, 9)}")]
+    got = passages(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert all(got[2 * k + 1].class_id == 2 * k and got[2 * k + 1].n_removed == 1 and got[2 * k].n_removed == 0 for k in range(10))
+
+
+def test_paragraphs_of_lines():
+    assert P.long_paragraphs([50, 3, 3, 0, 20, 20, 0, 39, 40, 12, 30]) == [(0, 50), (56, 96), (135, 175), (175, 217)]
+    assert P.long_paragraphs([]) == [] and P.long_paragraphs([39]) == []
+    assert P.tokens("Ab 日本語 c") == [b"ab", *(c.encode() for c in "日本語"), b"c"]
