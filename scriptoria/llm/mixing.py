@@ -2,15 +2,14 @@
 
 The words of a source's documents, laid end to end in a pseudorandom document order, are cut into
 blocks of ``BLOCK_WORDS``. A source's target, in words, gives the number of slots that it
-fills. Slots are dealt to output shards: the source counts of a shard are a multinomial
-draw given the totals (a multivariate hypergeometric one), made by halving the range of shards, so that any
-executor finds the counts and first slots of a shard by itself in log2(shards) steps. Slot j of a source
+fills. Slots are dealt to output shards: a source's counts over the shards are a multinomial draw of its slots, made by halving the range of shards, each half
+getting a binomial share, so that any executor finds the shards of any range of slots by itself in log2(shards) steps. Shards hold ``SHARD_SLOTS``
+slots on average. Slot j of a source
 reads block P(j mod blocks), P being that source's own permutation for the epoch j div blocks: a keyed
 Feistel network walked until it stays among the blocks. The drawn slots are joined to the blocks by index.
 
 No target is above ``MAX_REPEATS`` times its source, so no block is taken more often than that.
-Everything is keyed by ``seed``; reruns agree. One row for each source reaches the driver (a mixture
-names its sources); nothing else does.
+Everything is keyed by ``seed``; reruns agree. Sources are rows of a table throughout, however many there are; only sums over all of them reach the driver.
 """
 
 from __future__ import annotations
@@ -23,31 +22,42 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import pick, stored, table, words
+from .common import hot_join, pick, stored, table, words
 
 BLOCK_WORDS = 64
 SHARD_SLOTS = 4096
 BUCKET_DOCS = 1000
 MAX_REPEATS = 3
 WEIGHTS = (5, 2, 1)
-#: numpy draws hypergeometric counts below this; larger ranges of shards are halved in proportion, where chance is far below a slot in a thousand.
-DRAWN = 500_000_000
-
-
-def targets(sizes: dict[str | None, int], weights: tuple = WEIGHTS, most: int = MAX_REPEATS) -> dict[str | None, float]:
-    """Words to take from each source: all words shared by weight; a target stops at most times its source and its excess is shared again."""
-    order = sorted(sizes, key=lambda s: (s is None, s or ""))
-    weight = {s: weights[i % len(weights)] for i, s in enumerate(order)}
-    total, out, open_ = float(sum(sizes.values())), {}, list(order)
-    while open_:
-        left = total - sum(out.values())
-        share = {s: left * weight[s] / sum(weight[x] for x in open_) for s in open_}
-        full = [s for s in open_ if share[s] > most * sizes[s]]
-        if not full:
-            return out | share
-        out |= {s: float(most * sizes[s]) for s in full}
-        open_ = [s for s in open_ if s not in out]
-    return out
+#: Slots that are drawn together.
+DRAW_SLOTS = 1 << 16
+
+
+def in_rank(rows: DataFrame) -> DataFrame:
+    """Sources (src, source, n) with rank, from 0, by code point and null last. Only the sizes of range partitions are summed in one place."""
+    order = [F.col("source").isNull().cast("int"), F.col("source")]
+    parts = rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("part", F.spark_partition_id())
+    parts = stored(parts, "mix_ranges")
+    base = parts.groupBy("part").agg(F.count("*").alias("n")).select("part", F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("base"))
+    inside = F.row_number().over(Window.partitionBy("part").orderBy(*order))
+    return parts.withColumn("inside", inside).join(base, "part").withColumn("rank", F.col("base") + F.col("inside") - 1).drop("part", "base", "inside")
+
+
+def targeted(sources: DataFrame, weights: tuple = WEIGHTS, most: int = MAX_REPEATS) -> DataFrame:
+    """Sources (src, source, n words, ...) with target, the words to take: all words shared by weight; a target stops at most times its source and its excess is shared again.
+
+    All targets below their limit are one level times their weight; the level rises until none is above. Sums over all sources reach the driver.
+    """
+    rows = stored(in_rank(sources).withColumn("w", F.element_at(F.array(*[F.lit(float(x)) for x in weights]), (F.col("rank") % len(weights) + 1).cast("int"))), "mix_weights")
+    total = rows.agg(F.sum("n")).first()[0] or 0
+    level, full = 0.0, -1
+    while True:
+        over = F.lit(most) * F.col("n") < F.col("w") * level
+        at = rows.agg(F.count_if(over).alias("full"), F.sum(F.when(over, most * F.col("n")).otherwise(0)).alias("held"), F.sum(F.when(over, 0.0).otherwise(F.col("w"))).alias("open")).first()
+        if at.full == full or not at.open:
+            break
+        level, full = (total - at.held) / at.open, at.full
+    return rows.withColumn("target", F.least(F.lit(float(most)) * F.col("n"), F.col("w") * level)).drop("w", "rank")
 
 
 def _seed(*parts) -> int:
@@ -75,22 +85,21 @@ def permuted(at: np.ndarray, n: int, key: int) -> np.ndarray:
     return out.astype(np.int64)
 
 
-def shard_counts(totals: np.ndarray, shards: int, shard: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
-    """Of each source, the slots in one output shard and those in all shards before it."""
-    lo, hi, own, before = 0, shards, totals.astype(np.int64), np.zeros(len(totals), np.int64)
-    while hi - lo > 1:
+def shards_of(first: int, last: int, total: int, shards: int, key: int) -> np.ndarray:
+    """The shards of the slots first to last - 1 of a source of total slots: shard s holds the slots after those of the shards before it, as many as the draw gives it."""
+    out = np.empty(last - first, np.int64)
+    todo = [(0, shards, 0, total)]  # a range of shards, and the slots that it holds
+    while todo:
+        lo, hi, a, b = todo.pop()
+        if b <= first or a >= last:
+            continue
+        if hi - lo == 1:
+            out[max(a, first) - first : min(b, last) - first] = lo
+            continue
         mid = (lo + hi) // 2
-        n = int(own.sum()) * (mid - lo) // (hi - lo)
-        rng = np.random.default_rng([seed & 0xFFFFFFFF, lo, hi])
-        if own.sum() < DRAWN:
-            left = rng.multivariate_hypergeometric(own, n, method="marginals")
-        else:
-            left = np.minimum(own, np.floor(own * ((mid - lo) / (hi - lo)) + rng.random(len(own))).astype(np.int64))
-        if shard < mid:
-            hi, own = mid, left
-        else:
-            lo, own, before = mid, own - left, before + left
-    return own, before
+        left = a + int(np.random.Generator(np.random.Philox(key=_seed(key, lo, hi))).binomial(b - a, (mid - lo) / (hi - lo)))
+        todo += [(lo, mid, a, left), (mid, hi, left, b)]
+    return out
 
 
 def sized(docs: DataFrame) -> DataFrame:
@@ -105,41 +114,40 @@ def sized(docs: DataFrame) -> DataFrame:
 
 
 def laid_out(rows: DataFrame) -> DataFrame:
-    """rows with off, the words before a document in its source. Sums run over buckets of about BUCKET_DOCS documents first, so no source meets in one task but as one row for each bucket."""
+    """rows with off, the words before a document in its source. Sums run over buckets of about BUCKET_DOCS documents and over groups of BUCKET_DOCS buckets first, so a source meets in one task as one row for each million of all documents."""
     n = rows.count()
     rows = rows.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "fp"), F.lit(max(1, -(-n // BUCKET_DOCS)))))
-    over = Window.partitionBy("src").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    base = rows.groupBy("src", "bucket").agg(F.sum("size").alias("w")).select("src", "bucket", F.coalesce(F.sum("w").over(over), F.lit(0)).alias("base"))
-    inside = Window.partitionBy("src", "bucket").orderBy("doc_id", "fp").rowsBetween(Window.unboundedPreceding, -1)
-    rows = rows.withColumn("inner", F.coalesce(F.sum("size").over(inside), F.lit(0)))
+    before = lambda keys, order: Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    summed = lambda w, over: F.coalesce(F.sum(w).over(over), F.lit(0))
+    buckets = stored(rows.groupBy("src", "bucket").agg(F.sum("size").alias("w")).withColumn("group", F.floor(F.col("bucket") / BUCKET_DOCS)), "mix_buckets")
+    groups = buckets.groupBy("src", "group").agg(F.sum("w").alias("w")).select("src", "group", summed("w", before(["src"], ["group"])).alias("base"))
+    base = buckets.withColumn("part", summed("w", before(["src", "group"], ["bucket"]))).join(groups, ["src", "group"]).select("src", "bucket", (F.col("base") + F.col("part")).alias("base"))
+    rows = rows.withColumn("inner", summed("size", before(["src", "bucket"], ["doc_id", "fp"])))
     return rows.join(base, ["src", "bucket"]).withColumn("off", F.col("base") + F.col("inner")).drop("bucket", "base", "inner")
 
 
-def drawn_slots(spark: SparkSession, sizes: dict[str, int], want: dict[str, float], seed: int = 0, block: int = BLOCK_WORDS) -> DataFrame:
-    """Every slot of the mix: shard, place in it, source key and block index."""
-    keys = sorted(s for s in sizes if sizes[s] > 0)
-    blocks = np.array([-(-sizes[s] // block) for s in keys], np.int64)
-    slots = np.array([min(MAX_REPEATS * b, round(want[s] * int(b) / sizes[s])) for s, b in zip(keys, blocks, strict=True)], np.int64)
-    shards = max(1, -(-int(slots.sum()) // SHARD_SLOTS))
+def drawn_slots(sources: DataFrame, seed: int = 0, block: int = BLOCK_WORDS) -> DataFrame:
+    """Every slot of the mix from sources (src, n words, target): shard, place (a pseudorandom number that orders a shard's slots), src and the block's idx."""
+    blocks = F.ceil(F.col("n") / block)
+    slots = F.least(F.lit(MAX_REPEATS) * blocks, F.round(F.col("target") * blocks / F.col("n")).cast("long"))
+    known = stored(sources.where("n > 0").select("src", blocks.alias("blocks"), slots.alias("slots")).where("slots > 0"), "mix_slots")
+    total = known.agg(F.sum("slots")).first()[0] or 0
+    shards = max(1, -(-total // SHARD_SLOTS))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for shard in (int(x) for b in batches for x in b["id"]):
-            count, before = shard_counts(slots, shards, shard, seed) if len(slots) else (slots, slots)
-            src, idx = [], []
-            for k in np.flatnonzero(count):
-                j = np.arange(before[k], before[k] + count[k])
-                at = np.empty(len(j), np.int64)
-                for epoch in np.unique(j // blocks[k]):
-                    own = j // blocks[k] == epoch
-                    at[own] = permuted(j[own] % blocks[k], int(blocks[k]), _seed(seed, keys[k], epoch))
-                src += [keys[k]] * len(j)
-                idx.append(at)
-            n = len(src)
-            place = np.random.default_rng([seed & 0xFFFFFFFF, shard]).permutation(n)
-            yield pd.DataFrame({"shard": np.full(n, shard), "place": place, "src": pd.Series(src, dtype=object), "idx": np.concatenate(idx) if idx else np.zeros(0, np.int64)})
-
-    tasks = max(1, min(shards, -(-shards // 8), 10_000))
-    return spark.range(0, shards, 1, tasks).mapInPandas(run, "shard long, place long, src string, idx long")
+        for b in batches:
+            for src, blocks, slots, go in b.itertuples(index=False):
+                j = np.arange(go * DRAW_SLOTS, min(slots, (go + 1) * DRAW_SLOTS))
+                idx = np.empty(len(j), np.int64)
+                for epoch in np.unique(j // blocks):
+                    own = j // blocks == epoch
+                    idx[own] = permuted(j[own] % blocks, int(blocks), _seed(seed, src, epoch))
+                shard = shards_of(int(j[0]), int(j[-1]) + 1, int(slots), shards, _seed(seed, src))
+                yield pd.DataFrame({"shard": shard, "place": permuted(j, 1 << 62, _seed(seed, src, "place")), "src": src, "idx": idx})
+
+    goes = known.select("src", "blocks", "slots", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("slots") - 1) / DRAW_SLOTS))).alias("go"))
+    tasks = max(1, min(-(-total // DRAW_SLOTS), 10_000))
+    return goes.repartition(tasks, "src", "go").mapInPandas(run, "shard long, place long, src string, idx long")
 
 
 def mixed(docs: DataFrame, seed: int = 0, block: int = BLOCK_WORDS) -> tuple[DataFrame, DataFrame]:
@@ -147,17 +155,12 @@ def mixed(docs: DataFrame, seed: int = 0, block: int = BLOCK_WORDS) -> tuple[Dat
     and each of its blocks, the words it has there (own), from its word first on, and how often the mix takes them (times).
 
     Null and empty texts have size 0 and are never taken. Rows that repeat count each. A null source is
-    a source of its own, the last.
+    a source of its own, the last. An empty table gives empty results.
     """
-    spark = docs.sparkSession
     rows = stored(laid_out(stored(sized(docs), "mix_sizes")), "mix_rows")
-    names = {r.src: (r.source, r.n) for r in rows.groupBy("src", "source").agg(F.sum("size").alias("n")).collect()}
-    want = targets({s: n for s, n in names.values()})
-    by_key = {k: want[s] for k, (s, _) in names.items()}
-    slots = drawn_slots(spark, {k: n for k, (_, n) in names.items()}, by_key, seed, block)
-    taken = slots.groupBy("src", "idx").agg(F.count("*").alias("times"))
-    known = spark.createDataFrame([(k, n, float(by_key[k])) for k, (_, n) in names.items()], "src string, source_size long, target double")
-    rows = rows.join(F.broadcast(known), "src")  # one row for each source
+    sources = stored(targeted(rows.groupBy("src", "source").agg(F.sum("size").alias("n"), F.count("*").alias("docs"))), "mix_sources")
+    taken = drawn_slots(sources, seed, block).groupBy("src", "idx").agg(F.count("*").alias("times"))
+    rows = hot_join(rows, sources.select("src", F.col("n").alias("source_size"), "target", F.col("docs").alias("n")), "src")
     parts = rows.where("size > 0").select(
         "src", "doc_id", "fp", "off", "size", F.explode(F.sequence(F.floor(F.col("off") / block), F.floor((F.col("off") + F.col("size") - 1) / block))).alias("idx")
     )

@@ -10,7 +10,7 @@ import re
 from collections.abc import Callable
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import decontamination, mixing, ngram_join, quality
@@ -33,17 +33,22 @@ def _keys(df: DataFrame, doc: str = "doc_id", fp: str = "fp") -> DataFrame:
 
 
 def good_quality(docs: DataFrame) -> DataFrame:
-    """The documents that the quality rules keep."""
+    """The documents that the quality rules keep: null and empty texts and those of under ten words go, and an empty table gives an empty one. Rows of equal doc_id and text are decided alike."""
     rows, back = _keyed(docs)
     return back(rows.join(_keys(quality.judged(docs).where("kept")), ["_doc", "_fp"], "left_semi"))
 
 
+def _others(rows: DataFrame, *but: str):
+    """A hash of a row's own columns, which orders rows of equal doc_id and text."""
+    return F.xxhash64(F.to_json(F.struct(*[c for c in rows.columns if c.startswith("_c") and c not in but])))
+
+
 def _once(rows: DataFrame, several: DataFrame) -> DataFrame:
     """Of rows of equal _doc and _fp, where several lists those keys, the one whose columns have the smallest hash; rows that are equal in all columns are one anyway."""
     several = stored(several, "stage_several")
     if not several.limit(1).count():
         return rows
-    hashed = rows.join(several, ["_doc", "_fp"], "left_semi").withColumn("_all", F.xxhash64(F.to_json(F.struct(*[c for c in rows.columns if c.startswith("_c")]))))
+    hashed = rows.join(several, ["_doc", "_fp"], "left_semi").withColumn("_all", _others(rows))
     least = hashed.groupBy("_doc", "_fp").agg(F.min("_all").alias("_all"))
     again = hashed.join(least, ["_doc", "_fp", "_all"], "left_semi").dropDuplicates(["_doc", "_fp"]).drop("_all")
     return rows.join(several, ["_doc", "_fp"], "left_anti").unionByName(again)
@@ -64,7 +69,7 @@ def one_of_each(docs: DataFrame) -> DataFrame:
 
 
 def decontaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """The documents in which no window of a benchmark item occurs."""
+    """The documents in which no window of a benchmark item occurs. Null and empty texts have none and stay; null and empty items have no window; empty tables give what the other leaves."""
     hit = decontamination.hits(docs, items).where("size(at) > 0")
     rows, back = _keyed(docs)
     return back(rows.join(_keys(hit), ["_doc", "_fp"], "left_anti"))
@@ -98,7 +103,8 @@ def _taken(text: str | None, pieces) -> list[str]:
 def remixed(docs: DataFrame, seed: int = 0) -> DataFrame:
     """What the mix takes: for each document a row for each time that any of its words is taken, with those words as its text (whole texts stay as they are).
 
-    n_chars, where there is such a column, is the new text's length. Documents of which nothing is taken go.
+    n_chars, where there is such a column, is the new text's length. Documents of which nothing is taken go, so do null and empty texts; an empty table gives an empty one. Rows of equal doc_id and
+    text are taken in the order of a hash of their other columns.
     """
     _, pieces = mixing.mixed(docs, seed)
     per = pieces.groupBy(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_DOC)).alias("_doc"), F.col("fp").alias("_fp"), "off").agg(F.collect_list(F.struct("first", "own", "times")).alias("p"))
@@ -106,13 +112,11 @@ def remixed(docs: DataFrame, seed: int = 0) -> DataFrame:
     rows, back = _keyed(docs)
     names = docs.columns
     text = f"_c{names.index('text')}"
-    from pyspark.sql import Window
-
     @F.pandas_udf("array<string>")
     def taken(texts: pd.Series, pieces: pd.Series) -> pd.Series:
         return pd.Series([_taken(t, p) for t, p in zip(texts, pieces, strict=True)], dtype=object)
 
-    same = Window.partitionBy("_doc", "_fp").orderBy("_fp")
+    same = Window.partitionBy("_doc", "_fp").orderBy(_others(rows, text))
     rows = rows.join(per, ["_doc", "_fp"]).withColumn("_k", F.row_number().over(same) - 1)
     rows = rows.withColumn("_p", F.get("copies", F.col("_k"))["p"]).where("_p is not null")
     rows = rows.withColumn(text, F.explode(taken(text, "_p")))
