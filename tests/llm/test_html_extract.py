@@ -3,7 +3,10 @@ import itertools
 import random
 import re
 
+import pytest
+
 from scriptoria.llm import html_extract as H
+from scriptoria.llm import html_samples as S
 
 PAGE = """<html><body><header class="site-header"><h1>Site</h1></header><div id="cookie-banner">We use cookies.</div><div class="wrap"><div class="menu"><a href=x>Home</a> <a href=y>About</a></div>
 <div class="post-content"><h2>Title here</h2><p>First para with <a href=q>a link</a> inside it, and more words.</p><p>Second one &eacute;t&eacute; 5 &lt; 6.</p><ul><li>one item</li><li>two item</li></ul><table><tr><td>a<td>b</table><p class="share">Share this</p><script>var a="<p>no</p>";</script></div>
@@ -62,3 +65,61 @@ def test_elements_left_open():
     for left in ("<button>Go", "<select><option>a<option>b", "<select><optgroup label=x><option>a"):
         assert want in H.main_text(f"<html><head></head><body><div>{left}{body}</div></body></html>")
     assert "Label" not in H.main_text(f"<body><button><div>Label</div></button>{body}</body>")
+
+
+STORY = """<h1>Title here</h1><p>First paragraph of the story, which has a few words. And more of them.</p><p class="tagline legal">A line below it says more.</p>
+<section id="discussion"><h2>Discussion</h2><p>We find that birds build nests in spring. They do so each year.</p></section><ul><li>One more</li></ul><p>Last words.</p>"""
+WANT = "Title here First paragraph of the story, which has a few words. And more of them. A line below it says more. Discussion We find that birds build nests in spring. They do so each year. One more Last words."
+AROUND = [
+    '<div class="sponsored-post"><p>Buy this new thing today, it is great.</p></div>',
+    '<div class="cookie-content"><p>We use cookies to make this site better for you.</p></div>',
+    '<div class="newsletter-body">Sign up to get all our stories every week.</div>',
+    '<div class="modal-text"><p>Please log in to go on reading this story.</p></div>',
+    '<form><div><form><label>Mail</label><input></form><p>Tell us your name.</p></div></form>',
+    '<div id="main-menu"><a href=a>News</a><a href=b>Sport today</a></div>',
+    '<section class="comments"><h3>Two comments</h3><div><p>What a good story this is, thank you all.</p></div></section>',
+    '<aside><h3>Related</h3><ul><li><a href=z>Another story</a></li></ul></aside>',
+    '<div style="display:none"><p>Nobody sees this sentence at all.</p></div>',
+]
+
+
+@pytest.mark.parametrize("part", AROUND)
+@pytest.mark.parametrize("shell", ["<article>{}</article>", "<main><div>{}</div></main>", '<div class="post-content">{}</div>', '<div role="main">{}</div>'])
+def test_varied_pages(part, shell):
+    story = shell.format(STORY)
+    for body in (part + story, story + part):
+        page = f'<html><head><title>T</title></head><body><div class="site-header"><a href=/>Site</a></div><nav><a href=x>Home</a> <a href=y>About us</a></nav>{body}<footer>(c) Site</footer></body></html>'
+        assert H.main_text(page) == WANT
+
+
+def test_form_around_the_page():
+    assert H.main_text(f"<body><form><nav><a href=x>Home</a></nav><article>{STORY}</article><label>Search here</label></form></body>") == WANT
+
+
+def test_the_cut_changes_labels_and_betters_them():
+    m = H.model()
+    assert m.smooth > 0
+    changed = before = after = total = 0
+    for k in range(H.LABELLED + H.TUNING, H.LABELLED + H.TUNING + 400):  # pages that the fit has not seen
+        blocks = H.blocks_of(S.page(k))
+        alone, together = (H.labels(blocks, H.Model(m.weights, x)) for x in (0.0, m.smooth))
+        truth = [S.is_content(b.text) for b in blocks]
+        changed += sum(a != b for a, b in zip(alone, together))
+        before += sum(a != b for a, b in zip(alone, truth))
+        after += sum(a != b for a, b in zip(together, truth))
+        total += len(blocks)
+    assert changed > 20 and after < before and after < 0.04 * total
+
+
+def test_end_tags_match_at_any_depth():
+    for n in (10, 3000, 20_000):
+        page = "<div>" * n + f"<nav><a href=x>Home page</a></nav><article>{STORY}</article>" + "</div>" * n + "<footer>(c) Site</footer>"
+        assert H.main_text(page) == WANT
+    assert H.main_text("</p></nav></div>" * 5000 + f"<article>{STORY}</article>") == WANT
+
+
+def test_very_long_pages():
+    many = "".join(f"<p>Sentence number {i} of a very long story.</p>" for i in range(20_000))
+    text = H.main_text(f"<body><nav><a href=x>Home</a></nav><article>{many}</article></body>")
+    assert text.startswith("Sentence number 0 of") and text.endswith("19999 of a very long story.") and text.count("Sentence") == 20_000
+    assert len(H.main_text("<p>" + "word " * 500_000 + "</p>")) == 2_499_999
