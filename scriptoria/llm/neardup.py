@@ -8,6 +8,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 from functools import reduce
 from itertools import groupby
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -120,41 +121,57 @@ def _tiles(rows: DataFrame) -> DataFrame:
 
 
 def dealt_buckets(rows: DataFrame, sigs: DataFrame) -> DataFrame:
-    """rows (bucket, tree, id) of buckets of several members with sig, n (members) and parts (of up to HOT_ROWS members and about HOT_SHINGLES shingles each)."""
-    rows = stored(rows.select("bucket", "tree", "id").join(sigs.select("id", "sig", "size"), "id"), "bucket_rows")
+    """rows (bucket, tree, id, size) of buckets of several members with sig, held (members) and parts (of up to HOT_ROWS members and about HOT_SHINGLES shingles each). Signatures join only what is left."""
+    sizes = rows.groupBy("bucket").agg(F.count("*").alias("n"), F.sum("size").alias("total")).where("n > 1")
     parts = F.ceil(F.greatest(F.col("n") / HOT_ROWS, F.col("total") / HOT_SHINGLES)).cast("int")
-    sizes = stored(rows.groupBy("bucket").agg(F.count("*").alias("n"), F.sum("size").alias("total")).where("n > 1"), "bucket_sizes")
-    return hot_join(rows.drop("size"), sizes.select("bucket", "n", F.col("n").alias("held"), parts.alias("parts")), "bucket")
+    sizes = stored(sizes.select("bucket", "n", F.col("n").alias("held"), parts.alias("parts")), "bucket_sizes")
+    return hot_join(rows.drop("size"), sizes, "bucket").join(sigs.select("id", "sig"), "id")
 
 
-def near_links(rows: DataFrame, sigs: DataFrame, texts_of: Callable[[DataFrame], DataFrame], floor: float, layout: tuple[int, int, int], done: int = 0, least: float = SIMILAR) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(links, ends, found) of the items whose texts have an exact Jaccard similarity of at least least, among those that share a bucket.
+class Candidates(NamedTuple):
+    """What is to be verified: pairs (a, b) of buckets of up to ALL_PAIRS members, and the members of larger ones, crowds."""
 
-    rows: bucket, tree, id. sigs: id, sig, size (shingles). layout: trees, values of a tree, values of its prefix; members of a bucket share the prefix of its tree.
-    texts_of gives id, text of a frame of ids. links (a, b) join whatever verified pairs join; ends (id, n) add up to the number of all verified pairs of
-    an item; found (bin, n) counts all of them by the bin of their similarity.
+    pairs: DataFrame
+    crowd: DataFrame
+    members: DataFrame
+    floor: float
+    layout: tuple[int, int, int]
+    done: int
 
-    Every pair that shares a bucket, and whose signatures agree in floor of their values or more, is verified, once: in the first tree that it shares. If done > 0, pairs that
-    share a prefix of done values in any tree have been verified before and are left out. Pairs of buckets of up to ALL_PAIRS members leave
-    as rows. A crowd's pairs grow with its square, so they are verified in tiles of two of its parts, and a tile returns its members' numbers of links and a spanning forest of these: not more rows than members.
+    def ids(self) -> DataFrame:
+        return self.pairs.select(F.col("a").alias("id")).union(self.pairs.select("b")).union(self.crowd.select("id")).distinct()
+
+
+def candidates(rows: DataFrame, sigs: DataFrame, floor: float, layout: tuple[int, int, int], done: int = 0) -> Candidates:
+    """The candidates among items that share a bucket. rows: bucket, tree, id, size (shingles). sigs: id, sig. layout: trees, values of a tree, values of its prefix; members of a bucket share the prefix of its tree.
+
+    Every pair that shares a bucket, and whose signatures agree in floor of their values or more, is one, once: in the first tree that it shares. If done > 0, pairs that
+    share a prefix of done values in any tree have been verified before and are left out.
     """
-    spark = rows.sparkSession
-    rows = stored(dealt_buckets(rows, sigs), "bucket_members")
-    few = _tiles(rows.where(F.col("held") <= ALL_PAIRS).drop("held").withColumn("parts", F.lit(1)))
+    members = stored(dealt_buckets(rows, sigs), "bucket_members")
+    few = _tiles(members.where(F.col("held") <= ALL_PAIRS).drop("held").withColumn("parts", F.lit(1)))
     pairs = stored(few.select(*TILE).mapInArrow(_tile_run(_pairs_of(floor, layout, done)), LINKS).select("a", "b"), "bucket_pairs")
-    crowd = rows.where(F.col("held") > ALL_PAIRS)
-    ids = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).union(crowd.select("id")).distinct()
-    texts = stored(texts_of(ids), "bucket_texts")
-    sets = stored(texts.join(crowd.select("id").distinct(), "id", "left_semi").select("id", "text").mapInArrow(_sets, "id binary, shingles binary"), "bucket_sets")
-    dealt = _tiles(crowd.drop("held").join(sets, "id"))
-    in_crowds = stored(dealt.select(*TILE, "shingles").mapInArrow(_tile_run(_links_of(floor, layout, done, least)), LINKS), "crowd_links")
-    alone = stored(verified(pairs, texts, least=least), "pair_links")
+    return Candidates(pairs, members.where(F.col("held") > ALL_PAIRS).drop("held"), members, floor, layout, done)
+
+
+def verified_links(c: Candidates, texts: DataFrame, least: float = SIMILAR) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(links, ends, found) of the candidates whose texts (id, text) have an exact Jaccard similarity of at least least.
+
+    links (a, b) join whatever verified pairs join; ends (id, n) add up to the number of all verified pairs of
+    an item; found (bin, n) counts all of them by the bin of their similarity. A crowd's pairs grow with its square, so they are verified in tiles of two of its
+    parts, and a tile returns its members' numbers of links and a spanning forest of these: not more rows than members.
+    """
+    spark = texts.sparkSession
+    sets = stored(texts.join(c.crowd.select("id").distinct(), "id", "left_semi").select("id", "text").mapInArrow(_sets, "id binary, shingles binary"), "bucket_sets")
+    dealt = _tiles(c.crowd.join(sets, "id"))
+    in_crowds = stored(dealt.select(*TILE, "shingles").mapInArrow(_tile_run(_links_of(c.floor, c.layout, c.done, least)), LINKS), "crowd_links")
+    alone = stored(verified(c.pairs, texts, least=least), "pair_links")
     links = stored(alone.select("a", "b").union(in_crowds.where("b is not null").select("a", "b")), "bucket_links")
     one = F.lit(1).cast("long")
     ends = alone.select(F.col("a").alias("id"), one.alias("n")).union(alone.select("b", one)).union(in_crowds.where("a is not null and b is null").select("a", "n"))
     ends = stored(ends.groupBy("id").agg(F.sum("n").alias("n")), "bucket_ends")
     found = stored(alone.select("bin", one.alias("n")).union(in_crowds.where("a is null").select("bin", "n")).groupBy("bin").agg(F.sum("n").alias("n")), "bucket_found")
-    for df in (rows, pairs, texts, sets, alone, in_crowds):
+    for df in (c.members, c.pairs, sets, alone, in_crowds):
         dropped(spark, df)
     return links, ends, found
 
@@ -171,14 +188,17 @@ def recall(found: dict[int, int], trees: int, prefix: int, least: float = SIMILA
 def forest_links(nodes: DataFrame, rows_at: Callable[[int], DataFrame], texts_of: Callable[[DataFrame], DataFrame], floor: float, trees: int, depth: int, target: float) -> tuple[DataFrame, DataFrame, list[tuple[int, float]]]:
     """(links, degrees, rounds) of an LSH forest: the tries are matched at prefixes of depth values, and the prefix is shortened until the recall reaches target.
 
-    rows_at(prefix) gives bucket, tree, id. A round verifies the pairs that meet at its prefix and did not meet before; the recall of the next one is estimated
+    rows_at(prefix) gives bucket, tree, id, size; texts_of gives id, text of a frame of ids. A round verifies the pairs that meet at its prefix and did not meet before; the recall of the next one is estimated
     from the similarities of all links found so far, so collections whose links lie close to the threshold are searched at shorter prefixes than others. The histogram of at most 1 / BIN rows reaches the driver.
     rounds has each prefix with the recall estimated after it.
     """
     all_links, all_ends, seen, rounds = [], [], {}, []
     prefix, done = depth, 0
     while True:
-        links, ends, found = near_links(rows_at(prefix), nodes, texts_of, floor, (trees, depth, prefix), done)
+        c = candidates(rows_at(prefix), nodes, floor, (trees, depth, prefix), done)
+        texts = stored(texts_of(c.ids()), "forest_texts")
+        links, ends, found = verified_links(c, texts)
+        dropped(nodes.sparkSession, texts)
         all_links.append(links)
         all_ends.append(ends)
         for r in found.collect():

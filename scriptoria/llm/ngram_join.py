@@ -42,9 +42,9 @@ def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def forest_rows(nodes: DataFrame, prefix: int) -> DataFrame:
-    """A row (bucket, tree, id) for each tree of each node: bucket hashes the prefix of its label."""
-    trees = nodes.select("id", "sig", F.explode(F.sequence(F.lit(0), F.lit(TREES - 1))).alias("tree"))
-    return trees.select(F.xxhash64("tree", F.substring("sig", F.col("tree") * (2 * DEPTH) + 1, F.lit(2 * prefix))).alias("bucket"), "tree", "id")
+    """A row (bucket, tree, id, size) for each tree of each node: bucket hashes the prefix of its label."""
+    trees = nodes.select("id", "size", "sig", F.explode(F.sequence(F.lit(0), F.lit(TREES - 1))).alias("tree"))
+    return trees.select(F.xxhash64("tree", F.substring("sig", F.col("tree") * (2 * DEPTH) + 1, F.lit(2 * prefix))).alias("bucket"), "tree", "id", "size")
 
 
 def joined(docs: DataFrame, target: float = TARGET) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import neardup as N
-from .common import hot_join, stored, table
+from .common import dropped, hot_join, stored, table
 from .line_dedup import NO_DOC, keyed
 
 MIN_WORDS = 40
@@ -143,7 +143,7 @@ def _units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     yield _window_rows(docs, fps, inside)
                     docs, fps, inside, held = [], [], [], 0
             if sets:
-                rows = [(*p, xxhash.xxh3_128_digest(s.tobytes()), None, None, g.tobytes(), len(s)) for p, s, g in zip(places, sets, N.signatures(sets, VALUES), strict=True)]
+                rows = [(*p, b"l" + xxhash.xxh3_128_digest(s.tobytes()), None, None, g.tobytes(), len(s)) for p, s, g in zip(places, sets, N.signatures(sets, VALUES), strict=True)]
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), _UNITS, strict=True)], schema=_UNITS)
     if docs:
         yield _window_rows(docs, fps, inside)
@@ -153,7 +153,7 @@ def _units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _window_rows(docs: list[int], fps: list[int], shingles: list[np.ndarray]) -> pa.RecordBatch:
     text, first, ids, bands = windows(shingles)
     n = len(text)
-    binary = pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer(np.arange(0, 16 * n + 1, 16, dtype=np.int32)), pa.py_buffer(np.ascontiguousarray(ids).tobytes())])
+    binary = pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer(np.arange(0, 16 * n + 1, 16, dtype=np.int32)), pa.py_buffer(np.ascontiguousarray(ids).tobytes())])  # of 16 bytes each; ids of lines have 17
     cols = [pa.array(np.zeros(n, bool)), pa.array(np.array(docs, np.int64)[text]), pa.array(np.array(fps, np.int64)[text]), pa.array(first.astype(np.int32)), pa.array((first + WINDOW_WORDS).astype(np.int32)), binary]
     cols += [pa.array(np.ascontiguousarray(bands[:, k]).view(np.int64)) for k in range(WINDOW_BANDS)]
     return pa.RecordBatch.from_arrays([*cols, pa.nulls(n, pa.binary()), pa.array(np.full(n, WINDOW, np.int64))], schema=_UNITS)
@@ -167,67 +167,90 @@ def _unit_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array([x["id"] for x in asked], pa.binary()), pa.array(texts, pa.string())], names=["id", "text"])
 
 
-def clustered(units: DataFrame, texts: DataFrame, bands: DataFrame, layout: tuple[int, int, int], floor: float) -> DataFrame:
-    """doc, fp, first, last and root of units (doc, fp, first, last, id, sig, size): the root of the component of verified links that id is in, or id itself. bands: bucket, tree, id."""
-    nodes = stored(units.groupBy("id").agg(F.min("sig").alias("sig"), F.min("size").alias("size"), F.min(F.struct("doc", "fp", "first", "last")).alias("at"), F.count("*").alias("n")), "passage_nodes")
+def repeated_windows(units: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(windows, bands) of those windows that share a band with one of another document: units with a sig that is their bands, and bucket, tree, id, size."""
+    of = F.inline(F.array(F.struct(F.lit(0).alias("tree"), F.col("b0").alias("bucket")), F.struct(F.lit(1).alias("tree"), F.col("b1").alias("bucket"))))
+    seen = units.where("not line").select("doc", of).groupBy("bucket").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi")).where("lo < hi")
+    seen = stored(seen.select("bucket"), "passage_bands")
+    sig = F.unhex(F.concat(*[F.lpad(F.hex(c), 16, "0") for c in ("b0", "b1")])).alias("sig")
+    met = stored(units.where("not line").select("doc", "fp", "first", "last", "id", "size", sig, of).join(seen, "bucket", "left_semi"), "passage_met")
+    bands = stored(met.select("bucket", "tree", "id", "size").distinct(), "passage_window_bands")
+    windows = stored(met.select(F.lit(False).alias("line"), *SPAN).distinct(), "passage_windows")
+    dropped(units.sparkSession, met)
+    return windows, bands
 
-    def texts_of(ids: DataFrame) -> DataFrame:
-        needed = ids.join(nodes, "id").select("id", "at.*")
-        per = stored(needed.groupBy("doc", "fp").agg(F.collect_list(F.struct("id", "first", "last")).alias("asked")), "passage_needed")
-        return texts.join(per, ["doc", "fp"]).select("text", "asked").mapInArrow(_unit_texts, "id binary, text string").dropDuplicates(["id"])
 
-    links, _, _ = N.near_links(bands, nodes, texts_of, floor, layout)
-    roots = stored(nodes.select("id", "n").join(N.components(links), "id", "left").select("id", F.coalesce("root", "id").alias("root"), "n"), "passage_roots")
-    return hot_join(units.select("id", "doc", "fp", "first", "last"), roots, "id").select("doc", "fp", "first", "last", "root")
+SPAN = ("doc", "fp", "first", "last", "id", "sig")
 
 
-def similar_lines(units: DataFrame, texts: DataFrame) -> DataFrame:
-    """The lines and blocks, clustered."""
-    lines = units.where("line")
-    trees = lines.select("id", "sig").dropDuplicates(["id"]).select("id", "sig", F.explode(F.sequence(F.lit(0), F.lit(BANDS - 1))).alias("tree"))
-    bands = trees.select(F.xxhash64("tree", F.substring("sig", F.col("tree") * (2 * ROWS) + 1, F.lit(2 * ROWS))).alias("bucket"), "tree", "id")
-    return clustered(lines, texts, bands, (BANDS, ROWS, ROWS), FLOOR)
+def line_bands(units: DataFrame) -> DataFrame:
+    """bucket, tree, id, size of the lines and blocks."""
+    trees = units.where("line").select("id", "size", "sig").dropDuplicates(["id"]).select("id", "size", "sig", F.explode(F.sequence(F.lit(0), F.lit(BANDS - 1))).alias("tree"))
+    return trees.select(F.xxhash64("tree", F.substring("sig", F.col("tree") * (2 * ROWS) + 1, F.lit(2 * ROWS))).alias("bucket"), "tree", "id", "size")
 
 
-def similar_windows(units: DataFrame, texts: DataFrame) -> DataFrame:
-    """The windows that share a band with one of another document, clustered."""
-    of = F.inline(F.array(F.struct(F.lit(0).alias("tree"), F.col("b0").alias("bucket")), F.struct(F.lit(1).alias("tree"), F.col("b1").alias("bucket"))))
-    seen = units.where("not line").select("doc", of).groupBy("bucket").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi")).where("lo < hi")
-    seen = stored(seen.select("bucket"), "passage_bands")
-    sig = F.unhex(F.concat(*[F.lpad(F.hex(c), 16, "0") for c in ("b0", "b1")])).alias("sig")
-    met = units.where("not line").select("doc", "fp", "first", "last", "id", "size", sig, of).join(seen, "bucket", "left_semi")
-    met = stored(met, "passage_met")
-    found = stored(met.groupBy("doc", "fp", "first", "last", "id", "size", "sig").agg(F.lit(1).alias("one")).drop("one"), "passage_windows")
-    return clustered(found, texts, met.select("bucket", "tree", "id").distinct(), (WINDOW_BANDS, 4, 4), 0.0)
+def clustered(texts: DataFrame) -> DataFrame:
+    """line, doc, fp, first, last and root of the paragraphs of texts (doc, fp, text): root is that of the component of verified links that a paragraph is in, or its own id. Windows that share no band with another document's are left out."""
+    spark = texts.sparkSession
+    units = stored(texts.mapInArrow(_units, UNITS), "passage_units")
+    windows, window_bands = repeated_windows(units)
+    spans = stored(units.where("line").select("line", *SPAN).unionByName(windows), "passage_places")
+    dropped(spark, windows)
+    nodes = stored(spans.groupBy("id").agg(F.min("sig").alias("sig"), F.min(F.struct("doc", "fp", "first", "last")).alias("at"), F.count("*").alias("n")), "passage_nodes")
+    both = [N.candidates(line_bands(units), nodes, FLOOR, (BANDS, ROWS, ROWS)), N.candidates(window_bands, nodes, 0.0, (WINDOW_BANDS, 4, 4))]
+    dropped(spark, units)
+    dropped(spark, window_bands)
+    needed = both[0].ids().union(both[1].ids()).join(nodes, "id").select("id", "at.*")
+    per = stored(needed.groupBy("doc", "fp").agg(F.collect_list(F.struct("id", "first", "last")).alias("asked")), "passage_needed")
+    own = stored(texts.join(per, ["doc", "fp"]).select("text", "asked").mapInArrow(_unit_texts, "id binary, text string").dropDuplicates(["id"]), "passage_texts")
+    one, two = (N.verified_links(c, own)[0] for c in both)
+    roots = stored(nodes.select("id", "n").join(N.components(one.union(two)), "id", "left").select("id", F.coalesce("root", "id").alias("root"), "n"), "passage_roots")
+    out = stored(hot_join(spans.drop("sig"), roots, "id").select("line", "doc", "fp", "first", "last", "root"), "passage_spans")
+    for df in (spans, nodes, per, own, roots):
+        dropped(spark, df)
+    return out
 
 
-def found(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(rows, repeats): the rows of docs under their keys, and keep (the document that keeps it), doc, fp, start, end (code points) of each repeated paragraph.
+def found(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(rows, repeats, pairs): the rows of docs under their keys; doc, fp, start, end (code points) and goes of repeated places, where goes says that a smaller document keeps them; and doc, keep of documents that share clusters.
 
-    Null and empty texts have no paragraphs. Rows of one doc_id are one document; a null doc_id is one of its own, smaller than all others.
+    Null and empty texts have no paragraphs. Rows of one doc_id are one document; a null doc_id is one of its own, smaller than all others. An empty table gives empty results.
     """
     rows = keyed(docs)
     texts = rows.select("doc", "fp", "text")
-    units = stored(texts.mapInArrow(_units, UNITS), "passage_units")
-    spans = similar_lines(units, texts).withColumn("line", F.lit(True)).unionByName(similar_windows(units, texts).withColumn("line", F.lit(False)))
-    spans = stored(spans.withColumn("root", F.when(F.col("line"), F.concat(F.lit(b"l"), "root")).otherwise(F.concat(F.lit(b"w"), "root"))), "passage_spans")
-    held = spans.groupBy("root").agg(F.min(F.struct("doc", "fp", "first")).alias("kept"), F.max("doc").alias("hi"), F.count("*").alias("n")).where("kept.doc < hi").drop("hi")
-    spans = hot_join(spans, stored(held, "passage_held"), "root")
-    per = stored(spans.groupBy("doc", "fp").agg(F.collect_list(F.struct("root", "line", "kept", "first", "last")).alias("asked")), "passage_asked")
+    spans = clustered(texts)
+    held = stored(spans.groupBy("root").agg(F.min(F.struct("doc", "fp", "first")).alias("kept"), F.max("doc").alias("hi"), F.count("*").alias("n")).where("kept.doc < hi").drop("hi"), "passage_held")
+    spans = stored(hot_join(spans, held, "root").withColumn("goes", F.col("kept.doc") < F.col("doc")), "passage_repeated")
+    pairs = stored(spans.where("goes").select("doc", F.col("kept.doc").alias("keep")).distinct(), "passage_pairs")
+    # runs of paragraphs that overlap, and the windows at their ends, which grow
+    order = Window.partitionBy("doc", "fp", "goes").orderBy("first", "last")
+    upto = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    ends = spans.repartition("doc", "fp").withColumn("reach", F.max("last").over(upto)).withColumn("before", F.lag("reach").over(order)).withColumn("next", F.lead("first").over(order))
+    ends = ends.withColumn("starts", F.coalesce(F.col("first") > F.col("before"), F.lit(True))).withColumn("ends", F.coalesce(F.col("next") > F.col("reach"), F.lit(True)) & (F.col("last") == F.col("reach")))
+    ends = stored(ends.withColumn("run", F.sum(F.col("starts").cast("int")).over(upto)).select("doc", "fp", "goes", "first", "last", "run", "starts", "ends", "line", "root"), "passage_ends")
+    runs = ends.groupBy("doc", "fp", "goes", "run").agg(F.min("first").alias("first"), F.max("last").alias("last"))
+    grow = ends.where("goes and not line and (starts or ends)")
+    kept = grow.groupBy("root").agg(F.count("*").alias("n")).join(held.select("root", "kept.*"), "root")
+    none = F.lit(None)
+    asked = runs.select("doc", "fp", none.cast("binary").alias("root"), "goes", "first", "last", F.lit(False).alias("starts"), F.lit(False).alias("ends"), none.cast("long").alias("n"))
+    asked = asked.unionByName(grow.select("doc", "fp", "root", F.lit(True).alias("goes"), "first", "last", "starts", "ends", none.cast("long").alias("n")))
+    asked = asked.unionByName(kept.select("doc", "fp", "root", F.lit(False).alias("goes"), "first", (F.col("first") + WINDOW_WORDS).alias("last"), F.lit(True).alias("starts"), F.lit(True).alias("ends"), "n"))
+    per = stored(asked.groupBy("doc", "fp").agg(F.collect_list(F.struct("root", "goes", "first", "last", "starts", "ends", "n")).alias("asked")), "passage_asked")
     placed = stored(texts.join(per, ["doc", "fp"]).select("doc", "fp", "text", "asked").mapInArrow(_placed, PLACED), "passage_placed")
-    kept = placed.where("not line and own").groupBy("root").agg(F.min("before").alias("kept_before"), F.min("after").alias("kept_after"))
-    others = placed.where("not line and not own").groupBy("root").agg(F.count("*").alias("n"))
-    kept = stored(kept.join(others, "root"), "passage_contexts")
-    grown = hot_join(placed.where("not line and not own"), kept, "root").select("keep", "doc", "fp", "start", "end", "before", "after", "kept_before", "kept_after").mapInArrow(_grown, "keep long, doc long, fp long, start int, `end` int")
-    return rows, stored(placed.where("line or own").select("keep", "doc", "fp", "start", "end").unionByName(grown).distinct(), "passage_repeats")
+    kept = stored(placed.where("n is not null").groupBy("root").agg(F.min("before").alias("kept_before"), F.min("after").alias("kept_after"), F.max("n").alias("n")), "passage_contexts")
+    grown = hot_join(placed.where("root is not null and n is null").drop("n"), kept, "root").select("doc", "fp", "start", "end", "before", "after", "kept_before", "kept_after").mapInArrow(_grown, "doc long, fp long, start int, `end` int")
+    repeats = stored(placed.where("root is null").select("doc", "fp", "start", "end", "goes").unionByName(grown.withColumn("goes", F.lit(True))), "passage_repeats")
+    for df in (spans, held, ends, per, placed, kept):
+        dropped(docs.sparkSession, df)
+    return rows, repeats, pairs
 
 
-_PLACED = pa.schema([("root", pa.binary()), ("line", pa.bool_()), ("own", pa.bool_()), ("keep", pa.int64()), ("doc", pa.int64()), ("fp", pa.int64()), ("start", pa.int32()), ("end", pa.int32()), ("before", pa.string()), ("after", pa.string())])
-PLACED = "root binary, line boolean, own boolean, keep long, doc long, fp long, start int, `end` int, before string, after string"
+_PLACED = pa.schema([("root", pa.binary()), ("goes", pa.bool_()), ("n", pa.int64()), ("doc", pa.int64()), ("fp", pa.int64()), ("start", pa.int32()), ("end", pa.int32()), ("before", pa.string()), ("after", pa.string())])
+PLACED = "root binary, goes boolean, n long, doc long, fp long, start int, `end` int, before string, after string"
 
 
 def _placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Units with their places in code points, and windows with the REACH words at both sides; own: this is the unit that is kept."""
+    """What is asked of a text, with its places in code points and, where it starts or ends a run, the REACH words there."""
     for b in batches:
         for doc, fp, text, asked in zip(*(c.to_pylist() for c in b.columns), strict=True):
             at = [m.span() for m in _TOKEN.finditer(text)]
@@ -235,38 +258,39 @@ def _placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for x in asked:
                 first, last = x["first"], x["last"]
                 start, end = at[first][0], at[last - 1][1]
-                kept = x["kept"]
-                sides = (None, None) if x["line"] else (text[at[max(0, first - REACH)][0] : start], text[end : at[min(len(at), last + REACH) - 1][1]])
-                rows.append((x["root"], x["line"], (kept["doc"], kept["fp"], kept["first"]) == (doc, fp, first), kept["doc"], doc, fp, start, end, *sides))
+                before = text[at[max(0, first - REACH)][0] : start] if x["starts"] else None
+                after = text[end : at[min(len(at), last + REACH) - 1][1]] if x["ends"] else None
+                rows.append((x["root"], x["goes"], x["n"], doc, fp, start, end, before, after))
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), _PLACED, strict=True)], schema=_PLACED)
 
 
 def _grown(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Windows with the words at both sides that the kept window has there too."""
-    low = lambda t: t.encode("utf-8", "surrogatepass").lower()
+    """Windows with the words at their sides that the kept window has there too; a side without words asked for stays."""
+    low = lambda m: m[0].encode("utf-8", "surrogatepass").lower()
+
+    def alike(own: list, other: list) -> int:
+        k = 0
+        while k < min(len(own), len(other)) and low(own[k]) == low(other[k]):
+            k += 1
+        return k
+
     for b in batches:
         rows = []
-        for keep, doc, fp, start, end, before, after, kept_before, kept_after in zip(*(c.to_pylist() for c in b.columns), strict=True):
-            own, other = list(_TOKEN.finditer(before)), _TOKEN.findall(kept_before)
-            k = 0
-            while k < min(len(own), len(other)) and low(own[-1 - k][0]) == low(other[-1 - k]):
-                k += 1
-            if k:
-                start -= len(before) - own[-k].start()
-            own, other = list(_TOKEN.finditer(after)), _TOKEN.findall(kept_after)
-            k = 0
-            while k < min(len(own), len(other)) and low(own[k][0]) == low(other[k]):
-                k += 1
-            if k:
+        for doc, fp, start, end, before, after, kept_before, kept_after in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            own = list(_TOKEN.finditer(before or ""))[::-1]
+            if k := alike(own, list(_TOKEN.finditer(kept_before))[::-1]):
+                start -= len(before) - own[k - 1].start()
+            own = list(_TOKEN.finditer(after or ""))
+            if k := alike(own, list(_TOKEN.finditer(kept_after))):
                 end += own[k - 1].end()
-            rows.append((keep, doc, fp, start, end))
-        cols = zip(*rows, strict=True) if rows else [()] * 5
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, [pa.int64()] * 3 + [pa.int32()] * 2, strict=True)], names=["keep", "doc", "fp", "start", "end"])
+            rows.append((doc, fp, start, end))
+        cols = zip(*rows, strict=True) if rows else [()] * 4
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, [pa.int64()] * 2 + [pa.int32()] * 2, strict=True)], names=["doc", "fp", "start", "end"])
 
 
 def places(repeats: DataFrame) -> DataFrame:
     """doc, fp, repeated and gone: the places of repeated paragraphs of each text, and of those that a smaller document keeps, overlapping ones as one."""
-    both = repeats.select("doc", "fp", "start", "end", F.explode(F.when(F.col("doc") > F.col("keep"), F.array(F.lit(False), F.lit(True))).otherwise(F.array(F.lit(False)))).alias("goes")).distinct()
+    both = repeats.select("doc", "fp", "start", "end", F.explode(F.when(F.col("goes"), F.array(F.lit(False), F.lit(True))).otherwise(F.array(F.lit(False)))).alias("goes"))
     order = Window.partitionBy("doc", "fp", "goes").orderBy("start", "end")
     before = F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1))
     both = both.withColumn("new", F.coalesce(F.col("start") >= before, F.lit(True)).cast("int"))
@@ -278,7 +302,7 @@ def places(repeats: DataFrame) -> DataFrame:
 
 def without_repeats(docs: DataFrame) -> DataFrame:
     """doc_id and text without the repeated paragraphs that a smaller document keeps. Nulls and empty texts stay as they are."""
-    rows, repeats = found(docs)
+    rows, repeats, _ = found(docs)
     gone = stored(places(repeats).where("size(gone) > 0").select("doc", "fp", "gone"), "passage_gone")
     from_ = lambda k: F.when(k == 0, 1).otherwise(F.get("gone", k - 1)["end"] + 1)
     pieces = F.transform("gone", lambda x, k: F.substring("text", from_(k), x["start"] + 1 - from_(k)))
@@ -288,10 +312,10 @@ def without_repeats(docs: DataFrame) -> DataFrame:
 
 def classes(docs: DataFrame) -> DataFrame:
     """One row for each row of docs: doc_id, class_id (the smallest doc_id of its class), n_repeated (its places that other documents hold, overlapping ones as one), n_removed (those that a smaller document keeps) and removed (the latter, start:end in code points)."""
-    rows, repeats = found(docs)
+    rows, repeats, pairs = found(docs)
     # an order-keeping binary form of a document's number
     node = lambda c: F.unhex(F.lpad(F.hex(F.col(c).bitwiseXOR(F.lit(NO_DOC))), 16, "0"))
-    edges = repeats.where("doc <> keep").select(node("doc").alias("a"), node("keep").alias("b")).distinct()
+    edges = pairs.select(node("doc").alias("a"), node("keep").alias("b"))
     number = lambda c: F.conv(F.hex(c), 16, -10).cast("long").bitwiseXOR(F.lit(NO_DOC))
     of = N.components(edges).select(number("id").alias("doc"), number("root").alias("root"))
     rows = rows.select("doc_id", "doc", "fp").join(places(repeats), ["doc", "fp"], "left").join(of, "doc", "left")

@@ -214,7 +214,7 @@ def test_similar_lines_in_a_crowd(spark):
         rows += [(2 * k, f"{line}\n{prose(500 + k, 20)}"), (2 * k + 1, f"{edited(line, 2, 1000 + k)}\n{prose(800 + k, 20)}")]
     lines = {d: t.split("\n")[0] for d, t in rows}
     texts = P.keyed(spark.createDataFrame(rows, "doc_id long, text string")).select("doc", "fp", "text")
-    roots = {r.doc: bytes(r.root) for r in P.similar_lines(texts.mapInArrow(P._units, P.UNITS), texts).collect()}
+    roots = {r.doc: bytes(r.root) for r in P.clustered(texts).where("line").collect()}
     sets = {d: grams(t) for d, t in lines.items()}
     pairs = [(a, b) for a in sets for b in sets if a < b and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
     assert len(pairs) >= 60 and sum(roots[a] == roots[b] for a, b in pairs) >= 0.98 * len(pairs)
