@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 
 from .text import col, like, or_else, stripped, text, uri_component, xml_escaped
 
-#: The marker words, in identifier order; the first names local ids.
-LOCAL = "folio"
+#: The kinds of identifiers, in order; the first is a library's own ids, whose marker word a caller may choose.
+LOCAL = "local"
 TYPES = (LOCAL, "pmid", "doi", "arxiv")
 CSL_TYPES = ("article-journal", "paper-conference", "article", "book", "chapter", "report", "thesis", "manuscript")
 _RESOLVER = r"(?i)^https?://(?:dx\.)?doi\.org/"
@@ -114,14 +114,14 @@ def inferred(c: Column | str) -> Column:
     return F.when(F.length(text(c)) <= 2048, F.struct(kind2.alias("type"), identifier(kind2, value).alias("value")))
 
 
-def marker_text() -> Column:
-    """The marker that cites a papers row."""
+def marker_text(local: str = LOCAL) -> Column:
+    """The marker that cites a papers row; local is the marker word of library ids."""
     has = lambda c: text(c) != ""
     return (
         F.when(has("pmid"), F.concat(F.lit("(PMID: "), "pmid", F.lit(")")))
         .when(has("doi"), F.concat(F.lit("(doi:"), doi_client("doi"), F.lit(")")))
         .when(has("arxivId"), F.concat(F.lit("(arxiv:"), "arxivId", F.lit(")")))
-        .otherwise(F.concat(F.lit(f"({LOCAL}:"), "id", F.lit(")")))
+        .otherwise(F.concat(F.lit(f"({local}:"), "id", F.lit(")")))
     )
 
 

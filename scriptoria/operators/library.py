@@ -43,11 +43,16 @@ def in_view(papers: DataFrame, view: str = "All", status: str = "All", search: s
 def ranked(papers: DataFrame, by: str = "Recent") -> DataFrame:
     """papers with rank, from 1: Recent is library order, Title ascending and Year descending, both as texts in Unicode collation."""
     order = {"Recent": [F.col("lib_pos")], "Title": [F.collate("title", "UNICODE").asc(), F.col("lib_pos")], "Year": [F.collate("year", "UNICODE").desc(), F.col("lib_pos")]}[by]
-    rows = papers.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_part", F.spark_partition_id())
-    rows = stored(rows)  # ranges keep their numbers; only the partitions' sizes are summed up in one place
+    return ranked_by(papers, *order).withColumnRenamed("_rank", "rank")
+
+
+def ranked_by(rows: DataFrame, *order: Column | str) -> DataFrame:
+    """rows with _rank, from 1 on, by ranges: only the partitions' sizes are summed up in one place."""
+    rows = rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_part", F.spark_partition_id())
+    rows = stored(rows)
     base = rows.groupBy("_part").count().withColumn("_base", F.coalesce(F.sum("count").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("count")
     inner = F.row_number().over(Window.partitionBy("_part").orderBy(*order))
-    return rows.withColumn("_inner", inner).join(base, "_part").withColumn("rank", (F.col("_base") + F.col("_inner")).cast("long")).drop("_part", "_base", "_inner")
+    return rows.withColumn("_inner", inner).join(base, "_part").withColumn("_rank", (F.col("_base") + F.col("_inner")).cast("long")).drop("_part", "_base", "_inner")
 
 
 def view_counts(papers: DataFrame) -> DataFrame:
@@ -182,16 +187,22 @@ def opened(papers: DataFrame, ids: DataFrame) -> DataFrame:
 
 
 def upserted(papers: DataFrame, edits: DataFrame) -> DataFrame:
-    """papers after edits (same columns): titles trimmed, blank collections UNFILED, DOIs normalised; an edit of a known id keeps that paper's notes and place, others go first.
-    An edit is refused if another paper has its pmid or its lower-cased DOI."""
+    """papers after edits (same columns): titles trimmed, blank collections UNFILED, DOIs normalised; an edit of a known id keeps that paper's notes and place, others go first, the last edit (by lib_pos) at the top.
+    An edit is refused if another paper has its pmid or its lower-cased DOI, or if an earlier edit of the batch, of another id, does; of several edits of an id the last one counts."""
     new = edits.withColumns({"title": stripped("title"), "collection": or_else(stripped(text("collection")), F.lit(UNFILED)), "doi": doi_client("doi")})
-    others = papers.select(F.col("id").alias("_id"), F.nullif(text("pmid"), F.lit("")).alias("_pmid"), F.nullif(F.lower(doi_client("doi")), F.lit("")).alias("_doi"))
-    new = new.join(others, (F.col("pmid") == F.col("_pmid")) & (F.col("id") != F.col("_id")), "left_anti")
-    new = new.join(others, (F.lower("doi") == F.col("_doi")) & (F.col("id") != F.col("_id")), "left_anti")
+    new = new.withColumn("_n", F.row_number().over(Window.partitionBy("id").orderBy(F.col("lib_pos").desc()))).where("_n = 1").drop("_n")
+    new = new.withColumns({"_pmid": F.nullif(text("pmid"), F.lit("")), "_doi": F.nullif(F.lower("doi"), F.lit(""))})
+    for key in ("_pmid", "_doi"):
+        others = papers.select(F.col("id").alias("_id"), F.nullif(text("pmid") if key == "_pmid" else F.lower(doi_client("doi")), F.lit("")).alias("_key"))
+        new = new.join(others, (F.col(key) == F.col("_key")) & (F.col("id") != F.col("_id")), "left_anti")
+        first = F.when(F.col(key).isNotNull(), F.min("lib_pos").over(Window.partitionBy(key)))
+        new = new.withColumn("_first", first).where("_first is null or _first = lib_pos").drop("_first")
     old = papers.select(F.col("id").alias("_id"), F.col("notes").alias("_notes"), F.col("lib_pos").alias("_pos"))
     top = papers.agg(F.coalesce(F.min("lib_pos"), F.lit(0)).alias("_top"))
-    new = new.join(old, F.col("id") == F.col("_id"), "left").join(F.broadcast(top))  # one row
-    new = new.withColumns({"notes": F.coalesce("_notes", "notes"), "lib_pos": F.coalesce("_pos", F.col("_top") - 1)}).select(papers.columns)
+    new = stored(new.drop("_pmid", "_doi").join(old, F.col("id") == F.col("_id"), "left").join(F.broadcast(top)))  # one row
+    added = ranked_by(new.where("_id is null"), "lib_pos").withColumn("lib_pos", F.col("_top") - F.col("_rank")).drop("_rank")
+    kept = new.where("_id is not null").withColumns({"notes": F.coalesce("_notes", "notes"), "lib_pos": F.col("_pos")})
+    new = kept.select(papers.columns).unionByName(added.select(papers.columns))
     return papers.join(new.select("id"), "id", "left_anti").select(papers.columns).unionByName(new)
 
 

@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+import re
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import excerpt, like, stripped, terms, text, words
+from ..functions.text import excerpt, like, stripped, terms, text
 
-BROAD = r"(?i)\b(summar\w*|overview|overall|main findings|key findings|limitations|strengths|weaknesses|compare|comparison|whole paper|entire paper|across the paper)\b"
-FOLLOW_UP = r"(?i)\b(it|that|those|these|they|this|above|previous|elaborate|more detail)\b"
+#: Words that ask about a whole paper, and words that point back to the answer before.
+BROAD_WORDS = ("summar\\w*", "overview", "overall", "main findings", "key findings", "limitations", "strengths", "weaknesses", "compare", "comparison", "whole paper", "entire paper", "across the paper")
+FOLLOW_UP_WORDS = ("it", "that", "those", "these", "they", "this", "above", "previous", "elaborate", "more detail")
+BROAD, FOLLOW_UP = (rf"(?i)\b({'|'.join(w)})\b" for w in (BROAD_WORDS, FOLLOW_UP_WORDS))
 FOCUSED_BUDGET, BROAD_BUDGET, SUMMARY_BUDGET = 12_000, 24_000, 90_000
 CHUNK, CHUNK_LEAST = 1200, 600
 
@@ -86,50 +90,28 @@ def page_coverage(blocks: DataFrame, cap: int) -> DataFrame:
     return rows.where("_before < _share").withColumn("text", F.left("text", (F.col("_share") - F.col("_before")).cast("int"))).drop("_pages", "_share", "_before")
 
 
-def _selected(question: str, budget: int, broad: bool):
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        """Ranked blocks with their neighbours on the page, after an equal share for each page if the question is broad or nothing matches."""
-        rows = pdf.sort_values("ord").to_dict("records")
-        used: dict[int, str] = {}
-        length = 0
-
-        def take(i: int, cap: int) -> None:
-            nonlocal length
-            held = used.get(i, "")
-            more = rows[i]["text"][len(held) : len(held) + cap - length] if length < cap else ""
-            if more:
-                used[i] = held + more
-                length += len(more)
-
-        order = sorted(range(len(rows)), key=lambda i: (-rows[i]["score"], i))
-        if broad or not any(r["score"] > 0.25 for r in rows):
-            pages = list(dict.fromkeys(r["page"] for r in rows))
-            share = (budget // 2 - length) // max(1, len(pages))
-            for p in pages:
-                end = length + share
-                for i, r in enumerate(rows):
-                    if r["page"] == p:
-                        take(i, end)
-        for i in order:
-            if rows[i]["score"] <= 0 or length >= budget:
-                break
-            take(i, budget)
-            for j in (i - 1, i + 1):
-                if 0 <= j < len(rows) and rows[j]["page"] == rows[i]["page"]:
-                    take(j, budget)
-        return pd.DataFrame([(rows[i]["pdf_id"], rows[i]["page"], rows[i]["ord"], t) for i, t in sorted(used.items(), key=lambda x: (rows[x[0]]["page"], x[0]))], columns=["pdf_id", "page", "ord", "text"])
-
-    return run
-
-
 def selected(scores: DataFrame, question: str) -> DataFrame:
-    """The passages of each document that answer a question, with their neighbours, within the question's budget."""
-    import re
+    """The passages of each document that answer a question, with their neighbours on the page, within the question's budget.
 
+    A broad question, or one that nothing in a document matches well, gives each page an equal share of half the budget first. Then passages are asked for by rank, each
+    followed by its neighbours; the first time that one is asked for counts, and a running sum of what is left of their texts cuts off at the budget.
+    """
     broad = bool(re.search(BROAD, question))
-    kind = scores.schema["pdf_id"].dataType.simpleString()
-    run = _selected(question, BROAD_BUDGET if broad else FOCUSED_BUDGET, broad)
-    return scores.select("pdf_id", "page", "ord", "text", "score").groupBy("pdf_id").applyInPandas(run, f"pdf_id {kind}, page int, ord long, text string")
+    budget = BROAD_BUDGET if broad else FOCUSED_BUDGET
+    doc = Window.partitionBy("pdf_id")
+    rows = scores.select("pdf_id", "page", "ord", "text", "score").withColumn("i", F.row_number().over(doc.orderBy("ord"))).withColumn("n", F.length("text"))
+    rows = rows.withColumn("rank", F.row_number().over(doc.orderBy(F.col("score").desc(), "i"))).withColumn("covered", F.lit(True) if broad else F.max("score").over(doc) <= 0.25)
+    pages = F.size(F.collect_set("page").over(doc))
+    upto = Window.partitionBy("pdf_id", "page").orderBy("i").rowsBetween(Window.unboundedPreceding, -1)
+    room = F.floor(F.lit(budget // 2) / pages) - F.coalesce(F.sum("n").over(upto), F.lit(0))
+    rows = rows.withColumn("held", F.when(F.col("covered"), F.greatest(F.lit(0), F.least("n", room))).otherwise(0).cast("long"))
+    rows = rows.withColumn("used", F.sum("held").over(doc))
+    asked = rows.where("score > 0").select("pdf_id", "page", F.posexplode(F.array(F.col("i"), F.col("i") - 1, F.col("i") + 1)).alias("k", "i"), (F.col("rank") * 3).alias("turn"))
+    asked = asked.groupBy("pdf_id", "page", "i").agg(F.min(F.col("turn") + F.col("k")).alias("turn"))
+    rows = rows.join(asked, ["pdf_id", "page", "i"], "left").withColumn("more", F.when(F.col("turn").isNotNull(), F.col("n") - F.col("held")).otherwise(0))
+    before = F.coalesce(F.sum("more").over(doc.orderBy(F.col("turn").asc_nulls_last(), "i").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    rows = rows.withColumn("take", F.col("held") + F.greatest(F.lit(0), F.least("more", budget - F.col("used") - before)))
+    return rows.where("take > 0").select("pdf_id", "page", "ord", F.left("text", F.col("take").cast("int")).alias("text"))
 
 
 def compact_history(messages: DataFrame) -> DataFrame:
@@ -145,5 +127,3 @@ def context(passages: DataFrame) -> DataFrame:
     line = F.concat(F.lit("[p. "), F.col("page").cast("string"), F.lit("] "), "text")
     return passages.groupBy("pdf_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("page", "ord", line.alias("line")))), lambda x: x["line"]), "\n\n").alias("context"))
 
-
-__all__ = [n for n in globals() if not n.startswith("_")] + ["words"]

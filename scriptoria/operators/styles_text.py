@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.identifiers import authors_parsed, reference_url
 from ..functions.text import or_else, text
+from .citations import lettered
 
 
 def _family(a: Column) -> Column:
@@ -36,7 +37,7 @@ def author_date(resolved: DataFrame, aliases: DataFrame, papers: DataFrame) -> t
     cites = resolved.where("resolved").select("doc_id", "start", "end", F.posexplode("records").alias("k", "record_id"))
     works = cites.select("doc_id", "record_id").distinct().join(first, "record_id").join(known, "id")
     same = Window.partitionBy("doc_id", "names", "year")
-    works = works.withColumn("letter", F.when(F.count("*").over(same) > 1, F.char(F.row_number().over(same.orderBy("title", "id")) + 96)).otherwise(""))
+    works = works.withColumn("letter", F.when(F.count("*").over(same) > 1, lettered(F.row_number().over(same.orderBy("title", "id")))).otherwise(""))
     works = works.withColumn("dated", F.concat("year", "letter"))
     shown = cites.join(works.select("doc_id", "record_id", F.concat("names", F.lit(", "), "dated").alias("s")), ["doc_id", "record_id"])
     inside = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("s", "k"))), lambda x: x["s"]), "; ")

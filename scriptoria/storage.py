@@ -9,9 +9,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir; where that is unset, as in tests, a temporary folder."""
+    """spark.checkpoint.dir; where that is unset, a temporary folder for a local master, as in tests, and an error on a cluster."""
     path = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         path = getattr(spark.sparkContext, "_scriptoria_own", None) or "file://" + tempfile.mkdtemp(prefix="scriptoria-")
         spark.sparkContext._scriptoria_own = path
     return path.rstrip("/")
