@@ -33,7 +33,7 @@ from .line_dedup import NO_DOC, keyed
 
 MIN_WORDS = 40
 PASSAGE_WORDS = 51
-WINDOW_WORDS = 34
+WINDOW_WORDS = 30
 WINDOW = WINDOW_WORDS - N.SHINGLE + 1
 REACH = PASSAGE_WORDS - WINDOW_WORDS + 1
 BANDS, ROWS = 8, 3
@@ -82,13 +82,33 @@ def _least(x: np.ndarray, n: int) -> np.ndarray:
     return np.minimum(x[: len(x) - (n - k)], x[n - k :]) if n > k else x
 
 
-def windows(shingles: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(which text, first word, ids, bands) of the windows of texts, given their shingles in order: ids as two and bands as WINDOW_BANDS 64-bit values."""
+_BAND_KEYS = np.random.default_rng(5).integers(1, 1 << 63, WINDOW_BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+
+
+def bands_at(flat: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """WINDOW_BANDS 64-bit values of each window that begins at a place of shingles in order."""
+    out = np.zeros((len(at), WINDOW_BANDS), np.uint64)
+    for j, m in enumerate(_BAND_KEYS):
+        out[:, j // ROWS] = N.mixed(out[:, j // ROWS] + _least(N.spread(flat, m), WINDOW)[at] + np.uint64(j))
+    return out
+
+
+def ids_at(flat: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """128 bits that know a window by its shingles."""
+    sums = []
+    for k in (1, 2):
+        total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(N.mixed(flat * np.uint64(2 * k + 1) + np.uint64(k)), dtype=np.uint64)])
+        sums.append(total[at + WINDOW] - total[at])
+    return np.stack(sums, 1)
+
+
+def windows(shingles: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(which text, first word, bands) of the windows of texts, given their shingles in order."""
     sizes = np.array([len(s) for s in shingles])
     which = np.flatnonzero(sizes >= WINDOW + REACH - 1)
     if not len(which):
         none = np.zeros(0, np.int64)
-        return none, none, np.zeros((0, 2), np.uint64), np.zeros((0, WINDOW_BANDS), np.uint64)
+        return none, none, np.zeros((0, WINDOW_BANDS), np.uint64)
     flat = np.concatenate([shingles[k] for k in which])
     sizes = sizes[which]
     begins = np.cumsum(sizes) - sizes
@@ -98,16 +118,8 @@ def windows(shingles: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndar
     np.add.at(ends, begins, 1)
     np.add.at(ends, begins + sizes - (WINDOW + REACH - 2), -1)
     at = np.unique(best[np.cumsum(ends)[: len(best)] > 0])
-    sums = []
-    for k in (1, 2):
-        total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(N.mixed(flat * np.uint64(2 * k + 1) + np.uint64(k)), dtype=np.uint64)])
-        sums.append(total[at + WINDOW] - total[at])
-    mul = np.random.default_rng(5).integers(1, 1 << 63, WINDOW_BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-    bands = np.zeros((len(at), WINDOW_BANDS), np.uint64)
-    for j, m in enumerate(mul):
-        bands[:, j // ROWS] = N.mixed(bands[:, j // ROWS] + _least(N.spread(flat, m), WINDOW)[at] + np.uint64(j))
     text = np.searchsorted(begins, at, "right") - 1
-    return which[text], at - begins[text], np.stack(sums, 1), bands
+    return which[text], at - begins[text], bands_at(flat, at)
 
 
 _UNITS = pa.schema([("line", pa.bool_()), ("doc", pa.int64()), ("fp", pa.int64()), ("first", pa.int32()), ("last", pa.int32()), ("id", pa.binary()), ("b0", pa.int64()), ("b1", pa.int64()), ("sig", pa.binary()), ("size", pa.int64())])
@@ -151,12 +163,24 @@ def _units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _window_rows(docs: list[int], fps: list[int], shingles: list[np.ndarray]) -> pa.RecordBatch:
-    text, first, ids, bands = windows(shingles)
+    text, first, bands = windows(shingles)
     n = len(text)
-    binary = pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer(np.arange(0, 16 * n + 1, 16, dtype=np.int32)), pa.py_buffer(np.ascontiguousarray(ids).tobytes())])  # of 16 bytes each; ids of lines have 17
-    cols = [pa.array(np.zeros(n, bool)), pa.array(np.array(docs, np.int64)[text]), pa.array(np.array(fps, np.int64)[text]), pa.array(first.astype(np.int32)), pa.array((first + WINDOW_WORDS).astype(np.int32)), binary]
+    cols = [pa.array(np.zeros(n, bool)), pa.array(np.array(docs, np.int64)[text]), pa.array(np.array(fps, np.int64)[text]), pa.array(first.astype(np.int32)), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())]
     cols += [pa.array(np.ascontiguousarray(bands[:, k]).view(np.int64)) for k in range(WINDOW_BANDS)]
-    return pa.RecordBatch.from_arrays([*cols, pa.nulls(n, pa.binary()), pa.array(np.full(n, WINDOW, np.int64))], schema=_UNITS)
+    return pa.RecordBatch.from_arrays([*cols, pa.nulls(n, pa.binary()), pa.nulls(n, pa.int64())], schema=_UNITS)
+
+
+def _window_facts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Windows again, from their texts and first words: with their ids and, as sig, their bands."""
+    for b in batches:
+        for doc, fp, text, firsts in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            at = np.array(firsts)
+            flat = N.in_order(N.hashed(tokens(text)))
+            n = len(at)
+            ids, sigs = ([x.tobytes() for x in f(flat, at)] for f in (ids_at, bands_at))
+            cols = [pa.array([False] * n), pa.array([doc] * n, pa.int64()), pa.array([fp] * n, pa.int64()), pa.array(at.astype(np.int32)), pa.array((at + WINDOW_WORDS).astype(np.int32)), pa.array(ids, pa.binary()), pa.array(sigs, pa.binary())]
+            yield pa.RecordBatch.from_arrays(cols, names=["line", *SPAN])
+    N.forget()
 
 
 def _unit_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -167,25 +191,36 @@ def _unit_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array([x["id"] for x in asked], pa.binary()), pa.array(texts, pa.string())], names=["id", "text"])
 
 
-def repeated_windows(units: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(windows, bands) of those windows that share a band with one of another document: units with a sig that is their bands, and bucket, tree, id, size."""
-    of = F.inline(F.array(F.struct(F.lit(0).alias("tree"), F.col("b0").alias("bucket")), F.struct(F.lit(1).alias("tree"), F.col("b1").alias("bucket"))))
-    seen = units.where("not line").select("doc", of).groupBy("bucket").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi")).where("lo < hi")
+SPAN = ("doc", "fp", "first", "last", "id", "sig")
+
+
+def repeated_windows(units: DataFrame, texts: DataFrame) -> DataFrame:
+    """Those windows that share a band with one of another document: line, and the columns of SPAN, with their bands as sig.
+
+    Only bands and places of all windows are shuffled; the few that are left are made anew from their texts.
+    """
+    of = F.explode(F.array("b0", "b1")).alias("bucket")
+    seen = units.select("doc", of).groupBy("bucket").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi")).where("lo < hi")
     seen = stored(seen.select("bucket"), "passage_bands")
-    sig = F.unhex(F.concat(*[F.lpad(F.hex(c), 16, "0") for c in ("b0", "b1")])).alias("sig")
-    met = stored(units.where("not line").select("doc", "fp", "first", "last", "id", "size", sig, of).join(seen, "bucket", "left_semi"), "passage_met")
-    bands = stored(met.select("bucket", "tree", "id", "size").distinct(), "passage_window_bands")
-    windows = stored(met.select(F.lit(False).alias("line"), *SPAN).distinct(), "passage_windows")
+    met = units.select("doc", "fp", "first", of).join(seen, "bucket", "left_semi").groupBy("doc", "fp").agg(F.collect_set("first").alias("firsts"))
+    met = stored(met, "passage_met")
+    made = texts.join(met, ["doc", "fp"]).select("doc", "fp", "text", "firsts").mapInArrow(_window_facts, "line boolean, doc long, fp long, first int, last int, id binary, sig binary")
+    out = stored(made.distinct(), "passage_windows")
+    dropped(units.sparkSession, seen)
     dropped(units.sparkSession, met)
-    return windows, bands
+    return out
 
 
-SPAN = ("doc", "fp", "first", "last", "id", "sig")
+def window_bands(windows: DataFrame) -> DataFrame:
+    """bucket, tree, id, size of the windows."""
+    nodes = windows.select("id", "sig").dropDuplicates(["id"])
+    trees = nodes.select("id", "sig", F.explode(F.sequence(F.lit(0), F.lit(WINDOW_BANDS - 1))).alias("tree"))
+    return trees.select(F.xxhash64("tree", F.substring("sig", F.col("tree") * 8 + 1, F.lit(8))).alias("bucket"), "tree", "id", F.lit(WINDOW).cast("long").alias("size"))
 
 
 def line_bands(units: DataFrame) -> DataFrame:
     """bucket, tree, id, size of the lines and blocks."""
-    trees = units.where("line").select("id", "size", "sig").dropDuplicates(["id"]).select("id", "size", "sig", F.explode(F.sequence(F.lit(0), F.lit(BANDS - 1))).alias("tree"))
+    trees = units.select("id", "size", "sig").dropDuplicates(["id"]).select("id", "size", "sig", F.explode(F.sequence(F.lit(0), F.lit(BANDS - 1))).alias("tree"))
     return trees.select(F.xxhash64("tree", F.substring("sig", F.col("tree") * (2 * ROWS) + 1, F.lit(2 * ROWS))).alias("bucket"), "tree", "id", "size")
 
 
@@ -193,20 +228,19 @@ def clustered(texts: DataFrame) -> DataFrame:
     """line, doc, fp, first, last and root of the paragraphs of texts (doc, fp, text): root is that of the component of verified links that a paragraph is in, or its own id. Windows that share no band with another document's are left out."""
     spark = texts.sparkSession
     units = stored(texts.mapInArrow(_units, UNITS), "passage_units")
-    windows, window_bands = repeated_windows(units)
-    spans = stored(units.where("line").select("line", *SPAN).unionByName(windows), "passage_places")
-    dropped(spark, windows)
-    nodes = stored(spans.groupBy("id").agg(F.min("sig").alias("sig"), F.min(F.struct("doc", "fp", "first", "last")).alias("at"), F.count("*").alias("n")), "passage_nodes")
-    both = [N.candidates(line_bands(units), nodes, FLOOR, (BANDS, ROWS, ROWS)), N.candidates(window_bands, nodes, 0.0, (WINDOW_BANDS, 4, 4))]
+    windows = repeated_windows(units.where("not line"), texts)
+    lines = stored(units.where("line").select("line", *SPAN, "size"), "passage_lines")
     dropped(spark, units)
-    dropped(spark, window_bands)
+    spans = lines.drop("size").unionByName(windows)
+    nodes = stored(spans.groupBy("id").agg(F.min("sig").alias("sig"), F.min(F.struct("doc", "fp", "first", "last")).alias("at"), F.count("*").alias("n")), "passage_nodes")
+    both = [N.candidates(line_bands(lines), nodes, FLOOR, (BANDS, ROWS, ROWS)), N.candidates(window_bands(windows), nodes, 0.0, (WINDOW_BANDS, 4, 4))]
     needed = both[0].ids().union(both[1].ids()).join(nodes, "id").select("id", "at.*")
     per = stored(needed.groupBy("doc", "fp").agg(F.collect_list(F.struct("id", "first", "last")).alias("asked")), "passage_needed")
     own = stored(texts.join(per, ["doc", "fp"]).select("text", "asked").mapInArrow(_unit_texts, "id binary, text string").dropDuplicates(["id"]), "passage_texts")
     one, two = (N.verified_links(c, own)[0] for c in both)
     roots = stored(nodes.select("id", "n").join(N.components(one.union(two)), "id", "left").select("id", F.coalesce("root", "id").alias("root"), "n"), "passage_roots")
     out = stored(hot_join(spans.drop("sig"), roots, "id").select("line", "doc", "fp", "first", "last", "root"), "passage_spans")
-    for df in (spans, nodes, per, own, roots):
+    for df in (lines, windows, nodes, per, own, roots):
         dropped(spark, df)
     return out
 
