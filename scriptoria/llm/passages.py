@@ -177,8 +177,8 @@ def _window_facts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
             at = np.array(firsts)
             flat = N.in_order(N.hashed(tokens(text)))
             n = len(at)
-            ids, sigs = ([x.tobytes() for x in f(flat, at)] for f in (ids_at, bands_at))
-            cols = [pa.array([False] * n), pa.array([doc] * n, pa.int64()), pa.array([fp] * n, pa.int64()), pa.array(at.astype(np.int32)), pa.array((at + WINDOW_WORDS).astype(np.int32)), pa.array(ids, pa.binary()), pa.array(sigs, pa.binary())]
+            ids, sigs = (pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer(np.arange(0, 16 * n + 1, 16, dtype=np.int32)), pa.py_buffer(np.ascontiguousarray(f(flat, at)).tobytes())]) for f in (ids_at, bands_at))
+            cols = [pa.array(np.zeros(n, bool)), pa.array(np.full(n, doc, np.int64)), pa.array(np.full(n, fp, np.int64)), pa.array(at.astype(np.int32)), pa.array((at + WINDOW_WORDS).astype(np.int32)), ids, sigs]
             yield pa.RecordBatch.from_arrays(cols, names=["line", *SPAN])
     N.forget()
 
@@ -205,7 +205,7 @@ def repeated_windows(units: DataFrame, texts: DataFrame) -> DataFrame:
     met = units.select("doc", "fp", "first", of).join(seen, "bucket", "left_semi").groupBy("doc", "fp").agg(F.collect_set("first").alias("firsts"))
     met = stored(met, "passage_met")
     made = texts.join(met, ["doc", "fp"]).select("doc", "fp", "text", "firsts").mapInArrow(_window_facts, "line boolean, doc long, fp long, first int, last int, id binary, sig binary")
-    out = stored(made.distinct(), "passage_windows")
+    out = stored(made, "passage_windows")  # rows of equal doc_id and text come as often as they are there, which changes no place
     dropped(units.sparkSession, seen)
     dropped(units.sparkSession, met)
     return out
