@@ -272,9 +272,9 @@ def entity_resolution(spark, d):
     return citations.entity_records(both).groupBy("record_id").agg(F.min_by("paper_id", "pos").alias("paper_id"), F.array_join(F.array_sort(F.collect_set("key")), " ").alias("keys"))
 
 
-@query(f"{WITH}, g AS (SELECT *, count(*) OVER (PARTITION BY journal, year) AS n, row_number() OVER (PARTITION BY journal, year ORDER BY title, lib_pos) AS r FROM papers) SELECT id, CASE WHEN n > 1 THEN chr(CAST(96 + r AS INT)) ELSE '' END AS suffix FROM g")
+@query(f"{WITH}, g AS (SELECT *, count(*) OVER (PARTITION BY authors, year) AS n, row_number() OVER (PARTITION BY authors, year ORDER BY title, lib_pos) - 1 AS r FROM papers) SELECT id, CASE WHEN n = 1 THEN '' ELSE CASE WHEN r >= 702 THEN chr(CAST(96 + r // 26 // 26 AS INT)) ELSE '' END || CASE WHEN r >= 26 THEN chr(CAST(97 + (r // 26 - 1) % 26 AS INT)) ELSE '' END || chr(CAST(97 + r % 26 AS INT)) END AS suffix FROM g")
 def year_suffix(spark, d):
-    return citations.year_suffixes(papers(spark, d), ["journal", "year"], ["title", "lib_pos"]).select("id", "suffix")
+    return citations.year_suffixes(papers(spark, d), ["authors", "year"], ["title", "lib_pos"]).select("id", "suffix")
 
 
 @query(f"{WITH} SELECT id, list_filter(['title', 'authors', 'year', 'journal'], lambda c: (CASE c WHEN 'title' THEN title WHEN 'authors' THEN authors WHEN 'year' THEN year ELSE journal END) = '')[1] AS first_missing, authors <> '' AND NOT contains(authors, ',') AS inferred FROM papers")
