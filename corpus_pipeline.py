@@ -52,5 +52,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs
 
 
-#: Expectation-maximisation, similarity joins, the draw and the encoding have no SQL form; the tests hold each stage against a brute-force version.
+#: Expectation-maximisation, similarity joins, the draw and the encoding have no SQL form. The tests hold the near-duplicate stage and the ids against brute force, and the others against what their operators report.
 ORACLE_SQL = None
