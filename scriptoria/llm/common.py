@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: The white space of every contract here: space and U+0009 to U+000D.
@@ -77,6 +77,21 @@ def hot_join(left: DataFrame, right: DataFrame, key: str, how: str = "inner") ->
     return left.join(F.broadcast(hot), key).select(rest.columns).unionByName(rest)
 
 
+def bit_set(hashes: DataFrame, size: int) -> Column:
+    """One scalar array of longs with a bit for each hash (the first column of hashes, a long): size bits, a power of two."""
+    bit = F.pmod(F.col(hashes.columns[0]), F.lit(size))
+    words = hashes.select(bit.alias("b")).groupBy(F.floor(F.col("b") / 64).alias("i")).agg(F.bit_or(F.expr("shiftleft(1L, cast(b % 64 as int))")).alias("v"))
+    every = hashes.sparkSession.range(size // 64).select(F.col("id").alias("i")).join(words, "i", "left").select("i", F.coalesce("v", F.lit(0).cast("long")).alias("v"))
+    flat = every.agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "v"))), lambda x: x["v"]).alias("bits"))
+    return flat.scalar()
+
+
+def has_bit(bits: Column, size: int, h: Column) -> Column:
+    """Whether the bit of the hash h is set in a bit_set of that size."""
+    b = F.pmod(h, F.lit(size))
+    return F.getbit(F.get(bits, F.shiftright(b, 6).cast("int")), F.expr("0") + (b % 64).cast("int")) == 1
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import LOWER, UPPER, pick, stored, table
+from .common import LOWER, UPPER, bit_set, has_bit, pick, stored, table
 from .quality import bound
 
 WINDOW = 10
@@ -55,17 +55,6 @@ def benchmark_windows(items: DataFrame, window: int = WINDOW) -> DataFrame:
     return rows.groupBy(F.col("x.gram").alias("gram"), F.col("x.len").alias("len"), F.col("x.lead").alias("lead")).agg(F.array_sort(F.collect_set("item")).alias("items"))
 
 
-def _bit_set(grams: DataFrame, n: int) -> tuple[Column, int]:
-    """One scalar array of longs with a bit for each lead, and the number of its bits as a power of two."""
-    power = min(MAX_BITS, max(MIN_BITS, (64 * max(n, 1)).bit_length()))
-    size = 1 << power
-    bit = F.pmod("lead", F.lit(size))
-    words = grams.select(bit.alias("b")).groupBy(F.floor(F.col("b") / 64).alias("i")).agg(F.bit_or(F.expr("shiftleft(1L, cast(b % 64 as int))")).alias("v"))
-    every = grams.sparkSession.range(size // 64).select(F.col("id").alias("i")).join(words, "i", "left").select("i", F.coalesce("v", F.lit(0).cast("long")).alias("v"))
-    flat = every.agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "v"))), lambda x: x["v"]).alias("bits"))
-    return flat.scalar(), size
-
-
 def hits(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> DataFrame:
     """One row for each row of docs: doc_id, fp, n_words, at (sorted numbers of its words in verified windows) and items.
 
@@ -75,18 +64,12 @@ def hits(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> DataFrame:
     grams = stored(benchmark_windows(items, window), "benchmark_windows")
     lengths = {r.len: r.n for r in grams.groupBy("len").agg(F.count("*").alias("n")).collect()}  # at most one row for each length up to the window's
     n = sum(lengths.values())
-    bits, size = _bit_set(grams, n)
+    size = 1 << min(MAX_BITS, max(MIN_BITS, (64 * max(n, 1)).bit_length()))
+    bits = bit_set(grams.select("lead"), size)
     rows = pick(docs, "doc_id", "text").select("doc_id", F.xxhash64("text").alias("fp"), normal_words(F.col("text")).alias("w"))
 
-    def keep(bit_set):
-        def test(h):
-            b = F.pmod(h, F.lit(size))
-            return F.getbit(F.get(bit_set, F.shiftright(b, 6).cast("int")), F.expr("0") + (b % 64).cast("int")) == 1
-
-        return test
-
     none = F.array().cast("array<struct<at:int,len:int,gram:string,lead:bigint>>")
-    found = F.concat(none, *[_windows(F.col("w"), k, keep(F.col("bits"))) for k in sorted(lengths)])
+    found = F.concat(none, *[_windows(F.col("w"), k, lambda h: has_bit(F.col("bits"), size, h)) for k in sorted(lengths)])
     rows = rows.withColumn("bits", bits).select("doc_id", "fp", F.size("w").alias("n_words"), found.alias("found"))
     # The row that stands for the document itself has a gram that no window has, different from one document to the next.
     own = F.array(F.struct(F.lit(-1).alias("at"), F.lit(0).alias("len"), F.concat(F.lit(" "), F.col("fp").cast("string")).alias("gram"), F.lit(0).cast("long").alias("lead")))

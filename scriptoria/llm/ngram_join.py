@@ -20,11 +20,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import neardup as N
-from .common import hot_join, pick, stored, table
+from .common import bit_set, has_bit, hot_join, pick, stored, table
 
 TREES, DEPTH, TARGET = 24, 6, 0.99999
 FLOOR = 0.6
 VALUES = TREES * DEPTH
+#: Bits for each text that is to be verified, and the most that there are of them (8 MB), in the set that keeps other texts out of the shuffle.
+TEXT_BITS, MAX_BITS = 16, 26
 
 
 def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -57,7 +59,9 @@ def joined(docs: DataFrame, target: float = TARGET) -> tuple[DataFrame, DataFram
 
     def texts_of(ids: DataFrame) -> DataFrame:
         needed = stored(ids.join(nodes, "id").select("id", F.col("first.doc_id").alias("d"), F.col("first.fp").alias("f")), "join_needed")
-        return texts.join(needed, F.col("d").eqNullSafe(F.col("doc_id")) & (F.col("f") == F.col("fp"))).select("id", "text").dropDuplicates(["id"])
+        size = 1 << min(MAX_BITS, max(6, (TEXT_BITS * needed.count()).bit_length()))
+        own = texts.where(has_bit(bit_set(needed.select(F.xxhash64("d", "f")), size), size, F.xxhash64("doc_id", "fp")))
+        return own.join(needed, F.col("d").eqNullSafe(F.col("doc_id")) & (F.col("f") == F.col("fp"))).select("id", "text").dropDuplicates(["id"])
 
     links, degrees, _ = N.forest_links(nodes, lambda prefix: forest_rows(nodes, prefix), texts_of, FLOOR, TREES, DEPTH, target)
     return members, nodes, links, degrees
