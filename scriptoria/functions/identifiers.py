@@ -250,3 +250,29 @@ def date_parts(year: Column, month: Column, day: Column) -> Column:
     y, m, d = (c.cast("int") for c in (year, month, day))
     ok_m, ok_d = F.coalesce(m.between(1, 12), F.lit(False)), F.coalesce(d.between(1, 31), F.lit(False))
     return F.when(y.isNull(), F.array().cast("array<int>")).when(ok_m & ok_d, F.array(y, m, d)).when(ok_m, F.array(y, m)).otherwise(F.array(y))
+
+
+def proxied(pdf: Column | str, page: Column | str) -> Column:
+    """A PDF's address by way of the proxy that its page was read by: the page's host is the PDF's, with dashes for dots, before a proxy's name."""
+    pdf, page = text(pdf), text(page)
+    host, own = (F.lower(F.try_parse_url(u, F.lit("HOST"))) for u in (pdf, page))
+    prefix = F.concat(F.replace(host, F.lit("."), F.lit("-")), F.lit("."))
+    rest = F.substring(own, F.length(prefix) + 1, F.length(own))
+    through = like(page, r"(?i)^https://") & F.startswith(own, prefix) & like(rest, r"(?:^|\.)(?:proxy|ezproxy)\.")
+    port = lambda u: F.regexp_extract(u, r"^[A-Za-z]+://[^/?#]*?(:\d+)?(?:[/?#]|$)", 1)
+    return F.when(F.coalesce(through, F.lit(False)), F.concat(F.lit("https://"), own, or_else(port(page), port(pdf)), F.regexp_extract(pdf, r"^[A-Za-z]+://[^/?#]*(.*)$", 1))).otherwise(pdf)
+
+
+#: The region of a language that is named alone, as in the public locale files.
+REGIONS = dict(
+    pair.split("-")
+    for pair in (
+        "af-ZA bg-BG ca-AD cs-CZ da-DK de-DE el-GR en-US es-ES et-EE fa-IR fi-FI fr-FR he-IL hr-HR hu-HU is-IS it-IT ja-JP km-KH ko-KR lt-LT lv-LV mn-MN nb-NO nl-NL nn-NO pl-PL pt-PT ro-RO ru-RU sk-SK sl-SI sr-RS sv-SE th-TH tr-TR uk-UA vi-VN zh-CN"
+    ).split()
+)
+
+
+def locale(c: Column | str) -> Column:
+    """A locale with its region where the language has one; null where it is no locale."""
+    region = F.try_element_at(F.create_map(*[F.lit(x) for pair in REGIONS.items() for x in pair]), col(c))
+    return F.when(like(c, r"^[a-z]{2}(?:-[A-Z]{2})?$"), F.concat_ws("-", col(c), region))

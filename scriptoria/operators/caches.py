@@ -1,10 +1,10 @@
-"""Reading caches: what a valid one is, and the fields that are kept of it."""
+"""Reading caches: what a valid one is, the fields that are kept of it, and what they hold."""
 
 from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 CACHE = (
@@ -66,3 +66,18 @@ def kept_fields(c: Column) -> Column:
     """The cache as JSON with its known fields only; synthetic is left out where it is false."""
     pages = F.transform(c["pages"], lambda p: p.withField("headings", F.transform(p["headings"], lambda h: h.withField("synthetic", F.when(h["synthetic"], F.lit(True))))))
     return F.to_json(c.withField("pages", pages), {"ignoreNullFields": "true"})
+
+
+def stats(files: DataFrame) -> DataFrame:
+    """One row: how many caches there are among files (name, length), and their bytes."""
+    return files.where(F.endswith("name", F.lit(".json.gz"))).agg(F.count("*").alias("cache_count"), F.coalesce(F.sum("length"), F.lit(0)).alias("cache_bytes"))
+
+
+def page_stats(pages: DataFrame, blank: int = 30, least: int = 50) -> DataFrame:
+    """A row for each PDF of pages (pdf_id, page, paragraphs, omitted): characters (UTF-16 units, as the caches count them), blank_pages (fewer than blank characters), omitted_pages (whose figures were left out),
+    usable (at least so many characters, so there is a text layer) and the warnings that a reader sees."""
+    units = F.expr("aggregate(transform(paragraphs, p -> octet_length(encode(p, 'UTF-16BE')) div 2), 0L, (a, b) -> a + b)")
+    per = pages.withColumn("_n", F.coalesce(units, F.lit(0))).groupBy("pdf_id").agg(F.sum("_n").alias("characters"), F.count_if(F.col("_n") < blank).alias("blank_pages"), F.count_if(F.coalesce("omitted", F.lit(False))).alias("omitted_pages"))
+    says = lambda n, words: F.when(F.col(n) > 0, F.concat(F.col(n).cast("string"), F.lit(words)))
+    warnings = F.array_compact(F.array(says("blank_pages", " page(s) hold little or no text."), says("omitted_pages", " page(s) are kept without their figures.")))
+    return per.withColumns({"usable": F.col("characters") >= least, "warnings": warnings})

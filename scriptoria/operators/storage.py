@@ -59,3 +59,25 @@ def byte_range(header: Column, size: Column) -> Column:
 
 def slice_of(content: Column, span: Column) -> Column:
     return F.substring(content, (span["start"] + 1).cast("int"), (span["end"] - span["start"] + 1).cast("int"))
+
+
+def manifest_totals(files: DataFrame, manifest: str) -> DataFrame:
+    """Files and bytes of each manifest."""
+    return files.groupBy(manifest).agg(F.count("*").alias("file_count"), F.coalesce(F.sum("length"), F.lit(0)).alias("bytes"))
+
+
+CHUNK, CHUNK_TEXT = 32_768, 44_000
+
+
+def chunked(files: DataFrame, size: int = CHUNK) -> DataFrame:
+    """files (file_id, content) as chunks (file_id, pos, data), base64 of size bytes each; an empty file is one empty chunk."""
+    last = F.greatest(F.lit(0), F.floor((F.octet_length("content") - 1) / size)).cast("int")
+    rows = files.select("file_id", "content", F.explode(F.sequence(F.lit(0), last)).alias("pos"))
+    return rows.select("file_id", "pos", F.base64(F.substring("content", (F.col("pos") * size + 1).cast("int"), F.lit(size))).alias("data"))
+
+
+def reassembled(chunks: DataFrame) -> DataFrame:
+    """(file_id, n_chunks, content) of chunks in any order; content is null if one is missing, doubled or too long."""
+    per = chunks.groupBy("file_id").agg(F.count("*").alias("n_chunks"), F.array_sort(F.collect_list(F.struct("pos", "data"))).alias("c"), F.max("pos").alias("last"), F.count_distinct("pos").alias("n"), F.max(F.length("data")).alias("longest"))
+    whole = (F.col("n_chunks") == F.col("last") + 1) & (F.col("n") == F.col("n_chunks")) & (F.col("longest") <= CHUNK_TEXT)
+    return per.select("file_id", "n_chunks", F.when(whole, F.unhex(F.array_join(F.transform("c", lambda x: F.hex(F.unbase64(x["data"]))), ""))).alias("content"))

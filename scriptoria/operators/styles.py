@@ -115,3 +115,10 @@ def inspect(xml: str) -> dict:
     if sum(cost[c] for c in calls(root)) > STYLE_COST:
         raise StyleError("too complex")
     return {"label": title, "parent": parent, "locale": root.get("default-locale")}
+
+
+def choices(styles: DataFrame, words: str, value: str) -> DataFrame:
+    """styles (id, label, rank) whose label and id hold words, in their order; the chosen one (value) is there in any case, in front of them if it doesn't match."""
+    match = F.contains(F.lower(F.concat_ws(" ", text("label"), text("id"))), F.lit(words.strip().lower()))
+    rows = styles.withColumn("_match", match).where(F.col("_match") | (F.col("id") == value))
+    return rows.withColumn("rank", F.when(F.col("_match"), F.col("rank")).otherwise(F.lit(0))).drop("_match")

@@ -1 +1,3 @@
-"""Plans of the scholarly library engine."""
+"""Registered queries and surrogate tables."""
+
+from . import queries, changes  # noqa: F401, I001  (the second registers its queries in the first)

@@ -110,3 +110,27 @@ def read_snapshot(spark: SparkSession, path: str, revision: int | None = None) -
 def write_cache(pages: DataFrame, path: str) -> None:
     """Reading caches as compressed JSON, a row each."""
     pages.write.mode("overwrite").option("compression", "gzip").json(path)
+
+
+CACHE_BYTES, CHAT_MOST = 32 << 20, 100
+
+
+def read_cache(spark: SparkSession, path: str) -> DataFrame:
+    """Reading caches (file, cache) under path, gzip or plain, one JSON object a file; cache is null where it is invalid or larger than CACHE_BYTES."""
+    from ..operators.caches import CACHE, valid_cache
+
+    rows = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), F.col("value"))
+    rows = rows.withColumn("cache", F.when(F.octet_length("value") <= CACHE_BYTES, F.from_json("value", CACHE)))
+    return rows.select("file", F.when(valid_cache(F.col("cache")), F.col("cache")).alias("cache"))
+
+
+def chat_rows(chats: DataFrame, turns: DataFrame) -> DataFrame:
+    """What an answered question adds to chats (paper, pos, role, text): for each of turns (paper, question, answer, one a paper) a user and an assistant row behind the last; a chat of CHAT_MOST rows takes no more."""
+    at = chats.groupBy("paper").agg((F.max("pos") + 1).alias("_at"), F.count("*").alias("_n"))
+    rows = turns.join(at, "paper", "left").where(F.coalesce("_n", F.lit(0)) < CHAT_MOST)
+    pair = F.array(F.struct(F.lit("user").alias("role"), F.col("question").alias("text")), F.struct(F.lit("assistant").alias("role"), F.col("answer").alias("text")))
+    return rows.select("paper", F.coalesce("_at", F.lit(0)).alias("_at"), F.posexplode(pair).alias("k", "m")).select("paper", (F.col("_at") + F.col("k")).alias("pos"), "m.role", "m.text")
+
+
+def append_chat(chats: DataFrame, turns: DataFrame, path: str) -> None:
+    chat_rows(chats, turns).write.mode("append").parquet(path)

@@ -100,3 +100,14 @@ def merging(stream: DataFrame, key: str, fields: list[str], ttl_ms: int) -> Data
         yield pd.DataFrame([[k[0], *held, known]], columns=[key, *fields, "known"])
 
     return stream.select(key, *fields).groupBy(key).applyInPandasWithState(run, schema, kept, "update", GroupStateTimeout.ProcessingTimeTimeout)
+
+
+def refreshed(polls: DataFrame) -> DataFrame:
+    """polls (library, seq, revision) with accepted: a poll is taken unless its revision is older than one taken before, which is to say, than any before."""
+    before = Window.partitionBy("library").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
+    return polls.withColumn("accepted", F.coalesce(F.col("revision") >= F.max("revision").over(before), F.lit(True)))
+
+
+def newest(polls: DataFrame) -> DataFrame:
+    """The newest revision of each library and the poll that brought it first; of a stream, in update mode, a row each time that it rises."""
+    return polls.groupBy("library").agg(F.max(F.struct("revision", (-F.col("seq")).alias("s"))).alias("m")).select("library", "m.revision", (-F.col("m.s")).alias("seq"))
