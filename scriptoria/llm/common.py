@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -96,6 +99,35 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: What a kernel keeps in this worker process between its partitions: who keeps it, and how it is given back.
+_kept: dict[str, Callable[[], None]] = {}
+
+
+def kernel_starts(owner: str, give_back: Callable[[], None] | None = None) -> None:
+    """Called where a kernel's partition begins: what kernels of other owners kept in this worker, which Spark uses again for any stage, is given back. Its own stays until another's turn."""
+    others = [name for name in _kept if name != owner]
+    for name in others:
+        _kept.pop(name)()
+    if others:
+        release_memory()
+    if give_back:
+        _kept[owner] = give_back
+
+
+def release_memory() -> None:
+    """Hands freed memory back to the system, which glibc and Arrow would keep; elsewhere only Arrow's."""
+    pa.default_memory_pool().release_unused()
+    if (trim := getattr(ctypes.CDLL(None), "malloc_trim", None)) is not None:
+        trim(0)
+
+
+def sliced(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.RecordBatch]:
+    """Batches of at most that many rows, so that no more texts than these are Python objects at a time."""
+    for b in batches:
+        for i in range(0, b.num_rows, rows):
+            yield b.slice(i, rows)
+
+
 def trimmed(text):
     """text without the white space of WS at both ends."""
     return F.btrim(text, F.lit(WS))

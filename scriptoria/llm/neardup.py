@@ -16,7 +16,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import dropped, hot_join, stored
+from .common import dropped, hot_join, kernel_starts, sliced, stored
 
 SHINGLE = 5
 SIMILAR = 0.8
@@ -27,6 +27,8 @@ HOT_ROWS = 1000
 HOT_SHINGLES = 1_000_000
 #: Edges of a graph that one task takes when no more are left.
 LAST_EDGES = 20_000
+#: Texts of a batch that are Python objects at a time.
+TEXTS = 256
 #: Width of the bins in which links are counted by their similarity.
 BIN = 0.01
 TILE = ("bucket", "i", "j", "part", "tree", "id", "sig")
@@ -213,10 +215,9 @@ def forest_links(nodes: DataFrame, rows_at: Callable[[int], DataFrame], texts_of
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        for i in range(0, b.num_rows, 1000):
-            some = b.slice(i, 1000)
-            yield pa.RecordBatch.from_arrays([some.column(0), pa.array([shingles(t).tobytes() for t in some.column(1).to_pylist()], pa.binary())], names=["id", "shingles"])
+    kernel_starts("shingles")
+    for some in sliced(batches, TEXTS):
+        yield pa.RecordBatch.from_arrays([some.column(0), pa.array([shingles(t).tobytes() for t in some.column(1).to_pylist()], pa.binary())], names=["id", "shingles"])
     forget()
 
 
@@ -286,11 +287,10 @@ def _tile_run(tile: Callable):
             return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, (pa.binary(), pa.binary(), pa.int64(), pa.int32()), strict=True)], names=["a", "b", "n", "bin"])
 
         def members() -> Iterator[tuple]:
-            for rows in batches:
-                for at in range(0, rows.num_rows, 1000):
-                    some = rows.slice(at, 1000)
-                    yield from zip(*(c.to_pylist() for c in some.columns), strict=True)
+            for some in sliced(batches, TEXTS):
+                yield from zip(*(c.to_pylist() for c in some.columns), strict=True)
 
+        kernel_starts("shingles")
         out: list[tuple] = []
         for (_, i, j), group in groupby(members(), lambda r: r[:3]):
             own = list(group)
@@ -319,19 +319,18 @@ def verified(pairs: DataFrame, items: DataFrame, least: float = SIMILAR) -> Data
     dealt = heads.unionByName(asked).repartition("a", "part").sortWithinPartitions("a", "part", F.col("b").asc_nulls_first())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kernel_starts("shingles")
         own = np.zeros(0, np.uint64)
-        for batch in batches:
-            for i in range(0, batch.num_rows, 1000):
-                some = batch.slice(i, 1000)
-                a, b, bins = [], [], []
-                for one, other, text in zip(*(some.column(k).to_pylist() for k in (0, 2, 3)), strict=True):
-                    if other is None:
-                        own = shingles(text)
-                    elif (alike := jaccard(own, shingles(text))) >= least:
-                        a.append(one)
-                        b.append(other)
-                        bins.append(int(_bin(alike, least)))
-                yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary()), pa.array(bins, pa.int32())], names=["a", "b", "bin"])
+        for some in sliced(batches, TEXTS):
+            a, b, bins = [], [], []
+            for one, other, text in zip(*(some.column(k).to_pylist() for k in (0, 2, 3)), strict=True):
+                if other is None:
+                    own = shingles(text)
+                elif (alike := jaccard(own, shingles(text))) >= least:
+                    a.append(one)
+                    b.append(other)
+                    bins.append(int(_bin(alike, least)))
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary()), pa.array(bins, pa.int32())], names=["a", "b", "bin"])
         forget()
 
     return dealt.mapInArrow(run, "a binary, b binary, bin int")

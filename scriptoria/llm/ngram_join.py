@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import neardup as N
-from .common import bit_set, has_bit, hot_join, pick, stored, table
+from .common import bit_set, has_bit, hot_join, kernel_starts, pick, sliced, stored, table
 
 TREES, DEPTH, TARGET = 24, 6, 0.99999
 FLOOR = 0.6
@@ -30,16 +30,15 @@ TEXT_BITS, MAX_BITS = 16, 26
 
 
 def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        for i in range(0, b.num_rows, 256):
-            some = b.slice(i, 256)
-            sets = [N.shingles(t or "") for t in some.column(2).to_pylist()]
-            full = [s for s in sets if len(s)]
-            made = iter(N.signatures(full, VALUES)) if full else iter(())
-            nodes = [xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets]
-            sigs = [next(made).tobytes() if len(s) else None for s in sets]
-            sizes = [len(s) for s in sets]
-            yield pa.RecordBatch.from_arrays([some.column(0), some.column(1), pa.array(nodes, pa.binary()), pa.array(sigs, pa.binary()), pa.array(sizes, pa.int64())], names=["doc_id", "fp", "id", "sig", "size"])
+    kernel_starts("shingles")
+    for some in sliced(batches, N.TEXTS):
+        sets = [N.shingles(t or "") for t in some.column(2).to_pylist()]
+        full = [s for s in sets if len(s)]
+        made = iter(N.signatures(full, VALUES)) if full else iter(())
+        nodes = [xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets]
+        sigs = [next(made).tobytes() if len(s) else None for s in sets]
+        sizes = [len(s) for s in sets]
+        yield pa.RecordBatch.from_arrays([some.column(0), some.column(1), pa.array(nodes, pa.binary()), pa.array(sigs, pa.binary()), pa.array(sizes, pa.int64())], names=["doc_id", "fp", "id", "sig", "size"])
     N.forget()
 
 

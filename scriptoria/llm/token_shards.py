@@ -26,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import new_path, pick, table
+from .common import kernel_starts, new_path, pick, release_memory, sliced, table
 
 SEGMENT_TOKENS = 1 << 20
 END = b"\0\0\0\0"
@@ -213,6 +213,7 @@ def document_keys(ids: list) -> list[str]:
 
 def _encode(path: str, segment_tokens: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kernel_starts("encoder", _encoders.clear)
         own, part = encoder(path), TaskContext.get().partitionId()
         seg = start = 0
         ids: list = []
@@ -246,6 +247,7 @@ def _encode(path: str, segment_tokens: int):
                         yield batch(*flush())
         if ids:
             yield batch(*flush())
+        release_memory()
 
     return run
 
@@ -273,7 +275,7 @@ def read_documents(spark: SparkSession, path: str) -> DataFrame:
     kind = segments.schema["keys"].dataType.elementType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in sliced(batches, 1):
             key_type = b.schema.field("keys").type.value_type
             for row in b.to_pylist():
                 index, payload = HashIndex.from_bytes(row["index"]), memoryview(row["payload"])
