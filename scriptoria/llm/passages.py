@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import neardup as N
-from .common import dropped, hot_join, stored, table
+from .common import dropped, hot_join, kernel_starts, sliced, stored, table
 from .line_dedup import NO_DOC, keyed
 
 MIN_WORDS = 40
@@ -172,7 +172,8 @@ def _window_rows(docs: list[int], fps: list[int], shingles: list[np.ndarray]) ->
 
 def _window_facts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Windows again, from their texts and first words: with their ids and, as sig, their bands."""
-    for b in batches:
+    kernel_starts("shingles")
+    for b in sliced(batches, N.TEXTS):
         for doc, fp, text, firsts in zip(*(c.to_pylist() for c in b.columns), strict=True):
             at = np.array(firsts)
             flat = N.in_order(N.hashed(tokens(text)))
@@ -184,7 +185,7 @@ def _window_facts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 
 
 def _unit_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
+    for b in sliced(batches, N.TEXTS):
         for text, asked in zip(*(c.to_pylist() for c in b.columns), strict=True):
             words = tokens(text)
             texts = [b" ".join(words[x["first"] : x["last"]]).decode("utf-8", "surrogatepass") for x in asked]
