@@ -13,6 +13,7 @@ from .ngram_join import op6_ngram_join
 from .passages import op9_passage_dedup
 from .quality import op7_quality_rules
 from .secrets import op5_secret_scan
+from .spelling import OP11_SQL, op11_spelling_variants
 from .token_shards import op3_token_ids
 
 
@@ -28,10 +29,11 @@ def queries() -> dict:
         "op8_decontamination": op8_decontamination,
         "op9_passage_dedup": op9_passage_dedup,
         "op10_mixing": op10_mixing,
+        "op11_spelling_variants": op11_spelling_variants,
         "pipeline": corpus_pipeline.run,
     }
 
 
 def oracle_sql() -> dict:
     out = {"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {}
-    return out | {"op1_line_dedup": OP1_SQL, "op4_chat_format": OP4_SQL, "op8_decontamination": OP8_SQL}
+    return out | {"op1_line_dedup": OP1_SQL, "op4_chat_format": OP4_SQL, "op8_decontamination": OP8_SQL, "op11_spelling_variants": OP11_SQL}
