@@ -6,6 +6,7 @@ import corpus_pipeline
 
 from .chat import OP4_SQL, op4_chat_format
 from .decontamination import OP8_SQL, op8_decontamination
+from .hard_negatives import OP12_SQL, op12_hard_negatives
 from .html_extract import op2_html_text
 from .line_dedup import OP1_SQL, op1_line_dedup
 from .mixing import op10_mixing
@@ -30,10 +31,11 @@ def queries() -> dict:
         "op9_passage_dedup": op9_passage_dedup,
         "op10_mixing": op10_mixing,
         "op11_spelling_variants": op11_spelling_variants,
+        "op12_hard_negatives": op12_hard_negatives,
         "pipeline": corpus_pipeline.run,
     }
 
 
 def oracle_sql() -> dict:
     out = {"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {}
-    return out | {"op1_line_dedup": OP1_SQL, "op4_chat_format": OP4_SQL, "op8_decontamination": OP8_SQL, "op11_spelling_variants": OP11_SQL}
+    return out | {"op1_line_dedup": OP1_SQL, "op4_chat_format": OP4_SQL, "op8_decontamination": OP8_SQL, "op11_spelling_variants": OP11_SQL, "op12_hard_negatives": OP12_SQL}
