@@ -15,6 +15,7 @@ from .passages import op9_passage_dedup
 from .quality import op7_quality_rules
 from .secrets import op5_secret_scan
 from .spelling import OP11_SQL, op11_spelling_variants
+from .suffix_groups import OP13_SQL, op13_suffix_dedup
 from .token_shards import op3_token_ids
 
 
@@ -32,10 +33,11 @@ def queries() -> dict:
         "op10_mixing": op10_mixing,
         "op11_spelling_variants": op11_spelling_variants,
         "op12_hard_negatives": op12_hard_negatives,
+        "op13_suffix_dedup": op13_suffix_dedup,
         "pipeline": corpus_pipeline.run,
     }
 
 
 def oracle_sql() -> dict:
     out = {"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {}
-    return out | {"op1_line_dedup": OP1_SQL, "op4_chat_format": OP4_SQL, "op8_decontamination": OP8_SQL, "op11_spelling_variants": OP11_SQL, "op12_hard_negatives": OP12_SQL}
+    return out | {"op1_line_dedup": OP1_SQL, "op4_chat_format": OP4_SQL, "op8_decontamination": OP8_SQL, "op11_spelling_variants": OP11_SQL, "op12_hard_negatives": OP12_SQL, "op13_suffix_dedup": OP13_SQL}
