@@ -398,9 +398,10 @@ def op13_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 OP13_SQL = """
 WITH docs AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t, hex(encode(coalesce(text, ''))) AS x FROM documents),
-starts AS (SELECT r, unnest(range(0, length(x) // 2 - 399)) AS i FROM docs),
-windows AS (SELECT r, i, md5_number(x[2 * i + 1:2 * i + 800]) AS h FROM starts JOIN docs USING (r)),
-again AS (SELECT r, i FROM windows QUALIFY count(*) OVER (PARTITION BY h) > 1),
+pieces AS (SELECT r, j, x[800 * j + 1:800 * j + 1598] AS p FROM (SELECT r, x, unnest(range(0, length(x) // 800)) AS j FROM docs)),
+starts AS (SELECT r, j, p, unnest(range(0, length(p) // 2 - 399)) AS k FROM pieces),
+windows AS MATERIALIZED (SELECT r, 400 * j + k AS i, hash(p[2 * k + 1:2 * k + 800]) AS h FROM starts),
+again AS (SELECT r, i FROM windows SEMI JOIN (SELECT h FROM windows GROUP BY h HAVING count(*) > 1) USING (h)),
 parts AS (SELECT r, i, i > coalesce(lag(i) OVER (PARTITION BY r ORDER BY i) + 400, -1) AS new FROM again),
 numbered AS (SELECT r, i, count(*) FILTER (WHERE new) OVER (PARTITION BY r ORDER BY i) AS k FROM parts),
 spans AS (SELECT r, k, min(i) AS a, max(i) + 400 AS b FROM numbered GROUP BY r, k),
