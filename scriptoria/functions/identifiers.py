@@ -184,22 +184,34 @@ def display_authors(c: Column | str) -> Column:
     return F.when(F.size(n) == 0, F.lit("No authors added")).otherwise(shown)
 
 
-def csl_item() -> Column:
-    """The bibliographic item of a papers row, with the metadata's own markup made literal."""
-    year = F.try_cast(F.col("year"), "int") if hasattr(F, "try_cast") else F.col("year").try_cast("int")
-    lit = lambda c: xml_escaped(c)
+def csl_item(columns: list[str], literal: bool = True) -> Column:
+    """The bibliographic item of a papers row that has these columns; literal makes the metadata's own markup literal. What is missing is empty."""
+    has = set(columns)
+    lit = xml_escaped if literal else text
+    of = lambda c: lit(c) if c in has else F.lit("")
+    year = F.col("year").try_cast("int")
+    dated = F.when(year > 0, F.array(year)).otherwise(F.array().cast("array<int>"))
+    if "dateParts" in has:
+        dated = F.when(F.coalesce(F.size("dateParts"), F.lit(0)) > 0, F.slice(F.transform("dateParts", lambda x: x.cast("int")), 1, 3)).otherwise(dated)
+    people = authors_parsed("authors")
+    if "cslAuthors" in has:
+        people = F.when(F.coalesce(F.size("cslAuthors"), F.lit(0)) > 0, F.transform("cslAuthors", lambda a: F.struct(*[a[k].alias(k) for k in ("family", "given", "literal")]))).otherwise(people)
     return F.struct(
-        F.when(F.col("cslType").isin(*CSL_TYPES), F.col("cslType")).otherwise("article-journal").alias("type"),
-        lit("title").alias("title"),
-        F.transform(authors_parsed("authors"), lambda a: F.struct(*[F.when(a[k].isNotNull(), lit(a[k])).alias(k) for k in ("family", "given", "literal")])).alias("author"),
-        lit("journal").alias("container_title"),
-        lit("volume").alias("volume"),
-        lit("issue").alias("issue"),
-        lit("pages").alias("page"),
+        F.when(F.col("cslType").isin(*CSL_TYPES), F.col("cslType")).otherwise("article-journal").alias("type") if "cslType" in has else F.lit("article-journal").alias("type"),
+        of("title").alias("title"),
+        F.transform(people, lambda a: F.struct(*[F.when(a[k].isNotNull(), lit(a[k])).alias(k) for k in ("family", "given", "literal")])).alias("author"),
+        of("journal").alias("container_title"),
+        of("journalAbbreviation").alias("container_title_short"),
+        of("volume").alias("volume"),
+        of("issue").alias("issue"),
+        of("pages").alias("page"),
         lit(doi_citation()).alias("DOI"),
         lit(reference_url()).alias("URL"),
-        lit("pmid").alias("PMID"),
-        F.when(year > 0, F.array(year)).alias("issued"),
+        of("pmid").alias("PMID"),
+        of("publisher").alias("publisher"),
+        of("publisherPlace").alias("publisher_place"),
+        of("eventTitle").alias("event_title"),
+        dated.alias("date_parts"),
     )
 
 

@@ -86,9 +86,9 @@ def test_against_all_windows(spark, monkeypatch, widths, crowd, piece):
 
 
 def test_crowd_of_near_copies(spark, monkeypatch):
-    """One passage of 397 bytes in hundreds of texts: no window is equal but where the bytes beside it are."""
+    """One passage of 398 bytes in hundreds of texts: no window is equal but where the bytes beside it are."""
     monkeypatch.setattr(S, "CROWD", 20)
-    p = prose(5, 200)[:397]
+    p = prose(5, 200)[:398]
     rows = [(i, f"{i * 7919 % 1000:03d}" * 3 + p + f"{i * 104729 % 1000:03d}" * 40) for i in range(300)]
     got, want = found(spark.createDataFrame(rows, "doc_id long, text string")), brute(rows)
     assert got == want and sum(x[2] > 0 for x in want) > 50
