@@ -58,7 +58,7 @@ def read_embedded(rows: DataFrame, json: str) -> DataFrame:
 
 
 def snapshots(papers: DataFrame, document: str, order: str) -> DataFrame:
-    """Of each document its papers as JSON of their known fields, equal ones once, in the place (order) of the first."""
+    """Of each document its papers as JSON of their known fields, equal ones once, in the place (order) of the first; ties go by the JSON."""
     known = F.to_json(F.struct(*[c for c in FIELDS if c in papers.columns]), {"ignoreNullFields": "true"})
     rows = papers.select(document, order, known.alias("json"))
     first = rows.groupBy(document, "json").agg(F.min(order).alias(order))

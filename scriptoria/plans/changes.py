@@ -190,7 +190,7 @@ def embedded_papers(spark, d):
     return embedded.read_embedded(rows.select(F.col("id").alias("paper"), json.alias("json")), "json").select(F.col("paper").alias("id"), "valid")
 
 
-@query("SELECT l_orderkey AS document, CAST(l_suppkey % 4 AS VARCHAR) AS title, row_number() OVER (PARTITION BY l_orderkey ORDER BY min(l_linenumber * 100000 + l_partkey)) AS pos FROM lineitem GROUP BY l_orderkey, l_suppkey % 4")
+@query("SELECT l_orderkey AS document, CAST(l_suppkey % 4 AS VARCHAR) AS title, row_number() OVER (PARTITION BY l_orderkey ORDER BY min(l_linenumber * 100000 + l_partkey), CAST(l_suppkey % 4 AS VARCHAR)) AS pos FROM lineitem GROUP BY l_orderkey, l_suppkey % 4")
 def embedded_snapshots(spark, d):
     rows = read(spark, d, "lineitem").select(F.col("l_orderkey").alias("document"), (F.col("l_linenumber") * 100000 + F.col("l_partkey")).alias("at"), (F.col("l_suppkey") % 4).cast("string").alias("title"))
     out = embedded.snapshots(rows, "document", "at")

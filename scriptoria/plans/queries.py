@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import identifiers as I
 from ..functions import text as T
 from ..operators import citations, highlights, library, reading, retrieval, storage
+from ..storage import stored
 from ..streaming import capture
 from . import surrogates as S
 
@@ -205,10 +206,17 @@ _PARSED = (
 )
 
 
-@query(f"{WITH}{_PARSED} SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY k) - 1 AS ord, original, keys FROM marker")
+_FOUND = r"'\([^()\r\n]*\)|\[[^\[\]\r\n]+\]'"
+_PLACES = (
+    f", cut AS (SELECT doc_id, regexp_extract_all(text, {_FOUND}) AS m, regexp_split_to_array(text, {_FOUND}) AS g FROM manuscripts), "
+    "place AS (SELECT marker.*, list_sum(list_transform(g[1:k + 1], lambda x: length(x)))::BIGINT + CASE WHEN k = 0 THEN 0 ELSE list_sum(list_transform(m[1:k], lambda x: length(x))) END::BIGINT AS start FROM marker JOIN cut USING (doc_id))"
+)
+
+
+@query(f'{WITH}{_PARSED}{_PLACES} SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY k) - 1 AS ord, start, start + length(original) AS "end", original, keys FROM place')
 def markers_parse(spark, d):
     m = citations.parse_markers(manuscripts(spark, d))
-    return m.select("doc_id", F.col("ord").cast("long").alias("ord"), "original", F.array_join(F.array_sort("identifiers.key"), " ").alias("keys"))
+    return m.select("doc_id", *[F.col(c).cast("long").alias(c) for c in ("ord", "start", "end")], "original", F.array_join(F.array_sort("identifiers.key"), " ").alias("keys"))
 
 
 _ALIAS = ", alias AS (SELECT 'pmid:' || pmid AS key, id, lib_pos FROM papers WHERE pmid <> '' UNION ALL SELECT 'doi:' || lower(doi), id, lib_pos FROM papers WHERE doi <> '' UNION ALL SELECT 'arxiv:' || \"arxivId\", id, lib_pos FROM papers WHERE \"arxivId\" <> '' UNION ALL SELECT 'local:' || id, id, lib_pos FROM papers), known AS (SELECT key, CASE WHEN count(DISTINCT id) = 1 THEN min(id) END AS paper FROM alias GROUP BY key)"
@@ -228,32 +236,55 @@ def _aliases(spark, d):
     return citations.entity_records(papers(spark, d))
 
 
-def _with_papers(rows: DataFrame, aliases: DataFrame) -> DataFrame:
-    """Records by their first paper's id, which doesn't depend on how records are named."""
-    return rows.join(aliases.groupBy("record_id").agg(F.min_by("paper_id", "pos").alias("paper")), rows.record == F.col("record_id")).drop("record_id", "record")
+_ORDERED = (
+    f"{WITH}{_RESOLVED}, placed AS (SELECT hit.*, resolved, instr(lower(original), split_part(key, ':', 2)) AS k FROM hit JOIN res USING (doc_id, ord)), "
+    "firsts AS (SELECT doc_id, paper, min(ord * 100000 + k) AS first FROM placed WHERE resolved GROUP BY doc_id, paper), "
+    "numbers AS (SELECT doc_id, paper, row_number() OVER (PARTITION BY doc_id ORDER BY first) AS number, first // 100000 AS first FROM firsts)"
+)
 
 
-@query(f"{WITH}{_RESOLVED} SELECT doc_id, ord, resolved, coalesce((SELECT count(DISTINCT h.paper) FROM hit h WHERE h.doc_id = res.doc_id AND h.ord = res.ord AND h.paper IS NOT NULL), 0) AS n_records, coalesce((SELECT count(*) FROM hit h WHERE h.doc_id = res.doc_id AND h.ord = res.ord AND h.paper IS NULL), 0) AS n_misses FROM res")
-def markers_resolve(spark, d):
-    return _resolved(spark, d).select("doc_id", F.col("ord").cast("long").alias("ord"), "resolved", F.size("records").cast("long").alias("n_records"), F.size("misses").cast("long").alias("n_misses"))
+def _paper_ids(aliases: DataFrame) -> DataFrame:
+    """Records by their first paper's id, which doesn't depend on how records are named."""
+    return aliases.groupBy("record_id").agg(F.min_by("paper_id", "pos").alias("paper"))
 
 
 @query(
-    f"{WITH}{_RESOLVED}, f AS (SELECT hit.doc_id, paper, min(hit.ord) AS first FROM hit JOIN res USING (doc_id, ord) WHERE resolved GROUP BY hit.doc_id, paper) SELECT doc_id, count(*) AS n_cited, min(first) AS first, max(first) AS last FROM f GROUP BY doc_id"
+    f"{_ORDERED}, once AS (SELECT doc_id, ord, resolved, paper, min(k) AS k FROM placed WHERE paper IS NOT NULL GROUP BY ALL), r AS (SELECT doc_id, ord, string_agg(paper, ' ' ORDER BY k) AS records FROM once GROUP BY doc_id, ord), "
+    "m AS (SELECT doc_id, ord, string_agg(CASE WHEN key LIKE 'pmid:%' THEN key[6:] ELSE key END, ' ' ORDER BY k) AS misses FROM placed WHERE paper IS NULL GROUP BY doc_id, ord) "
+    "SELECT doc_id, ord, resolved, coalesce(records, '') AS records, coalesce(misses, '') AS misses FROM res LEFT JOIN r USING (doc_id, ord) LEFT JOIN m USING (doc_id, ord)"
 )
+def markers_resolve(spark, d):
+    aliases = stored(_aliases(spark, d))
+    rows = citations.resolve_markers(citations.parse_markers(manuscripts(spark, d)), aliases).select("doc_id", "ord", "resolved", "records", "misses")
+    papers_of = rows.select("doc_id", "ord", "resolved", "misses", F.posexplode_outer("records").alias("k", "record")).join(_paper_ids(aliases).withColumnRenamed("record_id", "record"), "record", "left")
+    per = papers_of.groupBy("doc_id", "ord").agg(F.first("resolved").alias("resolved"), F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("paper").isNotNull(), F.struct("k", "paper")))), lambda x: x["paper"]), " ").alias("records"), F.array_join(F.first("misses"), " ").alias("misses"))
+    return per.withColumn("ord", F.col("ord").cast("long"))
+
+
+@query(f"{_ORDERED} SELECT doc_id, paper, number, first FROM numbers")
 def citation_numbering(spark, d):
-    return citations.numbered(_resolved(spark, d)).groupBy("doc_id").agg(F.max("number").cast("long").alias("n_cited"), F.min("first").cast("long").alias("first"), F.max("first").cast("long").alias("last"))
+    aliases = stored(_aliases(spark, d))
+    numbers = citations.numbered(citations.resolve_markers(citations.parse_markers(manuscripts(spark, d)), aliases))
+    return numbers.join(_paper_ids(aliases).withColumnRenamed("record_id", "record"), "record").select("doc_id", "paper", F.col("number").cast("long").alias("number"), F.col("first").cast("long").alias("first"))
 
 
-@query()
+_SPLICED = (
+    f"{_ORDERED}, done AS (SELECT p.doc_id, p.ord, '[' || array_to_string(list_sort(list(DISTINCT n.number)), ',') || ']' AS replacement FROM placed p JOIN numbers n USING (doc_id, paper) WHERE p.resolved GROUP BY p.doc_id, p.ord)"
+    f"{_PLACES}, spot AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY k) - 1 AS ord, start, start + length(original) AS stop FROM place), "
+    "span AS (SELECT doc_id, start, stop, replacement, coalesce(lag(stop) OVER (PARTITION BY doc_id ORDER BY start), 0) AS before FROM spot JOIN done USING (doc_id, ord)), "
+    "head AS (SELECT doc_id, string_agg(substr(text, before + 1, start - before) || replacement, '' ORDER BY start) AS t, max(stop) AS stop, count(*) AS n FROM span JOIN manuscripts USING (doc_id) GROUP BY doc_id)"
+)
+
+
+@query(f"{_SPLICED} SELECT doc_id, coalesce(t || substr(text, stop + 1), text) AS text, coalesce(n, 0) AS n_citations FROM manuscripts LEFT JOIN head USING (doc_id)")
 def citation_splice(spark, d):
     return citations.cited(manuscripts(spark, d), papers(spark, d)).select("doc_id", "text", "n_citations")
 
 
-@query()
+@query(f"{_ORDERED} SELECT doc_id, number, authors || '. ' || title || '. ' || journal || '. ' || year || '.' AS entry FROM numbers JOIN papers ON papers.id = numbers.paper")
 def bibliography_list(spark, d):
-    aliases = _aliases(spark, d)
-    return citations.bibliography(citations.numbered(citations.resolve_markers(citations.parse_markers(manuscripts(spark, d)), aliases)), aliases, papers(spark, d))
+    aliases = stored(_aliases(spark, d))
+    return citations.bibliography(citations.numbered(citations.resolve_markers(citations.parse_markers(manuscripts(spark, d)), aliases)), aliases, papers(spark, d)).withColumn("number", F.col("number").cast("long"))
 
 
 @query()
@@ -261,8 +292,8 @@ def citation_author_date(spark, d):
     from ..operators import styles_text
 
     p, docs = papers(spark, d), manuscripts(spark, d)
-    aliases = citations.entity_records(p)
-    new, _ = styles_text.author_date(citations.resolve_markers(citations.parse_markers(docs), aliases), aliases, p)
+    aliases = stored(citations.entity_records(p))
+    new, _ = styles_text.author_date(stored(citations.resolve_markers(citations.parse_markers(docs), aliases)), aliases, p)
     return citations.spliced(docs, new)
 
 
@@ -277,10 +308,13 @@ def year_suffix(spark, d):
     return citations.year_suffixes(papers(spark, d), ["authors", "year"], ["title", "lib_pos"]).select("id", "suffix")
 
 
-@query(f"{WITH} SELECT id, list_filter(['title', 'authors', 'year', 'journal'], lambda c: (CASE c WHEN 'title' THEN title WHEN 'authors' THEN authors WHEN 'year' THEN year ELSE journal END) = '')[1] AS first_missing, authors <> '' AND NOT contains(authors, ',') AS inferred FROM papers")
+@query(
+    f"{WITH}, m AS (SELECT *, list_filter(['title', 'authors', 'year', 'journal'], lambda c: (CASE c WHEN 'title' THEN title WHEN 'authors' THEN authors WHEN 'year' THEN year ELSE journal END) = '') AS missing FROM papers), "
+    "w AS (SELECT id, list_filter([CASE WHEN doi = '' AND contains(\"sourceUrl\", 'pubmed') AND \"arxivId\" = '' THEN 'only a PubMed link' END, CASE WHEN len(missing) > 0 THEN 'missing ' || array_to_string(missing, ', ') END, CASE WHEN authors <> '' AND NOT contains(authors, ',') THEN 'inferred names' END], lambda x: x IS NOT NULL) AS w FROM m) "
+    "SELECT id, array_to_string(w, '; ') AS warnings FROM w"
+)
 def metadata_warnings(spark, d):
-    w = I.metadata_warnings()
-    return papers(spark, d).select("id", F.nullif(F.regexp_extract(F.array_join(w, "|"), "missing ([a-z]+)", 1), F.lit("")).alias("first_missing"), F.array_contains(w, "inferred names").alias("inferred"))
+    return papers(spark, d).select("id", F.array_join(I.metadata_warnings(), "; ").alias("warnings"))
 
 
 # ---- retrieval --------------------------------------------------------------
