@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import figures
+from ..operators import figures, furniture
 from . import surrogates as S
 from .queries import query
 
@@ -71,3 +71,32 @@ def figure_panels(spark, d):
 def figure_texts_left(spark, d):
     _, rest = figures.figures(*_tables(spark, d))
     return rest.groupBy("pdf_id", "page").agg(F.count("*").cast("int").alias("n_left"))
+
+
+# ---- furniture ----------------------------------------------------------------
+
+#: A journal, a beginning of its DOIs, a line of its margins and whether that stands at the foot; {doi} is the paper's.
+PUBLISHERS = """
+SELECT * FROM (VALUES (0, 'Nature Communications', '10.1038/s41467-', 'Nature Communications | (2024) 15:1234', true), (1, 'Nature', '10.1038/s41586-', 'Article https://doi.org/', false), (2, 'Genome Biol.', '10.1186/s13059-', 'Berg et al. Genome Biology (2020) 21:12', false),
+  (3, 'PLOS ONE', '10.1371/journal.', 'PLOS ONE | 9 / 12 | May 9, 2024 | https://doi.org/', true), (4, 'Science Advances', '10.1126/sciadv.', '3 of 12', true), (5, 'Science', '10.1126/science.', 'SCIENCE www.sciencemag.org VOL 300 9 MAY 2003', true),
+  (6, 'Cell', '10.1016/j.cell.', 'Cell 30, 1-9, January 7, 2020', true), (7, 'Reeds', '10.1000/r', 'REEDS | VOL 50 | 1 MAY 2013', true), (8, 'bioRxiv', '10.1101/', 'bioRxiv preprint doi: https://doi.org/10.1101/2020.01.02.3', false), (9, 'Journal of Nests', '10.1000/n', 'Journal of Nests', false)) AS v(k, journal, start, line, foot)
+"""
+_MARGINS = f"""
+SELECT o_orderkey AS pdf_id, CAST(2 + o_custkey % 5 AS INT) AS page, o.k AS k, own.journal AS journal, own.start || CAST(o_orderkey AS STRING) AS doi, own.foot AS foot, other.foot AS other_foot,
+       own.line || CASE WHEN own.k IN (1, 3) THEN own.start || CAST(o_orderkey AS STRING) ELSE '' END AS own_line, other.line || CASE WHEN other.k IN (1, 3) THEN other.start || CAST(o_orderkey AS STRING) ELSE '' END AS other_line
+FROM (SELECT o_orderkey, o_custkey, o_orderkey % 10 AS k FROM {{orders}}) o JOIN ({PUBLISHERS}) own ON own.k = o.k JOIN ({PUBLISHERS}) other ON other.k = (o.k + 1) % 10
+"""
+
+
+@query(
+    f"WITH m AS ({S.duck(_MARGINS)}) SELECT pdf_id, page, 2 - CASE WHEN k IN (4, 6, 7) THEN 1 ELSE 0 END AS n_left, CASE WHEN k IN (4, 6, 7) THEN '' ELSE other_line || chr(10) END || own_line AS texts FROM m"
+)
+def furniture_left(spark, d):
+    m = S.spark_table(spark, d, _MARGINS)
+    run = lambda seq, line, y: F.struct(F.lit(seq).alias("seq"), line.alias("str"), F.array(*[F.lit(x) for x in (9.0, 0.0, 0.0, 9.0, 50.0)], y.cast("double")).alias("transform"))
+    at = lambda foot, low, high: F.when(F.col(foot), low).otherwise(high)
+    runs = F.array(run(1, F.col("own_line"), at("foot", 30, 770)), run(2, F.col("other_line"), at("other_foot", 24, 776)), run(3, F.col("page").cast("string"), F.lit(10)), run(4, F.col("own_line"), F.lit(400)))
+    items = m.select("pdf_id", "page", F.explode(runs).alias("r")).select("pdf_id", "page", "r.*")
+    pages = m.select("pdf_id", "page", F.lit(600.0).alias("page_width"), F.lit(800.0).alias("page_height"))
+    rest = furniture.without_furniture(items, pages, m.select("pdf_id", F.lit("").alias("title"), "journal", "doi"))
+    return rest.groupBy("pdf_id", "page").agg(F.count("*").cast("int").alias("n_left"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seq", "str"))), lambda x: x["str"]), "\n").alias("texts"))
