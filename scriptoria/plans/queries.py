@@ -399,29 +399,6 @@ def paragraph_offsets(spark, d):
     return reading.offsets(rows).select("doc_id", "paragraph", F.col("offset").cast("long").alias("offset"))
 
 
-_FIXTURE = [(1, 0, "Introduction", True), (1, 1, "We study birds.", False), (2, 0, "References", False), (2, 1, "1. Smith, J. Birds. 2001.", False), (2, 2, "more of the entry", False), (3, 0, "still listed", False), (3, 1, "Methods", True), (3, 2, "1. Collect samples from the 2020 cohort.", False), (3, 3, "12. Roe, K. Nests. Nature 1999.", False), (4, 0, "Data availability: on request.", False), (4, 1, "All data.", False)]
-_VALUES = ", ".join(f"({p}, {i}, '{t}', {str(h).lower()})" for p, i, t, h in _FIXTURE)
-
-
-@query(
-    f"WITH v(page, paragraph, text, is_heading) AS (VALUES {_VALUES}), e AS (SELECT *, CASE WHEN regexp_matches(text, '^(?:references?(?: and notes)?|bibliography)[:.]?$', 'i') OR (regexp_matches(text, '^\\s*[0-9]{{1,4}}[.)]\\s+[A-Za-z]+,\\s*[A-Z]\\.') AND regexp_matches(text, '\\b(18|19|20)[0-9]{{2}}[a-z]?\\b')) THEN true "
-    "WHEN is_heading OR regexp_matches(text, '^(introduction|methods|data availability)\\b', 'i') THEN false END AS ev FROM v), s AS (SELECT *, coalesce(last_value(ev IGNORE NULLS) OVER (ORDER BY page, paragraph ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), false) AS inside FROM e) "
-    "SELECT page, paragraph, row_number() OVER (PARTITION BY page ORDER BY paragraph) - 1 AS new_paragraph FROM s WHERE NOT inside"
-)
-def bibliography_omit(spark, d):
-    rows = spark.createDataFrame(_FIXTURE, "page int, paragraph int, text string, is_heading boolean").withColumn("pdf_id", F.lit("x"))
-    return reading.without_bibliography(rows).select("page", "paragraph", F.col("new_paragraph").cast("long").alias("new_paragraph"))
-
-
-_HEADS = ["Abstract", "2. Materials and Methods", "STAR★METHODS", "3.1 Results", "Results and discussion:", "REFERENCES.", "Acknowledgements", "Fig. 2", "4) Nothing known", "Summary"]
-
-
-@query("SELECT * FROM (VALUES " + ", ".join(f"('{h}', {'NULL' if s is None else repr(s)})" for h, s in zip(_HEADS, ["Abstract", "Methods", "Methods", "Results", "Results", "References", "Acknowledgments", None, None, "Abstract"], strict=True)) + ") v(heading, section)")
-def canonical_sections(spark, d):
-    rows = spark.createDataFrame([(h,) for h in _HEADS], "heading string")
-    return rows.select("heading", reading.canonical_section("heading").alias("section"))
-
-
 _HL = (
     ", h AS (SELECT pdf_id, text[4:13] AS quote, CASE WHEN pdf_id % 2 = 0 THEN ord ELSE ord + 1 END AS anchor FROM blocks WHERE ord = 1 AND length(text) >= 20), "
     "c AS (SELECT h.pdf_id, anchor, quote, b.ord, b.ord = anchor AND b.text[4:13] = quote AS same, strpos(b.text, quote) AS first, CASE WHEN strpos(b.text, quote) > 0 AND contains(b.text[strpos(b.text, quote) + 1:], quote) THEN 1 ELSE 0 END AS more FROM h JOIN blocks b USING (pdf_id)), "
@@ -527,50 +504,6 @@ def stream_capture_dedup(spark, d):
     return capture.dedup_stream_to_table(spark, f"{d}/events.parquet", ["user_id", "event_type"], "event_id")
 
 
-@query("SELECT * FROM (VALUES ('31234567', 'A rich title', 'Berg, Ada; Nest Group; Cho, M', '2021', '2021-3-9', '10.1000/nest.1', '12'), ('42', 'Second', '', '1998', '1998', '', '')) v(pmid, title, authors, year, date, doi, volume)")
-def pubmed_projection(spark, d):
-    from ..sources import records
-    from . import fixtures
-
-    rows = records.pubmed(spark.createDataFrame([("a", fixtures.PUBMED), ("b", fixtures.PUBMED.replace("<!DOCTYPE", "<!ENTITY x 'y'><!DOCTYPE"))], "response_id string, xml string"))
-    return rows.select("pmid", "title", "authors", "year", F.array_join(F.transform("dateParts", lambda x: x.cast("string")), "-").alias("date"), "doi", "volume")
-
-
-@query("SELECT * FROM (VALUES ('10.1000/abc', 'Of birds', 'Berg, Ada; Nest Group; Plato', '2020', '2020', 'paper-conference', 'Nest Conf')) v(doi, title, authors, year, date, \"cslType\", \"eventTitle\")")
-def crossref_projection(spark, d):
-    from ..sources import records
-    from . import fixtures
-
-    rows = records.crossref(spark.createDataFrame([("10.1000/abc", fixtures.CROSSREF), ("10.1000/other", fixtures.CROSSREF), ("10.1000/abc", "{bad")], "doi string, json string"))
-    return rows.select("doi", "title", "authors", "year", F.array_join(F.transform("dateParts", lambda x: x.cast("string")), "-").alias("date"), "cslType", "eventTitle")
-
-
-@query("SELECT * FROM (VALUES ('2101.00001', 'Deep nests', 'Ada Berg; Min Cho', '2021', '10.1000/deep')) v(\"arxivId\", title, authors, year, doi)")
-def arxiv_projection(spark, d):
-    from ..sources import records
-    from . import fixtures
-
-    rows = records.arxiv(spark.createDataFrame([("arxiv:2101.00001", fixtures.ARXIV), ("2101.00002", fixtures.ARXIV)], "arxiv_id string, xml string"))
-    return rows.select("arxivId", "title", "authors", "year", "doi")
-
-
-@query("SELECT * FROM (VALUES ('First title', 'Berg, Ada; Cho, Min', '2020', '10-19', '10.1000/RIS', 'birds, nests', '123', NULL), ('Second', '', '', '', '', '', '77', 'paper-conference')) v(title, authors, year, pages, doi, tags, pmid, \"cslType\")")
-def ris_import(spark, d):
-    from ..sources import library as lib
-    from . import fixtures
-
-    return lib.parse_ris(spark.createDataFrame([("f", fixtures.RIS)], "file string, text string")).select("title", "authors", "year", "pages", "doi", "tags", "pmid", "cslType")
-
-
-@query("SELECT * FROM (VALUES (1, 'Nests & birds', 'Berg, Ada; Cho, Min', '2019', '10.1000/x', 'https://example.org/a'), (2, 'From data', 'Ada Berg; Min Cho', '2018', '', 'https://j.example/2')) v(page_id, title, authors, year, doi, url)")
-def html_metadata_records(spark, d):
-    from ..sources import html_meta
-    from . import fixtures
-
-    rows = spark.createDataFrame([(1, "https://j.example/1", fixtures.HTML), (2, "https://j.example/2", fixtures.HTML_LD)], "page_id int, url string, html string")
-    return html_meta.extract(rows).select("page_id", "title", "authors", "year", "doi", "url")
-
-
 @query("WITH w AS (SELECT user_id AS library, event_id AS seq, CAST(row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS BIGINT) AS revision FROM events) SELECT library, seq, revision, true AS accepted FROM w UNION ALL SELECT library, seq + 1000000, revision, false FROM w")
 def optimistic_writes(spark, d):
     from pyspark.sql import Window
