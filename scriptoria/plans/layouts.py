@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import figures, furniture
+from ..operators import figures, furniture, tables
 from . import surrogates as S
 from .queries import query
 
@@ -100,3 +100,30 @@ def furniture_left(spark, d):
     pages = m.select("pdf_id", "page", F.lit(600.0).alias("page_width"), F.lit(800.0).alias("page_height"))
     rest = furniture.without_furniture(items, pages, m.select("pdf_id", F.lit("").alias("title"), "journal", "doi"))
     return rest.groupBy("pdf_id", "page").agg(F.count("*").cast("int").alias("n_left"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seq", "str"))), lambda x: x["str"]), "\n").alias("texts"))
+
+
+# ---- tables --------------------------------------------------------------------
+
+#: A labelled table for each order: a row for each line item, whose last cell stands at one of three places.
+_CELLS = """
+SELECT pdf_id, CAST(1 AS INT) AS page, CAST(rn AS INT) AS rn, CAST(c AS INT) AS c, CAST(60 + 60 * c + CASE c WHEN 5 THEN 1.5 * place ELSE 0 END AS DOUBLE) AS x, CAST(660 - 10 * rn AS DOUBLE) AS y, CAST(10 + v % 9 AS DOUBLE) AS width, CAST(v + c AS STRING) AS t
+FROM (SELECT l_orderkey AS pdf_id, CAST(l_quantity AS INT) AS v, l_partkey % 3 AS place, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice) AS rn FROM {lineitem}) r CROSS JOIN (VALUES (0), (1), (2), (3), (4), (5)) AS k(c)
+"""
+
+
+@query(
+    f"WITH cells AS ({S.duck(_CELLS)}), support AS (SELECT a.pdf_id, a.rn, a.c, count(DISTINCT b.rn) AS n FROM cells a JOIN cells b ON a.pdf_id = b.pdf_id AND abs(a.x - b.x) < 2 GROUP BY ALL), kept AS (SELECT c.*, n FROM cells c JOIN support USING (pdf_id, rn, c)), "
+    "good AS (SELECT pdf_id, rn, max(CASE WHEN n >= 4 THEN x + width END) AS stop, max(y) AS y FROM kept GROUP BY pdf_id, rn HAVING count(*) FILTER (n >= 4) >= 5), t AS (SELECT pdf_id, max(stop) + 2 AS stop, max(y) + 20 AS top, min(y) - 5 AS bottom FROM good GROUP BY pdf_id HAVING count(*) >= 4) "
+    "SELECT pdf_id, page, count(*) + 1 AS n_texts, string_agg(cells.t, ' ' ORDER BY rn, c) AS texts FROM cells JOIN t USING (pdf_id) WHERE cells.y BETWEEN bottom AND top AND x + width <= stop GROUP BY pdf_id, page"
+)
+def table_labels(spark, d):
+    cells = S.spark_table(spark, d, _CELLS)
+    zero = F.lit(0.0)
+    shown = lambda seq, text, x, y, width, size: [seq.cast("int").alias("seq"), text.alias("str"), F.array(size, zero, zero, size, x, y).alias("transform"), width.cast("double").alias("width"), size.alias("height"), F.lit("f").alias("fontName")]
+    rows = cells.select("pdf_id", "page", *shown(F.col("rn") * 6 + F.col("c"), F.col("t"), F.col("x"), F.col("y"), F.col("width"), F.lit(7.0)))
+    labels = cells.select("pdf_id", "page").distinct().select("pdf_id", "page", *shown(F.lit(0), F.lit("Table 1. Items"), F.lit(60.0), F.lit(700.0), F.lit(100), F.lit(10.0)))
+    items = rows.unionByName(labels)
+    pages = labels.select("pdf_id", "page", F.lit(600.0).alias("page_width"), F.lit(800.0).alias("page_height"))
+    found = tables.table_texts(items, pages).join(items, ["pdf_id", "page", "seq"])
+    texts = F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("seq") > 0, F.struct("seq", "str")))), lambda x: x["str"]), " ")
+    return found.groupBy("pdf_id", "page").agg(F.count("*").alias("n_texts"), texts.alias("texts"))

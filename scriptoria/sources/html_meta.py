@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.identifiers import doi_extension, pmid_identifier
+from ..functions.identifiers import doi_extension, pmid_identifier, proxied
 from ..functions.text import clean, or_else, text
 
 #: Meta names in order of preference.
@@ -63,5 +63,5 @@ def extract(pages: DataFrame) -> DataFrame:
         doi_extension(first("doi")).alias("doi"),
         F.coalesce(pmid_identifier(or_else(first("pmid"), own_pmid)), F.lit("")).alias("pmid"),
         F.when(canonical.rlike(r"(?i)^https?://"), canonical).otherwise(F.col("url")).alias("url"),
-        F.coalesce(first("pdf"), F.when(F.col("url").rlike(r"(?i)\.pdf(?:$|[?#])"), F.col("url")), F.lit("")).alias("pdf_url"),
+        proxied(F.coalesce(first("pdf"), F.when(F.col("url").rlike(r"(?i)\.pdf(?:$|[?#])"), F.col("url")), F.lit("")), "url").alias("pdf_url"),
     )

@@ -152,3 +152,12 @@ def test_revisions_and_pacing(spark):
     assert {r.seq for r in capture.applied(w).where("accepted").collect()} == {1, 3, 5}
     r = spark.createDataFrame([("k", 0), ("k", 10), ("k", 2000)], "k string, ms long")
     assert [x.at_ms for x in capture.paced(r, "k", "ms", 350).orderBy("ms").collect()] == [0, 350, 2000]
+
+
+def test_pdf_links_through_a_proxy(spark):
+    from scriptoria.sources import html_meta
+
+    html = '<meta name="citation_pdf_url" content="https://www.nests.org/a.pdf">'
+    rows = spark.createDataFrame([(1, "https://www-nests-org.proxy.reeds.edu/a", html), (2, "https://www.nests.org/a", html), (3, "https://x.org/b.pdf", "")], "page_id int, url string, html string")
+    got = {r.page_id: r.pdf_url for r in html_meta.extract(rows).collect()}
+    assert got == {1: "https://www-nests-org.proxy.reeds.edu/a.pdf", 2: "https://www.nests.org/a.pdf", 3: "https://x.org/b.pdf"}
