@@ -16,6 +16,12 @@ def _x(xml: Column | str, path: str) -> Column:
     return clean(F.xpath_string(xml, F.lit(path)))
 
 
+def _whole(xml: str, name: str) -> Column:
+    """The record, or an empty element of that name where it is not well-formed, so that it has no id and is left out."""
+    broken = F.from_xml(xml, "_corrupt_record string", {"mode": "PERMISSIVE"})["_corrupt_record"]
+    return F.when(F.col(xml).isNotNull() & broken.isNull(), F.col(xml)).otherwise(F.lit(f"<{name}/>"))
+
+
 def _author(a: Column) -> Column:
     group, family, given = _x(a, "Author/CollectiveName"), _x(a, "Author/LastName"), or_else(_x(a, "Author/ForeName"), _x(a, "Author/Initials"))
     none = F.lit(None).cast("string")
@@ -23,10 +29,11 @@ def _author(a: Column) -> Column:
 
 
 def pubmed(responses: DataFrame) -> DataFrame:
-    """Papers of PubMed responses (response_id, xml). Responses with entities, an internal DTD or over PUBMED_BYTES are refused (no rows); a public DTD is taken off, nothing is fetched."""
+    """Papers of PubMed responses (response_id, xml). Responses with entities, an internal DTD or over PUBMED_BYTES are refused (no rows); a public DTD is taken off, nothing is fetched. Records that are not well-formed are left out."""
     safe = ~F.col("xml").rlike(r"(?i)<!ENTITY\b") & ~F.col("xml").rlike(r"(?i)<!DOCTYPE[^>]*\[") & (F.octet_length("xml") <= PUBMED_BYTES)
     rows = responses.where(safe).select("response_id", F.regexp_replace("xml", r"(?i)<!DOCTYPE[^>]*>", "").alias("xml"))
     rows = rows.select("response_id", F.posexplode(F.regexp_extract_all("xml", F.lit(r"(?s)(<PubmedArticle\b.*?</PubmedArticle>)"), F.lit(1))).alias("pos", "r"))
+    rows = rows.withColumn("r", _whole("r", "PubmedArticle"))
     base = "PubmedArticle/MedlineCitation/Article"
     j = f"{base}/Journal"
     authors = F.filter(F.transform(F.regexp_extract_all("r", F.lit(r"(?s)(<Author\b.*?</Author>)"), F.lit(1)), _author), lambda a: or_else(a["family"], a["literal"]) != "")
@@ -89,9 +96,10 @@ def crossref(responses: DataFrame) -> DataFrame:
 
 
 def arxiv(responses: DataFrame) -> DataFrame:
-    """Papers of arXiv answers (arxiv_id, xml): exactly one entry, of the id asked for, with a title; full names are kept as they are."""
+    """Papers of arXiv answers (arxiv_id, xml): exactly one entry, of the id asked for, with a title, and well-formed; full names are kept as they are."""
     rows = responses.where(~F.col("xml").rlike(r"(?i)<!DOCTYPE\b|<!ENTITY\b")).select(arxiv_identifier("arxiv_id").alias("arxivId"), F.regexp_extract_all("xml", F.lit(r"(?s)(<entry\b.*?</entry>)"), F.lit(1)).alias("e"))
     rows = rows.where(F.size("e") == 1).select("arxivId", F.regexp_replace(F.regexp_replace(F.get("e", F.lit(0)), r"(</?)[a-z]+:", "$1"), r"\sxmlns(?::\w+)?=(\"[^\"]*\"|'[^']*')", "").alias("e"))
+    rows = rows.withColumn("e", _whole("e", "entry"))
     own = _x("e", "entry/id")
     rows = rows.where(own.rlike(r"(?i)^https?://arxiv\.org/abs/") & (arxiv_identifier(own) == F.col("arxivId")) & (_x("e", "entry/title") != ""))
     date = F.regexp_extract(_x("e", "entry/published"), r"^(\d{4}-\d{2}-\d{2})T", 1)

@@ -161,3 +161,14 @@ def test_pdf_links_through_a_proxy(spark):
     rows = spark.createDataFrame([(1, "https://www-nests-org.proxy.reeds.edu/a", html), (2, "https://www.nests.org/a", html), (3, "https://x.org/b.pdf", "")], "page_id int, url string, html string")
     got = {r.page_id: r.pdf_url for r in html_meta.extract(rows).collect()}
     assert got == {1: "https://www-nests-org.proxy.reeds.edu/a.pdf", 2: "https://www.nests.org/a.pdf", 3: "https://x.org/b.pdf"}
+
+
+def test_broken_records_are_left_out(spark):
+    from scriptoria.sources import records
+
+    good = "<PubmedArticle><MedlineCitation><PMID>{}</PMID><Article><ArticleTitle>T &amp; <i>U</i></ArticleTitle></Article></MedlineCitation></PubmedArticle>"
+    rows = [("a", "<PubmedArticleSet>" + good.format(1) + good.format(2).replace("</i>", "") + good.format(3) + "</PubmedArticleSet>"), ("b", "no XML"), ("c", None), ("d", "<PubmedArticle a=1></PubmedArticle>")]
+    assert [(r.pmid, r.title) for r in records.pubmed(spark.createDataFrame(rows, "response_id string, xml string")).orderBy("pmid").collect()] == [("1", "T & U"), ("3", "T & U")]
+    entry = "<feed><entry><id>http://arxiv.org/abs/2101.0000{0}v1</id><title>N {0}</title></entry></feed>"
+    rows = [("2101.00001", entry.format(1)), ("2101.00002", entry.format(2).replace("</title>", "")), ("2101.00003", None), ("2101.00004", "{}")]
+    assert [r.title for r in records.arxiv(spark.createDataFrame(rows, "arxiv_id string, xml string")).collect()] == ["N 1"]
