@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.identifiers import csl_item, metadata_warnings
+from ..functions.text import xml_escaped
 from ..storage import stored
 from .citations import entity_records, lettered, parse_markers, resolve_markers, spliced
 from .csl import ADDED, Style, tidy
@@ -123,7 +124,7 @@ def generate(docs: DataFrame, papers: DataFrame, style: Style, aliases: DataFram
     key = F.struct(*[(F.col("pos") if numbers else c).alias(f"k{i}") for i, (c, _) in enumerate(keys or [])], F.col("number").alias("n")) if keys else None
     shown = works.select(
         "doc_id", "record", "number", *([key.alias("key")] if keys else []),
-        *[c.alias(f"{name}{'_html' if html else ''}") for html in (False, True) for name, c in (("cite", _by_level(style, html=html)), ("names", _by_level(style, html=html, names_only=True)), ("years", _years(style)))],
+        *[c.alias(f"{name}{'_html' if html else ''}") for html in (False, True) for name, c in (("cite", _cite(style, html)), ("names", _by_level(style, html=html, names_only=True)), ("years", _years(style)))],
     )
     shown = cites.join(stored(shown), ["doc_id", "record"])
     shown = shown if keys else shown.withColumn("key", F.struct("k"))
@@ -143,6 +144,11 @@ def generate(docs: DataFrame, papers: DataFrame, style: Style, aliases: DataFram
     return Generated(texts, done, entries, missed, reviewed(markers, works, aliases))
 
 
+def _cite(style: Style, html: bool) -> Column:
+    """What an item is cited by; where the style writes nothing for it, its title, or the record's name."""
+    return F.coalesce(_by_level(style, html=html), F.nullif(xml_escaped("title") if html else F.col("title"), F.lit("")), F.col("record"))
+
+
 def _years(style: Style) -> Column:
     return F.concat(F.coalesce(F.get("date_parts", F.lit(0)).cast("string"), F.lit(style.term("no date", "short"))), F.coalesce("year_suffix", F.lit("")))
 

@@ -140,3 +140,11 @@ def test_names_are_added_and_years_collapsed(spark):
     g = generate(docs, spark.createDataFrame(who), Style(f"{HEAD}{cite}</style>"))
     assert g.texts.first().text == "x (A, B, et al. 2020; A, D, et al. 2020) y (E 2020a, 2001, 2020b; A, B, et al. 2020)"
     assert g.bibliography.count() == 0
+
+
+def test_what_a_style_writes_nothing_for(spark):
+    cite = "<citation><layout prefix='(' suffix=')' delimiter='; '><names variable='author'><name form='short'/></names></layout></citation>"
+    docs = spark.createDataFrame([(1, "x (PMID: 10000001; 10000002; 10000003)")], "doc_id long, text string")
+    who = [paper(1, authors="", title="A <b>"), paper(2, authors="", title=""), paper(3, authors="Roe, Kim")]
+    g = generate(docs, spark.createDataFrame(who), Style(f"{HEAD}{cite}</style>"))
+    assert [(r.replacement, r.replacement_html) for r in g.citations.collect()] == [("(A <b>; 10000002; Roe)", "(A &lt;b&gt;; 10000002; Roe)")]
