@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.identifiers import CSL_TYPES, arxiv_identifier, doi_capture, doi_client
+from ..functions.identifiers import CSL_TYPES, arxiv_identifier, doi_capture, doi_client, safe_url
 from ..functions.text import like, or_else, stripped, text
 from ..storage import stored
 from .graph import components
@@ -84,6 +84,36 @@ def valid_citation_fields() -> Column:
     )
 
 
+def checked_papers(papers: DataFrame, files: DataFrame) -> DataFrame:
+    """papers with problem, the first rule of a server's that a row breaks, null for rows that may be stored. files: file_id of the stored PDFs.
+
+    Optional columns may be missing. An attachment must have the form of an id and be among files, a semi-join by key; addresses must be safe ones; a null pdfId is no attachment, an empty one is no id.
+    """
+    has = set(papers.columns)
+    opt = lambda c, rule, else_=True: rule if c in has else F.lit(else_)
+    of = lambda c: F.col(c) if c in has else F.lit(None)
+    stored_files = files.select(F.lower("file_id").alias("_file")).distinct().withColumn("_stored", F.lit(True))
+    rows = papers.withColumn("_pdf", F.lower(of("pdfId").cast("string"))).join(stored_files, F.col("_pdf") == F.col("_file"), "left")
+    web = lambda c: opt(c, (text(c) == "") | (safe_url(c) != ""))
+    required = reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in REQUIRED]) & (text("id") != "") & (stripped(text("title")) != "") & (stripped(text("collection")) != "")
+    rules = [
+        ("incomplete", required & F.col("starred").isNotNull()),
+        ("status", F.col("status").isin(*STATUSES)),
+        ("highlights", opt("highlights", valid_highlights(F.col("highlights")))),
+        ("pmid", opt("pmid", (text("pmid") == "") | like("pmid", r"^[1-9]\d{0,8}$"))),
+        ("arxivId", opt("arxivId", (text("arxivId") == "") | arxiv_identifier("arxivId").isNotNull())),
+        ("type", opt("cslType", (text("cslType") == "") | F.col("cslType").isin(*CSL_TYPES))),
+        ("authors", opt("cslAuthors", F.size("cslAuthors") <= 1000)),
+        ("date", opt("dateParts", F.size("dateParts").between(0, 3))),
+        ("address", web("sourceUrl") & web("pdfUrl")),
+        ("pdf id", F.col("_pdf").isNull() | like("_pdf", _UUID)),
+        ("pdf missing", F.col("_pdf").isNull() | F.col("_stored")),
+    ]
+    lists = {"highlights": "highlights", "authors": "cslAuthors", "date": "dateParts"}
+    broken = F.coalesce(*[F.when(~F.coalesce(rule, of(lists[name]).isNull() if name in lists else F.lit(False)), F.lit(name)) for name, rule in rules])
+    return rows.withColumn("problem", broken).drop("_pdf", "_file", "_stored")
+
+
 def valid_highlight(h: Column) -> Column:
     n = F.length(h["quote"])
     rules = [

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import geometry
 from ..functions import identifiers as I
-from ..operators import caches, changes, embedded, layout, storage, styles
+from ..operators import caches, changes, embedded, layout, library, storage, styles
 from ..sources.library import chat_rows
 from ..streaming import capture
 from . import surrogates as S
@@ -202,3 +202,16 @@ def chat_append(spark, d):
     chats = read(spark, d, "conversations").select(F.col("conv_id").alias("paper"), F.col("turn").cast("long").alias("pos"), "role", "text")
     turns = chats.select("paper").distinct().select("paper", F.concat(F.lit("q"), "paper").alias("question"), F.concat(F.lit("a"), "paper").alias("answer"))
     return chat_rows(chats, turns)
+
+
+@query(
+    f"{WITH} SELECT id, CASE lib_pos % 9 WHEN 1 THEN 'incomplete' WHEN 2 THEN 'status' WHEN 3 THEN 'pmid' WHEN 4 THEN 'type' WHEN 5 THEN 'date' WHEN 6 THEN 'address' WHEN 7 THEN 'pdf id' ELSE CASE WHEN lib_pos % 4 = 0 THEN 'pdf missing' END END AS problem FROM papers"
+)
+def server_validity(spark, d):
+    r = F.col("lib_pos") % 9
+    put = lambda k, v, c: F.when(r == k, F.lit(v)).otherwise(F.col(c))
+    pdf = F.concat(F.lit("0000000A-0000-4000-8000-"), F.lpad(F.col("lib_pos").cast("string"), 12, "0"))
+    p = papers(spark, d).withColumns({"title": put(1, " ", "title"), "status": put(2, "Lost", "status"), "pmid": put(3, "012", "pmid"), "cslType": put(4, "poem", "cslType"), "sourceUrl": put(6, "ftp://x.org/", "sourceUrl")})
+    p = p.withColumn("dateParts", F.when(r == 5, F.array(*map(F.lit, (2020, 1, 2, 3)))).otherwise(F.array(F.lit(2020)))).withColumn("pdfId", F.when(r == 7, "x.pdf").when(F.col("lib_pos") % 2 == 0, pdf))
+    files = p.where("lib_pos % 4 > 0").select(F.lower(pdf).alias("file_id"))
+    return library.checked_papers(p, files).select("id", "problem")

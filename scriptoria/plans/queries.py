@@ -177,15 +177,17 @@ _EDITS = "SELECT *, id AS own FROM papers WHERE lib_pos % 3 = 0"
 
 
 @query(
-    f"{WITH}, e AS (SELECT CASE WHEN lib_pos % 2 = 0 THEN id ELSE 'n' || id END AS id, '  ' || title || ' (2nd) ' AS title, doi, CASE WHEN lib_pos % 2 = 0 THEN pmid ELSE '' END AS pmid FROM papers WHERE lib_pos % 3 = 0), "
+    f"{WITH}, e AS (SELECT CASE WHEN lib_pos % 2 = 0 THEN id ELSE 'n' || id END AS id, '  ' || title || ' (2nd) ' AS title, doi, CASE WHEN lib_pos % 2 = 0 THEN pmid ELSE '' END AS pmid, lib_pos FROM papers WHERE lib_pos % 3 = 0), "
     "ok AS (SELECT * FROM e WHERE NOT EXISTS (SELECT 1 FROM papers p WHERE p.pmid = e.pmid AND e.pmid <> '' AND p.id <> e.id) AND NOT EXISTS (SELECT 1 FROM papers p WHERE lower(p.doi) = lower(e.doi) AND e.doi <> '' AND p.id <> e.id)) "
-    "SELECT id, title FROM papers WHERE id NOT IN (SELECT id FROM ok) UNION ALL SELECT id, trim(title) FROM ok"
+    ", r AS (SELECT id, title, doi, pmid, 1 AS part, lib_pos AS spot FROM papers WHERE id NOT IN (SELECT id FROM ok) UNION ALL SELECT id, trim(title), doi, pmid, CASE WHEN id LIKE 'n%' THEN 0 ELSE 1 END, CASE WHEN id LIKE 'n%' THEN -lib_pos ELSE lib_pos END FROM ok) "
+    "SELECT id, title, doi, pmid, CASE WHEN part = 1 AND spot % 3 = 0 THEN 'kept' ELSE '' END AS notes, row_number() OVER (ORDER BY part, spot) AS place FROM r"
 )
 def paper_upsert(spark, d):
-    p = papers(spark, d)
+    p = papers(spark, d).withColumn("notes", F.when(F.col("lib_pos") % 3 == 0, "kept").otherwise(""))
     even = F.col("lib_pos") % 2 == 0
-    edits = p.where("lib_pos % 3 = 0").select(*[{"id": F.when(even, F.col("id")).otherwise(F.concat(F.lit("n"), "id")), "title": F.concat(F.lit("  "), "title", F.lit(" (2nd) ")), "pmid": F.when(even, F.col("pmid")).otherwise("")}.get(c, F.col(c)).alias(c) for c in p.columns])
-    return library.upserted(p, edits).select("id", "title")
+    edits = p.where("lib_pos % 3 = 0").select(*[{"id": F.when(even, F.col("id")).otherwise(F.concat(F.lit("n"), "id")), "title": F.concat(F.lit("  "), "title", F.lit(" (2nd) ")), "pmid": F.when(even, F.col("pmid")).otherwise(""), "notes": F.lit("")}.get(c, F.col(c)).alias(c) for c in p.columns])
+    done = library.upserted(p, edits)
+    return library.ranked_by(done, "lib_pos").select("id", "title", "doi", "pmid", "notes", F.col("_rank").cast("long").alias("place"))
 
 
 @query(f"{WITH}, b AS (SELECT id, CASE lib_pos % 4 WHEN 0 THEN '  ' ELSE title END AS title, CASE lib_pos % 5 WHEN 0 THEN 'Lost' ELSE status END AS status, \"cslType\", pmid FROM papers) SELECT id, trim(title) <> '' AND status IN ('To read', 'Reading', 'Finished') AS valid, true AS fields FROM b")

@@ -172,3 +172,17 @@ def test_broken_records_are_left_out(spark):
     entry = "<feed><entry><id>http://arxiv.org/abs/2101.0000{0}v1</id><title>N {0}</title></entry></feed>"
     rows = [("2101.00001", entry.format(1)), ("2101.00002", entry.format(2).replace("</title>", "")), ("2101.00003", None), ("2101.00004", "{}")]
     assert [r.title for r in records.arxiv(spark.createDataFrame(rows, "arxiv_id string, xml string")).collect()] == ["N 1"]
+
+
+def test_checked_papers(spark):
+    from scriptoria.operators import library
+
+    row = dict(id="a", title="T", authors="", year="", journal="", doi="", collection="C", tags="", status="Reading", notes="", starred=False, pdfId=None, sourceUrl="", pdfUrl="", pmid="", cslType="")
+    uuid = "0000000a-0000-4000-8000-000000000001"
+    changes = [{}, {"pdfId": uuid}, {"pdfId": uuid.upper()}, {"pdfId": uuid[:-1] + "2"}, {"pdfId": "x"}, {"pdfId": ""}, {"collection": " "}, {"tags": None}, {"starred": None}, {"status": "Lost"}, {"pdfUrl": "https://me:pw@x.org/"}, {"sourceUrl": "https://x.org/"}, {"pmid": "0"}, {"cslType": "poem"}]
+    want = [None, None, None, "pdf missing", "pdf id", "pdf id", "incomplete", "incomplete", "incomplete", "status", "address", None, "pmid", "type"]
+    schema = "k int, " + ", ".join(f"{c} {'boolean' if c == 'starred' else 'string'}" for c in row)
+    papers = spark.createDataFrame([(k, *(row | c).values()) for k, c in enumerate(changes)], schema)
+    files = spark.createDataFrame([(uuid,), (uuid,)], "file_id string")
+    assert [r.problem for r in library.checked_papers(papers, files).orderBy("k").collect()] == want
+    assert library.checked_papers(papers.drop("pdfId", "pdfUrl").limit(0), files.limit(0)).count() == 0
