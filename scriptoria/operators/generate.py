@@ -126,14 +126,15 @@ def generate(docs: DataFrame, papers: DataFrame, style: Style, aliases: DataFram
         "doc_id", "record", "number", *([key.alias("key")] if keys else []),
         *[c.alias(f"{name}{'_html' if html else ''}") for html in (False, True) for name, c in (("cite", _cite(style, html)), ("names", _by_level(style, html=html, names_only=True)), ("years", _years(style)))],
     )
-    shown = cites.join(stored(shown), ["doc_id", "record"])
+    shown = cites.join(shown, ["doc_id", "record"])
     shown = shown if keys else shown.withColumn("key", F.struct("k"))
     plain = clusters(shown, style, False)
     html = clusters(shown.select("doc_id", "ord", "number", "key", F.col("cite_html").alias("cite"), F.col("names_html").alias("names"), F.col("years_html").alias("years")), style, True)
     places = markers.where("resolved").select("doc_id", "ord", "start", "end")
-    done = stored(places.join(plain, ["doc_id", "ord"]).join(html.withColumnRenamed("replacement", "replacement_html"), ["doc_id", "ord"]))
-    counts = done.groupBy("doc_id").agg(F.count("*").alias("n_citations"))
-    texts = spliced(docs, done.select("doc_id", "start", "end", "replacement")).join(counts, "doc_id", "left").select("doc_id", "text", F.coalesce("n_citations", F.lit(0)).alias("n_citations"))
+    plain = places.join(plain, ["doc_id", "ord"])  # none of these is made before it is asked for
+    done = plain.join(html.withColumnRenamed("replacement", "replacement_html"), ["doc_id", "ord"])
+    counts = places.groupBy("doc_id").agg(F.count("*").alias("n_citations"))
+    texts = spliced(docs, plain.select("doc_id", "start", "end", "replacement")).join(counts, "doc_id", "left").select("doc_id", "text", F.coalesce("n_citations", F.lit(0)).alias("n_citations"))
     entries = works.where("false") if style.bibliography is None else works
     none = F.lit(None).cast("string")
     entry = lambda html: none if style.bibliography is None else F.coalesce(style.written("bibliography", html), F.lit(""))
