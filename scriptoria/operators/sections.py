@@ -120,11 +120,13 @@ def author_line(line: Column, authors: Column) -> Column:
 
 
 def unwrapped(paragraphs: DataFrame) -> DataFrame:
-    """paragraphs (pdf_id, page, paragraph, text, level) with second-level headings that follow each other on a page made one, as long as it stays under WRAPPED characters; a numbered one begins anew."""
+    """paragraphs (pdf_id, page, paragraph, text, level and, where a template made headings, synthetic) with second-level headings that follow each other on a page made one, as long as it stays under WRAPPED characters; a numbered one begins anew."""
     page = Window.partitionBy("pdf_id", "page").orderBy("paragraph")
     goes_on = (F.col("level") == 2) & (F.lag("level").over(page) == 2) & ~like("text", NUMBERED)
     rows = paragraphs.withColumn("island", F.sum((~F.coalesce(goes_on, F.lit(False))).cast("int")).over(page))
-    rows = rows.groupBy("pdf_id", "page", "island").agg(F.min("level").alias("level"), F.sort_array(F.collect_list(F.struct("paragraph", "text"))).alias("parts"))
+    if "synthetic" not in rows.columns:
+        rows = rows.withColumn("synthetic", F.lit(False))
+    rows = rows.groupBy("pdf_id", "page", "island").agg(F.min("level").alias("level"), F.max("synthetic").alias("synthetic"), F.sort_array(F.collect_list(F.struct("paragraph", "text"))).alias("parts"))
     start = F.array().cast("array<struct<paragraph:int,text:string>>")
 
     def add(made, part):
@@ -134,7 +136,7 @@ def unwrapped(paragraphs: DataFrame) -> DataFrame:
         one = lambda p, t: F.array(F.struct(p.cast("int").alias("paragraph"), t.alias("text")))
         return F.when(fits, F.concat(F.slice(made, 1, F.greatest(F.size(made) - 1, F.lit(0))), one(last["paragraph"], joined))).otherwise(F.concat(made, one(part["paragraph"], part["text"])))
 
-    return rows.select("pdf_id", "page", "level", F.inline(F.aggregate("parts", start, add)))
+    return rows.select("pdf_id", "page", "level", "synthetic", F.inline(F.aggregate("parts", start, add)))
 
 
 def organised(paragraphs: DataFrame, papers: DataFrame) -> DataFrame:
@@ -192,7 +194,7 @@ def organised(paragraphs: DataFrame, papers: DataFrame) -> DataFrame:
     sub = F.col("heading") & (F.col("active").isin(*WITH_HEADINGS) | F.col("review") & (F.col("active") != "References"))
     level = F.when(F.col("opens"), 1).when(F.col("major").isNotNull(), 1).when(F.col("numbered") | sub, 2)
     title = F.when(F.col("opens"), F.col("main")).when(level.isNotNull(), F.col("text"))
-    own = F.struct(F.lit(1).alias("k"), F.col("text").alias("text"), level.alias("level"), title.alias("title"), F.lit(False).alias("synthetic"))
+    own = F.struct(F.lit(1).alias("k"), F.col("text").alias("text"), level.alias("level"), title.alias("title"), F.col("synthetic").alias("synthetic"))
     stand = F.when(F.col("listed"), "References").otherwise("Results")
     made = F.struct(F.lit(0).alias("k"), stand.alias("text"), F.lit(1).alias("level"), stand.alias("title"), F.lit(True).alias("synthetic"))
     rows = rows.select("pdf_id", "page", "paragraph", F.inline(F.when(F.col("stands_in"), F.array(made, own)).otherwise(F.array(own))))

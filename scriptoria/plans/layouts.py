@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import figures, furniture, tables
+from ..operators import figures, furniture, openings, tables
 from . import surrogates as S
 from .queries import query
 
@@ -127,3 +127,51 @@ def table_labels(spark, d):
     found = tables.table_texts(items, pages).join(items, ["pdf_id", "page", "seq"])
     texts = F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("seq") > 0, F.struct("seq", "str")))), lambda x: x["str"]), " ")
     return found.groupBy("pdf_id", "page").agg(F.count("*").alias("n_texts"), texts.alias("texts"))
+
+
+# ---- opening pages ---------------------------------------------------------------
+
+#: An opening page for each order: one of four templates or none, with an abstract of two to five lines, too few of which are no evidence.
+_OPENINGS = """
+SELECT o_orderkey AS pdf_id, CAST(o_orderkey % 5 AS INT) AS k, CAST(2 + o_custkey % 4 AS INT) AS m, CAST(CASE WHEN o_orderkey % 5 = 0 AND o_custkey % 3 > 0 THEN o_custkey % 3 ELSE 1 END AS INT) AS page, o_orderpriority AS what FROM {orders}
+"""
+_JOURNALS = "SELECT * FROM (VALUES (0, 'Cell Reports'), (1, 'Science Advances'), (2, 'Proceedings of Nests'), (3, 'Nature Methods'), (4, 'Reeds')) v(k, journal)"
+#: Runs of a template's page: k, seq, what it is (heads go, abstracts, headings, bodies and notes stay), the first line's place, how many lines (0: as many as the abstract has), the step, width, size, font and text.
+_KINDS = """
+SELECT * FROM (VALUES
+  (0, 100, 'title', 40, 720, 1, 12, 100, 10, 'Sans-Bold', 'Abstract'), (0, 200, 'abstract', 40, 700, 0, 12, 510, 10, 'Serif', ''), (0, 300, 'heading', 40, 630, 1, 12, 130, 10, 'Sans-Bold', 'Introduction'), (0, 400, 'left', 40, 610, 5, 12, 240, 10, 'Serif', ''), (0, 500, 'right', 320, 610, 5, 12, 240, 10, 'Serif', ''),
+  (1, 100, 'head', 40, 740, 1, 12, 200, 12, 'Sans', 'The authors of it'), (1, 200, 'abstract', 40, 700, 0, 12, 420, 10, 'ABCDEF+MyriadPro-Semibold', ''), (1, 300, 'heading', 40, 630, 1, 12, 130, 10, 'Sans-Bold', 'Introduction'), (1, 400, 'left', 40, 610, 3, 12, 240, 10, 'Serif', ''),
+  (2, 100, 'head', 70, 700, 1, 12, 400, 16, 'Sans', 'A title of it'), (2, 150, 'title', 150, 570, 1, 12, 60, 12, 'Sans', 'Abstract'), (2, 200, 'abstract', 75, 550, 0, 12, 200, 10, 'Serif', ''), (2, 250, 'rest', 327, 571, 1, 12, 200, 10, 'Serif', 'applications of them'),
+  (2, 300, 'heading', 307, 535, 1, 12, 90, 12, 'Sans', '1. Introduction'), (2, 400, 'left', 307, 515, 2, 12, 210, 10, 'Serif', ''), (2, 500, 'note', 65, 480, 1, 12, 90, 9, 'Serif', 'Equal contribution of all'),
+  (3, 100, 'head', 217, 760, 1, 12, 250, 9, 'GraphikNaturel-Semibold', 'The authors of it'), (3, 200, 'abstract', 217, 700, 0, 12, 250, 10, 'HardingText-Regular', ''), (3, 400, 'left', 40, 580, 5, 11, 250, 8, 'HardingText-Regular', ''), (3, 500, 'right', 306, 580, 5, 11, 250, 8, 'HardingText-Regular', ''),
+  (4, 100, 'heading', 40, 720, 1, 12, 130, 10, 'Sans-Bold', 'Introduction'), (4, 400, 'left', 40, 700, 3, 12, 510, 10, 'Serif', '')
+) v(k, seq, kind, x, y, n, step, width, size, font, own)
+"""
+_OPENING_RUNS = f"""
+SELECT p.pdf_id, p.page, p.k, p.m, CAST(r.seq + i.i AS INT) AS seq, r.kind, CAST(r.x AS DOUBLE) AS x, CAST(r.y - r.step * i.i AS DOUBLE) AS y, CAST(r.width AS DOUBLE) AS width, CAST(r.size AS DOUBLE) AS size, r.font,
+       CASE WHEN r.own <> '' THEN r.own ELSE 'line ' || CAST(i.i AS STRING) || ' of the ' || r.kind || ' tells at some length of ' || p.what || ' and of all that was seen in the spring of the year' END AS str
+FROM ({_OPENINGS}) p JOIN ({_KINDS}) r ON r.k = p.k JOIN (SELECT * FROM (VALUES (0), (1), (2), (3), (4)) w(i)) i ON i.i < CASE r.n WHEN 0 THEN p.m ELSE r.n END
+"""
+#: Which pages show enough: three wide lines; four of 350 characters set off; three lines below the heading of a split abstract; three larger lines.
+_SHOWN = "CASE WHEN k = 0 AND m >= 3 AND page <= 2 THEN 'wide' WHEN k = 1 AND m >= 4 THEN 'set off' WHEN k = 2 AND m >= 3 THEN 'split' WHEN k = 3 AND m >= 3 THEN 'inset' END"
+
+
+@query(f"""
+WITH runs AS ({S.duck(_OPENING_RUNS)}), told AS (SELECT *, {_SHOWN} AS template FROM runs),
+kept AS (SELECT * FROM told WHERE kind <> 'head' OR template IS NULL OR template = 'wide'),
+placed AS (SELECT *, CASE WHEN template IS NULL AND k = 2 THEN -y * 1000 + x
+  WHEN kind = 'head' THEN 0 WHEN kind = 'title' THEN 1000 WHEN kind = 'abstract' THEN 2000 - y WHEN kind = 'rest' THEN 3000 WHEN kind = 'heading' THEN 4000 WHEN kind = 'left' THEN 6000 - y WHEN kind = 'right' THEN 8000 - y ELSE 9000 END AS place FROM kept)
+SELECT pdf_id, page, any_value(template) AS template,
+  CASE WHEN any_value(template) IN ('set off', 'inset') THEN 'Abstract ' ELSE '' END || coalesce(string_agg(str, ' ' ORDER BY place) FILTER (k <> 3 OR kind IN ('head', 'abstract')), '') || CASE WHEN any_value(template) = 'inset' THEN ' Introduction' ELSE '' END || coalesce(' ' || string_agg(str, ' ' ORDER BY place) FILTER (k = 3 AND kind NOT IN ('head', 'abstract')), '') AS texts,
+  CASE any_value(template) WHEN 'set off' THEN 1 WHEN 'inset' THEN 2 ELSE 0 END AS n_synthetic FROM placed GROUP BY pdf_id, page
+""")
+def opening_pages(spark, d):
+    runs = S.spark_table(spark, d, _OPENING_RUNS)
+    zero = F.lit(0.0)
+    items = runs.select("pdf_id", "page", "seq", "str", F.array("size", zero, zero, "size", "x", "y").alias("transform"), "width", F.col("size").alias("height"), F.col("font").alias("fontName"))
+    about = S.spark_table(spark, d, f"SELECT p.pdf_id, p.page, j.journal FROM ({_OPENINGS}) p JOIN ({_JOURNALS}) j ON j.k = p.k")
+    pages, papers = about.select("pdf_id", "page", F.lit(600.0).alias("page_width"), F.lit(800.0).alias("page_height")), about.select("pdf_id", "journal", F.lit("").alias("doi"))
+    texts = openings.paragraphs(items, pages, papers).groupBy("pdf_id", "page").agg(
+        F.first("template").alias("template"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("paragraph", "text"))), lambda p: p["text"]), " ").alias("texts"), F.count_if("synthetic").cast("int").alias("n_synthetic")
+    )
+    return texts
