@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import identifiers as I
@@ -527,3 +527,28 @@ def docx_round_trip(spark, d):
 
     files = archives.write_docx(read(spark, d, "documents").select("doc_id", "text"))
     return archives.read_docx(files).where("problem is null").groupBy("doc_id").agg(F.count("*").alias("n"), F.sum(F.length("text")).alias("chars"))
+
+
+#: Manuscripts' pieces, their markers numbered, and what becomes of a copy whose first citation is edited by hand.
+_WORD = f"""
+WITH p AS (SELECT *, (l_partkey + l_linenumber) % 9 NOT IN (3, 6) AS cites FROM ({S.duck(S.CITE)})),
+n AS (SELECT *, count(*) FILTER (cites) OVER (PARTITION BY doc_id ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice, piece ROWS UNBOUNDED PRECEDING) AS k FROM p),
+t AS (SELECT doc_id, count(*) FILTER (cites) AS n_citations, string_agg(piece, '. ' ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice, piece) AS source,
+  string_agg(CASE WHEN cites THEN regexp_replace(piece, '[(\\[].*[)\\]]', '<' || k || '>') ELSE piece END, '. ' ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice, piece) AS made FROM n GROUP BY doc_id)
+"""
+
+
+@query(f"{_WORD} SELECT doc_id, n_citations, made || CASE WHEN n_citations > 0 THEN chr(10) || 'References' || chr(10) || 'Works cited: ' || n_citations ELSE '' END AS made, source AS restored, n_citations > 0 AS refused FROM t")
+def word_restore(spark, d):
+    from ..sources import archives, word
+
+    docs = manuscripts(spark, d)
+    cites = citations.parse_markers(docs).select("doc_id", "ord", "start", "end", "original", F.concat(F.lit("<"), F.row_number().over(Window.partitionBy("doc_id").orderBy("start")), F.lit(">")).alias("replacement"))
+    cites = stored(cites)
+    entries = cites.groupBy("doc_id").agg(F.lit(1).alias("pos"), F.concat(F.lit("Works cited: "), F.count("*")).alias("entry"))
+    made = stored(word.generate_docx(archives.write_docx(docs), cites, entries))
+    whole = lambda files, name: archives.read_docx(files).where("problem is null").groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("paragraph", "text"))), lambda p: p["text"]), "\n").alias(name))
+    edited = word.restore_docx(made.select("doc_id", word.with_text(F.col("content"), "<1>", "<0>").alias("content"))).select("doc_id", F.col("problem").isNotNull().alias("refused"))
+    back = stored(word.restore_docx(made))
+    counts = back.select("doc_id", F.size("sources").cast("long").alias("n_citations"))
+    return counts.join(whole(made, "made"), "doc_id").join(whole(back, "restored"), "doc_id").join(edited, "doc_id")
