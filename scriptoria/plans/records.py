@@ -95,7 +95,7 @@ FROM {pages}
 
 
 @query(
-    r"WITH p AS (SELECT page_id, url, trim(regexp_replace(regexp_extract(html, '(?is)<title>([^<]*)</title>', 1), '\s+', ' ', 'g')) AS t FROM pages) SELECT page_id, CASE page_id % 3 WHEN 0 THEN 'Nests & page ' || page_id WHEN 1 THEN 'Data of ' || page_id ELSE CASE WHEN t = '' THEN 'Untitled reference' ELSE replace(replace(replace(replace(replace(t, '&lt;', '<'), '&gt;', '>'), '&quot;', '""'), '&#39;', ''''), '&amp;', '&') END END AS title, ".replace("'\"\"'", "'\"'")
+    r"WITH p AS (SELECT page_id, url, trim(regexp_replace(regexp_extract(html, '(?is)<title>([^<]*)</title>', 1), '\s+', ' ', 'g')) AS t FROM pages) SELECT page_id, CASE page_id % 3 WHEN 0 THEN 'Nests & page ' || page_id WHEN 1 THEN 'Data of ' || page_id ELSE CASE WHEN t = '' THEN 'Untitled reference' ELSE replace(replace(replace(replace(replace(t, '&lt;', '<'), '&gt;', '>'), '&quot;', chr(34)), '&#39;', ''''), '&amp;', '&') END END AS title, "
     + "CASE page_id % 3 WHEN 0 THEN 'Berg, Ada; Cho, Min' WHEN 1 THEN 'Ada Berg; Min Cho' ELSE '' END AS authors, CASE WHEN page_id % 3 < 2 THEN CAST(1990 + page_id % 30 AS VARCHAR) ELSE '' END AS year, CASE page_id % 3 WHEN 0 THEN '10.1000/p' || page_id ELSE '' END AS doi, CASE page_id % 3 WHEN 1 THEN 'https://example.org/c/' || page_id ELSE url END AS url FROM p"
 )
 def html_metadata_records(spark, d):
