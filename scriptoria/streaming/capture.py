@@ -60,6 +60,7 @@ def applied(writes: DataFrame) -> DataFrame:
     """Optimistic writes (library, seq, revision): in sequence, a write is accepted if its revision is the current one, which then rises by one; else it conflicts.
 
     Of the writes that name revision r only the first can be accepted, and only if r - 1 was: acceptance is a chain, found by windows over each library's first writes.
+    Writes of different revisions may share a seq; each is decided for itself.
     """
     first = Window.partitionBy("library", "revision").orderBy("seq")
     rows = writes.withColumn("_first", F.row_number().over(first) == 1)
@@ -67,7 +68,8 @@ def applied(writes: DataFrame) -> DataFrame:
     heads = rows.where("_first").withColumn("_rank", F.row_number().over(chain) - 1).withColumn("_order", F.max("seq").over(chain.rowsBetween(Window.unboundedPreceding, -1)))
     good = heads.withColumn("_ok", (F.col("revision") == F.col("_rank")) & F.coalesce(F.col("seq") > F.col("_order"), F.lit(True)))
     good = good.withColumn("_ok", F.min("_ok").over(chain.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
-    return rows.join(good.where("_ok").select("library", "seq", F.lit(True).alias("_won")), ["library", "seq"], "left").select("library", "seq", "revision", F.coalesce("_won", F.lit(False)).alias("accepted"))
+    won = good.where("_ok").select("library", "revision", F.lit(True).alias("_won"))
+    return rows.join(won, ["library", "revision"], "left").select("library", "seq", "revision", (F.col("_first") & F.coalesce("_won", F.lit(False))).alias("accepted"))
 
 
 def paced(requests: DataFrame, key: str, ts: str, pause_ms: int) -> DataFrame:

@@ -34,3 +34,8 @@ def _held(spark, d, name):
 def test_titles_with_quotation_marks(spark, sf_dir, tmp_path):
     d = _copied(sf_dir, tmp_path, pages="SELECT 2::BIGINT AS page_id, 'https://x.org/a' AS url, '<title>On &quot;nests&quot; &amp; &#39;eggs&#39;</title>' AS html")
     assert any("On \"nests\" & 'eggs'" in r for r in _held(spark, d, "html_metadata_records"))
+
+
+def test_late_writes_that_share_a_sequence_number(spark, sf_dir, tmp_path):
+    d = _copied(sf_dir, tmp_path, events="SELECT * EXCLUDE (i) REPLACE (event_id + i * 1000000 AS event_id) FROM (SELECT * FROM events WHERE event_id < 50), range(3) t(i)")
+    _held(spark, d, "optimistic_writes")
