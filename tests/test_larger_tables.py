@@ -39,3 +39,8 @@ def test_titles_with_quotation_marks(spark, sf_dir, tmp_path):
 def test_late_writes_that_share_a_sequence_number(spark, sf_dir, tmp_path):
     d = _copied(sf_dir, tmp_path, events="SELECT * EXCLUDE (i) REPLACE (event_id + i * 1000000 AS event_id) FROM (SELECT * FROM events WHERE event_id < 50), range(3) t(i)")
     _held(spark, d, "optimistic_writes")
+
+
+def test_letters_of_groups_past_three(spark, sf_dir, tmp_path):
+    d = _copied(sf_dir, tmp_path, part="SELECT * EXCLUDE (i) REPLACE (p_partkey * 20000 + i AS p_partkey) FROM (SELECT * FROM part ORDER BY p_partkey LIMIT 1), range(19000) t(i)")
+    assert {len(r[1]) for r in _held(spark, d, "year_suffix")} == {1, 2, 3, 4}
