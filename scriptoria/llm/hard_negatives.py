@@ -10,14 +10,14 @@ First each anchor has one window over all rows of its label, which gives its pos
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import dropped, kernel_starts, pick, stored, table
+from .common import dropped, kernel_starts, new_path, pick, stored, table
 
 POSITIVES = 5
 NEGATIVES = 3
@@ -71,34 +71,49 @@ class Selection:
         bits = (low ^ high).bit_length()
         self.u_lo, self.u_hi = _signed(low >> bits << bits), _signed(low >> bits << bits | (1 << bits) - 1)
         block = F.pmod(F.xxhash64("vec_id", "uid"), F.lit(self.n_blocks)).cast("int")
-        self.blocks = stored(rows.groupBy(block.alias("block")).agg(F.collect_list(F.struct("vec_id", "uid", "label", "q")).alias("rows")), "negatives_blocks")
+        blocks = rows.groupBy(block.alias("block")).agg(F.collect_list(F.struct("vec_id", "uid", "label", "q")).alias("rows"))
+        # a file for each block or two, so that a task, which reads as many files as fit its size, holds few blocks
+        self.blocks = stored(blocks.repartition(min(self.n_blocks, 10_000), "block"), "negatives_blocks")
 
-    def _tiles(self, windows: DataFrame, same: bool, gather: bool) -> DataFrame:
-        """Each block of rows beside each block of anchors with their windows."""
+    def _tiles(self, windows: DataFrame, same: bool, gather: bool) -> Iterator[DataFrame]:
+        """What each block of anchors with their windows finds in all blocks of rows.
+
+        The rows stay where they are stored: a block of anchors, ``BLOCK`` at most, is sent to them, one after another. So nothing of the tiles is shuffled or written, however many they are.
+        """
         per = windows.groupBy("a_id", "a_uid").agg(F.collect_list(F.struct(*_STATE)).alias("windows"))
         own = self.rows.select(F.col("vec_id").alias("a_id"), F.col("uid").alias("a_uid"), "label", "q")
-        n_anchors = max(1, -(-per.count() // BLOCK))
-        anchors = per.join(own, ["a_id", "a_uid"]).groupBy(F.pmod(F.xxhash64("a_id", "a_uid"), F.lit(n_anchors)).cast("int").alias("ablock"))
-        anchors = anchors.agg(F.collect_list(F.struct("a_id", "a_uid", "label", "q", "windows")).alias("anchors"))
-        every = lambda n, name: F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias(name)
-        met = self.blocks.select("block", "rows", every(n_anchors, "ablock")).join(anchors.select("ablock", "anchors", every(self.n_blocks, "block")), ["block", "ablock"])
-        met = met.repartition(min(n_anchors * self.n_blocks, 10_000), "block", "ablock").select("rows", "anchors")
+        n_anchors = -(-windows.select("a_id", "a_uid").distinct().count() // BLOCK)
+        anchors = per.join(own, ["a_id", "a_uid"]).groupBy(F.pmod(F.xxhash64("a_id", "a_uid"), F.lit(max(1, n_anchors))).cast("int").alias("ablock"))
+        anchors = stored(anchors.agg(F.collect_list(F.struct("a_id", "a_uid", "label", "q", "windows")).alias("anchors")), "negatives_anchors")
         keys = ", ".join(f"{k} long" for k in KEY)
-        return met.mapInArrow(_scored(same, gather), f"{keys}, vec_id long, uid long, score long" if gather else f"{keys}, bin int, n long")
+        for k in range(n_anchors):
+            met = self.blocks.select("rows").crossJoin(F.broadcast(anchors.where(F.col("ablock") == k).select("anchors")))  # one row of about BLOCK anchors
+            yield met.mapInArrow(_scored(same, gather), f"{keys}, vec_id long, uid long, score long" if gather else f"{keys}, bin int, n long")
+        dropped(self.spark, anchors)
+
+    def _gathered(self, windows: DataFrame, same: bool, gather: bool, name: str, finish: Callable[[DataFrame], DataFrame], schema: str) -> DataFrame:
+        """The tiles' results, finished for each block of anchors, whose windows are in no other, in one table."""
+        path = new_path(self.spark, name)
+        self.spark.createDataFrame([], schema).write.parquet(path)
+        for tiles in self._tiles(windows, same, gather):
+            finish(tiles).write.mode("append").parquet(path)
+        return self.spark.read.schema(schema).parquet(path)
 
     def best(self, windows: DataFrame, k: int, same: bool) -> DataFrame:
         """The k best rows of each window (a_id, a_uid, p_id, p_uid, lo, hi): the columns of KEY, rank, vec_id, uid, score. same: of the anchor's label and not the anchor, else of another label."""
         state = windows.select(*KEY, F.col("hi").alias("top"), "lo", "hi", F.lit(self.u_lo).cast("long").alias("u_lo"), F.lit(self.u_hi).cast("long").alias("u_hi"), F.lit(k).cast("long").alias("need"), F.lit(True).alias("open"))
         state = stored(state, "negatives_windows")
+        keys = ", ".join(f"{key} long" for key in KEY)
         while not state.where("open").isEmpty():
-            counts = stored(self._tiles(state.where("open"), same, False).groupBy(*KEY, "bin").agg(F.sum("n").alias("n")), "negatives_counts")
+            summed = lambda tiles: tiles.groupBy(*KEY, "bin").agg(F.sum("n").alias("n"))
+            counts = self._gathered(state.where("open"), same, False, "negatives_counts", summed, f"{keys}, bin int, n long")
             narrowed = stored(_narrowed(state, counts, k), "negatives_windows")
             dropped(self.spark, counts)
             dropped(self.spark, state)
             state = narrowed
-        found = self._tiles(state, same, True)
         order = Window.partitionBy(*KEY).orderBy(F.desc("score"), "vec_id", "uid")
-        out = stored(found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k), "negatives_found")
+        ranked = lambda tiles: tiles.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+        out = self._gathered(state, same, True, "negatives_found", ranked, f"{keys}, vec_id long, uid long, score long, rank int")
         dropped(self.spark, state)
         return out
 

@@ -98,3 +98,14 @@ def test_sql(spark, sf_dir):
     want = con.execute(H.OP12_SQL)
     assert [c[0] for c in want.description] == df.columns
     assert sorted(map(tuple, df.collect())) == sorted(want.fetchall())
+
+
+def test_tiles_shuffle_no_rows(spark):
+    rows = spark.range(200).selectExpr("id as vec_id", "array(cast(id as float), 1f) as embedding", "cast(id % 10 as int) as label")
+    known = H.stored(H.taking_part(rows), "negatives_rows")
+    chosen = H.Selection(known)
+    windows = known.where("vec_id % 50 = 0").selectExpr("vec_id as a_id", "uid as a_uid", "0L as p_id", "0L as p_uid", "-9L as top", "-9L as lo", "9L as hi", "0L as u_lo", "0L as u_hi", "3L as need")
+    tiles = list(chosen._tiles(windows, True, False))
+    assert len(tiles) == 1
+    plan = tiles[0]._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange hashpartitioning" not in plan and "BroadcastNestedLoopJoin" in plan
