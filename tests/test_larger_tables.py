@@ -44,3 +44,15 @@ def test_late_writes_that_share_a_sequence_number(spark, sf_dir, tmp_path):
 def test_letters_of_groups_past_three(spark, sf_dir, tmp_path):
     d = _copied(sf_dir, tmp_path, part="SELECT * EXCLUDE (i) REPLACE (p_partkey * 20000 + i AS p_partkey) FROM (SELECT * FROM part ORDER BY p_partkey LIMIT 1), range(19000) t(i)")
     assert {len(r[1]) for r in _held(spark, d, "year_suffix")} == {1, 2, 3, 4}
+
+
+def test_contradicting_components_are_no_groups_of_their_own(spark):
+    from scriptoria.operators import citations
+
+    # in each of 500 components two papers of one preprint contradict each other, and a third fits the first
+    papers = [(f"p{k}-{i}", 3 * k + i, pmid, "", f"2101.{10000 + k}", "") for k in range(500) for i, pmid in enumerate((str(1000 + k), str(5000 + k), ""))]
+    out = citations.entity_records(spark.createDataFrame(papers, "id string, lib_pos long, pmid string, doi string, arxivId string, sourceUrl string"))
+    assert "FlatMapGroupsInPandas" not in out._jdf.queryExecution().executedPlan().toString()
+    got = {(r.key, r.paper_id) for r in out.collect()}
+    assert {p for key, p in got if key == "arxiv:2101.10007"} == {"p7-0", "p7-1"}
+    assert {p for key, p in got if key == "local:p7-2"} == {"p7-0"} and len(got) == 500 * (3 + 2 + 2)
