@@ -3,6 +3,7 @@
 import os
 
 import duckdb
+import pytest
 
 from scriptoria.plans.queries import QUERIES, SQL
 
@@ -46,6 +47,16 @@ def test_letters_of_groups_past_three(spark, sf_dir, tmp_path):
     assert {len(r[1]) for r in _held(spark, d, "year_suffix")} == {1, 2, 3, 4}
 
 
+@pytest.mark.parametrize("name", ["citation_numbering", "citation_splice", "markers_resolve", "bibliography_list", "unresolved_identifiers"])
+def test_papers_that_share_an_arxiv_id(spark, sf_dir, tmp_path, name):
+    # 560,000 keys on, a paper has the arXiv id again; some of these have neither PMID nor DOI and go to the record of the first that fits
+    d = _copied(
+        sf_dir, tmp_path, part="SELECT * EXCLUDE (i, k) REPLACE (35 + 7 * k + 560000 * i AS p_partkey) FROM (SELECT * FROM part ORDER BY p_partkey LIMIT 1), range(8) a(i), range(12) b(k) WHERE i < 2 OR k % 8 = 0",
+        lineitem="SELECT * EXCLUDE (i, k, n) REPLACE (k * 9 + i AS l_orderkey, n AS l_linenumber, 35 + 7 * k + 560000 * i AS l_partkey, 35 + 7 * k AS l_suppkey) FROM (SELECT * FROM lineitem ORDER BY l_orderkey, l_linenumber LIMIT 1), range(8) a(i), range(12) b(k), range(1, 10) c(n) WHERE i < 2 OR k % 8 = 0",
+    )
+    assert len(_held(spark, d, name)) > 30
+
+
 def test_contradicting_components_are_no_groups_of_their_own(spark):
     from scriptoria.operators import citations
 
