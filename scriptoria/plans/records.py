@@ -25,9 +25,9 @@ FROM {{part}}
 _WHO = "p_brand || ', Ada; Group ' || p_size AS authors"
 
 
-def _written(spark, d, sql: str):
+def _written(spark, d, sql: str, spread: bool = False):
     """A table of texts; quotation marks inside of them are none of names."""
-    return S.spark_table(spark, d, sql.replace('"', "\\u0022"))
+    return S.spark_table(spark, d, sql.replace('"', "\\u0022"), spread)
 
 
 _date = lambda c: F.array_join(F.transform(c, lambda x: x.cast("string")), "-")
@@ -38,7 +38,7 @@ _date = lambda c: F.array_join(F.transform(c, lambda x: x.cast("string")), "-")
     "CASE p_partkey % 4 WHEN 0 THEN '10.1000/id.' ELSE '10.1000/loc.' END || p_partkey AS doi, CAST(p_size AS VARCHAR) AS volume FROM part WHERE p_partkey % 4 < 2"
 )
 def pubmed_projection(spark, d):
-    return records.pubmed(_written(spark, d, _PUBMED)).select("pmid", "title", "authors", "year", _date("dateParts").alias("date"), "doi", "volume")
+    return records.pubmed(_written(spark, d, _PUBMED, spread=True)).select("pmid", "title", "authors", "year", _date("dateParts").alias("date"), "doi", "volume")
 
 
 #: Every third answer is of another DOI than the one asked for; dates of conference papers have a thirteenth month.
@@ -66,7 +66,7 @@ _ARXIV = f"SELECT concat('arXiv:2101.', CAST(10000 + p_partkey % 80000 AS STRING
 
 @query("SELECT '2101.' || (10000 + p_partkey % 80000) AS \"arxivId\", 'Deep ' || p_name AS title, 'Ada Berg; ' || p_brand AS authors, CAST(1975 + p_size AS VARCHAR) AS year, 1975 + p_size || '-5-9' AS date, '10.1000/ax.' || p_partkey AS doi FROM part WHERE p_partkey % 3 = 2")
 def arxiv_projection(spark, d):
-    return records.arxiv(_written(spark, d, _ARXIV)).select("arxivId", "title", "authors", "year", _date("dateParts").alias("date"), "doi")
+    return records.arxiv(_written(spark, d, _ARXIV, spread=True)).select("arxivId", "title", "authors", "year", _date("dateParts").alias("date"), "doi")
 
 
 #: A file for each brand; every fifth record has no title.

@@ -186,3 +186,17 @@ def test_checked_papers(spark):
     files = spark.createDataFrame([(uuid,), (uuid,)], "file_id string")
     assert [r.problem for r in library.checked_papers(papers, files).orderBy("k").collect()] == want
     assert library.checked_papers(papers.drop("pdfId", "pdfUrl").limit(0), files.limit(0)).count() == 0
+
+
+def test_records_are_parsed_once(spark):
+    from scriptoria.sources import records
+
+    article = "<PubmedArticle><MedlineCitation><PMID>7</PMID><Article><ArticleTitle>On <m:i>x</m:i> &amp; <![CDATA[<y>]]></ArticleTitle><AuthorList><Author/><Author><LastName>Berg</LastName><Initials>A</Initials></Author></AuthorList></Article></MedlineCitation></PubmedArticle>"
+    rows = records.pubmed(spark.createDataFrame([("1", f"<PubmedArticleSet>{article}</PubmedArticleSet>")], "response_id string, xml string"))
+    assert [(r.pmid, r.title, r.authors) for r in rows.collect()] == [("7", "On x & <y>", "Berg, A")]
+    entry = "<entry><id>http://arxiv.org/abs/2101.00001v1</id><published>2021-05-09T10:00:00Z</published><title>T</title><author><name>Ada &amp; Ida</name></author></entry>"
+    feeds = records.arxiv(spark.createDataFrame([("2101.00001", f"<feed>{entry}</feed>")], "arxiv_id string, xml string"))
+    assert [(r.title, r.authors, list(r.dateParts)) for r in feeds.collect()] == [("T", "Ada & Ida", [2021, 5, 9])]
+    for df in (rows, feeds):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "xpath" not in plan and plan.count("from_xml") == 0
