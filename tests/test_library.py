@@ -200,3 +200,17 @@ def test_records_are_parsed_once(spark):
     for df in (rows, feeds):
         plan = df._jdf.queryExecution().executedPlan().toString()
         assert "xpath" not in plan and plan.count("from_xml") == 0
+
+
+def test_word_files_are_made_and_read_a_few_at_a_time(spark):
+    import pyarrow as pa
+
+    from scriptoria.sources import archives
+
+    batch = pa.RecordBatch.from_pydict({"doc_id": list(range(250))})
+    assert [b.num_rows for b in archives._slices(iter([batch]))] == [100, 100, 50]
+    docs = spark.createDataFrame([(k, None if k == 7 else f"a {k}\n\nb & <c>") for k in range(250)], "doc_id long, text string").coalesce(1)
+    files = archives.write_docx(docs)
+    broken = spark.createDataFrame([(-1, b"no file")], "doc_id long, content binary")
+    got = {(r.doc_id, r.paragraph): (r.text, r.offset, r.problem is None) for r in archives.read_docx(files.union(broken)).collect()}
+    assert len(got) == 249 * 3 + 1 + 1 and got[(9, 2)] == ("b & <c>", 5, True) and got[(7, 0)] == ("", 0, True) and got[(-1, 0)][2] is False
