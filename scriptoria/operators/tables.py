@@ -1,7 +1,7 @@
 """Tables of pages by their labels: which runs are table text, and rows that are kept together.
 
-A label, as Table 1., meets the runs below it on its page; their baselines are rows, and a table is there if enough rows have cells that stand at the same places. Rows and supports are windows and equi-joins on grid
-cells (layout.table_support), within the region of one label.
+A label, as Table 1., meets the runs below it on its page; their baselines are rows, and a table is there if enough rows have cells that stand at the same places. Rows and supports are windows and aggregates
+(layout.table_support) within the region of one label, on the shuffle that its runs have come by.
 
 Runs are as in operators.figures; pages: pdf_id, page, page_width.
 """
@@ -37,9 +37,7 @@ def _in_rows(cells: DataFrame, step: Column) -> DataFrame:
 
 def _supported(cells: DataFrame, near: float, digits: int, wide: int) -> DataFrame:
     """cells with support, within their label's region."""
-    own = cells.withColumns({"pdf_id": F.struct("pdf_id", "page"), "page": F.col("label"), "text": F.col("t")})
-    out = table_support(own, near, digits, wide)
-    return out.withColumn("page", F.col("pdf_id.page")).withColumn("pdf_id", F.col("pdf_id.pdf_id"))
+    return table_support(cells.withColumn("text", F.col("t")), near, digits, wide, (*KEY, "label"))
 
 
 def table_regions(runs: DataFrame, pages: DataFrame) -> DataFrame:

@@ -56,3 +56,13 @@ def test_wide_tables(spark):
 def test_nothing(spark):
     items, pages = frames(spark, [("x", 1, 1, 1.0, 1)])
     assert T.table_texts(items.limit(0), pages).count() == 0 and T.table_lines(items.limit(0), pages.limit(0)).count() == 0
+
+
+def test_rows_and_supports_share_one_shuffle(spark):
+    from scriptoria.operators import layout
+
+    df = spark.createDataFrame([("d", 1, r, 60.0 * c + r % 2, str(r)) for r in range(5) for c in range(6)], "pdf_id string, page int, row int, x double, text string")
+    got = layout.table_support(df.repartition("pdf_id", "page"))
+    plan = got._jdf.queryExecution().executedPlan().toString()  # as it is before it runs
+    assert plan.count("Exchange") == 1 and "Join" not in plan
+    assert [r.support for r in got.collect()] == [5] * 30
