@@ -1,11 +1,13 @@
 """Page furniture of publishers: running heads, footers, stamps and marks in the margins, taken out as whole lines.
 
 A margin line is turned into its shape: lower case, years, numbers, months, the paper's own DOI and page numbers as signs, punctuation off. RULES is a table of whose shapes go where, EVIDENCE of what else a page must show.
-Lines meet the rules of their paper's publishers by an equi-join on the family; a rule that wants evidence holds on pages with a line that gives it. Unknown journals keep everything but what is general.
+Both are compiled to expressions, so a line meets the rules of its paper's publishers where it is; a rule that wants evidence holds on pages with a line that gives it. Unknown journals keep everything but what is general.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -91,42 +93,57 @@ def margin_lines(items: DataFrame, pages: DataFrame) -> DataFrame:
     return per.select(*KEY, "line", "y", (F.col("page_height") - F.col("y")).alias("top"), clean(F.array_join(F.transform("r", lambda r: r["str"]), " ")).alias("text"), F.transform("r", lambda r: r["seq"]).alias("seqs"))
 
 
-def _fits(test: Column, shapes: Column, have: Column) -> Column:
-    padded = F.concat(F.lit(" "), have, F.lit(" "))
-    one = F.get(shapes, F.lit(0))
-    has = F.forall(shapes, lambda s: F.contains(padded, F.concat(F.lit(" "), s, F.lit(" "))))
-    return F.when(test == "is", have == one).when(test == "starts", F.startswith(padded, F.concat(F.lit(" "), one, F.lit(" ")))).otherwise(has)
+def _fits(test: str, shapes: list[str]) -> Column:
+    """Whether the line's shape, a blank at either end, is, starts with or has these shapes, as whole words."""
+    if test == "is":
+        return F.col("padded") == f" {shapes[0]} "
+    if test == "starts":
+        return F.startswith("padded", F.lit(f" {shapes[0]} "))
+    return reduce(lambda a, b: a & b, [F.contains(F.col("padded"), F.lit(f" {s} ")) for s in shapes])
 
 
-def furniture_lines(lines: DataFrame, papers: DataFrame) -> DataFrame:
-    """The margin lines that are furniture: pdf_id, page, line and rule. papers: pdf_id, title, journal, doi."""
-    spark = lines.sparkSession
-    rules = spark.createDataFrame(RULES, "rule string, family string, edge string, reach int, test string, shapes array<string>, evidence string")
-    told = spark.createDataFrame(EVIDENCE, "evidence string, family string, shapes array<string>")
-    rows = lines.join(papers.select("pdf_id", "title", "journal", "doi"), "pdf_id").withColumn("shape", shape(F.col("text"), F.col("doi"), F.col("page")))
-    known = rows.withColumn("family", F.explode(families(F.col("journal"), F.col("doi"))))
-    shown = known.join(F.broadcast(told), "family").where(_fits(F.lit("has"), F.col("shapes"), F.col("shape"))).select(*KEY, "evidence").distinct()
-    met = known.join(F.broadcast(rules), "family").where(_fits(F.col("test"), F.col("shapes"), F.col("shape")))
-    zone = (F.col("edge") != "bottom") & (F.col("top") < F.col("reach")) | (F.col("edge") != "top") & (F.col("y") < F.col("reach"))
-    met = met.where(zone).select(*KEY, "line", "rule", "evidence")
-    ruled = met.where("evidence = ''").unionByName(met.join(shown, [*KEY, "evidence"], "left_semi")).select(*KEY, "line", "rule")
+def _of_family(family: str) -> Column:
+    return F.lit(True) if family == "any" else F.array_contains("families", family)
+
+
+def _ruled(lines: DataFrame, papers: DataFrame, how: str) -> DataFrame:
+    """lines with the rule that takes them out, null if none does. Each line's shape is made once; what else its page shows is a window of the page, so that lines meet papers and nothing else."""
+    rows = lines.join(papers.select("pdf_id", "title", "journal", "doi"), "pdf_id", how)
+    rows = rows.withColumns({"padded": F.concat(F.lit(" "), shape(F.col("text"), F.col("doi"), F.col("page")), F.lit(" ")), "families": families(F.col("journal"), F.col("doi"))})
+    page = Window.partitionBy(*KEY)
+    told = {name: reduce(lambda a, b: a | b, [_of_family(f) & _fits("has", shapes) for n, f, shapes in EVIDENCE if n == name]) for name in dict.fromkeys(n for n, _, _ in EVIDENCE)}
+    rows = rows.withColumn("shown", F.struct(*[F.bool_or(told[name]).over(page).alias(name) for name in told]))
+
+    def holds(family: str, edge: str, reach: int, test: str, shapes: list[str], evidence: str) -> Column:
+        near = {"top": F.col("top") < reach, "bottom": F.col("y") < reach}
+        zone = near["top"] | near["bottom"] if edge == "both" else near[edge]
+        met = _of_family(family) & zone & _fits(test, shapes)
+        return met & F.col("shown")[evidence] if evidence else met
+
+    ruled = [F.when(holds(*rest), F.lit(rule)) for rule, *rest in RULES]
     # lines that repeat what is known of the paper itself
     number = F.col("page").cast("string")
     plain = F.lower(F.trim(F.regexp_replace(F.col("text"), r"\s*[|·•]\s*", " ")))
     plain = F.when(F.startswith(plain, F.concat(number, F.lit(" "))), F.substring(plain, F.length(number) + 2, F.length(plain))).when(F.endswith(plain, F.concat(F.lit(" "), number)), F.left(plain, F.length(plain) - F.length(number) - 1)).otherwise(plain)
-    own = rows.withColumn("l_text", letters("text")).withColumn("l_title", letters(text("title"))).withColumn("l_both", letters(F.concat_ws(" ", "journal", "title")))
+    titled = text("title") != ""  # without a title there is nothing to compare letters with
+    rows = rows.withColumn("l_text", letters(F.when(titled, F.col("text")))).withColumn("l_title", letters(text("title"))).withColumn("l_both", letters(F.when(titled, F.concat_ws(" ", "journal", "title"))))
     journal = (text("journal") != "") & (plain == F.lower(clean("journal")))
     title = (F.col("l_title") != "") & (F.col("l_text") == F.col("l_title")) & (F.col("page") > 1) & (F.col("top") < MARGIN)
-    both = F.array_contains(families(F.col("journal"), F.col("doi")), "plos") & (F.col("l_title") != "") & (F.col("l_text") == F.col("l_both")) & (F.col("top") < MARGIN)
-    rule = F.when(journal, "journal").when(title, "running title").when(both, "plos head")
-    return ruled.unionByName(own.withColumn("rule", rule).where("rule is not null").select(*KEY, "line", "rule")).groupBy(*KEY, "line").agg(F.min("rule").alias("rule"))
+    both = F.array_contains("families", "plos") & (F.col("l_title") != "") & (F.col("l_text") == F.col("l_both")) & (F.col("top") < MARGIN)
+    own = F.when(journal, "journal").when(title, "running title").when(both, "plos head")
+    return rows.withColumn("rule", F.least(*ruled, own)).select(*lines.columns, "rule")
+
+
+def furniture_lines(lines: DataFrame, papers: DataFrame) -> DataFrame:
+    """The margin lines that are furniture: pdf_id, page, line and rule. papers: pdf_id, title, journal, doi."""
+    return _ruled(lines, papers, "inner").where("rule is not null").groupBy(*KEY, "line").agg(F.min("rule").alias("rule"))
 
 
-def stamps(items: DataFrame, pages: DataFrame, papers: DataFrame) -> DataFrame:
+def stamps(items: DataFrame, pages: DataFrame, papers: DataFrame, how: str = "inner") -> DataFrame:
     """pdf_id, page, seq and rule of upright-standing marks in the outer side margins: a preprint server's version stamp at the left, one publisher's download notice at the right. Horizontal texts that say the same stay."""
     m = F.col("transform")
     vertical = (F.abs(m[0]) < 0.01) & (F.abs(m[3]) < 0.01) & (m[1] != 0) & (m[2] != 0)
-    rows = items.where(vertical).select(*KEY, "seq", m[4].alias("x"), F.lower(clean("str")).alias("t")).join(pages.select(*KEY, "page_width"), KEY).join(papers.select("pdf_id", "journal", "doi"), "pdf_id")
+    rows = items.where(vertical).select(*KEY, "seq", m[4].alias("x"), F.lower(clean("str")).alias("t")).join(pages.select(*KEY, "page_width"), KEY).join(papers.select("pdf_id", "journal", "doi"), "pdf_id", how)
     words = F.split(F.col("t"), " ")
     year = F.element_at(words, -1)
     dated = (F.length(year) == 4) & year.try_cast("int").between(1900, 2099)
@@ -137,8 +154,6 @@ def stamps(items: DataFrame, pages: DataFrame, papers: DataFrame) -> DataFrame:
 
 def without_furniture(items: DataFrame, pages: DataFrame, papers: DataFrame) -> DataFrame:
     """items (pdf_id, page, seq, str, transform, ...) without their publishers' furniture. Papers without a row in papers, and nulls in it, have no journal that is known."""
-    every = items.select("pdf_id").distinct().join(papers.select("pdf_id", "title", "journal", "doi"), "pdf_id", "left")
-    lines = margin_lines(items, pages)
-    gone = furniture_lines(lines, every).join(lines, [*KEY, "line"]).select(*KEY, F.explode("seqs").alias("seq"))
-    gone = gone.union(stamps(items, pages, every).select(*KEY, "seq"))
-    return items.join(gone.distinct(), [*KEY, "seq"], "left_anti")
+    gone = _ruled(margin_lines(items, pages), papers, "left").where("rule is not null").select(*KEY, F.explode("seqs").alias("seq"))
+    gone = gone.union(stamps(items, pages, papers, "left").select(*KEY, "seq"))
+    return items.join(gone, [*KEY, "seq"], "left_anti")

@@ -72,3 +72,12 @@ def test_nothing(spark):
     assert U.without_furniture(spark.createDataFrame([], ITEM), pages, spark.createDataFrame([], PAPER)).count() == 0
     unknown = spark.createDataFrame([("d", 1, 0, "3 of 12", [9.0, 0.0, 0.0, 9.0, 50.0, 30.0])], ITEM)
     assert U.without_furniture(unknown, spark.createDataFrame([("d", 1, 600.0, 800.0)], pages.schema), spark.createDataFrame([], PAPER)).count() == 1
+
+
+def test_lines_meet_their_rules_where_they_are(spark):
+    from scriptoria.operators import furniture
+
+    lines = spark.createDataFrame([("d", 2, 1, 20.0, 780.0, "7")], "pdf_id string, page int, line int, y double, top double, text string")
+    papers = spark.createDataFrame([("d", "", "Cell", "10.1016/j.cell.1")], "pdf_id string, title string, journal string, doi string")
+    plan = furniture.furniture_lines(lines, papers)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join") == 1 and "Union" not in plan  # only with papers; there were joins with rules and evidence, on lines made three times
