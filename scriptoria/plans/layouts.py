@@ -50,7 +50,7 @@ def _tables(spark, d):
     runs = S.spark_table(spark, d, RUNS)
     zero = F.lit(0.0)
     items = runs.select("pdf_id", "page", "seq", "str", F.array("size", zero, zero, "size", "x", "y").alias("transform"), "width", F.col("size").alias("height"), F.col("font").alias("fontName"))
-    pages = runs.select("pdf_id", "page").distinct().withColumn("page_width", F.lit(600.0)).withColumn("page_height", F.lit(800.0))
+    pages = S.spark_table(spark, d, CAPTIONS).select("pdf_id", "page").distinct().withColumn("page_width", F.lit(600.0)).withColumn("page_height", F.lit(800.0))
     return items, pages, S.spark_table(spark, d, DOUBLE_BOXES)
 
 
@@ -62,9 +62,7 @@ def figure_crops(spark, d):
 
 @query(f"{_CROPS} SELECT pdf_id, page, n_images FROM found WHERE n_images > 0")
 def figure_panels(spark, d):
-    items, pages, boxes = _tables(spark, d)
-    seeds = figures.caption_seeds(figures.runs_of(items), pages)
-    return figures.panel_groups(seeds, boxes).select("pdf_id", "page", F.col("n_boxes").cast("long").alias("n_images"))
+    return figures.panel_groups(*_tables(spark, d)).select("pdf_id", "page", F.col("n_boxes").cast("long").alias("n_images"))
 
 
 @query(f"{_CROPS} SELECT pdf_id, page, 3 + CASE WHEN step < 8 * 1.65 THEN 0 ELSE 1 END AS n_left FROM captions")
