@@ -115,14 +115,16 @@ FROM (SELECT l_orderkey AS pdf_id, CAST(l_quantity AS INT) AS v, l_partkey % 3 A
     "SELECT pdf_id, page, count(*) + 1 AS n_texts, string_agg(cells.t, ' ' ORDER BY rn, c) AS texts FROM cells JOIN t USING (pdf_id) WHERE cells.y BETWEEN bottom AND top AND x + width <= stop GROUP BY pdf_id, page"
 )
 def table_labels(spark, d):
-    cells = S.spark_table(spark, d, _CELLS)
+    cells = S.spark_table(spark, d, _CELLS, dealt_by={"lineitem": "l_orderkey"})
     zero = F.lit(0.0)
     shown = lambda seq, text, x, y, width, size: [seq.cast("int").alias("seq"), text.alias("str"), F.array(size, zero, zero, size, x, y).alias("transform"), width.cast("double").alias("width"), size.alias("height"), F.lit("f").alias("fontName")]
     rows = cells.select("pdf_id", "page", *shown(F.col("rn") * 6 + F.col("c"), F.col("t"), F.col("x"), F.col("y"), F.col("width"), F.lit(7.0)))
-    labels = cells.select("pdf_id", "page").distinct().select("pdf_id", "page", *shown(F.lit(0), F.lit("Table 1. Items"), F.lit(60.0), F.lit(700.0), F.lit(100), F.lit(10.0)))
+    # grouped by what cells are dealt by, so that labels and pages come to where their rows are
+    one = S.spark_table(spark, d, _CELLS).where("c = 0").groupBy("pdf_id").agg(F.first("page").alias("page"))
+    labels = one.select("pdf_id", "page", *shown(F.lit(0), F.lit("Table 1. Items"), F.lit(60.0), F.lit(700.0), F.lit(100), F.lit(10.0)))
     items = rows.unionByName(labels)
-    pages = labels.select("pdf_id", "page", F.lit(600.0).alias("page_width"), F.lit(800.0).alias("page_height"))
-    found = tables.table_texts(items, pages).join(items, ["pdf_id", "page", "seq"])
+    pages = one.select("pdf_id", "page", F.lit(600.0).alias("page_width"), F.lit(800.0).alias("page_height"))
+    found = tables.table_texts(items, pages)
     texts = F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("seq") > 0, F.struct("seq", "str")))), lambda x: x["str"]), " ")
     return found.groupBy("pdf_id", "page").agg(F.count("*").alias("n_texts"), texts.alias("texts"))
 

@@ -66,3 +66,22 @@ def test_rows_and_supports_share_one_shuffle(spark):
     plan = got._jdf.queryExecution().executedPlan().toString()  # as it is before it runs
     assert plan.count("Exchange") == 1 and "Join" not in plan
     assert [r.support for r in got.collect()] == [5] * 30
+
+
+def test_texts_of_tables_share_one_shuffle_of_runs(spark):
+    items, pages = frames(spark, [("Table 1. Nests", 58, 700, 10.0, 100), *cells(4)])
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        got = T.table_texts(items, pages)
+        plan = got._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    assert plan.count("- Exchange hashpartitioning") == plan.count("ReusedExchange") == 1 and "Join" not in plan
+    assert got.count() == 25
+
+
+def test_pages_without_a_key_or_a_width_have_no_tables(spark):
+    items, pages = frames(spark, [("Table 1. Nests", 58, 700, 10.0, 100), *cells(4)])
+    unnamed = items.selectExpr("CAST(NULL AS STRING) AS pdf_id", *items.columns[1:])
+    assert T.table_texts(items.union(unnamed), pages.union(pages.selectExpr("CAST(NULL AS STRING) AS pdf_id", *pages.columns[1:]))).count() == 25
+    assert T.table_texts(items, pages.where("page = 2")).count() == 0
