@@ -1,7 +1,7 @@
 """Opening pages of papers: which template a page follows, the parts it falls into, and its paragraphs part by part.
 
-Evidence of a page (its headings, the type and the width of its runs) is gathered in windows of the page, and every run gets the part it stands in, or none; then each part is laid out for itself. The windows and the layout
-share one shuffle by page. A page that shows too little is laid out whole.
+What runs and papers show by themselves are columns; then a page's runs are gathered into one row, on the one shuffle that runs come by. There its evidence (its headings, the type and the width of its runs) is looked at, which goes
+by the order of runs, every run gets the part it stands in, or none, and each part is laid out for itself. A page that shows too little is laid out whole.
 
 Templates, tried in this order:
 wide: on the first two pages, an abstract with a heading at the left over the full width, above the introduction in columns. What is above, the abstract, and the rest are parts.
@@ -15,10 +15,13 @@ from __future__ import annotations
 import re
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from decimal import ROUND_HALF_UP, Decimal
+from functools import lru_cache
 from itertools import groupby
+from math import nan
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import layout
@@ -37,102 +40,187 @@ NOTE_STARTS = ("equal contribution", "co-corresponding authors", "corresponding
 WIDE, SET_OFF, SPLIT, INSET = 50, 30, 35, 30
 
 
-@dataclass
+@dataclass(frozen=True)
 class Part:
-    """Where a part's runs are, whether it is one column, the section that it begins without a heading, whether it may go on with the sentence of the part before, and whether all its type is plain."""
+    """Whether a part of a page is one column, the section that it begins without a heading, whether it may go on with the sentence of the part before, and whether all its type is plain."""
 
-    where: Column
     one_column: bool = False
     opens: str = ""
     goes_on: bool = False
     plain: bool = False
 
 
-def _page() -> Window:
-    return Window.partitionBy(*KEY)
-
-
-def _first(cond: Column) -> Column:
-    """The page's first run that meets a condition, as a struct of seq, x, y, size and font."""
-    return F.min(F.when(cond, F.struct("seq", "x", "y", "size", "font"))).over(_page())
-
-
-def _face(*names: str) -> Column:
-    """Whether a font, by its own name or after the sign of a subset, is one of these faces."""
-    return F.exists(F.split(F.lower("face"), r"[+\s]"), lambda p: p.isin(*names))
-
-
-def _n(cond: Column) -> Column:
-    return F.count_if(F.coalesce(cond, F.lit(False))).over(_page())
-
-
-def _wide(rows: DataFrame) -> tuple[DataFrame, Column, list[Part]]:
-    rows = rows.withColumns({"abs": _first(F.col("section") == "Abstract"), "intro": _first(F.col("section") == "Introduction")})
-    top, bottom = F.col("abs.y") + F.col("abs.size"), F.col("intro.y") + F.col("intro.size") * 0.8
-    inside = (F.col("y") <= top) & (F.col("y") > bottom)
-    rows = rows.withColumn("n_wide", _n(inside & (F.col("width") > F.col("page_width") * 0.6) & (F.col("chars") > WIDE)))
-    holds = (F.col("page") <= 2) & (F.col("abs.y") > F.col("intro.y")) & (F.col("abs.x") < F.col("page_width") * 0.2) & (F.col("n_wide") >= 3)
-    return rows, holds, [Part(F.col("y") > top), Part(inside, one_column=True), Part(F.col("y") <= bottom)]
-
-
-def _set_off(rows: DataFrame) -> tuple[DataFrame, Column, list[Part]]:
-    on = (F.col("page") == 1) & F.array_contains("families", "advances")
-    heavy = F.exists(F.array(*map(F.lit, SET_OFF_FACES)), lambda f: F.contains(F.lower(F.col("face")), f))
-    line = on & heavy & (F.col("y") > F.col("intro.y") + F.col("intro.size")) & (F.col("x") < F.col("page_width") * 0.8) & F.col("size").between(8, 11) & (F.col("chars") > SET_OFF)
-    rows = rows.withColumn("heavy", F.coalesce(line, F.lit(False)))
-    font = Window.partitionBy(*KEY, "font")  # hashed by page, it is sorted anew but not shuffled
-    lines, chars = F.size(F.collect_set(F.when(F.col("heavy"), F.round("y"))).over(font)), F.sum(F.when(F.col("heavy"), F.col("chars"))).over(font)
-    rows = rows.withColumn("long_heavy", F.col("heavy") & (lines >= 4) & (chars > 350)).withColumn("abs_font", _first(F.col("long_heavy"))["font"])
-    own = F.col("heavy") & (F.col("font") == F.col("abs_font"))
-    rows = rows.withColumns({"heavy_size": _first(own)["size"], "heavy_low": F.min(F.when(own, F.col("y"))).over(_page()), "heavy_high": F.max(F.when(own, F.col("y") + F.col("size"))).over(_page())})
-    bottom = F.col("heavy_low") - F.col("heavy_size") * 0.7
-    inside = (F.col("y") >= bottom) & (F.col("y") <= F.col("heavy_high") + 1) & (F.col("x") < F.col("page_width") * 0.81)
-    rows = rows.withColumn("n_below", _n((F.col("y") < bottom) & (F.col("chars") > 0)))
-    return rows, on & F.col("abs_font").isNotNull() & (F.col("n_below") > 0), [Part(inside, one_column=True, opens="Abstract", plain=True), Part(F.col("y") < bottom)]
-
-
-def _split(rows: DataFrame) -> tuple[DataFrame, Column, list[Part]]:
-    on = (F.col("page") == 1) & ~F.col("nature")
-    left = F.col("x") < F.col("page_width") / 2
-    rows = rows.withColumns({"abs_l": _first(left & (F.col("section") == "Abstract")), "intro_r": _first(~left & (F.col("section") == "Introduction"))})
-    top = F.col("abs_l.y") + 1
-    rows = rows.withColumn("prose_size", F.coalesce(_first(left & (F.col("y") < top) & (F.col("chars") > SPLIT))["size"], F.lit(0.0)))
-    small = left & (F.col("size") < F.col("prose_size") * 0.95)
-    starts = F.exists(F.array(*map(F.lit, NOTE_STARTS)), lambda s: F.startswith(F.lower(F.trim("str")), s))
-    rows = rows.withColumn("note", _first(small & (F.col("y") < top) & starts))
-    rows = rows.withColumn("in_notes", F.coalesce(small & (F.col("y") <= F.col("note.y") + F.col("note.size") * 0.7), F.lit(False)))
-    below = F.col("y") <= top
-    begins, ends = left & below & ~F.col("in_notes"), ~left & below & (F.col("y") > F.col("intro_r.y") + F.col("intro_r.size") * 0.5)
-    larger = ends & (F.col("chars") > 0) & (F.col("size") > F.col("prose_size") * 1.15)
-    rows = rows.withColumns({"n_begins": _n(begins), "n_ends": _n(ends), "n_larger": _n(larger)})
-    holds = on & (F.col("intro_r.y") < F.col("abs_l.y")) & (F.col("n_begins") > 3) & (F.col("n_ends") > 0) & (F.col("n_larger") == 0)
-    return rows, holds, [Part(begins, one_column=True), Part(ends, one_column=True, goes_on=True), Part(below & ~F.col("in_notes")), Part(F.col("in_notes"), one_column=True)]
-
-
-def _inset(rows: DataFrame) -> tuple[DataFrame, Column, list[Part]]:
-    on = (F.col("page") == 1) & F.col("nature")
-    older = _face(OLDER_PROSE_FACE) & F.array_contains("families", "communications")
-    rows = rows.withColumn("prose", on & (F.contains(F.lower(F.col("face")), F.lit(PROSE_FACE)) | older))
-    line = F.col("prose") & (F.col("chars") > INSET)
-    rows = rows.withColumn("small_size", F.min(F.when(line & (F.col("size") > 0), F.col("size"))).over(_page())).withColumn("n_prose", F.sum(F.when(line, F.length("str"))).over(_page()))
-    rows = rows.withColumn("large", F.col("prose") & (F.col("size") > F.col("small_size") * 1.05) & (F.col("x") > F.col("page_width") * 0.3))
-    chief = F.col("large") & line
-    edge = lambda agg, c, cond: agg(F.when(cond, c)).over(_page())
-    rows = rows.withColumns({
-        "n_chief": _n(chief), "inset_low": edge(F.min, F.col("y"), F.col("large")) - F.col("small_size") * 0.7,
-        "inset_high": edge(F.max, F.col("y") + F.col("size"), chief) + 2, "inset_left": edge(F.min, F.col("x"), chief) - 3,
-    })
-    under = F.col("y") < F.col("inset_low")
-    rows = rows.withColumn("body_lines", F.collect_list(F.when(line & under, F.struct("x", "y", "width", "size"))).over(_page()))
-    beside = F.exists("body_lines", lambda b: (F.abs(b["y"] - F.col("y")) < b["size"] * 0.65) & F.col("x").between(b["x"] - 2, b["x"] + b["width"] + b["size"]))
-    inside = (F.col("y") >= F.col("inset_low")) & (F.col("y") <= F.col("inset_high")) & (F.col("x") >= F.col("inset_left"))
-    body = under & (F.col("prose") | beside)
-    rows = rows.withColumn("n_body", _n(body & (F.col("chars") > 0)))
-    holds = on & (F.col("n_prose") >= 500) & (F.col("n_chief") >= 3) & (F.col("n_body") > 0)
-    return rows, holds, [Part(inside, one_column=True, opens="Abstract"), Part(body, opens="Introduction")]
-
-
-TEMPLATES: dict[str, Callable[[DataFrame], tuple[DataFrame, Column, list[Part]]]] = {"wide": _wide, "set off": _set_off, "split": _split, "inset": _inset}
+#: A page without a template.
+WHOLE = (Part(),)
+
+
+@dataclass(slots=True)
+class Shown:
+    """A page as templates look at it: its number, width, paper and runs, the lists' values in order of seq. Unknown places and sizes are NaN, which no comparison holds for."""
+
+    page: int
+    width: float
+    nature: bool
+    families: list[str]
+    x: list[float]
+    y: list[float]
+    w: list[float]
+    size: list[float]
+    text: list[str]
+    chars: list[int]
+    font: list[str]
+    face: list[str]
+    section: list[str | None]
+
+    def first(self, section: str, fits: Callable[[int], bool] = lambda i: True) -> int | None:
+        """The first run that names a section."""
+        return next((i for i, s in enumerate(self.section) if s == section and fits(i)), None) if section in self.section else None
+
+
+@lru_cache(4096)
+def _low(face: str) -> tuple[str, frozenset[str]]:
+    """A font in lower case, and the names in it, of which one may be the sign of a subset."""
+    low = face.lower()
+    return low, frozenset(re.split(r"[+\s]", low, flags=re.ASCII))
+
+
+@lru_cache(4096)
+def _is_bold(face: str) -> bool:
+    return layout.bold_name(face)
+
+
+def _wide(p: Shown) -> list[int] | None:
+    """Each run's part, -1 for one that goes, if the page follows the template; None if not."""
+    if p.page > 2 or (a := p.first("Abstract")) is None or (i := p.first("Introduction")) is None:
+        return None
+    top, bottom = p.y[a] + p.size[a], p.y[i] + p.size[i] * 0.8
+    if not (p.y[a] > p.y[i] and p.x[a] < p.width * 0.2):
+        return None
+    if sum([bottom < y <= top and w > p.width * 0.6 and n > WIDE for y, w, n in zip(p.y, p.w, p.chars, strict=True)]) < 3:
+        return None
+    return [0 if y > top else 1 if bottom < y <= top else 2 if y <= bottom else -1 for y in p.y]
+
+
+def _set_off(p: Shown) -> list[int] | None:
+    if p.page != 1 or "advances" not in p.families or (i := p.first("Introduction")) is None:
+        return None
+    low = p.y[i] + p.size[i]
+    heavy = [k for k, (x, y, s, n) in enumerate(zip(p.x, p.y, p.size, p.chars, strict=True)) if y > low and x < p.width * 0.8 and 8 <= s <= 11 and n > SET_OFF and any(f in _low(p.face[k])[0] for f in SET_OFF_FACES)]
+    lines: dict[str, set] = {}
+    chars: dict[str, int] = {}
+    for k in heavy:
+        lines.setdefault(p.font[k], set()).add(Decimal(repr(p.y[k])).to_integral_value(ROUND_HALF_UP))
+        chars[p.font[k]] = chars.get(p.font[k], 0) + p.chars[k]
+    font = next((f for f in (p.font[k] for k in heavy) if len(lines[f]) >= 4 and chars[f] > 350), None)
+    own = [k for k in heavy if p.font[k] == font]
+    if not own:
+        return None
+    bottom, high = min([p.y[k] for k in own]) - p.size[own[0]] * 0.7, max([p.y[k] + p.size[k] for k in own]) + 1
+    if not any(y < bottom and n > 0 for y, n in zip(p.y, p.chars, strict=True)):
+        return None
+    return [0 if bottom <= y <= high and x < p.width * 0.81 else 1 if y < bottom else -1 for x, y in zip(p.x, p.y, strict=True)]
+
+
+def _split(p: Shown) -> list[int] | None:
+    middle = p.width / 2
+    if p.page != 1 or p.nature or (a := p.first("Abstract", lambda k: p.x[k] < middle)) is None or (i := p.first("Introduction", lambda k: p.x[k] >= middle)) is None:
+        return None
+    if not p.y[i] < p.y[a]:
+        return None
+    runs = range(len(p.x))
+    left, right, top = [x < middle for x in p.x], [x >= middle for x in p.x], p.y[a] + 1
+    prose = next((p.size[k] for k in runs if left[k] and p.y[k] < top and p.chars[k] > SPLIT), 0.0)
+    small = [left[k] and p.size[k] < prose * 0.95 for k in runs]
+    note = next((k for k in runs if small[k] and p.y[k] < top and p.text[k].strip(" ").lower().startswith(NOTE_STARTS)), None)
+    noted = [note is not None and small[k] and p.y[k] <= p.y[note] + p.size[note] * 0.7 for k in runs]
+    begins = [left[k] and p.y[k] <= top and not noted[k] for k in runs]
+    end = p.y[i] + p.size[i] * 0.5
+    ends = [right[k] and end < p.y[k] <= top for k in runs]
+    if sum(begins) <= 3 or not any(ends) or any(ends[k] and p.chars[k] > 0 and p.size[k] > prose * 1.15 for k in runs):
+        return None
+    return [0 if begins[k] else 1 if ends[k] else 2 if p.y[k] <= top and not noted[k] else 3 if noted[k] else -1 for k in runs]
+
+
+def _inset(p: Shown) -> list[int] | None:
+    if p.page != 1 or not p.nature:
+        return None
+    older, runs = "communications" in p.families, range(len(p.x))
+    prose = [PROSE_FACE in low or older and OLDER_PROSE_FACE in names for low, names in map(_low, p.face)]
+    line = [prose[k] and p.chars[k] > INSET for k in runs]
+    small = min([p.size[k] for k in runs if line[k] and p.size[k] > 0], default=nan)
+    large = [prose[k] and p.size[k] > small * 1.05 and p.x[k] > p.width * 0.3 for k in runs]
+    chief = [k for k in runs if large[k] and line[k]]
+    if sum([len(p.text[k]) for k in runs if line[k]]) < 500 or len(chief) < 3:
+        return None
+    known = lambda values: [v for v in values if v == v]
+    low = min(known([p.y[k] for k in runs if large[k]]), default=nan) - small * 0.7
+    high, edge = max(known([p.y[k] + p.size[k] for k in chief]), default=nan) + 2, min([p.x[k] for k in chief]) - 3
+    body = [(p.x[k], p.y[k], p.w[k], p.size[k]) for k in runs if line[k] and p.y[k] < low]
+
+    def beside(x: float, y: float) -> bool:
+        return any(abs(by - y) < size * 0.65 and bx - 2 <= x <= bx + w + size for bx, by, w, size in body)
+
+    under = [p.y[k] < low and (prose[k] or beside(p.x[k], p.y[k])) for k in runs]
+    if not any(under[k] and p.chars[k] > 0 for k in runs):
+        return None
+    return [0 if low <= p.y[k] <= high and p.x[k] >= edge else 1 if under[k] else -1 for k in runs]
+
+
+TEMPLATES: dict[str, tuple[Callable[[Shown], list[int] | None], tuple[Part, ...]]] = {
+    "wide": (_wide, (Part(), Part(one_column=True), Part())),
+    "set off": (_set_off, (Part(one_column=True, opens="Abstract", plain=True), Part())),
+    "split": (_split, (Part(one_column=True), Part(one_column=True, goes_on=True), Part(), Part(one_column=True))),
+    "inset": (_inset, (Part(one_column=True, opens="Abstract"), Part(opens="Introduction"))),
+}
+
+
+def _placed(p: Shown) -> tuple[str | None, list[int], tuple[Part, ...]]:
+    """The template of a page, each run's part (-1 for a run that goes), and what the parts are."""
+    for name, (template, told) in TEMPLATES.items():
+        if (places := template(p)) is not None:
+            return name, places, told
+    return None, [0] * len(p.x), WHOLE
+
+
+def _gathered(items: DataFrame, pages: DataFrame, papers: DataFrame, fonts: DataFrame | None, *more: str) -> DataFrame:
+    """A row for each page: pdf_id, page, page_width, splits, nature, families and runs, in order of seq, with more of their columns."""
+    rows = items.withColumns({"_text": F.coalesce("str", F.lit("")), "_font": F.coalesce("fontName", F.lit(""))})
+    if fonts is None:
+        rows = rows.withColumns({"_full": F.lit(""), "_known": F.lit(False)})
+    else:
+        named = fonts.select("pdf_id", "fontName", F.concat_ws(" ", "postscriptName", "fontFamily").alias("_full"), F.coalesce("bold", F.lit(False)).alias("_known"))
+        rows = rows.join(named, ["pdf_id", "fontName"], "left").withColumn("_known", F.coalesce("_known", F.lit(False)))
+    if "splits" not in pages.columns:
+        pages = pages.withColumn("splits", F.lit(None).cast("array<double>"))
+    # what the templates look at is only asked of opening pages
+    section = F.when((F.col("page") <= 2) & (F.length(F.trim("_text")) < 60), canonical_section("_text"))
+    number = lambda c, k=None: (F.col(c) if k is None else F.col(c)[k]).cast("double")
+    run = F.struct(
+        "seq", number("transform", 4).alias("x"), number("transform", 5).alias("y"), number("width").alias("w"), number("height").alias("size"), F.col("_text").alias("text"),
+        F.col("_font").alias("font"), F.concat_ws(" ", "_font", "_full").alias("face"), F.col("_known").alias("known"), section.alias("section"), *more,
+    )
+    whole = rows.groupBy(*KEY).agg(F.array_sort(F.collect_list(run)).alias("runs"))
+    known = papers.select("pdf_id", families(F.col("journal"), F.col("doi")).alias("families"), (profile("journal", "doi") == "nature").alias("nature"))
+    about = pages.select(*KEY, "page_width", "splits").join(known, "pdf_id", "left")
+    about = about.withColumns({"families": F.coalesce("families", F.array(F.lit("any"))), "nature": F.coalesce("nature", F.lit(False))})
+    return whole.join(about, KEY)
+
+
+def _read(b: pa.RecordBatch) -> Iterator[tuple[Shown, list[bool], list[float] | None]]:
+    """The pages of a batch of _gathered, with which of their runs are bold, and their splits."""
+    runs = b.column("runs")
+    bounds = runs.offsets.to_pylist()
+    every = runs.values.slice(bounds[0], bounds[-1] - bounds[0]) if bounds else runs.values
+    fields = {every.type.field(k).name: every.field(k) for k in range(every.type.num_fields)}
+    x, y, w, size = (fields[c].fill_null(nan).to_pylist() for c in ("x", "y", "w", "size"))
+    text, font, face, section, known = (fields[c].to_pylist() for c in ("text", "font", "face", "section", "known"))
+    about = [b.column(c).to_pylist() for c in ("page", "page_width", "nature", "families", "splits")]
+    for k, (page, width, nature, kinds, splits) in enumerate(zip(*about, strict=True)):
+        part = slice(bounds[k] - bounds[0], bounds[k + 1] - bounds[0])
+        p = Shown(page, nan if width is None else float(width), nature, kinds, x[part], y[part], w[part], size[part], text[part], [len(t.strip(" ")) for t in text[part]], font[part], face[part], section[part])
+        also = frozenset(f for family, faces in BOLD_FACES if family in kinds for f in faces)
+        bold = [own or _is_bold(f) or bool(also) and not also.isdisjoint(_low(f)[1]) for own, f in zip(known[part], p.face, strict=True)]
+        yield p, bold, splits
 
 
 def parts(items: DataFrame, pages: DataFrame, papers: DataFrame, fonts: DataFrame | None = None) -> DataFrame:
@@ -141,79 +229,60 @@ def parts(items: DataFrame, pages: DataFrame, papers: DataFrame, fonts: DataFram
     items: pdf_id, page, seq, str, transform, width, height, fontName. pages: pdf_id, page, page_width and, where known, splits. papers: pdf_id, journal, doi; without a row or a value, a paper has no known journal.
     fonts: pdf_id, fontName, postscriptName, fontFamily, bold. Null texts are empty.
     """
-    rows = items.withColumns({"str": F.coalesce("str", F.lit("")), "font": F.coalesce("fontName", F.lit("")), "x": F.col("transform")[4], "y": F.col("transform")[5], "size": F.col("height")})
-    if fonts is None:
-        rows = rows.withColumn("_full", F.lit("")).withColumn("_bold", F.lit(False))
-    else:
-        named = fonts.select("pdf_id", "fontName", F.concat_ws(" ", "postscriptName", "fontFamily").alias("_full"), F.col("bold").alias("_bold"))
-        rows = rows.join(named, ["pdf_id", "fontName"], "left")
-    if "splits" not in pages.columns:
-        pages = pages.withColumn("splits", F.lit(None).cast("array<double>"))
-    known = papers.select("pdf_id", families(F.col("journal"), F.col("doi")).alias("families"), (profile("journal", "doi") == "nature").alias("nature"))
-    rows = rows.join(pages.select(*KEY, "page_width", "splits"), KEY).join(known, "pdf_id", "left")
-    rows = rows.withColumns({"families": F.coalesce("families", F.array(F.lit("any"))), "nature": F.coalesce("nature", F.lit(False)), "face": F.concat_ws(" ", "font", "_full"), "chars": F.length(F.trim("str"))})
-    # what the templates look at is only asked of opening pages
-    rows = rows.withColumn("section", F.when((F.col("page") <= 2) & (F.col("chars") < 60), canonical_section("str")))
-    bold = F.coalesce("_bold", F.lit(False)) | F.coalesce(layout.is_bold(F.col("face")), F.lit(False))
-    for family, faces in BOLD_FACES:
-        bold = bold | F.array_contains("families", family) & _face(*faces)
-    rows = rows.withColumn("bold", bold)
-    found = []
-    for name, template in TEMPLATES.items():
-        rows, holds, places = template(rows)
-        found.append((name, F.coalesce(holds, F.lit(False)), places))
-    chosen = lambda value, none: F.coalesce(*[F.when(holds, value(name, places)) for name, holds, places in found], none)
-    rows = rows.withColumn("template", chosen(lambda name, _: F.lit(name), F.lit(None).cast("string")))
-
-    def place(_: str, places: list[Part]) -> Column:
-        made = None
-        for k, p in enumerate(places):
-            made = F.when(p.where, F.lit(k)) if made is None else made.when(p.where, F.lit(k))
-        return made.otherwise(F.lit(-1))
-
-    rows = rows.withColumn("part", chosen(place, F.lit(0)))
-    rows = rows.withColumn("part", F.when(F.col("part") >= 0, F.col("part")))
-    told = {(name, k): p for name, _, places in found for k, p in enumerate(places)}
-    of = lambda value, none: F.coalesce(*[F.when((F.col("template") == name) & (F.col("part") == k), F.lit(value(p))) for (name, k), p in told.items()], none)
-    rows = rows.withColumns({"one_column": of(lambda p: p.one_column, F.lit(False)), "opens": of(lambda p: p.opens, F.lit("")), "goes_on": of(lambda p: p.goes_on, F.lit(False)), "bold": F.col("bold") & ~of(lambda p: p.plain, F.lit(False))})
-    return rows.select(*items.columns, "page_width", "splits", "nature", "bold", "template", "part", "one_column", "opens", "goes_on")
-
-
-def _laid_out(runs: list[dict], width: float, nature: bool, known: list[float] | None) -> list[tuple[str, int | None, bool]]:
-    """Paragraphs of a page's runs, which are in order of part and seq: text, level, synthetic."""
+    own = F.struct(*[F.coalesce("str", F.lit("")).alias("str") if c == "str" else F.col(c) for c in items.columns]).alias("item")
+    whole = _gathered(items.withColumn("item", own), pages, papers, fonts, "item")
+    place = pa.struct([("bold", pa.bool_()), ("template", pa.string()), ("part", pa.int32()), ("one_column", pa.bool_()), ("opens", pa.string()), ("goes_on", pa.bool_())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out = []
+            for p, bold, _ in _read(b):
+                template, places, told = _placed(p)
+                of = lambda k: told[k] if k >= 0 else Part()  # noqa: B023, E731
+                out.append([{"bold": dark and not of(k).plain, "template": template, "part": k if k >= 0 else None, "one_column": of(k).one_column, "opens": of(k).opens, "goes_on": of(k).goes_on} for k, dark in zip(places, bold, strict=True)])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(out, pa.list_(place))], [*b.schema.names, "places"])
+
+    placed = whole.mapInArrow(run, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in whole.schema) + ", places array<struct<bold: boolean, template: string, part: int, one_column: boolean, opens: string, goes_on: boolean>>")
+    rows = placed.select("page_width", "splits", "nature", F.inline(F.arrays_zip(F.col("runs.item").alias("item"), "places")))
+    return rows.select("item.*", "page_width", "splits", "nature", "places.*")
+
+
+def _laid_out(p: Shown, bold: list[bool], known: list[float] | None) -> tuple[str | None, list[tuple[str, int | None, bool]]]:
+    """A page's template, and its paragraphs: text, level, synthetic."""
+    template, places, told = _placed(p)
     out: list[tuple[str, int | None, bool]] = []
-    for _, rows in groupby(runs, key=lambda r: r["part"]):
-        own = list(rows)
-        head, glyphs = own[0], [layout.Run(r["str"], r["x"], r["y"], r["width"], r["size"], r["bold"]) for r in own]
-        splits = [] if head["one_column"] else known if known is not None else layout.column_splits([r for r in glyphs if r.text.strip()], width, 2) if nature else None
-        texts, heads = layout.page_text(glyphs, width, splits)
-        level = {p: n for p, _, n in heads}
-        if texts and head["opens"]:
-            out.append((head["opens"], 1, True))
+    for part, own in groupby(sorted([k for k in range(len(places)) if places[k] >= 0], key=places.__getitem__), key=places.__getitem__):
+        head = told[part]
+        glyphs = [layout.Run(p.text[k], p.x[k], p.y[k], p.w[k], p.size[k], bold[k] and not head.plain) for k in own]
+        splits = [] if head.one_column else known if known is not None else layout.column_splits([r for r in glyphs if r.text.strip()], p.width, 2) if p.nature else None
+        texts, heads = layout.page_text(glyphs, p.width, splits)
+        level = {at: n for at, _, n in heads}
+        if texts and head.opens:
+            out.append((head.opens, 1, True))
         for i, t in enumerate(texts):
-            if i == 0 and head["goes_on"] and len(out) > 1 and re.match("[a-z]", t) and not re.search("[.!?:]$", out[-1][0]):
+            if i == 0 and head.goes_on and len(out) > 1 and re.match("[a-z]", t) and not re.search("[.!?:]$", out[-1][0]):
                 out[-1] = (f"{out[-1][0]} {t}", *out[-1][1:])
             else:
                 out.append((t, level.get(i), False))
-    return out
+    return template, out
 
 
 def paragraphs(items: DataFrame, pages: DataFrame, papers: DataFrame, fonts: DataFrame | None = None) -> DataFrame:
     """pdf_id, page, paragraph, text, level, synthetic and template: as layout.paragraphs gives them, with opening pages laid out part by part. A synthetic row is a heading that the page does not have."""
     kind = items.schema["pdf_id"].dataType.simpleString()
-    rows = parts(items, pages, papers, fonts).where("part is not null")
-    place = [F.col("transform")[k].cast("double").alias(c) for k, c in ((4, "x"), (5, "y"))]
-    run = F.struct("part", "seq", *place, F.col("width").cast("double").alias("width"), F.col("height").cast("double").alias("size"), "str", "bold", "one_column", "opens", "goes_on")
-    # a page is a row, so that pages come to Python in batches
-    whole = rows.groupBy(*KEY).agg(*[F.first(c).alias(c) for c in ("page_width", "nature", "splits", "template")], F.array_sort(F.collect_list(run)).alias("runs"))
+    whole = _gathered(items, pages, papers, fonts)
 
-    def lay(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def lay(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        types = [pa.int32(), pa.string(), pa.int32(), pa.bool_(), pa.string()]
         for b in batches:
-            out = []
-            for p in b.itertuples(index=False):
-                known = None if p.splits is None else [float(s) for s in p.splits]
-                out += [(p.pdf_id, p.page, i, *row, p.template) for i, row in enumerate(_laid_out(list(p.runs), float(p.page_width), bool(p.nature), known))]
-            made = pd.DataFrame(out, columns=["pdf_id", "page", "paragraph", "text", "level", "synthetic", "template"])
-            yield made.astype({"level": "Int32"})
-
-    return whole.mapInPandas(lay, f"pdf_id {kind}, page int, paragraph int, text string, level int, synthetic boolean, template string")
+            at, out = [], []
+            for k, page in enumerate(_read(b)):
+                template, texts = _laid_out(*page)
+                at += [k] * len(texts)
+                out += [(i, *row, template) for i, row in enumerate(texts)]
+            columns = zip(*out, strict=True) if out else [[]] * len(types)
+            made = [pa.array(list(c), t) for c, t in zip(columns, types, strict=True)]
+            of = pa.array(at, pa.int64())
+            yield pa.RecordBatch.from_arrays([b.column("pdf_id").take(of), b.column("page").take(of).cast(pa.int32()), *made], ["pdf_id", "page", "paragraph", "text", "level", "synthetic", "template"])
+
+    return whole.mapInArrow(lay, f"pdf_id {kind}, page int, paragraph int, text string, level int, synthetic boolean, template string")

@@ -124,3 +124,16 @@ def test_odd_rows(spark):
     assert [(r.text, r.level, r.synthetic) for r in got] == [("Text.", None, False)]
     assert O.paragraphs(items.limit(0), pages, papers).count() == 0
     assert O.parts(items.withColumn("x", items["seq"]), pages, papers).count() == 2
+
+
+def test_pages_come_by_one_shuffle_of_their_runs(spark):
+    plan = O.paragraphs(*frames(spark, wide()))._jdf.queryExecution().executedPlan().toString()  # as it is before it runs
+    assert "Window" not in plan and plan.count("- Exchange hashpartitioning(pdf_id") <= 4
+
+
+def test_names_of_bold_fonts(spark):
+    from scriptoria.operators import layout
+
+    names = ["Sans-Bold", "ABC+CMBX12", "lmbx10", "xcmbx", "Times-Medi", "medi", "Nimbus,Medi Italic", "AdvOT70e1938e.B", "AdvOT1 .b", "advot x.b", "SemiBold", "plain", "", " ", "İBLACK"]
+    df = spark.createDataFrame([(n,) for n in names], "n string").select("n", layout.is_bold(F.col("n")).alias("bold"))
+    assert {r.n: r.bold for r in df.collect()} == {n: layout.bold_name(n) for n in names}
